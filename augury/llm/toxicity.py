@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from augury.llm.common import letter_runs, remainder, sample_per_class, slices
+from augury.llm.common import letter_runs, materialise, remainder, sample_per_class, slices
 
 STEM = 4  # letters of a word that its backoff keeps
 DISCOUNT = 3.0  # standard deviations above the count expected if both classes were alike that a discount takes
@@ -58,44 +58,50 @@ def count_ngrams(labelled: DataFrame) -> DataFrame:
     return labelled.mapInPandas(count, "kind string, a string, b string, t long, o long").groupBy("kind", "a", "b").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
-def _level(n: np.ndarray, total: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """One Kneser-Ney level, class x event: what a class has above its discount, and the discounted mass times ``base``.
+def _level(t: Column, o: Column, total: tuple[float, float], base: tuple[Column, Column]) -> tuple[Column, Column, Column]:
+    """One Kneser-Ney level: for each class, what it has above its discount and the discounted mass times ``base``; then
+    whether any class has something above it.
 
     The discount of an event is what its count would be if the classes were alike, and DISCOUNT standard deviations more: an
     event as frequent in one class as chance allows gives its whole count to the backoff that the classes share.
     """
-    both = n.sum(0)
-    expected = both * total / total.sum()
-    over = np.maximum(n - expected - DISCOUNT * np.sqrt(expected) - 0.5, 0)
-    return over / total + (1 - 0.5 * over.sum(0) / np.maximum(both, 1)) * base
+    both, share = t + o, total[0] / (total[0] + total[1])
+    over = [F.greatest(n - both * part - DISCOUNT * F.sqrt(both * part) - 0.5, F.lit(0.0)) for n, part in ((t, share), (o, 1 - share))]
+    left = 1 - 0.5 * (over[0] + over[1]) / F.greatest(both, F.lit(1))
+    return over[0] / total[0] + left * base[0], over[1] / total[1] + left * base[1], (over[0] + over[1]) > 0
 
 
-def fit_models(counts: pd.DataFrame) -> Model:
-    """Log probability ratios of stems, words and pairs from bounded counts of documents.
+def fit_models(counts: DataFrame) -> Model | None:
+    """Log probability ratios of the stems, words and pairs that some class has above its discount; the rest back off.
 
     Stems back off to their pooled frequency, words to their stem and its pooled continuation count (words that begin so),
-    pairs to their second word.
+    pairs to their second word.  Only those ratios come to the driver; their number is bounded by that of sampled texts.
     """
-    words, pairs = counts[counts["kind"] == "w"], counts[(counts["kind"] == "p") & (counts["t"] + counts["o"] > 3)]
-    names = words["a"].to_numpy(object)
-    n = words[["t", "o"]].to_numpy(float).T
-    total = n.sum(1, keepdims=True) + 1e-9
-    stems, of_stem = np.unique(np.array([w[:STEM] for w in names], object).astype(str), return_inverse=True)
-    kinds = np.bincount(of_stem, minlength=len(stems)).astype(float)
-    mass = np.stack([np.bincount(of_stem, c, len(stems)) for c in n])
-    stem = _level(mass, total, (mass.sum(0) + 0.5) / total.sum() * np.ones((2, 1)))
-    word = _level(n, total, stem[:, of_stem] * (n.sum(0) + 0.5) / (mass.sum(0) + 0.5 * kinds + 0.5)[of_stem])
-    llr = np.log(word[0] / word[1])
-    index = {w: i for i, w in enumerate(names)}
-    first, second = pairs["a"].map(index).to_numpy(np.int64), pairs["b"].map(index).to_numpy(np.int64)
-    c = pairs[["t", "o"]].to_numpy(float).T
-    after = _level(c, total, word[:, second] * ((c.sum(0) + 0.5) / (n.sum(0)[second] + 0.5)))
-    ratio = np.log(after[0] / after[1])
-    keep = np.abs(ratio - llr[second]) > 0.05
-    key = first[keep] * np.int64(len(names)) + second[keep]
+    words = counts.where("kind = 'w'").withColumn("stem", F.substring("a", 1, STEM))
+    sums = words.agg(F.sum("t"), F.sum("o")).first()
+    if not (sums[0] and sums[1]):
+        return None
+    total = (float(sums[0]), float(sums[1]))
+    stems = words.groupBy("stem").agg(F.sum("t").alias("st"), F.sum("o").alias("so"), F.count(F.lit(1)).alias("kinds"))
+    pooled = (F.col("st") + F.col("so") + 0.5) / sum(total)
+    pt, po, marked = _level(F.col("st"), F.col("so"), total, (pooled, pooled))
+    stems = stems.select("stem", (F.col("st") + F.col("so")).alias("mass"), "kinds", pt.alias("pt"), po.alias("po"), marked.alias("marked"))
+    part = (F.col("t") + F.col("o") + 0.5) / (F.col("mass") + 0.5 * F.col("kinds") + 0.5)
+    wt, wo, marked = _level(F.col("t"), F.col("o"), total, (F.col("pt") * part, F.col("po") * part))
+    words = words.join(stems.drop("marked"), "stem").select("a", (F.col("t") + F.col("o")).alias("n"), wt.alias("wt"), wo.alias("wo"), marked.alias("marked"))
+    part = (F.col("t") + F.col("o") + 0.5) / (F.col("n") + 0.5)
+    qt, qo, above = _level(F.col("t"), F.col("o"), total, (F.col("wt") * part, F.col("wo") * part))
+    pairs = counts.where("kind = 'p' and t + o > 3").join(words.select(F.col("a").alias("b"), "n", "wt", "wo"), "b").select("a", "b", F.log(qt / qo).alias("llr"), F.log(F.col("wt") / F.col("wo")).alias("word"), above.alias("above"))
+    pairs = pairs.where(F.col("above") & (F.abs(F.col("llr") - F.col("word")) > 0.05)).select("a", "b", "llr", "word").collect()
+    known = {r["a"]: r["llr"] for r in words.where("marked").select("a", F.log(F.col("wt") / F.col("wo")).alias("llr")).collect()}
+    stem = {r["stem"]: r["llr"] for r in stems.where("marked").select("stem", F.log(F.col("pt") / F.col("po")).alias("llr")).collect()}
+    for r in pairs:
+        known.setdefault(r["b"], r["word"])
+        known.setdefault(r["a"], stem.get(r["a"][:STEM], 0.0))
+    ids = {w: i for i, w in enumerate(sorted(known))}
+    key = np.array([ids[r["a"]] * len(ids) + ids[r["b"]] for r in pairs], np.int64)
     order = np.argsort(key)
-    known = {w: (i, float(x)) for i, (w, x) in enumerate(zip(names, llr, strict=True))}
-    return Model(known, key[order], ratio[keep][order], dict(zip(stems.tolist(), np.log(stem[0] / stem[1]).tolist(), strict=True)))
+    return Model({w: (i, known[w]) for w, i in ids.items()}, key[order], np.array([r["llr"] for r in pairs], float)[order], stem)
 
 
 def evidence(model: Model, text: str | None) -> tuple[float, float]:
@@ -143,10 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLA
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     # The sample has about 2 x docs_per_class short rows: its size is bounded by that parameter.
     rows = texts.join(F.broadcast(chosen), "doc_id").withColumn("_part", F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(4)))
-    counts = count_ngrams(rows.where("_part > 0").select("toxic", "text")).toPandas()
-    if not len(counts) or not (counts["t"].sum() and counts["o"].sum()):
+    model = fit_models(materialise(count_ngrams(rows.where("_part > 0").select("toxic", "text")), "toxic-counts"))
+    if model is None:
         return None
-    model = fit_models(counts)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
