@@ -30,7 +30,7 @@ BPE, FALLBACK = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 # Bands by script: least and most characters a token, most share of byte pieces, least and most entropy of the tokens as a
 # share of what as many tokens could have.  Scripts that the vocabularies hardly cover have wide bands.
 BANDS = {
-    "latin": (1.5, 7.0, 0.10, 0.45, 1.0),
+    "latin": (1.2, 7.0, 0.10, 0.35, 1.0),
     "greek": (0.4, 5.0, 0.60, 0.35, 1.0),
     "cyrillic": (0.4, 5.0, 0.60, 0.35, 1.0),
     "arabic": (0.3, 5.0, 0.90, 0.30, 1.0),
