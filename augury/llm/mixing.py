@@ -24,7 +24,7 @@ BLOCK_WORDS = 2048
 SHARD_SLOTS = 1024
 MOST = 3
 WEIGHTS = (1, 2, 3)
-_BUCKET_ROWS = 50_000  # documents in a bucket whose offsets one task sums
+_BUCKET_ROWS = 4096  # documents in a bucket whose offsets one task sums
 _CHUNK_SLOTS = 10_000  # slots that one row unfolds into
 
 

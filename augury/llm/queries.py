@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from augury.llm import decontam, fertility, langid, licenses, mixing, pii, quality, simhash, toxicity
+from augury.llm import decontam, fertility, langid, licenses, lm, mixing, pii, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(_table(spark, sf_dir, "documents"))
 
 
+def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_language(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
     return found.drop("text")
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_fertility": op3_fertility,
         "op4_pseudonyms": op4_pseudonyms,
         "op5_language": op5_language,
+        "op6_context_tree": op6_context_tree,
         "op7_decontamination": op7_decontamination,
         "op8_licenses": op8_licenses,
         "op9_simhash": op9_simhash,
