@@ -130,10 +130,13 @@ def language_id(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame
     return identify(docs, model).select("doc_id", (part == held_out).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, model: dict | None, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: dict | None, least: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text is in a learned language with a score of ``least`` or more."""
     if model is None:
         return docs.where(F.lit(False))
-    names = docs.columns
-    score = F.pandas_udf(lambda text, ok: pd.Series([bool(o) and predict(model, features(t))[1] >= least for t, o in zip(text, ok, strict=True)], dtype=bool), "boolean")
-    return docs.where(score(F.col("text"), _letters())).select(*names)
+
+    @F.pandas_udf("boolean")
+    def sure(texts: pd.Series, letters: pd.Series) -> pd.Series:
+        return pd.Series([bool(ok) and predict(model, features(t))[1] >= least for t, ok in zip(texts, letters, strict=True)], dtype=bool)
+
+    return docs.where(sure(F.col("text"), _letters()))

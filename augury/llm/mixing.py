@@ -115,17 +115,35 @@ def deal_slots(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_slots:
     return k.withColumn("dealt", dealt).select(F.floor(F.col("dealt") / shard_slots).alias("shard"), (F.col("dealt") % shard_slots).alias("slot"), "key", "pass", "block", "words")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block_words: int = BLOCK_WORDS, seed: str = "mix") -> DataFrame:
-    """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) of every row of ``docs``."""
+def _plan(docs: DataFrame, weights: tuple[int, ...], most: int, block_words: int, shard_slots: int, seed: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows with offsets, sources with targets, dealt slots, and the parts of documents in blocks (key, block, begin, end)."""
     rows = stream_offsets(docs, seed)
     sources = materialise(source_targets(rows.groupBy("key").agg(F.sum("size").alias("source_size")), weights, most), "sources")
-    drawn = deal_slots(sources, block_words, seed=seed).groupBy("key", "block", "words").agg(F.count(F.lit(1)).alias("times"))
-    touched = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("offset") / block_words), F.floor((F.col("offset") + F.col("size") - 1) / block_words)))
-    parts = rows.where("size > 0").withColumn("block", F.explode(touched)).join(drawn, ["key", "block"])
-    begin = F.col("block") * block_words
-    overlap = F.greatest(F.least(F.col("offset") + F.col("size"), begin + F.col("words")) - F.greatest(F.col("offset"), begin), F.lit(0))
-    taken = parts.groupBy("key", "offset").agg(F.sum(overlap * F.col("times")).alias("taken"))
+    slots = deal_slots(sources, block_words, shard_slots, seed)
+    touched = F.sequence(F.floor(F.col("offset") / block_words), F.floor((F.col("offset") + F.col("size") - 1) / block_words))
+    parts = rows.where("size > 0").withColumn("block", F.explode(touched))
+    edge = F.col("block") * block_words
+    parts = parts.select("key", "block", "doc_id", "offset", F.greatest("offset", edge).alias("begin"), F.least(F.col("offset") + F.col("size"), edge + block_words).alias("end"))
+    return rows, sources, slots, parts
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: str = "mix") -> DataFrame:
+    """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) of every row of ``docs``."""
+    rows, sources, slots, parts = _plan(docs, weights, most, block_words, shard_slots, seed)
+    drawn = slots.groupBy("key", "block", "words").agg(F.count(F.lit(1)).alias("times"))
+    stop = F.col("block") * block_words + F.col("words")
+    overlap = F.greatest(F.least(F.col("end"), stop) - F.col("begin"), F.lit(0))
+    taken = parts.join(drawn, ["key", "block"]).groupBy("key", "offset").agg(F.sum(overlap * F.col("times")).alias("taken"))
     # Only documents with words have an offset of their own.
     got = rows.where("size > 0").join(taken, ["key", "offset"], "left").unionByName(rows.where("size = 0").withColumn("taken", F.lit(0)))
-    # As many rows as sources: Spark broadcasts them only below its own limit.
     return got.join(sources, "key").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_blocks(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: str = "mix") -> DataFrame:
+    """The mix itself: shard, slot, words and pieces (doc_id, first word and number of words, in order) of each output block."""
+    _, _, slots, parts = _plan(docs, weights, most, block_words, shard_slots, seed)
+    stop = F.col("block") * block_words + F.col("words")
+    pieces = slots.join(parts, ["key", "block"]).where(F.col("begin") < stop)
+    piece = F.struct("begin", "doc_id", (F.col("begin") - F.col("offset")).alias("first_word"), (F.least(F.col("end"), stop) - F.col("begin")).alias("n_words"))
+    # A block has at most block_words pieces.
+    return pieces.groupBy("shard", "slot", "words").agg(F.sort_array(F.collect_list(piece)).alias("pieces")).select("shard", "slot", "words", F.transform("pieces", lambda p: p.dropFields("begin")).alias("pieces"))
