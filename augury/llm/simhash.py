@@ -25,36 +25,52 @@ from augury.llm.common import materialise, slices
 
 SHINGLE_WORDS = 4
 RADIUS = 4
+# For texts alike in 0.8 of their five-word shingles: two such texts have an angle of 0.15 half turns, so 39 of 256 bits differ
+# on average; 48 leaves room for chance, and texts alike in less than 0.6 stay apart.
+ALIKE = {"width": 5, "bits": 256, "radius": 48}
 GROUP = 32_768  # distinct fingerprints in a group
 _SEED = 42
 
 
-def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
-    """64-bit SimHash over word shingles, repeats included; a bit is 1 if it is set in over half of the hashes."""
+def _words(k: int, hashes: np.ndarray) -> np.ndarray:
+    """Word ``k`` of wide hashes: the hash itself, then mixes of it."""
+    if k:
+        hashes = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            hashes = (hashes ^ (hashes >> np.uint64(shift))) * np.uint64(factor)
+        hashes = hashes ^ (hashes >> np.uint64(31))
+    return hashes
+
+
+def fingerprint(text: str | None, width: int = SHINGLE_WORDS, bits: int = 64) -> str:
+    """SimHash over word shingles in hex, repeats included; a bit is 1 if it is set in over half of the hashes."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return "0" * (bits // 4)
     joined = b" ".join(words)
     end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     last = end[width - 1 :] if len(words) > width else end[-1:]
     first = np.concatenate([[0], end + 1])[: len(last)]
     h = xxhash.xxh64_intdigest
     hashes = np.fromiter((h(joined[a:b], _SEED) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(last))
-    counts = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 65_536):
-        counts += np.unpackbits(hashes[k : k + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+    out = ""
+    for k in range(bits // 64):
+        counts = np.zeros(64, np.int64)
+        for m in range(0, len(hashes), 65_536):
+            counts += np.unpackbits(_words(k, hashes[m : m + 65_536]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out += format(int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0]), "016x")
+    return out
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row; map-only."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS, bits: int = 64) -> DataFrame:
+    """doc_id and fp (the fingerprint in hex) of every row; map-only."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for piece in slices(batches):
-            yield pd.DataFrame({"doc_id": piece["doc_id"], "fp": np.array([fingerprint(t, width) for t in piece["text"]], np.uint64).view(np.int64)})
+            yield pd.DataFrame({"doc_id": piece["doc_id"], "fp": [fingerprint(t, width, bits) for t in piece["text"]]})
 
-    return docs.select("doc_id", "text").mapInPandas(make, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInPandas(make, f"doc_id {kind}, fp string")
 
 
 class _Forest:
@@ -90,46 +106,69 @@ class _Forest:
                 self.parent = up
 
 
-def _halves(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.bitwise_count(fp >> np.uint64(32)).astype(np.int64), np.bitwise_count(fp & np.uint64(0xFFFFFFFF)).astype(np.int64)
+def _numbers(fps) -> np.ndarray:
+    """Hex fingerprints as a row of 64-bit words each."""
+    fps = list(fps)
+    return np.frombuffer(bytes.fromhex("".join(fps)), ">u8").astype(np.uint64).reshape(len(fps), -1)
+
+
+def _tiles(x: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Population counts of the two halves of the bits, in steps."""
+    if x.shape[1] == 1:
+        x = np.concatenate([x >> np.uint64(32), x & np.uint64(0xFFFFFFFF)], 1)
+    counts, half = np.bitwise_count(x).astype(np.int64), x.shape[1] // 2
+    return counts[:, :half].sum(1) // step, counts[:, half:].sum(1) // step
+
+
+def _near(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    apart = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
+    if a.shape[1] > 1:
+        apart = apart.astype(np.uint16)
+        for k in range(1, a.shape[1]):
+            apart += np.bitwise_count(a[:, None, k] ^ b[None, :, k])
+    return np.nonzero(apart <= radius)
 
 
 def links(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (fingerprint, root) of the links within ``a``, or between ``a`` and ``b``, each without repeats."""
+    """A spanning forest of the links within ``a``, or between ``a`` and ``b``, as row numbers (node, root); those of ``b``
+    come after those of ``a``.  Tiles are the rows whose halves have like population counts, in steps of ``step``; tiles whose
+    counts must differ by more than the radius are skipped.
+    """
+    step, base = max(1, radius // 8), 1 << 20
     same = b is None
-    other = a if same else b
-    sort = lambda x: x[np.argsort((k := _halves(x))[0] * 64 + k[1], kind="stable")]
-    left, right = sort(a), sort(other)
-    key_l, key_r = (h[0] * 64 + h[1] for h in (_halves(left), _halves(right)))
-    nodes = left if same else np.concatenate([left, right])
-    shift = 0 if same else len(left)
-    forest = _Forest(len(nodes))
+    key_l = (lambda t: t[0] * base + t[1])(_tiles(a, step))
+    at_l = np.argsort(key_l, kind="stable")
+    left, key_l = a[at_l], key_l[at_l]
+    at_r, right, key_r = at_l, left, key_l
+    if not same:
+        key_r = (lambda t: t[0] * base + t[1])(_tiles(b, step))
+        at_r = np.argsort(key_r, kind="stable")
+        right, key_r = b[at_r], key_r[at_r]
+        at_r = at_r + len(a)
+    forest = _Forest(len(a) + (0 if same else len(b)))
     tiles = np.flatnonzero(np.concatenate([[True], np.diff(key_l) != 0])) if len(left) else np.zeros(0, np.int64)
     ends = np.concatenate([tiles[1:], [len(left)]])
+    reach = lambda rest: (rest - 1) // step + 1 if rest > 0 else 0  # noqa: E731  steps that counts at most ``rest`` apart can be apart
     for begin, end in zip(tiles, ends, strict=True):
-        high, low = divmod(int(key_l[begin]), 64)
-        for d in range(0 if same else -radius, radius + 1):
-            rest = radius - abs(d)
-            if not 0 <= high + d <= 32:
-                continue
-            start, stop = np.searchsorted(key_r, [(high + d) * 64 + max(0, low - rest), (high + d) * 64 + min(32, low + rest) + 1])
+        high, low = divmod(int(key_l[begin]), base)
+        for d in range(0 if same else -reach(radius), reach(radius) + 1):
+            more = reach(radius - ((abs(d) - 1) * step + 1 if d else 0))
+            start, stop = np.searchsorted(key_r, [(high + d) * base + max(0, low - more), (high + d) * base + low + more + 1])
             if same:
                 start = max(start, begin)
-            if stop <= start:
-                continue
-            step = max(1, block // (end - begin))
-            for k in range(start, stop, step):
-                far = right[k : min(stop, k + step)]
+            width = max(1, block // max(1, min(block, end - begin)))
+            for k in range(start, stop, width):
+                far = right[k : min(stop, k + width)]
                 for m in range(begin, end, block):
-                    i, j = np.nonzero(np.bitwise_count(left[m : min(end, m + block), None] ^ far[None, :]) <= radius)
-                    i, j = i + m, j + k
+                    i, j = _near(left[m : min(end, m + block)], far, radius)
+                    i, j = at_l[i + m], at_r[j + k]
                     if same:
-                        i, j = i[i < j], j[i < j]
+                        i, j = i[i != j], j[i != j]
                     if len(i):
-                        forest.add(i, j + shift)
+                        forest.add(i, j)
     forest.settle()
-    child = np.flatnonzero(forest.parent != np.arange(len(nodes)))
-    return nodes[child], nodes[forest.parent[child]]
+    child = np.flatnonzero(forest.parent != np.arange(len(forest.parent)))
+    return child, forest.parent[child]
 
 
 def link_forest(distinct: DataFrame, n: int, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
@@ -137,16 +176,17 @@ def link_forest(distinct: DataFrame, n: int, radius: int = RADIUS, group: int =
     groups = max(1, -(-n // group))
     # A group is about ``group`` fingerprints, dealt evenly by a hash: 256 KB in one row.
     packed = distinct.groupBy(F.pmod(F.xxhash64("fp", F.lit("group")), F.lit(groups)).cast("int").alias("g")).agg(F.collect_list("fp").alias("fps"))
-    pairs = packed.select("g", "fps", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("h")).select(F.least("g", "h").alias("p"), F.greatest("g", "h").alias("q"), (F.col("g") <= F.col("h")).alias("first"), "fps")
+    pairs = packed.select("g", "fps", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("h")).select(F.least("g", "h").alias("p"), F.greatest("g", "h").alias("q"), "fps")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = [np.asarray(x, np.int64).view(np.uint64) for x in pdf.sort_values("first", ascending=False)["fps"]]
+        sides = pdf["fps"].tolist()
+        names = np.concatenate(sides)
         if len(sides) == 1 and pdf["p"].iloc[0] != pdf["q"].iloc[0]:
-            return pd.DataFrame({"u": [], "v": []}).astype("int64")
-        u, v = links(sides[0], None if len(sides) == 1 else sides[1], radius)
-        return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
+            return pd.DataFrame({"u": names[:0], "v": names[:0]})
+        u, v = links(_numbers(sides[0]), None if len(sides) == 1 else _numbers(sides[1]), radius)
+        return pd.DataFrame({"u": names[u], "v": names[v]})
 
-    return pairs.groupBy("p", "q").applyInPandas(compare, "u long, v long")
+    return pairs.groupBy("p", "q").applyInPandas(compare, "u string, v string")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -171,15 +211,15 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("fp"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id that links reach) of every row."""
-    made = materialise(fingerprints(docs, width), "fingerprints")
+def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = RADIUS, group: int = GROUP, bits: int = 64) -> DataFrame:
+    """doc_id, fingerprint (hex digits) and component_id (smallest doc_id that links reach) of every row."""
+    made = materialise(fingerprints(docs, width, bits), "fingerprints")
     distinct = materialise(made.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     forest = components(link_forest(distinct.select("fp"), distinct.count(), radius, group))
     rooted = materialise(distinct.join(forest, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "rooted")
     least = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     named = materialise(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return made.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return made.join(named, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
