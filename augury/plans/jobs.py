@@ -75,3 +75,51 @@ def _stamps(series: DataFrame, keys: list[str], size: DataFrame, freq: str | Non
     """Future stamps when each series has its own horizon: those up to the longest, cut by series."""
     longest = size.agg(F.max("h")).first()[0] or 1
     return B._on(S.future_index(series, keys, F.lit(longest), freq), size.select(*keys, "h"), keys).where("step <= h").drop("h")
+
+
+def run_tabular(df: DataFrame, row_key: list[str], target: str | None = None, seed: int = 42, most_attempts: int = 3, families: list[str] | None = None, pattern: str | None = None) -> dict:
+    """Coerce, profile, split, prepare, train until the gate passes, evaluate and explain; returns tables and the model."""
+    from augury.operators import evaluate as V
+    from augury.operators import prep as C
+    from augury.operators import profile as P
+    from augury.operators import train as T
+
+    keyed = df.withColumns({k: df[k].cast("string") for k in row_key})
+    table = P.coerce_numeric_like(keyed.drop(*row_key), pattern=pattern or P.NUMBER_LIKE) if not row_key else P.coerce_numeric_like(keyed, pattern=pattern or P.NUMBER_LIKE).withColumns({k: F.col(k).cast("string") for k in row_key})
+    inputs = table.drop(*row_key)
+    target = target or P.infer_target(inputs)
+    counts = P.value_counts(inputs)
+    profile = {r["column"]: r for r in P.profile_columns(inputs, counts).collect()}  # a row for each column
+    task = P.infer_task_type(inputs, target).first()["task"]
+    rows = C.split(table, row_key, seed=seed, stratify=target if task == "classification" else None)
+    prepared, fit = C.fit_preparation(rows, {c: r["role"] for c, r in profile.items()}, {c: r["cardinality"] for c, r in profile.items()}, target, task, row_key)
+    prepared = prepared.persist()
+    got = T.train_until_gate(prepared, fit, row_key, most_attempts, seed=seed, families=families)
+    metrics = T.tabular_metrics(prepared, fit, got.model)
+    facts = metrics.withColumnRenamed("r2" if task == "regression" else "accuracy", "score").withColumns({"task": F.lit(task), "family": F.lit(got.family), "attempts": F.lit(got.attempts), "cv_mean": F.lit(got.cv_mean), "cv_std": F.lit(got.cv_std)})
+    whole = P.overall_missing_pct(inputs).crossJoin(P.duplicate_rows(table)).crossJoin(inputs.agg(F.count(F.lit(1)).alias("n_rows")))  # one row each
+    facts = V.tabular_confidence(V.tabular_gate(facts.crossJoin(whole)))  # one row each
+    return {"profile": profile, "fit": fit, "prepared": prepared, "trained": got, "metrics": metrics, "facts": facts}
+
+
+def explanation_report(facts: DataFrame, importance: DataFrame) -> DataFrame:
+    """One row of JSON: model, score, stability, top drivers, gate, confidence and what to do; all read, none recomputed."""
+    drivers = importance.orderBy("rank").limit(5).agg(F.sort_array(F.collect_list(F.struct("rank", "feature", "importance"))).alias("drivers"))
+    advice = F.when(F.col("passed"), "The model may be used; check its drivers from time to time.").otherwise("Do not use the model; more or better data is needed.")
+    return facts.crossJoin(drivers).select(F.to_json(F.struct("task", "family", "score", "cv_mean", "cv_std", "drivers", "passed", "reasons", "confidence", "confidence_label", advice.alias("recommendation"))).alias("report"))  # one row each
+
+
+def coercion_impact(df: DataFrame, row_key: list[str], target: str, **options) -> DataFrame:
+    """Score under the wide and the strict number pattern, side by side."""
+    from augury.operators import profile as P
+
+    runs = [run_tabular(df, row_key, target, pattern=p, **options)["facts"].select(F.lit(name).alias("pattern"), "family", "score", "cv_mean", "passed") for name, p in (("number_like", P.NUMBER_LIKE), ("units_only", P.UNITS_ONLY))]
+    return runs[0].unionByName(runs[1])
+
+
+def quality_audit(df: DataFrame) -> dict[str, DataFrame]:
+    """Coercion audit, then profile, warnings and duplicates of the coerced table."""
+    from augury.operators import profile as P
+
+    coerced = P.coerce_numeric_like(df)
+    return {"coercion": P.coercion_audit(df), "profile": P.profile_columns(coerced), "warnings": P.profile_warnings(coerced), "samples": P.sample_values(coerced)}

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from augury.plans import series_queries
+from augury.plans import series_queries, table_queries, text_queries
 
-_MODULES = [series_queries]
+_MODULES = [series_queries, table_queries, text_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
