@@ -28,7 +28,8 @@ RADIUS = 4
 # For texts alike in 0.8 of their five-word shingles: two such texts have an angle of 0.15 half turns, so 39 of 256 bits differ
 # on average; 48 leaves room for chance, and texts alike in less than 0.6 stay apart.
 ALIKE = {"width": 5, "bits": 256, "radius": 48}
-GROUP = 32_768  # distinct fingerprints in a group
+GROUP = 262_144  # distinct fingerprints in a group at most, as dealt by a hash
+SPREAD = (16_384, 8)  # fewer make groups of the first size, up to the second number of groups, to keep tasks busy
 _SEED = 42
 
 
@@ -106,10 +107,16 @@ class _Forest:
                 self.parent = up
 
 
-def _numbers(fps) -> np.ndarray:
-    """Hex fingerprints as a row of 64-bit words each."""
-    fps = list(fps)
-    return np.frombuffer(bytes.fromhex("".join(fps)), ">u8").astype(np.uint64).reshape(len(fps), -1)
+def _numbers(fps, bits: int | None = None) -> np.ndarray:
+    """Fingerprints, in hex or as packed bytes, as a row of 64-bit words each."""
+    if not isinstance(fps, bytes):
+        fps = list(fps)
+        bits, fps = 4 * len(fps[0]) if fps else 64, bytes.fromhex("".join(fps))
+    return np.frombuffer(fps, ">u8").astype(np.uint64).reshape(-1, bits // 64)
+
+
+def _names(fps: np.ndarray) -> list[str]:
+    return [x.tobytes().hex() for x in fps.astype(">u8")]
 
 
 def _tiles(x: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,20 +178,20 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, block: int
     return child, forest.parent[child]
 
 
-def link_forest(distinct: DataFrame, n: int, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
+def link_forest(distinct: DataFrame, n: int, radius: int = RADIUS, group: int | None = None, bits: int = 64) -> DataFrame:
     """Edges (u, v) that connect what links join, of a table of ``n`` distinct fingerprints ``fp``."""
-    groups = max(1, -(-n // group))
-    # A group is about ``group`` fingerprints, dealt evenly by a hash: 256 KB in one row.
-    packed = distinct.groupBy(F.pmod(F.xxhash64("fp", F.lit("group")), F.lit(groups)).cast("int").alias("g")).agg(F.collect_list("fp").alias("fps"))
+    groups = max(1, -(-n // (group or GROUP)), min(SPREAD[1], -(-n // SPREAD[0])) if group is None else 1)
+    # One packed row a group: 2 MB for a full one of 64 bits.  It goes to as many tasks as there are groups.
+    packed = distinct.groupBy(F.pmod(F.xxhash64("fp", F.lit("group")), F.lit(groups)).cast("int").alias("g")).agg(F.unhex(F.array_join(F.collect_list("fp"), "")).alias("fps"))
     pairs = packed.select("g", "fps", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("h")).select(F.least("g", "h").alias("p"), F.greatest("g", "h").alias("q"), "fps")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = pdf["fps"].tolist()
-        names = np.concatenate(sides)
+        sides = [_numbers(bytes(x), bits) for x in pdf["fps"]]
         if len(sides) == 1 and pdf["p"].iloc[0] != pdf["q"].iloc[0]:
-            return pd.DataFrame({"u": names[:0], "v": names[:0]})
-        u, v = links(_numbers(sides[0]), None if len(sides) == 1 else _numbers(sides[1]), radius)
-        return pd.DataFrame({"u": names[u], "v": names[v]})
+            return pd.DataFrame({"u": [], "v": []}).astype(str)
+        u, v = links(sides[0], sides[1] if len(sides) > 1 else None, radius)
+        both = np.concatenate(sides)
+        return pd.DataFrame({"u": _names(both[u]), "v": _names(both[v])}).astype(str)
 
     return pairs.groupBy("p", "q").applyInPandas(compare, "u string, v string")
 
@@ -211,11 +218,11 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("fp"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = RADIUS, group: int = GROUP, bits: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = RADIUS, group: int | None = None, bits: int = 64) -> DataFrame:
     """doc_id, fingerprint (hex digits) and component_id (smallest doc_id that links reach) of every row."""
     made = materialise(fingerprints(docs, width, bits), "fingerprints")
     distinct = materialise(made.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    forest = components(link_forest(distinct.select("fp"), distinct.count(), radius, group))
+    forest = components(link_forest(distinct.select("fp"), distinct.count(), radius, group, bits))
     rooted = materialise(distinct.join(forest, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "rooted")
     least = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     named = materialise(rooted.join(least, "root").select("fp", "component_id"), "named")
@@ -228,6 +235,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Rows without an id are in no component that has a name; they are all kept.
     """
     kept = materialise(near_duplicates(docs, **options).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")), "kept")
-    once = docs.join(kept.where("_rows = 1").select("doc_id"), "doc_id", "left_semi")
+    # The ids that stay grow with the table, so they are merged, not broadcast; ids of repeated rows are few or none.
+    once = docs.join(kept.where("_rows = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
     again = docs.join(kept.where("_rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.union(again).union(docs.where("doc_id is null")).select(*docs.columns)
