@@ -75,3 +75,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINES = "rows AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d'), CAST(l_quantity AS INT)) AS row_key, CASE WHEN l_orderkey % 7 <> 0 THEN l_quantity END AS l_quantity, l_discount, p_brand, CASE WHEN l_orderkey % 13 <> 0 THEN p_type END AS p_type, p_size, l_shipdate, l_extendedprice FROM lineitem JOIN part ON l_partkey = p_partkey), parts AS (SELECT *, substr(md5('42|' || row_key), 1, 8) >= '33333333' AS is_train FROM rows)"
+
+
+def priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order lines with a price that follows from their quantity, size and discount, for training."""
+    return lines(spark, sf_dir).withColumn("l_extendedprice", F.coalesce("l_quantity", F.lit(25.0)) * (900 + 10 * F.col("p_size")) * (1 - F.col("l_discount")))

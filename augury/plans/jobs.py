@@ -51,11 +51,11 @@ def run_forecast(
         steps = size.select(*keys, "n", F.explode(F.sequence(F.lit(1), h)).alias("step")).withColumn("pos", at)
         point = steps.join(history.select(*keys, "pos", F.col("y").alias("yhat")), [*keys, "pos"]).select(*keys, "step", "yhat")
     else:
-        scored = B.backtest_model(history, keys, origins, model).where("not isnan(yhat)")
+        scored = B.backtest_model(history, keys, origins, model).where("yhat is not null and not isnan(yhat)")
         point = B.model_forecast(history, keys, size, model)
         # A model that fails on a series leaves its naive forecast.
         last = history.groupBy(*keys).agg(F.max_by("y", "pos").alias("_last"))
-        point = B._on(point, last, keys).withColumn("yhat", F.when(F.isnan("yhat"), F.col("_last")).otherwise(F.col("yhat"))).drop("_last")
+        point = B._on(point, last, keys).withColumn("yhat", F.when(F.isnan("yhat") | F.col("yhat").isNull(), F.col("_last")).otherwise(F.col("yhat"))).drop("_last")
     residuals = B.residuals_by_step(scored, keys)
     metrics, naive = B.backtest_metrics(scored, keys), B.backtest_metrics(base, keys)
     facts = B._on(B.compare_to_naive(metrics, naive, keys), size, keys)

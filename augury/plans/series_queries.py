@@ -111,7 +111,7 @@ def queries() -> dict:
         "default_horizon": lambda s, d: B.sizes(X.filled(s, d), K).select(*K, "n_observed", "h"),
         "trim_edges": lambda s, d: _shaped(X.trimmed(s, d)),
         "gap_runs": lambda s, d: S.gap_runs(X.trimmed(s, d), K),
-        **{f"fill_gaps_{x}": (lambda s, d, x=x: X.filled(s, d, x).select(*K, "pos", _r("y"), "filled")) for x in S.STRATEGIES},
+        **{f"fill_gaps_{x}": (lambda s, d, x=x: X.filled(s, d, x).select(*K, "pos", _r("y", 6), "filled")) for x in S.STRATEGIES},
         "gap_audit": lambda s, d: S.gap_audit(X.trimmed(s, d), X.filled(s, d), K, "ffill"),
         "future_index": lambda s, d: S.future_index(X.filled(s, d), K, F.lit(H), "D").select(*K, "step", _day()),
         "naive": lambda s, d: B.naive(X.filled(s, d), K, H),
@@ -141,7 +141,7 @@ def oracle_sql() -> dict[str, str]:
     filled = {}
     for name, expr in fill.items():
         inner = "SELECT *, last_value(y IGNORE NULLS) OVER back AS y0, first_value(y IGNORE NULLS) OVER ahead AS y1, last_value(CASE WHEN y IS NOT NULL THEN pos END IGNORE NULLS) OVER back AS p0, first_value(CASE WHEN y IS NOT NULL THEN pos END IGNORE NULLS) OVER ahead AS p1 FROM trimmed WINDOW back AS (PARTITION BY o_orderpriority ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), ahead AS (PARTITION BY o_orderpriority ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
-        filled[f"fill_gaps_{name}"] = w(X.TRIM, f"SELECT {key}, pos, round({expr}, 4) AS y, y IS NULL AND ({expr}) IS NOT NULL AS filled FROM ({inner})")
+        filled[f"fill_gaps_{name}"] = w(X.TRIM, f"SELECT {key}, pos, round({expr}, 6) AS y, y IS NULL AND ({expr}) IS NOT NULL AS filled FROM ({inner})")
     return {
         "detect_time_columns": "WITH o AS (SELECT *, CASE WHEN o_orderkey % 40 = 0 THEN 'n/a' ELSE strftime(o_orderdate, '%d/%m/%Y') END AS as_text FROM orders WHERE o_orderpriority = '1-URGENT'), r AS (SELECT avg(CASE WHEN try_strptime(as_text, '%d/%m/%Y') IS NOT NULL THEN 1.0 ELSE 0 END) AS rate, count(*) = count(DISTINCT o_orderkey) AS uniq FROM o) SELECT * FROM (SELECT 'o_orderdate' AS name, 'datetime' AS kind, 1.0::DOUBLE AS parse_rate, 1 AS rank UNION ALL SELECT 'iso', 'parsed', 1.0, 2 UNION ALL SELECT 'as_text', 'parsed', round(rate, 2), 3 FROM r WHERE rate >= 0.95 UNION ALL SELECT 'o_orderkey', 'ordered_int', 1.0, CASE WHEN rate >= 0.95 THEN 4 ELSE 3 END FROM r WHERE uniq)",
         "series_regularity": w(X.DAILY + ", points AS (SELECT DISTINCT o_orderpriority, day AS ds FROM daily), " + REGULARITY, f"SELECT {key}, count(*) AS n_stamps, round(CASE WHEN count(*) >= 3 THEN 1 - least(1.0::DOUBLE, stddev_pop(gap) / (avg(gap) + 1e-9)) ELSE 0 END, 4) AS regularity, CASE WHEN count(*) >= 3 THEN CASE WHEN quantile_cont(gap, 0.5) <= 43200 THEN 'H' WHEN quantile_cont(gap, 0.5) <= 129600 THEN 'D' WHEN quantile_cont(gap, 0.5) <= 691200 THEN 'W' WHEN quantile_cont(gap, 0.5) <= 3888000 THEN 'M' WHEN quantile_cont(gap, 0.5) <= 11664000 THEN 'Q' ELSE 'Y' END END AS freq FROM gaps GROUP BY 1"),

@@ -60,7 +60,7 @@ def backtest_auto(spark, sf):
 
 
 def trained(spark, sf):
-    rows = X.lines(spark, sf)
+    rows = X.priced_lines(spark, sf)
     out = jobs.run_tabular(rows, ["row_key"], "l_extendedprice", most_attempts=1, families=["tree"])
     return out
 
@@ -71,7 +71,7 @@ def train_regression(spark, sf):
 
 def score_new(spark, sf):
     out = trained(spark, sf)
-    return T.score(X.lines(spark, sf), out["fit"], out["trained"].model, ["row_key"])
+    return T.score(X.priced_lines(spark, sf), out["fit"], out["trained"].model, ["row_key"])
 
 
 def queries() -> dict:
