@@ -65,6 +65,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ids_and_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id as text, text) for functions in Python: a long with nulls would come there as a float.
+
+    Arrow batches are kept to a few thousand rows and some megabytes, so that long texts do not fill a worker.
+    """
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower Arrow's batch limits where they are the defaults."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def sample_per_class(rows: DataFrame, label: str, key: Column, bound: int) -> DataFrame:
     """About ``bound`` rows of each class (all rows of a class with fewer), chosen by a hash of ``key``.
 

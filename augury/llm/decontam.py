@@ -22,10 +22,11 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from augury.llm.common import slices
+from augury.llm.common import bound_batches
 
 SEED_WORDS = 5
 THRESHOLD = 0.8
@@ -136,21 +137,34 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[Index]:
         yield Index([(r["item_id"], r["text"]) for r in rows.where(part == k).collect()])
 
 
+_FOUND = "struct<coverage:double,item_id:bigint,n_items:int>"
+
+
+def _search(shared: Broadcast, threshold: float):
+    """A function of texts and what earlier blocks found that adds what the items of a block find."""
+
+    @F.pandas_udf(_FOUND)
+    def search(texts: pd.Series, before: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for text, coverage, item, n in zip(texts, before["coverage"], before["item_id"], before["n_items"], strict=True):
+            best, which, n = (0.0, None, 0) if n is None or n != n else (coverage, None if item is None or item != item else int(item), int(n))
+            for one, share in sorted(shared.value.find(text).items()):
+                n += share >= threshold
+                if share > best or share == best and (which is None or one < which):
+                    best, which = share, one
+            out.append((best, which, n))
+        found = pd.DataFrame(out, columns=["coverage", "item_id", "n_items"])
+        return found.astype({"coverage": "float64", "item_id": "Int64", "n_items": "int32"})
+
+    return search
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """All columns of ``docs`` with contaminated, coverage (of the best item), item_id (of it) and n_items (at the threshold)."""
-    out = docs.withColumns({"_coverage": F.lit(0.0), "_item": F.lit(None).cast("long"), "_items": F.lit(0)})
+    bound_batches(docs.sparkSession)
+    best = F.lit(None).cast(_FOUND)
     for index in _blocks(benchmark, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for piece in slices(batches):
-                best, which, n = piece["_coverage"].tolist(), piece["_item"].tolist(), piece["_items"].tolist()
-                for i, text in enumerate(piece["text"]):
-                    for item, coverage in sorted(shared.value.find(text).items()):
-                        n[i] += coverage >= threshold
-                        if coverage > best[i] or coverage == best[i] and (which[i] is None or which[i] != which[i] or item < which[i]):
-                            best[i], which[i] = coverage, item
-                yield piece.assign(_coverage=best, _item=pd.array([None if x is None or x != x else int(x) for x in which], "Int64"), _items=n)
-
-        out = out.mapInPandas(search, out.schema)
-    return out.select(*docs.columns, (F.col("_coverage") >= threshold).alias("contaminated"), F.col("_coverage").alias("coverage"), F.col("_item").alias("item_id"), F.col("_items").alias("n_items"))
+        best = _search(docs.sparkSession.sparkContext.broadcast(index), threshold)(F.col("text"), best)
+    found = docs.withColumn("_best", best)
+    coverage = F.coalesce("_best.coverage", F.lit(0.0))
+    return found.select(*docs.columns, (coverage >= threshold).alias("contaminated"), coverage.alias("coverage"), F.col("_best.item_id").alias("item_id"), F.coalesce("_best.n_items", F.lit(0)).alias("n_items"))

@@ -21,8 +21,9 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from augury.llm.common import slices
+from augury.llm.common import ids_and_texts, slices
 
 TOKENIZERS = "/opt/tokenizers"
 BPE, FALLBACK = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
@@ -147,6 +148,6 @@ def quality_rules(docs: DataFrame, folder: str = TOKENIZERS, bands: dict[str, tu
             m["base_failed"], m["kept"] = verdict(m, bands)
             yield m
 
-    return docs.select("doc_id", "text").mapInPandas(
-        rules, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, chars_per_token double, byte_share double, token_entropy double, base_failed boolean, kept boolean"
-    )
+    return ids_and_texts(docs).mapInPandas(
+        rules, "doc_id string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, chars_per_token double, byte_share double, token_entropy double, base_failed boolean, kept boolean"
+    ).withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -21,7 +21,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from augury.llm.common import remainder, sample_per_class, slices
+from augury.llm.common import ids_and_texts, remainder, sample_per_class, slices
 
 DOCS_PER_LANG = 800  # bound on the labelled rows that are learned from, in each language
 N_FEATURES = 2048
@@ -120,7 +120,7 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
             found = [predict(model, features(t)) if ok else ("und", 0.0) for t, ok in zip(piece["text"], piece["ok"], strict=True)]
             yield pd.DataFrame({"doc_id": piece["doc_id"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
 
-    return docs.select("doc_id", "text", _letters().alias("ok")).mapInPandas(label, f"doc_id {kind}, lang_pred string, score double")
+    return ids_and_texts(docs).withColumn("ok", _letters()).mapInPandas(label, "doc_id string, lang_pred string, score double").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def language_id(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from augury.llm.common import materialise, slices
+from augury.llm.common import ids_and_texts, materialise, slices
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS, bits: int = 64) ->
         for piece in slices(batches):
             yield pd.DataFrame({"doc_id": piece["doc_id"], "fp": [fingerprint(t, width, bits) for t in piece["text"]]})
 
-    return docs.select("doc_id", "text").mapInPandas(make, f"doc_id {kind}, fp string")
+    return ids_and_texts(docs).mapInPandas(make, "doc_id string, fp string").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 class _Forest:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from augury.llm.common import letter_runs, materialise, remainder, sample_per_class, slices
+from augury.llm.common import ids_and_texts, letter_runs, materialise, remainder, sample_per_class, slices
 
 STEM = 4  # letters of a word that its backoff keeps
 DISCOUNT = 3.0  # standard deviations above the count expected if both classes were alike that a discount takes
@@ -183,7 +183,7 @@ def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pd.DataFrame({"doc_id": piece["doc_id"], "evidence": found[:, 0], "mean_evidence": found[:, 1], "score": value, "predicted": (value >= 0.5).astype("int32")})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(score, f"doc_id {kind}, evidence double, mean_evidence double, score double, predicted int")
+    return ids_and_texts(docs).mapInPandas(score, "doc_id string, evidence double, mean_evidence double, score double, predicted int").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> DataFrame:
