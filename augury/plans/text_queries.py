@@ -10,6 +10,7 @@ from augury.operators import train as T
 from augury.plans import fixtures as X
 from augury.plans import jobs
 from augury.plans import series_queries as SQ
+from augury.sources.tables import shared_folder
 
 K = X.KEYS
 
@@ -74,6 +75,29 @@ def score_new(spark, sf):
     return T.score(X.priced_lines(spark, sf), out["fit"], out["trained"].model, ["row_key"])
 
 
+def shap(spark, sf):
+    out = trained(spark, sf)
+    return T.shap_importance(out["prepared"], out["fit"], out["trained"].model, shared_folder(spark, "model"))
+
+
+def explanation(spark, sf):
+    out = trained(spark, sf)
+    return jobs.explanation_report(out["facts"], T.shap_importance(out["prepared"], out["fit"], out["trained"].model, shared_folder(spark, "model")))
+
+
+def audited(spark, sf):
+    out = jobs.quality_audit(X.text_numbers(spark, sf))
+    return out["profile"].select("column", "dtype", "role").join(out["coercion"].select("column", "verdict"), "column", "left")
+
+
+def classification(spark, sf):
+    """Order status from price and date: trained until the gate passes, at most twice."""
+    o = X.table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderdate", "o_orderstatus")
+    known = o.withColumn("o_orderstatus", F.when(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp"), "F").when(F.col("o_totalprice") > 400000, "P").otherwise("O"))
+    out = jobs.run_tabular(known, ["o_orderkey"], "o_orderstatus", most_attempts=2, families=["tree"])
+    return out["facts"].select("task", "family", "attempts", "score", "f1_weighted", "cv_mean", "passed", "confidence_label")
+
+
 def queries() -> dict:
     return {
         "extract_numbers": lambda s, d: G.extract_numbers(_docs(s, d), ["doc_id"], "text"),
@@ -88,11 +112,15 @@ def queries() -> dict:
         "backtest_auto": backtest_auto,
         "train_regression": train_regression,
         "score_new_rows": score_new,
+        "shap_importance": shap,
+        "explanation_report": explanation,
+        "quality_audit": audited,
+        "train_classification": classification,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    dates, numbers = G.DATES.replace("(?:", "(?:"), G.NUMBERS
+    dates, numbers = G.DATES, G.NUMBERS
     tokens = f"tok AS (SELECT doc_id, unnest(generate_series(0, len(t) - 1)) AS place, unnest(t) AS token FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '{dates}', ' ', 'g'), '{numbers}') AS t FROM documents) WHERE len(t) > 0), num AS (SELECT *, TRY_CAST(replace(token, ',', '') AS DOUBLE) AS value FROM tok)"
     ok = "ok AS (SELECT n.*, coalesce(list_bool_or([a = value OR abs(a - value) / greatest(abs(a), abs(value), 1e-9) <= 0.02::DOUBLE FOR a IN [n_chars::DOUBLE, 3.0, 555.0, -4567.0, 2.0]]), false) AS ok FROM num n JOIN documents USING (doc_id))"
     intents = "CASE " + " ".join(f"WHEN regexp_matches(lower(coalesce(text, '')), '{words}') THEN '{name}'" for name, words in G.INTENTS) + " ELSE 'unknown' END"

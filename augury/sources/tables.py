@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from dataclasses import asdict, is_dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +23,12 @@ def normalise(df: DataFrame) -> DataFrame:
     return df.withColumns(changed) if changed else df
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the cluster's shared folder (spark.checkpoint.dir); in a temporary one only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/augury-shared"
+    return f"{base.rstrip('/')}/augury-{name}-{uuid.uuid4().hex}"
+
+
 def read_table(spark: SparkSession, path: str, format: str = "csv", schema: T.StructType | str | None = None) -> DataFrame:
     """A CSV with header (types inferred unless ``schema`` is given, which saves a pass), or any format Spark reads by name."""
     reader = spark.read.format(format)

@@ -227,3 +227,13 @@ def test_quality_audit(spark):
     out = jobs.quality_audit(X.text_numbers(spark, DATA))
     assert {r["column"]: r["dtype"] for r in out["profile"].collect()}["price"] == "float"
     assert out["coercion"].count() >= 2 and out["warnings"].count() == 1
+
+
+def test_coercion_impact_and_attempts(spark):
+    rows = X.priced_lines(spark, DATA).withColumn("p_size", F.concat(F.col("p_size").cast("string"), F.lit("Story")))
+    got = {r["pattern"]: r for r in jobs.coercion_impact(rows, ["row_key"], "l_extendedprice", most_attempts=1, families=["tree"]).collect()}
+    assert set(got) == {"number_like", "units_only"} and got["number_like"]["score"] > 0.5
+    noise = X.priced_lines(spark, DATA).withColumn("l_extendedprice", F.rand(3))
+    out = jobs.run_tabular(noise, ["row_key"], "l_extendedprice", most_attempts=2, families=["linear"])
+    facts = out["facts"].first()
+    assert facts["attempts"] == 2 and not facts["passed"] and facts["reasons"][0] == "R2 is too low"
