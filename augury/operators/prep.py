@@ -181,6 +181,7 @@ def fit_preparation(df: DataFrame, roles: dict[str, str], cardinality: dict[str,
     else:
         fit.classes = vocabulary(rows, target, HIGH_CARDINALITY) or []
         rows = rows.withColumn(target, _mapped(F.col(target).cast("string"), {v: float(i) for i, v in enumerate(fit.classes)}, F.lit(-1.0)))
+    rows = rows.persist()  # several passes fit on these rows, and the result is made from them; what memory lacks goes to disk
     columns = [c for c in rows.columns if c not in {target, "is_train", *row_key}]
     fit.dates = [c for c in columns if roles.get(c) == "datetime"]
     encoded = [c for c in columns if roles.get(c) in ("id_like", "text") and cardinality[c] < HIGH_CARDINALITY]

@@ -86,6 +86,7 @@ def run_tabular(df: DataFrame, row_key: list[str], target: str | None = None, se
 
     keyed = df.withColumns({k: df[k].cast("string") for k in row_key})
     table = P.coerce_numeric_like(keyed.drop(*row_key), pattern=pattern or P.NUMBER_LIKE) if not row_key else P.coerce_numeric_like(keyed, pattern=pattern or P.NUMBER_LIKE).withColumns({k: F.col(k).cast("string") for k in row_key})
+    table = table.persist()  # profile, task, split and warnings each pass over it; what memory lacks goes to disk
     inputs = table.drop(*row_key)
     target = target or P.infer_target(inputs)
     counts = P.value_counts(inputs)
