@@ -9,6 +9,9 @@ Defined results: null and wordless texts have fingerprint zero, which links like
 shingle of all; repeated rows share their fingerprint and component; null ids are never a component's name (a component
 of null ids alone is null).  The comparison is exact and thus grows with the square of the distinct fingerprints; the skipped
 tiles lower the factor, not the power.
+
+Where texts must be alike in a share of their shingles (``alike_components``), fingerprints only name candidates: their texts
+are fetched and a link holds if the Jaccard similarity of the two sets of shingles reaches the share.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from augury.llm.common import ids_and_texts, materialise, slices
+from augury.llm.common import bound_batches, ids_and_texts, materialise, slices
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -30,6 +33,10 @@ RADIUS = 4
 ALIKE = {"width": 5, "bits": 256, "radius": 48}
 GROUP = 262_144  # distinct fingerprints in a group at most, as dealt by a hash
 SPREAD = (16_384, 8)  # fewer make groups of the first size, up to the second number of groups, to keep tasks busy
+# Candidates for texts alike in 0.8: fingerprints of sets of shingles then differ in 39 of 256 bits on average, in 48 for the
+# shortest such texts (4 of 5 shingles); the radius is over 4.5 standard deviations beyond either.  Unrelated texts differ in 128.
+SHARED = {"width": 5, "alike": 0.8, "bits": 256, "radius": 76}
+PART = (4096, 2_000_000)  # texts and shingles of candidates that one side of a task verifies, about
 _SEED = 42
 
 
@@ -43,17 +50,27 @@ def _words(k: int, hashes: np.ndarray) -> np.ndarray:
     return hashes
 
 
-def fingerprint(text: str | None, width: int = SHINGLE_WORDS, bits: int = 64) -> str:
-    """SimHash over word shingles in hex, repeats included; a bit is 1 if it is set in over half of the hashes."""
+def shingles(text: str | None, width: int = SHINGLE_WORDS) -> np.ndarray:
+    """Hashes of the word shingles of a text in their order, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return "0" * (bits // 4)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     last = end[width - 1 :] if len(words) > width else end[-1:]
     first = np.concatenate([[0], end + 1])[: len(last)]
     h = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(joined[a:b], _SEED) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(last))
+    return np.fromiter((h(joined[a:b], _SEED) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(last))
+
+
+def fingerprint(text: str | None, width: int = SHINGLE_WORDS, bits: int = 64) -> str:
+    """SimHash over word shingles in hex, repeats included; a bit is 1 if it is set in over half of the hashes."""
+    return _folded(shingles(text, width), bits)
+
+
+def _folded(hashes: np.ndarray, bits: int) -> str:
+    if not len(hashes):
+        return "0" * (bits // 4)
     out = ""
     for k in range(bits // 64):
         counts = np.zeros(64, np.int64)
@@ -229,12 +246,97 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = R
     return made.join(named, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
 
 
+def alike_links(sets: list[np.ndarray], fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, alike: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of ``left`` x ``right`` (row numbers; the same array for all pairs of it) whose sets have
+    a Jaccard similarity of ``alike`` or more, as (node, root).
+
+    Pairs within the radius are tried nearest first until their ends are joined or they fail; none within it is left out.
+    """
+    size, forest = np.array([len(x) for x in sets], np.int64), _Forest(len(sets))
+
+    def holds(u: int, v: int) -> bool:
+        common = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
+        return common / max(1, len(sets[u]) + len(sets[v]) - common) >= alike
+
+    for m in range(0, len(left), 128):
+        i, j = _near(fps[left[m : m + 128]], fps[right], radius)
+        i, j = left[i + m], right[j]
+        apart = np.bitwise_count(fps[i] ^ fps[j]).sum(1, dtype=np.int64)
+        fit = np.minimum(size[i], size[j]) >= alike * np.maximum(size[i], size[j]) - 1e-6
+        if left is right:
+            fit &= i < j
+        order = np.argsort(apart[fit], kind="stable")
+        i, j = i[fit][order], j[fit][order]
+        while len(i):
+            a, b = forest.parent[i], forest.parent[j]
+            i, j, a, b = (x[a != b] for x in (i, j, a, b))
+            _, first = np.unique(np.maximum(a, b), return_index=True)
+            good = np.array([holds(u, v) for u, v in zip(i[first], j[first], strict=True)], bool)
+            forest.add(i[first][good], j[first][good])
+            forest.settle()
+            i, j = np.delete(i, first), np.delete(j, first)
+    child = np.flatnonzero(forest.parent != np.arange(len(sets)))
+    return child, forest.parent[child]
+
+
+def alike_components(docs: DataFrame, width: int, alike: float, bits: int, radius: int, group: int | None = None, part: tuple[int, int] = PART) -> DataFrame:
+    """doc_id and component_id (smallest doc_id that links reach) of every row; texts are linked if the Jaccard similarity of
+    their sets of shingles is ``alike`` or more.
+
+    Texts of equal sets are one node.  Components of near fingerprints hold all candidates; the texts of those with two nodes
+    or more are compared in parts of bounded size, one task for each pair of parts.
+    """
+    kind, row = docs.schema["doc_id"].dataType.simpleString(), F.xxhash64("doc_id", "text").alias("row")
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for piece in slices(batches):
+            sets = [np.unique(shingles(t, width)) for t in piece["text"]]
+            yield pd.DataFrame({"doc_id": piece["doc_id"], "row": piece["row"], "node": [xxhash.xxh3_128_hexdigest(x.tobytes()) for x in sets], "fp": [_folded(x, bits) for x in sets], "size": [len(x) for x in sets]})
+
+    bound_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), row, "text")
+    made = materialise(rows.mapInPandas(make, "doc_id string, row long, node string, fp string, size long").withColumn("doc_id", F.col("doc_id").cast(kind)), "shingles")
+    nodes = materialise(made.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first_id"), F.min("row").alias("row"), F.min("size").alias("size")), "nodes")
+    fps = materialise(nodes.select("fp").distinct(), "distinct")
+    forest = components(link_forest(fps, fps.count(), radius, group, bits))
+    rooted = materialise(nodes.join(forest, "fp", "left").select("node", "fp", "row", "size", F.coalesce("root", "fp").alias("root")), "rooted")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / part[0]), F.ceil(F.sum("size") / part[1]))
+    several = rooted.groupBy("root").agg(parts.cast("int").alias("parts"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    candidates = materialise(rooted.join(several, "root").select("row", "root", "node", "fp", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int").alias("g"), "parts"), "candidates")
+    texts = docs.select(row, "text").join(candidates.hint("merge"), "row").dropDuplicates(["row"])
+    pairs = texts.select("root", "node", "fp", "text", "g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("h")).select("root", F.least("g", "h").alias("p"), F.greatest("g", "h").alias("q"), "g", "node", "fp", "text")
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        side, p, q = pdf["g"].to_numpy(), pdf["p"].iloc[0], pdf["q"].iloc[0]
+        left = np.flatnonzero(side == p)
+        right = left if p == q else np.flatnonzero(side == q)
+        sets = [np.unique(shingles(t, width)) for t in pdf["text"]]
+        u, v = alike_links(sets, _numbers(pdf["fp"]), left, right, radius, alike)
+        node = pdf["node"].to_numpy()
+        return pd.DataFrame({"u": node[u], "v": node[v]}).astype(str)
+
+    joined = components(pairs.groupBy("root", "p", "q").applyInPandas(verify, "u string, v string")).withColumnRenamed("fp", "node")
+    named = materialise(nodes.join(joined, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root")), "verified")
+    least = materialise(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
+    return made.join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """One row of each component of near fingerprints, as ``keep_named`` has it."""
+    return keep_named(docs, near_duplicates(docs, **options))
+
+
+def keep_one_alike(docs: DataFrame, **options) -> DataFrame:
+    """One row of each component of texts that share enough shingles, as ``keep_named`` has it."""
+    return keep_named(docs, alike_components(docs, **options))
+
+
+def keep_named(docs: DataFrame, named: DataFrame) -> DataFrame:
     """One row of each component, all columns as they are: that of its smallest doc_id (of repeated rows of it, one).
 
     Rows without an id are in no component that has a name; they are all kept.
     """
-    kept = materialise(near_duplicates(docs, **options).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")), "kept")
+    kept = materialise(named.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")), "kept")
     # The ids that stay grow with the table, so they are merged, not broadcast; ids of repeated rows are few or none.
     once = docs.join(kept.where("_rows = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
     again = docs.join(kept.where("_rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -22,7 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the smallest id of each group of near copies: five-word shingles, alike in 0.8 or more."""
-    return simhash.keep_one(docs, **simhash.ALIKE)
+    return simhash.keep_one_alike(docs, **simhash.SHARED)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
