@@ -49,11 +49,12 @@ def ascii_lower_col(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The cluster's shared folder from spark.checkpoint.dir; a temporary one where that is unset and all runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"{tempfile.gettempdir()}/augury-shared"
-        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
@@ -65,19 +66,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ids_and_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id as text, text) for functions in Python: a long with nulls would come there as a float.
-
-    Arrow batches are kept to a few thousand rows and some megabytes, so that long texts do not fill a worker.
-    """
-    bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+def ids_and_texts(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id as text, text, more) for functions in Python: a long with nulls would come there as a float."""
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", *more)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Lower Arrow's batch limits where they are the defaults."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) == 10_000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, or the first of name_2, name_3, ... that no column in ``taken`` has, in whatever case."""
+    used, k, found = {c.lower() for c in taken}, 1, name
+    while found.lower() in used:
+        k += 1
+        found = f"{name}_{k}"
+    return found
 
 
 def sample_per_class(rows: DataFrame, label: str, key: Column, bound: int) -> DataFrame:

@@ -1,14 +1,17 @@
 """Quality rules by tokeniser fertility.
 
-Public vocabularies measure every whole text: characters per token and the entropy of its tokens under a byte-level BPE
-vocabulary, and the share of single-byte pieces under a vocabulary with byte fallback.  Each measure has a band for the
-script of the text; a text outside a band is rejected.  Base rules on words, lines and repetition come first.
-
-A word's tokens do not depend on its neighbours here (both vocabularies cut at white space first), so each distinct word of a
-slice of rows is tokenised once and looked up.  Vocabulary files are read where they lie; each task loads them once.
-
-Defined results: null and empty texts have no words and fail the base rules; texts without a token have 0 for all measures;
-very long texts are measured whole; repeated rows get equal results.
+Public vocabularies measure every whole text: characters per token and the entropy of its tokens (in bits) under a byte-level
+BPE vocabulary, and the share of single-byte pieces under a vocabulary with byte fallback.  A text outside the band of a measure
+is rejected.  Bands come from the corpus: ``FENCE`` times the spread between the quartiles beyond them, over all texts that pass
+the base rules, of the same script, language and size (both measures of tokens depend on the length of a text).  A group of
+fewer than ``LEAST`` texts takes the bands of its script and language, then of its script; a script of fewer has none.
+
+Base rules on words, lines and repetition come first.  A word's tokens do not depend on its neighbours here (both vocabularies
+cut at white space first), so each distinct word of a slice of rows is tokenised once and looked up.  The vocabulary files are
+sent to the executors with the job; each task loads them once.
+
+Defined results: null and empty texts have no words and fail the base rules; texts without a token have 0 for all measures; a
+null language is a language of its own; very long texts are measured whole; repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -20,42 +23,36 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from augury.llm.common import ids_and_texts, slices
+from augury.llm.common import ids_and_texts, materialise, slices
 
 TOKENIZERS = "/opt/tokenizers"
 BPE, FALLBACK = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 
-# Bands by script: least and most characters a token, most share of byte pieces, least and most entropy of the tokens as a
-# share of what as many tokens could have.  Scripts that the vocabularies hardly cover have wide bands.
-BANDS = {
-    "latin": (1.2, 7.0, 0.10, 0.35, 1.0),
-    "greek": (0.4, 5.0, 0.60, 0.35, 1.0),
-    "cyrillic": (0.4, 5.0, 0.60, 0.35, 1.0),
-    "arabic": (0.3, 5.0, 0.90, 0.30, 1.0),
-    "indic": (0.2, 5.0, 0.95, 0.25, 1.0),
-    "cjk": (0.2, 5.0, 0.95, 0.30, 1.0),
-    "other": (0.2, 9.0, 0.95, 0.20, 1.0),
-}
-SCRIPTS = list(BANDS)
+# Measures with the least spread between quartiles that a band assumes, and the decimal places to which quartiles see them.
+MEASURES = {"chars_per_token": (0.02, 3), "byte_share": (0.01, 4), "token_entropy": (0.05, 3)}
+FENCE = 3.0
+LEAST = 100  # texts that give a group bands of its own
+SCRIPTS = ["latin", "greek", "cyrillic", "arabic", "indic", "cjk", "other"]
 _SYMBOLS = b"#*$%&|<>"
 _symbol = np.zeros(256, bool)
 _symbol[list(_SYMBOLS)] = True
 
 
 @lru_cache(maxsize=2)
-def vocabularies(folder: str):
+def vocabularies(bpe_file: str, fallback_file: str):
     """The byte-level BPE encoding and the vocabulary with byte fallback, with its byte pieces as a mask."""
     import sentencepiece
     import tiktoken
 
-    with open(os.path.join(folder, BPE), "rb") as lines:
+    with open(bpe_file, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     # Words are given with the space before them and without other white space, so the pattern only parts letters, digits and signs.
     bpe = tiktoken.Encoding("own", pat_str=r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+", mergeable_ranks=ranks, special_tokens={})
-    pieces = sentencepiece.SentencePieceProcessor(model_file=os.path.join(folder, FALLBACK))
+    pieces = sentencepiece.SentencePieceProcessor(model_file=fallback_file)
     return bpe, pieces, np.array([pieces.is_byte(i) for i in range(pieces.get_piece_size())])
 
 
@@ -95,9 +92,9 @@ def repeat_words(ids: np.ndarray, width: int = 3) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def measure(texts: list[str | None], folder: str = TOKENIZERS) -> pd.DataFrame:
+def measure(texts: list[str | None], files: tuple[str, str]) -> pd.DataFrame:
     """All measures of each text."""
-    bpe, pieces, is_byte = vocabularies(folder)
+    bpe, pieces, is_byte = vocabularies(*files)
     raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     split = [raw.split() for raw in raws]
     index = {w: i for i, w in enumerate(dict.fromkeys(w for words in split for w in words))}
@@ -122,32 +119,61 @@ def measure(texts: list[str | None], folder: str = TOKENIZERS) -> pd.DataFrame:
             own = size[ids]
             at = np.repeat(start[ids] - np.concatenate([[0], np.cumsum(own)[:-1]]), own) + np.arange(n_tok)
             p = np.unique(tokens[at], return_counts=True)[1] / n_tok
-            entropy = float(-(p * np.log2(p)).sum() / np.log2(n_tok))
+            entropy = float(-(p * np.log2(p)).sum())
         kind = int(np.bincount(script[ids], chars[ids], len(SCRIPTS)).argmax()) if n else 6
         n_piece = int(n_pieces[ids].sum())
-        out.append((n, int(chars[ids].sum()), int(_symbol[np.frombuffer(raw, np.uint8)].sum()), len(lines) - len(set(lines)), repeat_words(ids), SCRIPTS[kind], float(chars[ids].sum() / n_tok) if n_tok else 0.0, float(n_bytes[ids].sum() / n_piece) if n_piece else 0.0, entropy))
-    return pd.DataFrame(out, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "script", "chars_per_token", "byte_share", "token_entropy"])
-
+        out.append((n, int(chars[ids].sum()), int(_symbol[np.frombuffer(raw, np.uint8)].sum()), len(lines) - len(set(lines)), repeat_words(ids), SCRIPTS[kind], float(chars[ids].sum() / n_tok) if n_tok else 0.0, float(n_bytes[ids].sum() / n_piece) if n_piece else 0.0, entropy, n_tok))
+    return pd.DataFrame(out, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "script", "chars_per_token", "byte_share", "token_entropy", "n_tokens"])
 
-def verdict(m: pd.DataFrame, bands: dict[str, tuple] = BANDS) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each row fails the base rules, and whether it is kept."""
-    failed = ((m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])).to_numpy(bool)
-    low, high, most_bytes, flat, even = np.array([bands[s] for s in m["script"]], float).reshape(-1, 5).T
-    inside = (m["chars_per_token"] >= low) & (m["chars_per_token"] <= high) & (m["byte_share"] <= most_bytes) & (m["token_entropy"] >= flat) & (m["token_entropy"] <= even)
-    return failed, ~failed & inside.to_numpy(bool)
 
-
-def quality_rules(docs: DataFrame, folder: str = TOKENIZERS, bands: dict[str, tuple] = BANDS) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, base counts, base_failed, kept, script and the three measures; map-only."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def measures(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, lang, base counts, base_failed, script, the three measures and n_tokens; map-only."""
+    kind, context = docs.schema["doc_id"].dataType.simpleString(), docs.sparkSession.sparkContext
+    for name in (BPE, FALLBACK):
+        context.addFile(os.path.join(folder, name))
 
     def rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files = (SparkFiles.get(BPE), SparkFiles.get(FALLBACK))
         for piece in slices(batches):
-            m = measure(piece["text"].tolist(), folder)
+            m = measure(piece["text"].tolist(), files)
+            m.insert(0, "lang", piece["lang"].array)
             m.insert(0, "doc_id", piece["doc_id"].array)
-            m["base_failed"], m["kept"] = verdict(m, bands)
+            m["base_failed"] = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
             yield m
 
-    return ids_and_texts(docs).mapInPandas(
-        rules, "doc_id string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, chars_per_token double, byte_share double, token_entropy double, base_failed boolean, kept boolean"
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    return ids_and_texts(docs, lang.alias("lang")).mapInPandas(
+        rules, "doc_id string, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, chars_per_token double, byte_share double, token_entropy double, n_tokens long, base_failed boolean"
     ).withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
+def _size(n_tokens: Column) -> Column:
+    """Number of binary digits of the tokens: texts of one size differ by less than a factor of two."""
+    return F.floor(F.log2(F.greatest(n_tokens, F.lit(1)))).cast("int")
+
+
+def bands(measured: DataFrame, by: list[str], fence: float = FENCE, least: int = LEAST) -> DataFrame:
+    """``by`` and, for each measure, the lowest and highest value that is kept; of groups with ``least`` texts or more.
+
+    The quartiles are exact for values of a few decimal places, of which a group has a bounded number.
+    """
+    passed = measured.where("not base_failed")
+    facts = passed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[F.percentile(F.round(m, places), F.array(F.lit(0.25), F.lit(0.75))).alias(m) for m, (_, places) in MEASURES.items()])
+    ends = []
+    for m, (spread, _) in MEASURES.items():
+        reach = fence * F.greatest(F.col(m)[1] - F.col(m)[0], F.lit(spread))
+        ends.append(F.struct((F.col(m)[0] - reach).alias("low"), (F.col(m)[1] + reach).alias("high")).alias(m))
+    return facts.where(F.col("_n") >= least).select(*by, F.struct(*ends).alias("band"))
+
+
+def quality_rules(docs: DataFrame, folder: str = TOKENIZERS, fence: float = FENCE, least: int = LEAST) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, base counts, base_failed, kept, script and the three measures."""
+    rows = materialise(measures(docs, folder), "fertility").withColumns({"_lang": F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")), "_size": _size(F.col("n_tokens"))})
+    found = rows
+    for k, by in enumerate((["script", "_lang", "_size"], ["script", "_lang"], ["script"])):
+        found = found.join(bands(rows, by, fence, least).withColumnRenamed("band", f"_band{k}"), by, "left")
+    band = F.coalesce("_band0", "_band1", "_band2")
+    inside = F.lit(True)
+    for m in MEASURES:
+        inside &= F.coalesce(F.col(m).between(band[m]["low"], band[m]["high"]), F.lit(True))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "script", *MEASURES, "base_failed", (~F.col("base_failed") & inside).alias("kept"))

@@ -25,6 +25,7 @@ from augury.llm.common import ids_and_texts, remainder, sample_per_class, slices
 
 DOCS_PER_LANG = 800  # bound on the labelled rows that are learned from, in each language
 N_FEATURES = 2048
+LEAST = 0.4  # score that a text needs to count as written in a learned language
 
 # Families of common languages by ISO 639-1 code; a language not listed is a family of its own.
 FAMILIES = {
@@ -86,27 +87,49 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> dict | None:
     return model
 
 
-def predict(model: dict, x: np.ndarray) -> tuple[str, float]:
-    """Language and confidence of one feature vector: the family's probability times the weakest winning vote's."""
-    families, p = model["families"], np.ones(1)
+def predict(model: dict, x: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and confidence of each row of features: the family's probability times the weakest winning vote's."""
+    families, n = model["families"], len(x)
+    p = np.ones((n, 1))
     if len(families) > 1:
         weight, base = model["family"]
-        z = weight @ x + base
-        p = np.exp(z - z.max())
-        p /= p.sum()
-    k = int(p.argmax())
-    langs = [lang for lang in model["langs"] if family_of(lang) == families[k]]
-    votes = {lang: [0, 0.0] for lang in langs}
-    margin = {}
-    for a, b in combinations(langs, 2):
-        weight, base = model["pairs"][a, b]
-        m = float(weight @ x + base)
-        for lang, signed in ((a, -m), (b, m)):
-            margin[lang] = min(margin.get(lang, np.inf), signed)
-            votes[lang][0] += signed > 0
-            votes[lang][1] += signed
-    best = min(langs, key=lambda lang: (-votes[lang][0], -votes[lang][1], lang))
-    return best, float(p[k] / (1 + np.exp(-np.clip(2 * margin[best], -30, 30)))) if margin else float(p[k])
+        z = x @ weight.T + base
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+    family, found, score = p.argmax(1), np.empty(n, object), p.max(1)
+    for k, name in enumerate(families):
+        rows = np.flatnonzero(family == k)
+        langs = [lang for lang in model["langs"] if family_of(lang) == name]
+        found[rows] = langs[0]
+        if len(langs) < 2 or not len(rows):
+            continue
+        votes, total, margin = np.zeros((len(rows), len(langs))), np.zeros((len(rows), len(langs))), np.full((len(rows), len(langs)), np.inf)
+        for i, j in combinations(range(len(langs)), 2):
+            weight, base = model["pairs"][langs[i], langs[j]]
+            m = x[rows] @ weight + base
+            for lang, signed in ((i, -m), (j, m)):
+                votes[:, lang] += signed > 0
+                total[:, lang] += signed
+                margin[:, lang] = np.minimum(margin[:, lang], signed)
+        # Most votes, then the larger sum of margins; the first of equals has the smaller name.
+        best = np.where(votes == votes.max(1, keepdims=True), total, -np.inf).argmax(1)
+        found[rows] = np.array(langs, object)[best]
+        score[rows] = score[rows] / (1 + np.exp(-np.clip(2 * margin[np.arange(len(rows)), best], -30, 30)))
+    return found.tolist(), score
+
+
+def predict_texts(model: dict, texts, letters) -> tuple[list[str], np.ndarray]:
+    """``predict`` of texts; ``und`` and 0 for those without a letter.  Features are held for a bounded number of texts."""
+    langs, scores = ["und"] * len(texts), np.zeros(len(texts))
+    known = np.flatnonzero(np.asarray(letters, bool))
+    texts = list(texts)
+    for m in range(0, len(known), 512):
+        rows = known[m : m + 512]
+        found, score = predict(model, np.array([features(texts[i]) for i in rows]))
+        scores[rows] = score
+        for i, lang in zip(rows, found, strict=True):
+            langs[i] = lang
+    return langs, scores
 
 
 def identify(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -115,10 +138,12 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
     if model is None:
         return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for piece in slices(batches):
-            found = [predict(model, features(t)) if ok else ("und", 0.0) for t, ok in zip(piece["text"], piece["ok"], strict=True)]
-            yield pd.DataFrame({"doc_id": piece["doc_id"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
+            langs, scores = predict_texts(shared.value, piece["text"], piece["ok"])
+            yield pd.DataFrame({"doc_id": piece["doc_id"], "lang_pred": langs, "score": scores})
 
     return ids_and_texts(docs).withColumn("ok", _letters()).mapInPandas(label, "doc_id string, lang_pred string, score double").withColumn("doc_id", F.col("doc_id").cast(kind))
 
@@ -130,13 +155,14 @@ def language_id(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame
     return identify(docs, model).select("doc_id", (part == held_out).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, model: dict | None, least: float = 0.3) -> DataFrame:
+def keep_identified(docs: DataFrame, model: dict | None, least: float = LEAST) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text is in a learned language with a score of ``least`` or more."""
     if model is None:
         return docs.where(F.lit(False))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def sure(texts: pd.Series, letters: pd.Series) -> pd.Series:
-        return pd.Series([bool(ok) and predict(model, features(t))[1] >= least for t, ok in zip(texts, letters, strict=True)], dtype=bool)
+        return pd.Series(predict_texts(shared.value, texts, letters)[1] >= least, dtype=bool)
 
     return docs.where(sure(F.col("text"), _letters()))

@@ -1,15 +1,17 @@
 """License scans by a positional index of rare words.
 
-Templates are short licence notices.  Each word of a template has postings (template, place).  The inverse document frequency
-of every template word is counted over all files; a file is looked up by its licence words of the highest IDF.  A hit at
-place f of a file and p of a template votes for the relative position f - p; the place with most of the template's IDF gives
-its score, and the template's mandatory key phrase must stand at that place too.
+Templates are licence notices.  Each word of a template has postings (template, place).  The inverse document frequency of every
+template word is counted over all files.  A file is looked up by its own ``rare`` licence words of the highest IDF: such a word at
+place f of the file and p of a template proposes that the template starts at f - p.  A proposal's score is the share of the
+template's IDF whose words stand at their places from there; it holds if the words of the mandatory key phrase all do.
 
-Everything is DataFrame work: words come from string and array functions, the postings are a literal table of fixed size,
-votes are grouped by file, template and relative position.  Texts without any mandatory first word are never unfolded.
+Everything is DataFrame work: words come from string and array functions in one scan of the texts, whose results (numbers, and
+the licence words of files that hold some key phrase) are written once; the postings are a literal table of fixed size, and
+places are grouped by file, template and start.  A text without any key phrase can't have one at its place, so its words are only
+counted for the IDF, not looked up.
 
 Defined results: null and empty texts have no words and labels ''; very long texts are scanned whole; repeated rows are
-scanned each by itself; ties go to the smaller template name.
+scanned each by itself.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from augury.llm.common import ascii_lower_col
+from augury.llm.common import ascii_lower_col, materialise
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -40,6 +42,10 @@ TEMPLATES = {
     ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", "affero general public license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "this permission notice shall be included in all copies or substantial portions of the software"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", "provided by the copyright holders and contributors as is"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "alter it and redistribute it freely"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "eclipse public license 2 0"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related rights cc0 1 0 universal", "cc0 1 0 universal"),
@@ -50,7 +56,7 @@ TEMPLATES = {
     ("cc-by", "creative commons attribution 4 0 international license", "commons attribution 4 0 international"),
 }
 SCORE = 0.6  # least share of a template's IDF that a label of the method needs
-RARE = 6  # words of the highest IDF by which a template is looked up
+RARE = 6  # licence words of the highest IDF by which a file is looked up
 
 
 def normalised(text: Column) -> Column:
@@ -89,44 +95,55 @@ def _first_and_last(spaced: Column) -> tuple[Column, Column]:
     return F.least(*firsts), F.greatest(*lasts)
 
 
-def inverse_frequencies(texts: DataFrame, vocabulary: list[str]) -> dict[str, float]:
-    """IDF of each template word over all rows of (words); the counts are a row for each word of the fixed vocabulary."""
-    # Counted in partial sums; only vocabulary words leave the scan.
-    present = texts.select(F.explode(F.array_intersect("words", F.array(*map(F.lit, vocabulary)))).alias("w")).groupBy("w").count().collect()
-    n, df = texts.count(), {r["w"]: r["count"] for r in present}
+def scanned(docs: DataFrame, vocabulary: list[str], keys: list[str]) -> DataFrame:
+    """Of every row, in one pass over the texts: row (a number), doc_id, the base columns, present (its licence words, each
+    once) and hits (its licence words with their places, if it holds a key phrase)."""
+    rows = docs.select("doc_id", normalised(F.col("text")).alias("spaced")).withColumn("words", F.split(F.trim("spaced"), " "))
+    first, last = _first_and_last(F.col("spaced"))
+    places = _places(F.col("spaced"))
+    found = F.array_join(F.sort_array(F.array_distinct(F.array_compact(F.array(*[F.when(places[p] > 0, F.lit(label)) for p, label in PHRASES.items()])))), ",")
+    some_key = F.contains(F.col("spaced"), F.lit(f" {keys[0]} "))
+    for k in keys[1:]:
+        some_key |= F.contains(F.col("spaced"), F.lit(f" {k} "))
+    numbered = F.transform("words", lambda w, i: F.named_struct(F.lit("word"), w, F.lit("at"), i))
+    hits = F.when(some_key, F.filter(numbered, lambda h: h["word"].isin(vocabulary)))
+    present = F.array_intersect("words", F.array(*map(F.lit, vocabulary)))
+    base = rows.select("doc_id", _n_words(F.col("spaced")).alias("n_words"), sum(places.values()).alias("n_base"), first.alias("first_word"), last.alias("last_word"), found.alias("base_labels"), present.alias("present"), hits.alias("hits"))
+    return materialise(base.withColumn("row", F.monotonically_increasing_id()), "licenses")
+
+
+def inverse_frequencies(rows: DataFrame, vocabulary: list[str]) -> dict[str, float]:
+    """IDF of each template word over all rows of (present); the counts are a row for each word of the fixed vocabulary."""
+    df = {r["w"]: r["count"] for r in rows.select(F.explode("present").alias("w")).groupBy("w").count().collect()}
+    n = rows.count()
     return {w: math.log((n + 1) / (df.get(w, 0) + 0.5)) for w in vocabulary}
 
 
+def proposals(rows: DataFrame, idf: dict[str, float], rare: int = RARE) -> DataFrame:
+    """row, label, start and share of each place where a template's key phrase stands and a rare word of the file proposes it."""
+    postings, phrases = [], {}
+    for tid, (label, text, key) in enumerate(sorted(TEMPLATES)):
+        words, phrase = text.split(), key.split()
+        at = next(p for p in range(len(words)) if words[p : p + len(phrase)] == phrase)
+        whole = sum(idf[w] for w in words)
+        postings += [(w, tid, label, p, idf[w] / whole if whole else 1 / len(words), at <= p < at + len(phrase)) for p, w in enumerate(words)]
+        phrases[tid] = len(phrase)
+    table = rows.sparkSession.createDataFrame([(*x, phrases[x[1]]) for x in postings], "word string, tid int, label string, place int, share double, in_key boolean, key_words int")
+    weights = F.create_map(*[F.lit(x) for kv in idf.items() for x in kv])
+    # Licence words of the file, rarest first; as many as the fixed vocabulary has at most.
+    best = F.slice(F.transform(F.sort_array(F.transform("present", lambda w: F.named_struct(F.lit("less"), -F.element_at(weights, w), F.lit("word"), w))), lambda s: s["word"]), 1, rare)
+    each = rows.where("hits is not null").select("row", best.alias("best"), F.explode("hits").alias("hit"))
+    votes = each.select("row", F.col("hit.at").alias("at"), F.col("hit.word").alias("word"), F.array_contains("best", F.col("hit.word")).alias("rare")).join(F.broadcast(table), "word")
+    # A word of a template that occurs twice in it has two postings, so no place is counted twice.
+    starts = votes.groupBy("row", "tid", "label", (F.col("at") - F.col("place")).alias("start")).agg(F.sum("share").alias("share"), F.bool_or("rare").alias("rare"), F.count_if("in_key").alias("n_key"), F.max("key_words").alias("key_words"))
+    return starts.where("rare and n_key = key_words").select("row", "label", "start", "share")
+
+
 def scan(docs: DataFrame, score: float = SCORE, rare: int = RARE) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row."""
-    spark = docs.sparkSession
-    templates = [(i, label, words.split(), f" {key} ") for i, (label, words, key) in enumerate(sorted(TEMPLATES))]
-    vocabulary = sorted({w for t in templates for w in t[2]})
-    rows = docs.select("doc_id", normalised(F.col("text")).alias("spaced")).withColumn("words", F.split(F.trim("spaced"), " "))
-    idf = inverse_frequencies(rows.select("words"), vocabulary)
-    # Postings of each template's rarest words; at most ``rare`` words of a fixed number of templates.
-    postings, sure = [], {}
-    for tid, label, words, key in templates:
-        top = set(sorted(set(words), key=lambda w: (-idf[w], w))[:rare])
-        whole = sum(idf[w] for w in words if w in top)
-        postings += [(w, tid, label, p, idf[w] / whole, key) for p, w in enumerate(words) if w in top]
-        sure[tid] = key
-    look_up = F.array(*[F.lit(w) for w in sorted({x[0] for x in postings})])
-    table = spark.createDataFrame(postings, "word string, tid int, label string, place int, share double, key string")
-    first, last = _first_and_last(F.col("spaced"))
-    places = _places(F.col("spaced"))
-    found = F.array_join(F.sort_array(F.array_distinct(F.array_compact(F.array(*[F.when(places[p] > 0, F.lit(label)) for p, label in PHRASES.items()])))), ",")
-    keys = F.filter(F.array(*[F.lit(k) for k in sorted(set(sure.values()))]), lambda k: F.contains(F.col("spaced"), k))
-    hits = F.when(F.arrays_overlap("words", look_up), F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda h: F.array_contains(look_up, h["word"])))
-    base = rows.select("doc_id", _n_words(F.col("spaced")).alias("n_words"), sum(places.values()).alias("n_base"), first.alias("first_word"), last.alias("last_word"), found.alias("base_labels"), hits.alias("hits"), F.when(F.arrays_overlap("words", look_up), keys).alias("keys"))
-    # A row is known by its number in the scan, given once; what is known of it goes along, so nothing is joined back.
-    known = ["row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
-    each = base.withColumn("row", F.monotonically_increasing_id()).select(*known, "keys", F.explode_outer("hits").alias("hit"))
-    votes = each.join(F.broadcast(table), F.col("hit.word") == F.col("word"), "left")
-    votes = votes.withColumn("rel", F.col("hit.at") - F.col("place")).withColumn("sure", F.coalesce(F.array_contains("keys", F.col("key")), F.lit(False)))
-    # Votes of templates whose key phrase is missing count nothing, but their rows stay.
-    share = F.when(F.col("sure"), F.col("share"))
-    votes = votes.groupBy(*known, F.when(F.col("sure"), F.col("tid")).alias("tid"), F.when(F.col("sure"), F.col("label")).alias("label"), F.when(F.col("sure"), F.col("rel")).alias("rel")).agg(F.sum(share).alias("share"))
-    best = votes.groupBy(*known).agg(F.max("share").alias("score"), F.collect_set(F.when(F.col("share") >= score, F.col("label"))).alias("more"))
-    both = F.array_sort(F.array_union(F.filter(F.split("base_labels", ","), lambda x: x != ""), "more"))
-    return best.select(*known[1:], F.array_join(both, ",").alias("labels"), F.least(F.coalesce(F.round("score", 9), F.lit(0.0)), F.lit(1.0)).alias("score"))
+    vocabulary = sorted({w for _, words, _ in TEMPLATES for w in words.split()})
+    rows = scanned(docs, vocabulary, sorted({key for _, _, key in TEMPLATES}))
+    found = proposals(rows, inverse_frequencies(rows.select("present"), vocabulary), rare)
+    best = found.groupBy("row").agg(F.max("share").alias("score"), F.collect_set(F.when(F.col("share") >= score, F.col("label"))).alias("more"))
+    both = F.array_sort(F.array_union(F.filter(F.split("base_labels", ","), lambda x: x != ""), F.coalesce("more", F.array().cast("array<string>"))))
+    return rows.join(best, "row", "left").select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", F.array_join(both, ",").alias("labels"), F.least(F.coalesce(F.round("score", 9), F.lit(0.0)), F.lit(1.0)).alias("score"))

@@ -1,16 +1,16 @@
 """Language-model scoring by context-tree weighting.
 
-Bytes are split into eight binary decisions.  Every decision has a tree over the bytes before it, at most ``depth`` deep; each
-node has a Krichevsky-Trofimov estimate of its counts, and a node's block probability is the mean of its own estimate's and the
-product of its children's.  The posterior of these weights mixes the estimates at all depths, which gives the code length of
-a byte.
+Bytes are split into eight binary decisions.  Every decision has a tree over the bytes before it, ``depth`` deep; each node has a
+Krichevsky-Trofimov estimate of its counts, and a node's block probability is the mean of its own estimate's and the product of
+its children's.  The posterior of these weights mixes the estimates at all depths, which gives the code length of a byte.
 
-The counts come from all training bytes: tasks count byte runs, Spark sums them, and contexts that hold at least one in
-``share`` of all training bytes stay nodes; a parent's other children form one leaf, so no count is lost.  At most ``share``
-contexts of each depth can be so frequent, which bounds the model that is broadcast whatever the input.
+The tree holds every context of the training bytes, so it grows with them and is never in one place.  Tasks count runs of
+``depth`` + 1 bytes, Spark sums them, and the nodes whose last ``TOP`` bytes agree are one group: it folds its part of the tree
+from the leaves to the probability that it hands up.  The 256 sums of one last byte are folded on the driver, and with what
+comes down from there each group gives the code length of its runs.
 
-Beside it stands a unigram base model with add-one smoothing, whose vocabulary is not bounded: counts are summed by word hash and
-sent back to blocks of texts, never to all tasks.
+Beside it stands a unigram base model with add-one smoothing over all words.  Texts are dealt, where they are read, into blocks of
+bounded size; a block's distinct words and runs are sent to be summed, and their counts and code lengths sent back to it.
 
 Texts are scored with A-Z in lower case.  Defined results: null texts count as empty, which have the end of the text alone;
 a null id counts as the empty text in the split; very long texts are scored whole (a block then holds one); repeated rows are
@@ -19,102 +19,109 @@ scored each; without training rows all counts are 0 and every byte has probabili
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from math import lgamma
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Observation, Window
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from augury.llm.common import materialise, remainder, slices
 
-DEPTH = 5
-SHARE = 1 << 15
-BLOCK_CHARS = 8_000_000
-END = 255  # no byte of UTF-8: stands before and after a text
-SCALE = 5000.0  # code lengths in log10 units are kept in steps of 1 / SCALE
-_HELD_KEYS = 2_000_000  # distinct byte runs that a task sums before it passes them on
+DEPTH = 4
+TOP = 2  # bytes of context that the runs of a group share
+BLOCK_CHARS = 16_000_000
+END = b"\xff"  # no byte of UTF-8: stands before and after a text
+_CHUNK_RUNS = 8192  # runs of a group whose nodes are folded at once
+_LN2 = np.log(2)
 
 
-def _bytes(texts: list[str | None], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in lower case with ``depth`` END bytes before and one after each; and where each text's own bytes begin."""
-    raws = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-    data = np.frombuffer(b"".join(b"\xff" * depth + raw + b"\xff" for raw in raws), np.uint8)
-    ends = np.cumsum(np.fromiter((len(raw) + depth + 1 for raw in raws), np.int64, len(raws)))
-    return data, np.concatenate([[0], ends[:-1]]) + depth if len(raws) else np.zeros(0, np.int64)
+def _raw(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-def _own(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """True at bytes of a text or its end, False at those before it."""
-    own = np.ones(len(data), bool)
-    for k in range(1, depth + 1):
-        own[starts - k] = False
-    return own
+def run_keys(raws: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``depth`` bytes of context and one more, packed with the last byte lowest, of each byte of the texts and of
+    their ends; and the number of runs of each text."""
+    data = np.frombuffer(b"".join(END * depth + raw + END for raw in raws), np.uint8).astype(np.int64)
+    sizes = np.fromiter((len(raw) + 1 for raw in raws), np.int64, len(raws))
+    key = np.zeros(max(0, len(data) - depth), np.int64)
+    for k in range(depth + 1):
+        key = (key << 8) | data[k : len(data) - depth + k]
+    own = np.ones(len(key) + depth, bool)
+    starts = np.cumsum(sizes + depth) - sizes - depth
+    for k in range(depth):
+        own[starts + k] = False  # bytes of the context before a text
+    return key[own[depth:]], sizes
 
 
-def byte_runs(texts: DataFrame, depth: int) -> DataFrame:
-    """Numbers ``n`` of each run of ``depth`` + 1 bytes, packed into ``run`` with the last byte lowest; sums within tasks only."""
+def _hashes(words: list[bytes]) -> np.ndarray:
+    h = xxhash.xxh64_intdigest
+    return np.fromiter(map(h, words), np.uint64, len(words)).view(np.int64)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+class _Block:
+    """Texts of a block, and its distinct words and runs with their training counts."""
+
+    def __init__(self, depth: int):
+        self.depth, self.size = depth, 0
+        self.ids: list[str | None] = []
+        self.train: list[int] = []
+        self.raws: list[bytes] = []
+        self.words: Counter[bytes] = Counter()
+        self.runs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, piece: pd.DataFrame) -> None:
+        raws, train = [_raw(t) for t in piece["text"]], piece["train"].tolist()
+        self.ids += piece["doc_id"].tolist()
+        self.train += train
+        self.raws += raws
+        self.size += sum(map(len, raws)) + len(raws)
+        for learned in (1, 0):
+            part = [raw for raw, t in zip(raws, train, strict=True) if t == learned]
+            words = b"\n".join(part).split()
+            self.words.update(words if learned else dict.fromkeys(words, 0))
+            key, n = np.unique(run_keys(part, self.depth)[0], return_counts=True)
+            self.runs, where = np.unique(np.concatenate([self.runs, key]), return_inverse=True)
+            self.times = np.bincount(where, np.concatenate([self.times, n * learned]), len(self.runs)).astype(np.int64)
+
+    def rows(self, number: int) -> Iterator[pd.DataFrame]:
+        """The packed texts, then a row for each word and run."""
+        packed = zstandard.compress(END.join(self.raws), 3)
+        yield pd.DataFrame({"block": [number], "kind": [0], "key": [0], "n": [len(self.raws)], "ids": [self.ids], "train": [self.train], "packed": [packed]})
+        for kind, key, n in ((1, _hashes(list(self.words)), np.fromiter(self.words.values(), np.int64, len(self.words))), (2, self.runs, self.times)):
+            for m in range(0, len(key), 500_000):
+                part = slice(m, m + 500_000)
+                yield pd.DataFrame({"block": number, "kind": kind, "key": key[part], "n": n[part], "ids": None, "train": None, "packed": None})
+
+
+def blocks(docs: DataFrame, depth: int, block_chars: int) -> DataFrame:
+    """Texts in blocks of about ``block_chars`` bytes, made where they are read: block, kind (0 texts, 1 word, 2 run), key, n
+    (training count), and of the texts ids, train and packed (compressed, an END between two)."""
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, count, held = TaskContext.get().partitionId(), 0, _Block(depth)
         for piece in slices(batches, most=2_000_000):
-            data, starts = _bytes(piece["text"].tolist(), depth)
-            own = _own(data, starts, depth)[depth:]
-            key = np.zeros(max(0, len(data) - depth), np.int64)
-            for k in range(depth + 1):
-                key = (key << 8) | data[k : len(data) - depth + k]
-            new, n = np.unique(key[own], return_counts=True)
-            held, where = np.unique(np.concatenate([held, new]), return_inverse=True)
-            times = np.bincount(where, np.concatenate([times, n]), len(held)).astype(np.int64)
-            if len(held) > _HELD_KEYS:
-                yield pd.DataFrame({"run": held, "n": times})
-                held, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        yield pd.DataFrame({"run": held, "n": times})
-
-    return texts.select("text").mapInPandas(count, "run long, n long")
-
-
-def context_counts(runs: DataFrame, depth: int, least: float) -> DataFrame:
-    """(depth, context, byte, n) of all contexts with ``least`` bytes or more.
-
-    Runs whose last three context bytes agree meet in one task, which can thus decide on all deeper contexts; shorter ones
-    are summed once more.
-    """
-
-    def deep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for piece in batches:
-            held, where = np.unique(np.concatenate([held, piece["run"].to_numpy()]), return_inverse=True)
-            times = np.bincount(where, np.concatenate([times, piece["n"].to_numpy()]), len(held)).astype(np.int64)
-        for d in range(depth + 1):
-            key, where = np.unique(held & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
-            n = np.bincount(where, times, len(key)).astype(np.int64)
-            if d >= min(3, depth):
-                of, whole = np.unique(key >> 8, return_inverse=True)
-                enough = np.bincount(whole, n, len(of))[whole] >= least
-                key, n = key[enough], n[enough]
-            yield pd.DataFrame({"d": np.full(len(key), d, np.int32), "key": key, "n": n})
-
-    near = F.expr(f"(run div 256) & {(1 << 8 * min(3, depth)) - 1}")
-    counted = runs.repartition(near).mapInPandas(deep, "d int, key long, n long").groupBy("d", "key").agg(F.sum("n").alias("n"))
-    counted = counted.select("d", F.expr("key div 256").alias("context"), F.expr("key % 256").cast("int").alias("byte"), "n")
-    return counted.withColumn("whole", F.sum("n").over(Window.partitionBy("d", "context"))).where(F.col("whole") >= least).drop("whole")
-
-
-@dataclass
-class Tree:
-    """Code lengths of bytes (1 / SCALE) by context number, and for each depth the number of the context one byte longer."""
-
-    depth: int
-    code: np.ndarray
-    step: list[np.ndarray]
-    first: list[int]
-
-
-_lgamma = np.frompyfunc(lgamma, 1, 1)
+            held.add(piece)
+            if held.size >= block_chars:
+                yield from held.rows((task << 32) + count)
+                count, held = count + 1, _Block(depth)
+        if held.raws:
+            yield from held.rows((task << 32) + count)
+
+    return docs.select("doc_id", "text", "train").mapInPandas(deal, "block long, kind byte, key long, n long, ids array<string>, train array<int>, packed binary")
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Log of the gamma function for x of 0.5 or more, by Stirling's series at x + 8."""
+    y, below = x + 8.0, np.ones_like(x)
+    for k in range(8):
+        below *= x + k
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - np.log(below)
 
 
 def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -122,166 +129,219 @@ def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     out = np.zeros(zeros.shape)
     seen = (zeros + ones) > 0
     a, b = zeros[seen], ones[seen]
-    out[seen] = (_lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1.0)).astype(float) - 2 * lgamma(0.5)
+    out[seen] = _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1.0) - np.log(np.pi)
     return out
 
 
 def _decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Zeros and ones of the 255 decisions (numbered as a heap from 1) from counts of 256 bytes, by row."""
-    total = np.zeros((len(counts), 512))
-    total[:, 256:] = counts
-    for k in range(255, 0, -1):
-        total[:, k] = total[:, 2 * k] + total[:, 2 * k + 1]
-    return total[:, 2:512:2], total[:, 3:512:2]
-
-
-def weigh(counts: pd.DataFrame, depth: int) -> Tree:
-    """Context-tree weighting of (d, context, byte, n); a bounded table."""
-    level, zeros, ones = [], [], []
-    for d in range(depth + 1):
-        part = counts[counts["d"] == d]
-        context, row = np.unique(part["context"].to_numpy(np.int64), return_inverse=True)
-        if d == 0 and not len(context):
-            context = np.zeros(1, np.int64)
-        table = np.zeros((len(context), 256))
-        np.add.at(table, (row, part["byte"].to_numpy(np.int64)), part["n"].to_numpy(float))
-        level.append(context)
-        z, o = _decisions(table)
-        zeros.append(z)
-        ones.append(o)
-    parent = [np.zeros(0, np.int64)] + [np.searchsorted(level[d - 1], level[d] & ((1 << 8 * (d - 1)) - 1)) for d in range(1, depth + 1)]
-    weight, rest, below = [np.zeros(0)] * (depth + 1), [np.zeros(0)] * (depth + 1), np.zeros(0)
-    for d in range(depth, -1, -1):
-        own = _log_kt(zeros[d], ones[d])
-        if d == depth:
-            weight[d], rest[d], below = np.ones_like(own), np.full_like(own, 0.5), own
-            continue
-        z, o, inside = zeros[d].copy(), ones[d].copy(), np.zeros_like(own)
-        np.subtract.at(z, parent[d + 1], zeros[d + 1])
-        np.subtract.at(o, parent[d + 1], ones[d + 1])
-        np.add.at(inside, parent[d + 1], below)
-        inside += _log_kt(z, o)  # the children that are no nodes are one leaf
-        below = np.logaddexp(own, inside) - np.log(2)
-        weight[d] = np.exp(own - np.log(2) - below)
-        rest[d] = (o + 0.5) / (z + o + 1)
-    # From the root: what the estimates so far give, and the weight that is left for deeper ones.
-    code, given, left = [], np.zeros((1, 255)), np.ones((1, 255))
-    heap = (np.arange(256)[:, None] + 256) >> np.arange(8, 0, -1)[None, :]
-    bit = (np.arange(256)[:, None] >> np.arange(7, -1, -1)[None, :]) & 1
-    for d in range(depth + 1):
-        if d:
-            given, left = given[parent[d]], left[parent[d]]
-        given = given + left * weight[d] * (ones[d] + 0.5) / (zeros[d] + ones[d] + 1)
-        left = left * (1 - weight[d])
-        p = np.clip(given + left * rest[d], 1e-12, 1 - 1e-12)
-        one, zero = -np.log10(p), -np.log10(1 - p)
-        length = np.zeros((len(p), 256))
-        for k in range(8):
-            length += np.where(bit[:, k], one[:, heap[:, k] - 1], zero[:, heap[:, k] - 1])
-        code.append(np.minimum(np.rint(length * SCALE), 65535).astype(np.uint16))
-    step = []
-    for d in range(1, depth + 1):
-        # Row of the shorter context, column of the byte before it; the last row and number stand for no node.
-        table = np.full((len(level[d - 1]) + 1, 256), len(level[d]), np.int32)
-        table[parent[d], level[d] >> 8 * (d - 1)] = np.arange(len(level[d]))
-        step.append(table.ravel())
-    return Tree(depth, np.concatenate(code).ravel(), step, [0, *np.cumsum([len(x) for x in level])[:-1].tolist()])
-
-
-def code_lengths(tree: Tree, texts: list[str | None]) -> np.ndarray:
-    """log10 probability of each text, its end included."""
-    depth = tree.depth
-    data, starts = _bytes(texts, depth)
-    if not len(data):
-        return np.zeros(0)
-    out = np.zeros(len(data))
-    for begin in range(depth, len(data), 1 << 20):
-        stop = min(len(data), begin + (1 << 20))
-        number, deepest = np.zeros(stop - begin, np.int64), np.zeros(stop - begin, np.int64)
-        for d in range(1, depth + 1):
-            number = tree.step[d - 1][number * 256 + data[begin - d : stop - d]].astype(np.int64)
-            known = number < (len(tree.step[d]) // 256 - 1 if d < depth else len(tree.code) // 256 - tree.first[depth])
-            deepest = np.where(known, number + tree.first[d], deepest)
-        out[begin:stop] = tree.code[deepest * 256 + data[begin:stop]]
-    out[~_own(data, starts, depth)] = 0
-    return -np.add.reduceat(out, starts - depth) / SCALE
-
-
-def train_tree(texts: DataFrame, depth: int = DEPTH, share: int = SHARE) -> Tree:
-    """The weighted tree of all rows of ``texts``."""
-    size = texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
-    counts = context_counts(byte_runs(texts, depth), depth, max(1.0, size / share))
-    # At most ``share`` contexts of each depth: a bound on what comes to the driver.
-    return weigh(counts.toPandas(), depth)
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    h = xxhash.xxh64_intdigest
-    return np.fromiter(map(h, words), np.uint64, len(words)).view(np.int64)
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """Of (block, train, text) rows: block, word (64-bit hash), n (training count in the block), c (in all) and first."""
+    zeros, ones, level = np.empty((len(counts), 255)), np.empty((len(counts), 255)), counts
+    for k in range(7, -1, -1):
+        place = slice((1 << k) - 1, (2 << k) - 1)
+        zeros[:, place], ones[:, place] = level[:, 0::2], level[:, 1::2]
+        level = level[:, 0::2] + level[:, 1::2]
+    return zeros, ones
+
+
+class _Nodes:
+    """Nodes with their decisions: ``below`` is the log of the block probability of the tree from a node on, ``inside`` that of
+    its children (None for leaves)."""
+
+    def __init__(self, counts: np.ndarray, inside: np.ndarray | None):
+        self.counts = counts
+        self.zeros, self.ones = _decisions(counts)
+        self.own = _log_kt(self.zeros, self.ones)
+        self.below = self.own if inside is None else np.logaddexp(self.own, inside) - _LN2
+        self.leaf = inside is None
+
+    def mixed(self, given: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the estimates down to these nodes give to a one, and the weight that is left for deeper ones."""
+        weight = 1.0 if self.leaf else np.exp(self.own - _LN2 - self.below)
+        return given + left * weight * (self.ones + 0.5) / (self.zeros + self.ones + 1), left * (1 - weight)
+
+
+def _sum_by(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by their owner."""
+    order = np.argsort(owner, kind="stable")
+    out, held = np.zeros((n, values.shape[1])), owner[order]
+    first = np.flatnonzero(np.concatenate([[True], np.diff(held) != 0])) if len(held) else np.zeros(0, np.int64)
+    if len(first):
+        out[held[first]] = np.add.reduceat(values[order], first, axis=0)
+    return out
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: dict[bytes, int] = {}
-        for piece in slices([pdf], most=2_000_000):
-            index: dict[bytes, int] = {}
-            for train, text in zip(piece["train"], piece["text"], strict=True):
-                for w in (text or "").encode("utf-8", "surrogatepass").lower().split():
-                    index[w] = index.get(w, 0) + train
-            for w, n in index.items():
-                seen[w] = seen.get(w, 0) + n
-        return pd.DataFrame({"block": np.full(len(seen), pdf["block"].iloc[0], np.int32), "word": _hashes(list(seen)), "n": np.fromiter(seen.values(), np.int64, len(seen))})
 
-    rows = texts.groupBy("block").applyInPandas(count, "block int, word long, n long")
-    # A word has a row for each block at most; frequent words are so summed before they meet.
-    by_word = Window.partitionBy("word")
-    return rows.withColumn("c", F.sum("n").over(by_word)).withColumn("first", F.row_number().over(by_word.orderBy("block")) == 1)
+def _levels(runs: np.ndarray, n: np.ndarray, first: int, depth: int) -> list[tuple[_Nodes, np.ndarray, np.ndarray]]:
+    """Of each depth from ``first`` on: the nodes, each node's parent in the level above, and each run's node."""
+    contexts, rows = [], []
+    for d in range(first, depth + 1):
+        context, row = np.unique((runs >> 8) & ((1 << 8 * d) - 1), return_inverse=True)
+        contexts.append(context)
+        rows.append(row)
+    out: list = []
+    for k in range(depth - first, -1, -1):
+        size = len(contexts[k])
+        counts = np.bincount(rows[k] * 256 + (runs & 255), n, size * 256).reshape(-1, 256)
+        inside = _sum_by(out[-1][0].below, out[-1][1], size) if out else None
+        parent = np.searchsorted(contexts[k - 1], contexts[k] & ((1 << 8 * (first + k - 1)) - 1)) if k else np.zeros(size, np.int64)
+        out.append((_Nodes(counts, inside), parent, rows[k]))
+    return out[::-1]
+
+
+def _chunks(runs: np.ndarray, top: int) -> Iterator[np.ndarray]:
+    """Places of the runs of whole contexts one byte longer than ``top``, some thousand at a time."""
+    context = (runs >> 8) & ((1 << 8 * (top + 1)) - 1)
+    order = np.argsort(context, kind="stable")
+    held, begin = context[order], 0
+    while begin < len(order):
+        stop = min(len(order), begin + _CHUNK_RUNS)
+        stop = int(np.searchsorted(held, held[stop - 1], "right"))
+        yield order[begin:stop]
+        begin = stop
+
+
+def fold(runs: np.ndarray, n: np.ndarray, depth: int, top: int) -> _Nodes:
+    """The node that all runs have at depth ``top``."""
+    counts = np.bincount(runs & 255, n, 256)[None, :]
+    if depth == top:
+        return _Nodes(counts, None)
+    return _Nodes(counts, sum(_levels(runs[c], n[c], top + 1, depth)[0][0].below.sum(0, keepdims=True) for c in _chunks(runs, top)))
+
+
+_HEAP = (np.arange(256)[:, None] + 256) >> np.arange(8, 0, -1)[None, :]  # the eight decisions of a byte
+_BIT = (np.arange(256)[:, None] >> np.arange(7, -1, -1)[None, :]) & 1
+
+
+def _lengths(p: np.ndarray, row: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """-log10 of the probability of bytes, from those of a one in each decision."""
+    p = p[row[:, None], _HEAP[byte] - 1]
+    return -np.log10(np.where(_BIT[byte], p, 1 - p)).sum(1)
+
+
+def code_lengths(runs: np.ndarray, n: np.ndarray, given: np.ndarray, left: np.ndarray, depth: int, top: int) -> np.ndarray:
+    """Code length of each run of a group, from what the nodes above ``top`` give and leave."""
+    given, left = fold(runs, n, depth, top).mixed(given[None, :], left[None, :])
+    if depth == top:
+        return _lengths(given, np.zeros(len(runs), np.int64), runs & 255)
+    out = np.zeros(len(runs))
+    for chunk in _chunks(runs, top):
+        g, rest = given, left
+        for nodes, parent, row in _levels(runs[chunk], n[chunk], top + 1, depth):
+            g, rest = nodes.mixed(g[parent], rest[parent])
+        out[chunk] = _lengths(g, row, runs[chunk] & 255)
+    return out
 
 
-def score_language(docs: DataFrame, folds: int = 7, held_out: int = 2, depth: int = DEPTH, share: int = SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def run_codes(runs: DataFrame, depth: int) -> DataFrame:
+    """key and code (code length of the last byte, log10) of all runs (key, n), which are trained on their counts."""
+    near = F.expr(f"(key div 256) & {(1 << 8 * TOP) - 1}")
+
+    def up(pdf: pd.DataFrame) -> pd.DataFrame:
+        runs = pdf["key"].to_numpy()
+        node = fold(runs, pdf["n"].to_numpy(float), depth, TOP)
+        return pd.DataFrame({"last": [int(runs[0] >> 8 & 255)], "counts": [node.counts.tobytes()], "below": [node.below.tobytes()]})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        read = lambda c: np.stack([np.frombuffer(x) for x in pdf[c]]).sum(0, keepdims=True)
+        node = _Nodes(read("counts"), read("below"))
+        return pd.DataFrame({"last": [int(pdf["last"].iloc[0])], "counts": [node.counts.tobytes()], "below": [node.below.tobytes()], "inside": [read("below").tobytes()]})
+
+    handed = runs.groupBy(near.alias("near")).applyInPandas(up, "last int, counts binary, below binary")
+    # A group of one last byte has 256 nodes at most, and the driver takes 256 rows of some kilobytes at most.
+    lasts = handed.groupBy("last").applyInPandas(merge, "last int, counts binary, below binary, inside binary").collect()
+    given, left = np.full((256, 255), 0.0), np.full((256, 255), 1.0)
+    if lasts:
+        read = lambda c: np.stack([np.frombuffer(r[c]) for r in lasts])
+        root = _Nodes(read("counts").sum(0, keepdims=True), read("below").sum(0, keepdims=True))
+        at = [r["last"] for r in lasts]
+        given[at], left[at] = _Nodes(read("counts"), read("inside")).mixed(*root.mixed(given[:1], left[:1]))
+    shared = runs.sparkSession.sparkContext.broadcast((given, left))
+
+    def down(pdf: pd.DataFrame) -> pd.DataFrame:
+        runs = pdf["key"].to_numpy()
+        last = int(runs[0] >> 8 & 255)
+        return pd.DataFrame({"key": runs, "code": code_lengths(runs, pdf["n"].to_numpy(float), shared.value[0][last], shared.value[1][last], depth, TOP).astype(np.float32)})
+
+    return runs.groupBy(near.alias("near")).applyInPandas(down, "key long, code float")
+
+
+class _Finder:
+    """Places of runs in a sorted array that holds all of them, one byte after the other."""
+
+    def __init__(self, known: np.ndarray, depth: int):
+        self.steps, above = [], np.zeros(1, np.int64)
+        for k in range(depth, -1, -1):
+            prefix = np.unique(known >> 8 * k)
+            table = np.zeros(len(above) * 256, np.int32)
+            table[np.searchsorted(above, prefix >> 8) * 256 + (prefix & 255)] = np.arange(len(prefix))
+            self.steps.append((8 * k, table))
+            above = prefix
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(keys), np.int64)
+        for shift, table in self.steps:
+            at = table[at * 256 + (keys >> shift & 255)]
+            at = at.astype(np.int64)
+        return at
+
+
+def _score_block(own: pd.DataFrame, facts: pd.DataFrame, depth: int, ends: int) -> pd.DataFrame:
+    """The sums of one block's texts, from its words' counts (those that other blocks add to) and its runs' code lengths."""
+    raws = zstandard.decompress(bytes(own["packed"].iloc[0]), max_output_size=1 << 31).split(END)
+    ids, train = list(own["ids"].iloc[0]), np.array(own["train"].iloc[0], np.int64)
+    kind, key = facts["kind"].to_numpy(), facts["key"].to_numpy()
+    order = np.argsort(key[kind == 2])
+    known, code = key[kind == 2][order], facts["code"].to_numpy(float)[kind == 2][order]
+    finder, index, numbers, score, begin = _Finder(known, depth), {}, [], [], 0
+    while begin < len(raws):
+        stop, size = begin, 0
+        while stop < len(raws) and (stop == begin or size + len(raws[stop]) < 2_000_000):
+            size += len(raws[stop])
+            stop += 1
+        keys, sizes = run_keys(raws[begin:stop], depth)
+        score.append(-np.add.reduceat(code[finder.find(keys)], np.cumsum(sizes) - sizes))
+        numbers += [np.array([index.setdefault(w, len(index)) for w in raw.split()], np.int32) for raw in raws[begin:stop]]
+        begin = stop
+    learned = [x for x, t in zip(numbers, train, strict=True) if t]
+    times = np.bincount(np.concatenate(learned), minlength=len(index)) if learned else np.zeros(len(index), np.int64)
+    order = np.argsort(key[kind == 1])
+    words, counts = key[kind == 1][order], facts["c"].to_numpy()[kind == 1][order]
+    if len(words) and len(index):
+        h = _hashes(list(index))
+        at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+        times = np.where(words[at] == h, counts[at], times)
+    log = np.log10(times + 1.0)
+    return pd.DataFrame({
+        "doc_id": ids, "train": train, "n_tokens": np.array([len(x) + 1 for x in numbers], np.int64), "n_known": np.array([int((times[x] > 0).sum()) + int(ends > 0) for x in numbers], np.int64),
+        "logs": np.array([float(log[x].sum() + np.log10(ends + 1.0)) for x in numbers], float), "score": np.concatenate(score), "n_bytes": np.array([len(raw) + 1 for raw in raws], np.int64),
+    })
+
+
+def score_language(docs: DataFrame, folds: int = 7, held_out: int = 2, depth: int = DEPTH, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row of ``docs``."""
+    if depth < TOP:
+        raise ValueError(f"contexts of {TOP} bytes or more are needed")
+    kind = docs.schema["doc_id"].dataType.simpleString()
     part = remainder(F.col("doc_id"), folds)
-    train = docs.where(part != held_out)
-    tree = train_tree(train.select("text"), depth, share)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    sizes = docs.agg(F.sum(F.length("text")), F.sum((part != held_out).cast("long"))).first()
-    blocks, ends = max(1, -(-(sizes[0] or 0) // block_chars)), sizes[1] or 0
-    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", (part != held_out).cast("int").alias("train"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
-    # Totals are observed while the table is written.  A word that occurs in one block alone is counted there, not sent.
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", (part != held_out).cast("int").alias("train"))
+    dealt = materialise(blocks(rows, depth, block_chars), "blocks")
+    ends = dealt.where("kind = 0").agg(F.sum(F.aggregate("train", F.lit(0), lambda a, x: a + x))).first()[0] or 0
+
+    # Rows of a word meet once, for their sum and for its way back; a word has a row for each block at most, and they are streamed.
+    words = dealt.where("kind = 1").select("block", "key", "n").repartition("key")
+    whole = words.groupBy("key").agg(F.sum("n").alias("c"), F.min("block").alias("first"))
     seen = Observation()
-    counted = word_counts(texts).observe(seen, F.sum("n").alias("n"), F.count_if(F.col("first") & (F.col("c") > 0)).alias("v"))
-    words = materialise(counted.where("c > n").select("block", "word", "c"), "word-counts")
+    counted = words.join(whole.hint("merge"), "key").observe(seen, F.sum("n").alias("n"), F.count_if((F.col("block") == F.col("first")) & (F.col("c") > 0)).alias("v"))
+    # A word that occurs in one block alone is counted there, not sent.
+    words = materialise(counted.where("c > n").select("block", F.lit(1).cast("byte").alias("kind"), "key", "c", F.lit(None).cast("float").alias("code")), "word-counts")
     n, v = (seen.get["n"] or 0) + ends, (seen.get["v"] or 0) + (ends > 0)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def score(own: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(counts["word"].to_numpy())
-        known, c = counts["word"].to_numpy()[order], counts["c"].to_numpy()[order]
-        index: dict[bytes, int] = {}
-        ids, codes, n_bytes = [], [], []
-        for piece in slices([own], most=2_000_000):
-            for t in piece["text"]:
-                raw = (t or "").encode("utf-8", "surrogatepass")
-                n_bytes.append(len(raw) + 1)
-                ids.append(np.array([index.setdefault(w, len(index)) for w in raw.lower().split()], np.int32))
-            codes.append(code_lengths(shared.value, piece["text"].tolist()))
-        times = np.zeros(len(index), np.int64)
-        for i, train in zip(ids, own["train"], strict=True):
-            if train:
-                np.add.at(times, i, 1)
-        if len(known) and len(index):
-            h = _hashes(list(index))
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            times = np.where(known[at] == h, c[at], times)
-        log = np.log10(times + 1.0)
-        return pd.DataFrame({
-            "doc_id": own["doc_id"].array, "train": own["train"].array, "n_tokens": np.array([len(i) + 1 for i in ids], np.int64), "n_known": np.array([int((times[i] > 0).sum()) + int(ends > 0) for i in ids], np.int64),
-            "logs": np.array([float(log[i].sum() + np.log10(ends + 1.0)) for i in ids], float), "score": np.concatenate(codes) if codes else np.zeros(0), "n_bytes": np.array(n_bytes, np.int64),
-        })
-
-    scored = texts.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(score, "doc_id string, train int, n_tokens long, n_known long, logs double, score double, n_bytes long")
+    runs = dealt.where("kind = 2").select("block", "key", "n")
+    codes = materialise(run_codes(materialise(runs.groupBy("key").agg(F.sum("n").alias("n")), "runs"), depth), "codes")
+    back = runs.select("block", "key").join(codes, "key").select("block", F.lit(2).cast("byte").alias("kind"), "key", F.lit(0).cast("long").alias("c"), "code")
+    facts = words.unionByName(back)
+
+    texts = dealt.where("kind = 0").select("block", "ids", "train", "packed")
+    scored = texts.groupBy("block").cogroup(facts.groupBy("block")).applyInPandas(lambda own, known: _score_block(own, known, depth, ends), "doc_id string, train long, n_tokens long, n_known long, logs double, score double, n_bytes long")
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))
     bits = -F.col("score") / F.lit(float(np.log10(2))) / F.col("n_bytes")
     return scored.select(F.col("doc_id").cast(kind).alias("doc_id"), (F.col("train") == 0).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))

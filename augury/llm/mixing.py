@@ -1,13 +1,15 @@
 """Mixing sources to target weights.
 
 The words of each source, in a pseudorandom order of its documents, form a stream that is cut into blocks of fixed length.
-Targets are set by weight, at most ``most`` times a source's size.  Every source has as many slots as its target needs; a
-keyed permutation of all slots deals them into output shards, so the numbers of a source's slots in a shard are a multinomial
-draw given the totals.  A slot's place within its source goes through the source's own permutation of block numbers, another
-for each pass over the source, and blocks are joined to documents by their number.
+Targets are set by weight, at most ``most`` times a source's size.  Every source has as many slots as its target needs, and a
+keyed permutation of all slots deals them into output shards.  The numbers of a source's slots in a shard are thus multinomial
+counts given their totals (a multivariate hypergeometric draw): independent multinomial draws would miss small sources' targets
+by the root of their slots.  A slot's place within its source goes through the source's own permutation of block numbers,
+another for each pass over the source, and blocks are joined to documents by their number.  What the mix takes of a document is
+summed over the dealt slots of all shards.
 
 Sizes, offsets, slots and joins are DataFrame operations; no source meets in one task: offsets are sums over small hash
-buckets, and slots and blocks are keyed by source and number.
+buckets, added up in two levels, and slots and blocks are keyed by source and number.
 
 Defined results: null and empty texts have size 0 and nothing is taken; a null source is a source of its own, last in order;
 repeated rows are documents of their own; an empty table gives an empty result.
@@ -24,7 +26,8 @@ BLOCK_WORDS = 2048
 SHARD_SLOTS = 1024
 MOST = 3
 WEIGHTS = (1, 2, 3)
-_BUCKET_ROWS = 4096  # documents in a bucket whose offsets one task sums
+_BUCKET_ROWS = 512  # documents in a bucket whose offsets one task sums
+_SUPER_BUCKETS = 4096  # buckets of a source whose offsets one task adds up
 _CHUNK_SLOTS = 10_000  # slots that one row unfolds into
 
 
@@ -46,7 +49,7 @@ def permuted(x: Column, n: Column, *key: Column | str, rounds: int = 6, walks: i
     def network(v: Column) -> Column:
         halves = F.aggregate(
             F.sequence(F.lit(1), F.lit(rounds)),
-            F.struct(F.expr("0L").alias("l"), F.expr("0L").alias("r")) if v is None else F.struct((v / b).cast("long").alias("l"), (v % b).cast("long").alias("r")),
+            F.struct((v / b).cast("long").alias("l"), (v % b).cast("long").alias("r")),
             lambda s, i: F.when(i % 2 == 1, F.struct(F.pmod(s["l"] + F.pmod(F.xxhash64(*keys, i, s["r"]), a), a).alias("l"), s["r"].alias("r"))).otherwise(
                 F.struct(s["l"].alias("l"), F.pmod(s["r"] + F.pmod(F.xxhash64(*keys, i, s["l"]), b), b).alias("r"))
             ),
@@ -83,10 +86,11 @@ def stream_offsets(docs: DataFrame, seed: str = "mix") -> DataFrame:
     rows = materialise(rows, "sizes")
     buckets = max(1, -(-rows.count() // _BUCKET_ROWS))
     rows = rows.withColumn("bucket", F.pmod("place", F.lit(buckets)))
-    totals = rows.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
-    starts = totals.select("key", "bucket", F.coalesce(F.sum("words").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    within = Window.partitionBy("key", "bucket").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    before = lambda total, order, *by: F.coalesce(F.sum(total).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = materialise(rows.groupBy("key", "bucket").agg(F.sum("size").alias("words")).withColumn("super", F.floor(F.col("bucket") / _SUPER_BUCKETS)), "buckets")
+    supers = totals.groupBy("key", "super").agg(F.sum("words").alias("words")).select("key", "super", before("words", ["super"], "key").alias("base"))
+    starts = totals.withColumn("near", before("words", ["bucket"], "key", "super")).join(supers, ["key", "super"]).select("key", "bucket", (F.col("base") + F.col("near")).alias("start"))
+    rows = rows.withColumn("inner", before("size", ["place", "doc_id"], "key", "bucket"))
     return materialise(rows.join(starts, ["key", "bucket"]).select("doc_id", "key", "size", (F.col("start") + F.col("inner")).alias("offset")), "offsets")
 
 
@@ -123,27 +127,36 @@ def _plan(docs: DataFrame, weights: tuple[int, ...], most: int, block_words: int
     touched = F.sequence(F.floor(F.col("offset") / block_words), F.floor((F.col("offset") + F.col("size") - 1) / block_words))
     parts = rows.where("size > 0").withColumn("block", F.explode(touched))
     edge = F.col("block") * block_words
-    parts = parts.select("key", "block", "doc_id", "offset", F.greatest("offset", edge).alias("begin"), F.least(F.col("offset") + F.col("size"), edge + block_words).alias("end"))
+    parts = parts.select("key", "block", "doc_id", "offset", F.lit(block_words).alias("block_words"), F.greatest("offset", edge).alias("begin"), F.least(F.col("offset") + F.col("size"), edge + block_words).alias("end"))
     return rows, sources, slots, parts
 
 
+def shard_counts(slots: DataFrame) -> DataFrame:
+    """The draw: shard, key and n, the number of slots that the source has in the output shard."""
+    return slots.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _pieces(slots: DataFrame, parts: DataFrame) -> DataFrame:
+    """Slots joined to the parts of documents in their blocks, with the words that are taken of each part."""
+    stop = F.least(F.col("end"), F.col("block") * F.col("block_words") + F.col("words"))
+    return slots.join(parts, ["key", "block"]).withColumn("n_words", stop - F.col("begin")).where("n_words > 0")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: str = "mix") -> DataFrame:
-    """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) of every row of ``docs``."""
+    """doc_id, size, source_size, target, taken (words the mix takes, repeats counted) and n_shards (output shards that hold
+    words of it) of every row of ``docs``."""
     rows, sources, slots, parts = _plan(docs, weights, most, block_words, shard_slots, seed)
-    drawn = slots.groupBy("key", "block", "words").agg(F.count(F.lit(1)).alias("times"))
-    stop = F.col("block") * block_words + F.col("words")
-    overlap = F.greatest(F.least(F.col("end"), stop) - F.col("begin"), F.lit(0))
-    taken = parts.join(drawn, ["key", "block"]).groupBy("key", "offset").agg(F.sum(overlap * F.col("times")).alias("taken"))
+    # A document's words in a shard first: those of a very long one are spread over many.
+    by_shard = _pieces(slots, parts).groupBy("key", "offset", "shard").agg(F.sum("n_words").alias("n_words"))
+    taken = by_shard.groupBy("key", "offset").agg(F.sum("n_words").alias("taken"), F.count(F.lit(1)).alias("n_shards"))
     # Only documents with words have an offset of their own.
-    got = rows.where("size > 0").join(taken, ["key", "offset"], "left").unionByName(rows.where("size = 0").withColumn("taken", F.lit(0)))
-    return got.join(sources, "key").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    got = rows.where("size > 0").join(taken, ["key", "offset"], "left").unionByName(rows.where("size = 0").withColumns({"taken": F.lit(0), "n_shards": F.lit(0)}))
+    return got.join(sources, "key").select("doc_id", "size", "source_size", "target", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("taken", "n_shards")])
 
 
 def mixed_blocks(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: str = "mix") -> DataFrame:
     """The mix itself: shard, slot, words and pieces (doc_id, first word and number of words, in order) of each output block."""
     _, _, slots, parts = _plan(docs, weights, most, block_words, shard_slots, seed)
-    stop = F.col("block") * block_words + F.col("words")
-    pieces = slots.join(parts, ["key", "block"]).where(F.col("begin") < stop)
-    piece = F.struct("begin", "doc_id", (F.col("begin") - F.col("offset")).alias("first_word"), (F.least(F.col("end"), stop) - F.col("begin")).alias("n_words"))
+    piece = F.struct("begin", "doc_id", (F.col("begin") - F.col("offset")).alias("first_word"), "n_words")
     # A block has at most block_words pieces.
-    return pieces.groupBy("shard", "slot", "words").agg(F.sort_array(F.collect_list(piece)).alias("pieces")).select("shard", "slot", "words", F.transform("pieces", lambda p: p.dropFields("begin")).alias("pieces"))
+    return _pieces(slots, parts).groupBy("shard", "slot", "words").agg(F.sort_array(F.collect_list(piece)).alias("pieces")).select("shard", "slot", "words", F.transform("pieces", lambda p: p.dropFields("begin")).alias("pieces"))

@@ -8,25 +8,36 @@ can move them back (``inverse``).
 
 The work is string and array functions in the scan: no shuffle, no Python.  Only texts with a digit or an at sign are searched.
 
+Dates are yyyy-mm-dd, dd.mm.yyyy, and dd/mm/yyyy or mm/dd/yyyy: with slashes, a number over 12 tells the day, and if both can be
+months the day is read first.  Whether the day is over 12 stays as it is, so a pseudonym is read in the order of its date.  Four
+numbers after a word such as "version" are no address.
+
+The key is the caller's: whoever knows it can undo the pseudonyms, and there is no default.
+
 Defined results: null texts stay null, empty ones empty; values that do not validate (a card number with a wrong check digit,
 an octet above 255, 31 February) stay; dates outside 1800-01-01 to 2199-09-26 stay; very long texts are searched whole;
-repeated rows get equal results.
+repeated rows get equal results; a column of the caller's keeps its name and values, and the count takes the next free name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from augury.llm.common import free_name
+
 ROUNDS = 8
+_WALKS = 64  # steps of a walk through dates; all leave the same half of a month with a chance below 1e-13
 FIRST_DAY, DAYS_A, DAYS_B = "1800-01-01", 365, 400  # the range of dates is DAYS_A x DAYS_B days
 
 # What each kind of value looks like (Java patterns).  Every repetition is bounded or possessive.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
     "secret": r"(?<![0-9A-Za-z])(?=[A-Za-z]{0,31}[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
-    "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9A-Za-z])",
-    "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])",
+    "ip": r"(?<![0-9A-Za-z.])(?<!(?i:\bversion|\brelease|\bbuild|\bver\.?)[ :]{1,2}v?)(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9A-Za-z])",
+    "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-SU-Za-z]|T(?![0-9]{2}:)|[./-][0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}(?![0-9A-Za-z]|[ .-]?[0-9])|(?<![0-9A-Za-z.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])",
     "card": r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])",
@@ -128,12 +139,24 @@ def _ip(m: Column, key: str, inverse: bool) -> Column:
 
 
 def _date(m: Column, key: str, inverse: bool) -> Column:
+    first_day = F.lit(FIRST_DAY).cast("date")
+    whole = lambda v: F.date_add(first_day, v.cast("int"))
+    late = lambda v: F.dayofmonth(whole(v)) > 12
+
+    def step(v: Column) -> Column:
+        return permute_number(v, DAYS_A, DAYS_B, key, "date", inverse)
+
+    def walked(v: Column) -> Column:
+        # Cycle walking within the dates whose day is over 12, or within the others; a step leaves them about every second time.
+        start = F.struct(step(v).alias("at"), late(v).alias("late"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(_WALKS)), start, lambda s, _: F.when(late(s["at"]) == s["late"], s).otherwise(F.struct(step(s["at"]).alias("at"), s["late"].alias("late"))), lambda s: s["at"])
+
     def move(form: str) -> Column:
-        day = F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), F.lit(FIRST_DAY).cast("date")).cast("long")
-        moved = lambda v: F.date_add(F.lit(FIRST_DAY).cast("date"), permute_number(v, DAYS_A, DAYS_B, key, "date", inverse).cast("int"))
-        return _let(day, lambda v: F.when((v >= 0) & (v < DAYS_A * DAYS_B), F.date_format(moved(v), form)))
+        day = F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), first_day).cast("long")
+        return _let(day, lambda v: F.when((v >= 0) & (v < DAYS_A * DAYS_B), _let(walked(v), lambda w: F.date_format(whole(w), form))))
 
-    return F.when(m.rlike("^[0-9]{4}-"), move("yyyy-MM-dd")).when(m.rlike("^[0-9]{2}/"), move("dd/MM/yyyy")).otherwise(move("dd.MM.yyyy"))
+    american = m.rlike("^(0[1-9]|1[0-2])/(1[3-9]|2[0-9]|3[01])/")
+    return F.when(m.rlike("^[0-9]{4}-"), move("yyyy-MM-dd")).when(american, move("MM/dd/yyyy")).when(m.rlike("^[0-9]{2}/"), move("dd/MM/yyyy")).otherwise(move("dd.MM.yyyy"))
 
 
 def _phone(m: Column, key: str, inverse: bool) -> Column:
@@ -175,14 +198,24 @@ def pseudonym(m: Column, key: str, inverse: bool = False) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = "change this key", inverse: bool = False) -> DataFrame:
-    """All columns of ``docs`` with ``text`` pseudonymised, and pii_found (values replaced)."""
+def pseudonymise(docs: DataFrame, key: str, inverse: bool = False) -> DataFrame:
+    """All columns of ``docs`` with ``text`` pseudonymised, and pii_found (values replaced; under the next free name if
+    ``docs`` has such a column)."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    count = free_name(docs.columns, "pii_found")
+    held = free_name([*docs.columns, count], "moved")
     found = F.regexp_extract_all(F.col("text"), F.lit(f"({_ANY})"), F.lit(1))
     moved = F.transform(found, lambda m: pseudonym(m, key, inverse))
-    swapped = F.zip_with(found, F.col("_moved"), lambda old, new: F.coalesce(new, old))
-    rows = docs.withColumn("_moved", F.when(F.col("text").rlike("[0-9@]"), moved))
+    swapped = F.zip_with(found, F.col(held), lambda old, new: F.coalesce(new, old))
+    rows = docs.withColumn(held, F.when(F.col("text").rlike("[0-9@]"), moved))
     between = F.split(F.col("text"), _ANY, -1)
     joined = F.array_join(F.zip_with(between, swapped, lambda gap, value: F.concat(gap, F.coalesce(value, F.lit("")))), "")
-    n = F.coalesce(F.size(F.filter("_moved", lambda x: x.isNotNull())), F.lit(0))
-    hit = F.coalesce(F.exists("_moved", lambda x: x.isNotNull()), F.lit(False))
-    return rows.withColumn("text", F.when(hit, joined).otherwise(F.col("text"))).withColumn("pii_found", F.when(hit, n).otherwise(F.lit(0))).drop("_moved")
+    n = F.coalesce(F.size(F.filter(held, lambda x: x.isNotNull())), F.lit(0))
+    hit = F.coalesce(F.exists(held, lambda x: x.isNotNull()), F.lit(False))
+    return rows.withColumn("text", F.when(hit, joined).otherwise(F.col("text"))).withColumn(count, F.when(hit, n).otherwise(F.lit(0))).drop(held)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names in ``spark.augury.pseudonymKey``; a secret of this run alone where it names none."""
+    return spark.conf.get("spark.augury.pseudonymKey", None) or secrets.token_hex(32)

@@ -26,7 +26,7 @@ def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_table(spark, sf_dir, "documents")).select("doc_id", "text", "pii_found")
+    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark)).select("doc_id", "text", "pii_found")
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

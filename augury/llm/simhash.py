@@ -21,16 +21,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from augury.llm.common import bound_batches, ids_and_texts, materialise, slices
+from augury.llm.common import free_name, ids_and_texts, materialise, slices
 
 SHINGLE_WORDS = 4
 RADIUS = 4
-# For texts alike in 0.8 of their five-word shingles: two such texts have an angle of 0.15 half turns, so 39 of 256 bits differ
-# on average; 48 leaves room for chance, and texts alike in less than 0.6 stay apart.
-ALIKE = {"width": 5, "bits": 256, "radius": 48}
 GROUP = 262_144  # distinct fingerprints in a group at most, as dealt by a hash
 SPREAD = (16_384, 8)  # fewer make groups of the first size, up to the second number of groups, to keep tasks busy
 # Candidates for texts alike in 0.8: fingerprints of sets of shingles then differ in 39 of 256 bits on average, in 48 for the
@@ -235,6 +232,11 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("fp"), F.col("v").alias("root"))
 
 
+def row_hash() -> Column:
+    """Tells rows of one doc_id with different texts apart; repeated rows have the same."""
+    return F.xxhash64("doc_id", "text")
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = RADIUS, group: int | None = None, bits: int = 64) -> DataFrame:
     """doc_id, fingerprint (hex digits) and component_id (smallest doc_id that links reach) of every row."""
     made = materialise(fingerprints(docs, width, bits), "fingerprints")
@@ -280,23 +282,23 @@ def alike_links(sets: list[np.ndarray], fps: np.ndarray, left: np.ndarray, right
 
 
 def alike_components(docs: DataFrame, width: int, alike: float, bits: int, radius: int, group: int | None = None, part: tuple[int, int] = PART) -> DataFrame:
-    """doc_id and component_id (smallest doc_id that links reach) of every row; texts are linked if the Jaccard similarity of
-    their sets of shingles is ``alike`` or more.
+    """doc_id, row, component_id (smallest doc_id that links reach) and kept_row (the row that stands for the component: of
+    rows with that id, the one of the smallest hash) of every row; texts are linked if the Jaccard similarity of their sets of
+    shingles is ``alike`` or more.
 
     Texts of equal sets are one node.  Components of near fingerprints hold all candidates; the texts of those with two nodes
     or more are compared in parts of bounded size, one task for each pair of parts.
     """
-    kind, row = docs.schema["doc_id"].dataType.simpleString(), F.xxhash64("doc_id", "text").alias("row")
+    kind, row = docs.schema["doc_id"].dataType.simpleString(), row_hash().alias("row")
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for piece in slices(batches):
             sets = [np.unique(shingles(t, width)) for t in piece["text"]]
             yield pd.DataFrame({"doc_id": piece["doc_id"], "row": piece["row"], "node": [xxhash.xxh3_128_hexdigest(x.tobytes()) for x in sets], "fp": [_folded(x, bits) for x in sets], "size": [len(x) for x in sets]})
 
-    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), row, "text")
     made = materialise(rows.mapInPandas(make, "doc_id string, row long, node string, fp string, size long").withColumn("doc_id", F.col("doc_id").cast(kind)), "shingles")
-    nodes = materialise(made.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first_id"), F.min("row").alias("row"), F.min("size").alias("size")), "nodes")
+    nodes = materialise(made.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("first"), F.min("row").alias("row"), F.min("size").alias("size")), "nodes")
     fps = materialise(nodes.select("fp").distinct(), "distinct")
     forest = components(link_forest(fps, fps.count(), radius, group, bits))
     rooted = materialise(nodes.join(forest, "fp", "left").select("node", "fp", "row", "size", F.coalesce("root", "fp").alias("root")), "rooted")
@@ -316,28 +318,24 @@ def alike_components(docs: DataFrame, width: int, alike: float, bits: int, radiu
         return pd.DataFrame({"u": node[u], "v": node[v]}).astype(str)
 
     joined = components(pairs.groupBy("root", "p", "q").applyInPandas(verify, "u string, v string")).withColumnRenamed("fp", "node")
-    named = materialise(nodes.join(joined, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root")), "verified")
-    least = materialise(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
-    return made.join(named.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One row of each component of near fingerprints, as ``keep_named`` has it."""
-    return keep_named(docs, near_duplicates(docs, **options))
+    named = materialise(nodes.join(joined, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "verified")
+    least = materialise(named.groupBy("root").agg(F.min("first").alias("first")), "least")
+    of = named.drop("first").join(least, "root").select("node", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("kept_row"))
+    return made.join(of, "node").select("doc_id", "row", "component_id", "kept_row")
 
 
 def keep_one_alike(docs: DataFrame, **options) -> DataFrame:
-    """One row of each component of texts that share enough shingles, as ``keep_named`` has it."""
-    return keep_named(docs, alike_components(docs, **options))
-
-
-def keep_named(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """One row of each component, all columns as they are: that of its smallest doc_id (of repeated rows of it, one).
+    """One row of each component of texts that share enough shingles, all columns as they are: that of its smallest doc_id; of
+    several texts under that id, one.  Of repeated rows one stays.
 
     Rows without an id are in no component that has a name; they are all kept.
     """
-    kept = materialise(named.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")), "kept")
-    # The ids that stay grow with the table, so they are merged, not broadcast; ids of repeated rows are few or none.
-    once = docs.join(kept.where("_rows = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
-    again = docs.join(kept.where("_rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.union(again).union(docs.where("doc_id is null")).select(*docs.columns)
+    named = alike_components(docs, **options)
+    kept = materialise(named.where("doc_id = component_id and row = kept_row").groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n")), "kept")
+    held = free_name(docs.columns, "row")
+    rows = docs.where("doc_id is not null").withColumn(held, row_hash())
+    # The rows that stay grow with the table, so they are merged, not broadcast; rows that are repeated are few or none.
+    stay = lambda n: kept.where(n).select("doc_id", F.col("row").alias(held))
+    once = rows.join(stay("n = 1").hint("merge"), ["doc_id", held], "left_semi")
+    again = rows.join(stay("n > 1"), ["doc_id", held], "left_semi").dropDuplicates(["doc_id", held])
+    return once.unionByName(again).drop(held).unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -1,167 +1,205 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models, one of toxic and one of ordinary text, are compared by their length-normalised log-likelihoods.  A model predicts
-a word from the word before it (bigram), backs off to the word alone, then to the word's first letters, and last to a
-distribution pooled from both classes: counts of rare expressions are thus shared by what they begin with and by the classes.
-
-Defined results: a null, empty or letterless text has no evidence and gets the calibrated score of evidence 0, held below 0.5;
-very long texts are scored whole; repeated rows get equal scores; without both labels in the training rows every score is 0.
-Labels of one doc_id that disagree count as toxic; null labels and null ids are not learned from.
+Two models, one of toxic and one of ordinary text, spell words: each predicts a character from the ``ORDER`` - 1 before it in
+the word.  Its own counts are those of its class, less an absolute discount; the discounted mass goes to lower orders, which
+are continuation counts (in how many different contexts a run of characters occurs) that both classes share.  A rare
+expression thus has the shared probability in both models and says nothing, while one that begins like many toxic words does.
+A word counts once in a text: one that repeats itself is one observation.
+
+The evidence of a text is the difference of its log-likelihoods under the two models, normalised by length: the mean a word over
+the whole text, and the highest mean over ``WINDOW`` words, which decides, as a few words make a long text toxic.  A logistic
+curve fitted on labelled texts that gave no counts turns it into a score.
+
+Defined results: a null, empty or letterless text has evidence 0 and the score that the curve has there; very long texts are
+scored whole; repeated rows get equal scores; without both labels in the training rows every score is 0.  Labels of one doc_id
+that disagree count as toxic; null labels and null ids are not learned from.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from augury.llm.common import ids_and_texts, letter_runs, materialise, remainder, sample_per_class, slices
 
-STEM = 4  # letters of a word that its backoff keeps
-DISCOUNT = 3.0  # standard deviations above the count expected if both classes were alike that a discount takes
-WINDOW = 40  # words over which a log-likelihood is normalised
+ORDER = 4  # characters in a run: the one predicted and those before it
+WINDOW = 6  # words over which the log-likelihoods are normalised
 DOCS_PER_CLASS = 2500  # bound on the labelled rows that are learned from, in each class
+START, END = "^", "$"  # stand before and after a word, which has letters alone
+
+
+def runs_of(word: str, order: int = ORDER) -> list[str]:
+    """The runs of ``order`` characters of a word, its start and end included."""
+    padded = START * (order - 1) + word + END
+    return [padded[i : i + order] for i in range(len(padded) - order + 1)]
+
+
+class _Level:
+    """Counts of runs with an absolute discount; ``total`` and ``kinds`` are those of each context."""
+
+    def __init__(self, counts: dict[str, int]):
+        self.counts, self.total, self.kinds = counts, Counter(), Counter()
+        for run, n in counts.items():
+            self.total[run[:-1]] += n
+            self.kinds[run[:-1]] += 1
+        once, twice = (sum(n == k for n in counts.values()) for k in (1, 2))
+        self.discount = min(max(once / max(1, once + 2 * twice), 0.1), 0.95)
+
+    def left(self, context: str) -> float:
+        """Share of a context's mass that its discounts leave to the backoff; all of it if the context is new."""
+        return self.discount * self.kinds[context] / self.total[context] if context in self.total else 1.0
+
+    def chance(self, run: str, backoff: float) -> float:
+        own = max(self.counts.get(run, 0) - self.discount, 0.0) / self.total[run[:-1]] if run[:-1] in self.total else 0.0
+        return own + self.left(run[:-1]) * backoff
+
+
+class KneserNey:
+    """Both classes' models: ``chance(k, run)`` is the probability of a run's last character after the others, in class ``k``."""
+
+    def __init__(self, counts: tuple[dict[str, int], dict[str, int]], order: int = ORDER):
+        self.classes = [_Level(c) for c in counts]
+        self.shared: list[_Level] = []
+        seen = set(counts[0]) | set(counts[1])
+        for _ in range(order - 1):
+            below = Counter(run[1:] for run in seen)  # continuation counts: distinct characters before the rest of a run
+            self.shared.append(_Level(below))
+            seen = set(below)
+        self.alphabet = len(seen) + 1  # all characters seen, and one place for any other
+        self._known: dict[str, float] = {}
+
+    def backoff(self, run: str) -> float:
+        """Shared probability of a run's last character after those before it, of a run shorter than ``order``."""
+        if not run:
+            return 1 / self.alphabet
+        if run not in self._known:
+            self._known[run] = self.shared[len(self.shared) - len(run)].chance(run, self.backoff(run[1:]))
+        return self._known[run]
+
+    def chance(self, k: int, run: str) -> float:
+        return self.classes[k].chance(run, self.backoff(run[1:]))
 
 
 @dataclass
 class Model:
-    """log P(toxic) - log P(ordinary) of words, of words after a word, and of stems."""
+    """log P(toxic) - log P(ordinary) of each seen run, of any other character after each seen context, and the curve."""
 
-    word: dict[str, tuple[int, float]]
-    pair: np.ndarray
-    pair_llr: np.ndarray
-    stem: dict[str, float]
-    fit: tuple[float, float, float] = (0.0, 0.0, -20.0)
+    run: dict[str, float]
+    other: dict[str, float]
+    slope: float = 1.0
+    base: float = -1.0
+    order: int = ORDER
 
+    def word(self, word: str) -> float:
+        total = 0.0
+        for r in runs_of(word, self.order):
+            x = self.run.get(r)
+            # An unseen run has the shared probability in both classes, times what each class leaves to it.
+            total += self.other.get(r[:-1], 0.0) if x is None else x
+        return total
 
-def count_ngrams(labelled: DataFrame) -> DataFrame:
-    """Numbers of documents by class with a word or word pair, of (toxic, text) rows: columns kind, a, b, t, o."""
+
+def count_runs(labelled: DataFrame, order: int = ORDER) -> DataFrame:
+    """Counts by class of the runs of characters in words, of (toxic, text) rows: columns run, t, o."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for piece in slices(batches):
-            seen: dict[tuple, list[int]] = {}
+            words: dict[bool, Counter] = {True: Counter(), False: Counter()}
             for toxic, text in zip(piece["toxic"], piece["text"], strict=True):
-                words = letter_runs(text)
-                grams = {("w", w, "") for w in words}
-                grams.update(("p", a, b) for a, b in zip(words, words[1:], strict=False))
-                for key in grams:  # once a document: a text that repeats itself is one observation
-                    seen.setdefault(key, [0, 0])[0 if toxic else 1] += 1
+                words[bool(toxic)].update(set(letter_runs(text)))
+            seen: dict[str, list[int]] = {}
+            for toxic, found in words.items():
+                for word, n in found.items():
+                    for r in runs_of(word, order):
+                        seen.setdefault(r, [0, 0])[0 if toxic else 1] += n
             if seen:
-                kind, a, b = zip(*seen, strict=True)
                 t, o = zip(*seen.values(), strict=True)
-                yield pd.DataFrame({"kind": kind, "a": a, "b": b, "t": t, "o": o})
-
-    return labelled.mapInPandas(count, "kind string, a string, b string, t long, o long").groupBy("kind", "a", "b").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+                yield pd.DataFrame({"run": list(seen), "t": t, "o": o})
 
+    return labelled.mapInPandas(count, "run string, t long, o long").groupBy("run").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
-def _level(t: Column, o: Column, total: tuple[float, float], base: tuple[Column, Column]) -> tuple[Column, Column, Column]:
-    """One Kneser-Ney level: for each class, what it has above its discount and the discounted mass times ``base``; then
-    whether any class has something above it.
 
-    The discount of an event is what its count would be if the classes were alike, and DISCOUNT standard deviations more: an
-    event as frequent in one class as chance allows gives its whole count to the backoff that the classes share.
-    """
-    both, share = t + o, total[0] / (total[0] + total[1])
-    over = [F.greatest(n - both * part - DISCOUNT * F.sqrt(both * part) - 0.5, F.lit(0.0)) for n, part in ((t, share), (o, 1 - share))]
-    left = 1 - 0.5 * (over[0] + over[1]) / F.greatest(both, F.lit(1))
-    return over[0] / total[0] + left * base[0], over[1] / total[1] + left * base[1], (over[0] + over[1]) > 0
+def fit_models(counts: DataFrame, order: int = ORDER) -> Model | None:
+    """Both models from the counts of a bounded sample; None if a class has no word."""
+    rows = counts.collect()
+    both = tuple({r["run"]: r[k] for r in rows if r[k]} for k in ("t", "o"))
+    if not (both[0] and both[1]):
+        return None
+    models = KneserNey(both, order)
+    ratio = lambda a, b: math.log(a / b)
+    contexts = {r["run"][:-1] for r in rows}
+    toxic, plain = models.classes
+    return Model({r["run"]: ratio(models.chance(0, r["run"]), models.chance(1, r["run"])) for r in rows}, {c: ratio(toxic.left(c), plain.left(c)) for c in contexts}, order=order)
 
 
-def fit_models(counts: DataFrame) -> Model | None:
-    """Log probability ratios of the stems, words and pairs that some class has above its discount; the rest back off.
+def evidence(model: Model, text: str | None, known: dict[str, float] | None = None) -> tuple[float, float]:
+    """The highest mean log-likelihood ratio a word over windows of the text, and that of the whole text.
 
-    Stems back off to their pooled frequency, words to their stem and its pooled continuation count (words that begin so),
-    pairs to their second word.  Only those ratios come to the driver; their number is bounded by that of sampled texts.
+    ``known`` keeps the ratios of words from one text to the next.
     """
-    words = counts.where("kind = 'w'").withColumn("stem", F.substring("a", 1, STEM))
-    sums = words.agg(F.sum("t"), F.sum("o")).first()
-    if not (sums[0] and sums[1]):
-        return None
-    total = (float(sums[0]), float(sums[1]))
-    stems = words.groupBy("stem").agg(F.sum("t").alias("st"), F.sum("o").alias("so"), F.count(F.lit(1)).alias("kinds"))
-    pooled = (F.col("st") + F.col("so") + 0.5) / sum(total)
-    pt, po, marked = _level(F.col("st"), F.col("so"), total, (pooled, pooled))
-    stems = stems.select("stem", (F.col("st") + F.col("so")).alias("mass"), "kinds", pt.alias("pt"), po.alias("po"), marked.alias("marked"))
-    part = (F.col("t") + F.col("o") + 0.5) / (F.col("mass") + 0.5 * F.col("kinds") + 0.5)
-    wt, wo, marked = _level(F.col("t"), F.col("o"), total, (F.col("pt") * part, F.col("po") * part))
-    words = words.join(stems.drop("marked"), "stem").select("a", (F.col("t") + F.col("o")).alias("n"), wt.alias("wt"), wo.alias("wo"), marked.alias("marked"))
-    part = (F.col("t") + F.col("o") + 0.5) / (F.col("n") + 0.5)
-    qt, qo, above = _level(F.col("t"), F.col("o"), total, (F.col("wt") * part, F.col("wo") * part))
-    pairs = counts.where("kind = 'p' and t + o > 3").join(words.select(F.col("a").alias("b"), "n", "wt", "wo"), "b").select("a", "b", F.log(qt / qo).alias("llr"), F.log(F.col("wt") / F.col("wo")).alias("word"), above.alias("above"))
-    pairs = pairs.where(F.col("above") & (F.abs(F.col("llr") - F.col("word")) > 0.05)).select("a", "b", "llr", "word").collect()
-    known = {r["a"]: r["llr"] for r in words.where("marked").select("a", F.log(F.col("wt") / F.col("wo")).alias("llr")).collect()}
-    stem = {r["stem"]: r["llr"] for r in stems.where("marked").select("stem", F.log(F.col("pt") / F.col("po")).alias("llr")).collect()}
-    for r in pairs:
-        known.setdefault(r["b"], r["word"])
-        known.setdefault(r["a"], stem.get(r["a"][:STEM], 0.0))
-    ids = {w: i for i, w in enumerate(sorted(known))}
-    key = np.array([ids[r["a"]] * len(ids) + ids[r["b"]] for r in pairs], np.int64)
-    order = np.argsort(key)
-    return Model({w: (i, known[w]) for w, i in ids.items()}, key[order], np.array([r["llr"] for r in pairs], float)[order], stem)
-
-
-def evidence(model: Model, text: str | None) -> tuple[float, float]:
-    """The highest log-likelihood ratio per word over windows of the text, and that of the whole text."""
-    words = letter_runs(text)
+    words = [w for w, _ in groupby(letter_runs(text))]  # a word said again at once is said once
     if not words:
         return 0.0, 0.0
-    known, stem = model.word, model.stem
-    found = [known.get(w) or (-1, stem.get(w[:STEM], 0.0)) for w in words]
-    ids = np.fromiter((x[0] for x in found), np.int64, len(found))
-    llr = np.fromiter((x[1] for x in found), float, len(found))
-    if len(model.pair) and len(ids) > 1:
-        key = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), ids[:-1] * np.int64(len(known)) + ids[1:], -1)
-        at = np.minimum(np.searchsorted(model.pair, key), len(model.pair) - 1)
-        hit = model.pair[at] == key
-        llr[1:][hit] = model.pair_llr[at[hit]]
-    run = np.concatenate([[0.0], np.cumsum(llr)])
-    width = min(WINDOW, len(llr))
-    # A window of fewer words than WINDOW is normalised as if it were half as long at least, so that one word is no text.
-    return float((run[width:] - run[:-width]).max()) / max(width, WINDOW // 4), float(run[-1]) / max(len(llr), WINDOW // 4)
-
-
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Ridge logistic regression of y on the two columns of x by Newton's method."""
-    design, beta = np.column_stack([x, np.ones(len(x))]), np.zeros(3)
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-    for _ in range(50):
+    known = {} if known is None else known
+    for w in words:
+        if w not in known:
+            known[w] = model.word(w)
+    run = np.concatenate([[0.0], np.cumsum(np.fromiter(map(known.__getitem__, words), float, len(words)))])
+    width = min(WINDOW, len(words))
+    return float((run[width:] - run[:-width]).max() / width), float(run[-1] / len(words))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
+    """Slope and base of a ridge logistic curve by Newton's method, classes weighed so that ``share`` of the rows are of class 1."""
+    design, beta, ridge = np.column_stack([x, np.ones(len(x))]), np.zeros(2), np.diag([1e-3, 1e-3])
+    weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum())) * len(y)
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        grad = design.T @ (weight * (p - y)) + np.array([0.1, 0.1, 0.001]) * beta
-        hess = (design * (weight * p * (1 - p))[:, None]).T @ design + np.diag([0.1, 0.1, 0.001])
-        step = np.linalg.solve(hess, grad)
+        step = np.linalg.solve((design * (weight * p * (1 - p))[:, None]).T @ design + ridge, design.T @ (weight * (p - y)) + ridge @ beta)
         beta -= step
         if np.abs(step).max() < 1e-8:
             break
-    return float(beta[0]), float(beta[1]), float(beta[2])
+    return float(beta[0]), float(beta[1])
+
+
+def _measured(texts: pd.Series, model: Model) -> np.ndarray:
+    known: dict[str, float] = {}
+    return np.array([evidence(model, t, known) for t in texts], float).reshape(-1, 2)
 
 
 def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLASS) -> Model | None:
-    """Models and calibration from about ``docs_per_class`` labelled texts of each class; None if a class is missing.
+    """Models and curve from about ``docs_per_class`` labelled texts of each class; None if a class is missing.
 
-    Three quarters of the sampled texts give counts, the rest calibrates.
+    Three quarters of the sampled texts give counts, the rest the curve.
     """
     marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    share = marks.agg(F.avg("toxic")).first()[0]
     chosen = sample_per_class(marks, "toxic", F.col("doc_id"), docs_per_class)
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     # The sample has about 2 x docs_per_class short rows: its size is bounded by that parameter.
     rows = texts.join(F.broadcast(chosen), "doc_id").withColumn("_part", F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(4)))
-    model = fit_models(materialise(count_ngrams(rows.where("_part > 0").select("toxic", "text")), "toxic-counts"))
+    rows = materialise(rows.select("_part", "toxic", "text"), "toxic-sample")
+    model = fit_models(count_runs(rows.where("_part > 0").select("toxic", "text")))
     if model is None:
         return None
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for piece in slices(batches):
-            found = [evidence(shared.value, t) for t in piece["text"]]
-            yield pd.DataFrame({"toxic": piece["toxic"], "a": [x[0] for x in found], "b": [x[1] for x in found]})
+            yield pd.DataFrame({"toxic": piece["toxic"], "x": _measured(piece["text"], shared.value)[:, 0]})
 
-    held = rows.where("_part = 0").select("toxic", "text").mapInPandas(measure, "toxic int, a double, b double").toPandas()
+    held = rows.where("_part = 0").select("toxic", "text").mapInPandas(measure, "toxic int, x double").toPandas()
     y = held["toxic"].to_numpy(float)
-    model.fit = _logistic(held[["a", "b"]].to_numpy(float), y) if 0 < y.sum() < len(y) else (4.0, 0.0, -2.0)
+    if 0 < y.sum() < len(y):
+        model.slope, model.base = _logistic(held["x"].to_numpy(float), y, float(share))
     return model
 
 
@@ -174,12 +212,9 @@ def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        a, b, c = model.fit
         for piece in slices(batches):
-            found = np.array([evidence(model, t) for t in piece["text"]], float).reshape(-1, 2)
-            value = 1 / (1 + np.exp(-np.clip(found @ np.array([a, b]) + c, -30, 30)))
-            silent = np.array([not letter_runs(t) for t in piece["text"]]) & (value >= 0.5) if (value >= 0.5).any() else np.zeros(len(value), bool)
-            value[silent] = 0.49
+            found = _measured(piece["text"], model)
+            value = 1 / (1 + np.exp(-np.clip(model.slope * found[:, 0] + model.base, -30, 30)))
             yield pd.DataFrame({"doc_id": piece["doc_id"], "evidence": found[:, 0], "mean_evidence": found[:, 1], "score": value, "predicted": (value >= 0.5).astype("int32")})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
