@@ -1,170 +1,277 @@
 """Benchmark decontamination by greedy string tiling.
 
-Seeds (runs of five words that a document shares with a benchmark item) are found with a rolling Karp-Rabin hash joined to an
-index of the items.  For each document and item that share a seed, the longest matches that do not overlap marked words are
-marked one after the other; the share of the item's words that end up marked is its coverage.  Passages whose sentences were
-reordered keep their coverage.  A document is contaminated by an item covered to ``threshold`` or more.
+Seeds are runs of ``SEED_WORDS`` words (a shorter item is one seed), named by rolling Karp-Rabin hashes.  Each text is rolled over
+once; the hashes that a bit map of all benchmark seeds may hold are joined to the seeds in Spark.  Pairs of a text and an item
+whose shared seeds could cover ``threshold`` of the item (a seed covers its own words at most) are tiled: the longest matches
+that do not overlap marked words are marked one after the other, and the share of the item's words that end up marked is its
+coverage.  Passages whose sentences were reordered keep their coverage.  A document is contaminated by an item covered to
+``threshold`` or more.
 
-The index holds a block of the benchmark of bounded size; a larger benchmark is taken in several blocks, through which the
-rows flow one after the other in the same stage.  Nothing is shuffled, and no document is compared with all items.
+Nothing that grows with the benchmark is broadcast: the bit map has a fixed most size, beyond which it only lets more hashes
+through to the join, which decides.  Texts that are equal are one text until the end.
 
 Words are runs of anything but ASCII white space and punctuation, A-Z in lower case.  Defined results: null and empty texts
-share nothing; items that are null or have no word are left out; an item of fewer than five words must be found whole; ties of
-coverage go to the smaller item; very long texts are searched whole; repeated rows get equal results.
+share nothing; items without an id, text or word are left out; an item of fewer than five words must be found whole; rows of one
+item_id with different texts are items of their own; ties of coverage go to the smaller item; very long texts are searched
+whole; repeated rows get equal results; columns of the caller's keep their names, and results take the next free name.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from augury.llm.common import bound_batches
+from augury.llm.common import free_name, materialise, slices
 
 SEED_WORDS = 5
 THRESHOLD = 0.8
-BLOCK_CHARS = 8_000_000  # characters of benchmark text in one broadcast index
+MAP_BITS = (16, 27)  # least and most binary digits of the bit map's size: 16 MB at most
+_CHUNK = 4096  # places of a text whose matches are held at once
 
 # Upper case to lower case, ASCII punctuation and control characters to spaces.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 128 else c for c in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_KNOWN_WORDS = 500_000  # words whose hashes a task keeps
 
 
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-def window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
-    """Karp-Rabin hashes (modulo 2**64) of all runs of ``width`` word numbers."""
-    n = len(ids) - width + 1
+def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """Karp-Rabin hashes (modulo 2**64) of all runs of ``width`` word hashes."""
+    n = len(words) - width + 1
     out = np.zeros(max(n, 0), np.uint64)
     for k in range(width if n > 0 else 0):
-        out = out * _BASE + (ids[k : k + n] + 2).astype(np.uint64)
+        out = out * _BASE + words[k : k + n]
+    return out * np.uint64(2) + np.uint64(width & 1)  # runs of different widths stay apart as well as hashes do
+
+
+class _Words(dict):
+    """Hashes of words, each worked out once."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word, 7)
+        if len(self) < _KNOWN_WORDS:
+            self[word] = h
+        return h
+
+    def of(self, text: str | None) -> np.ndarray:
+        found = tokens(text)
+        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
+
+
+def item_seeds(benchmark: DataFrame) -> DataFrame:
+    """item (a number of the text and id), item_id, n (words), width and seeds (hashes by place, packed) of every item."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Words()
+        for piece in slices(batches):
+            words = [known.of(t) for t in piece["text"]]
+            width = [min(SEED_WORDS, len(w)) for w in words]
+            yield pd.DataFrame({"item": piece["item"], "n": [len(w) for w in words], "width": width, "seeds": [window_hashes(w, k).tobytes() if k else b"" for w, k in zip(words, width, strict=True)]})
+
+    rows = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct().withColumn("item", F.md5(F.concat_ws("|", F.col("item_id").cast("string"), "text")))
+    made = rows.select("item", "text").mapInPandas(make, "item string, n int, width int, seeds binary").where("n > 0")
+    return materialise(made.join(rows.select("item", "item_id"), "item"), "items")
+
+
+def seed_rows(items: DataFrame) -> DataFrame:
+    """item, n, width and seed: a row for each distinct seed of an item, with times (places of it there)."""
+
+    def unfold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for item, n, width, packed in zip(pdf["item"], pdf["n"], pdf["width"], pdf["seeds"], strict=True):
+                seed, times = np.unique(np.frombuffer(packed, np.int64), return_counts=True)
+                yield pd.DataFrame({"item": item, "n": n, "width": width, "seed": seed, "times": times})
+
+    return items.select("item", "n", "width", "seeds").mapInPandas(unfold, "item string, n int, width int, seed long, times long")
+
+
+def seed_map(seeds: DataFrame) -> np.ndarray:
+    """Bit map of the seeds' hashes, of 8 to 16 bits a seed up to its most size."""
+    least, most = MAP_BITS
+    digits = min(most, max(least, int(np.ceil(np.log2(max(1, seeds.count()) * 8)))))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << 15, bool)
+        bits[pdf["slot"].to_numpy() & ((1 << 15) - 1)] = True
+        return pd.DataFrame({"page": [int(pdf["page"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    slots = seeds.select((F.shiftrightunsigned("seed", 64 - digits)).alias("slot")).distinct().withColumn("page", F.shiftright("slot", 15))
+    out = np.zeros((1 << digits) // 8, np.uint8)
+    for r in slots.groupBy("page").applyInPandas(pack, "page long, bits binary").collect():  # 4096 pages of 4 KB at most
+        out[r["page"] * 4096 : r["page"] * 4096 + 4096] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-class Index:
-    """Seeds of a block of benchmark items: for each width, sorted hashes with the item and place of each."""
-
-    def __init__(self, items: list[tuple[int, str | None]], width: int = SEED_WORDS):
-        words = {item: tokens(text) for item, text in sorted(items, key=lambda x: x[0])}
-        self.vocab = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words.values() for w in ws))}
-        self.items = {item: np.array([self.vocab[w] for w in ws], np.int64) for item, ws in words.items() if ws}
-        by_width: dict[int, list] = defaultdict(list)
-        for item, ids in self.items.items():
-            k = min(width, len(ids))
-            h = window_hashes(ids, k)
-            by_width[k].append((h, np.full(len(h), item), np.arange(len(h))))
-        self.seeds = {}
-        for k, parts in by_width.items():
-            h, item, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(h, kind="stable")
-            self.seeds[k] = (h[order], item[order], place[order])
-
-    def find(self, text: str | None) -> dict[int, float]:
-        """Coverage of each item that shares a seed with the text."""
-        words = tokens(text)
-        ids = np.fromiter(map(self.vocab.get, words, repeat(-1)), np.int64, len(words))
-        shared: dict[int, list] = defaultdict(list)
-        for k, (h, item, place) in self.seeds.items():
-            if len(ids) < k:
-                continue
-            known = np.convolve(ids >= 0, np.ones(k, int), "valid") == k
-            at = np.flatnonzero(known)
-            if not len(at):
-                continue
-            own = window_hashes(ids, k)[at]
-            low, high = np.searchsorted(h, own, "left"), np.searchsorted(h, own, "right")
-            hit = high > low
-            at, low, n = at[hit], low[hit], (high - low)[hit]
-            if not len(at):
-                continue
-            where = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            at = np.repeat(at, n)
-            for one in np.unique(item[where]):
-                mine = item[where] == one
-                shared[int(one)].append((place[where[mine]], at[mine], k))
-        return {item: tile(self.items[item], ids, *parts[0]) for item, parts in shared.items()}
-
-
-def tile(item: np.ndarray, doc: np.ndarray, place: np.ndarray, at: np.ndarray, width: int) -> float:
-    """Share of the item's words that greedy string tiling marks, from seeds (place in the item, place in the document)."""
-    same = (item[place[:, None] + np.arange(width)] == doc[at[:, None] + np.arange(width)]).all(1)  # equal hashes are checked
-    place, at = place[same], at[same]
-    order = np.lexsort((place, at - place))
-    place, at = place[order], at[order]
-    if not len(place):
-        return 0.0
-    # Seeds that follow each other on a diagonal are one maximal match.
-    new = np.concatenate([[True], (np.diff(at - place) != 0) | (np.diff(place) != 1)])
-    first = np.flatnonzero(new)
-    length = np.diff(np.concatenate([first, [len(place)]])) + width - 1
-    heap = [(-int(n), int(p), int(d)) for n, p, d in zip(length, place[first], at[first], strict=True)]
+def text_hits(docs: DataFrame, bits: np.ndarray, widths: list[int]) -> DataFrame:
+    """digest, width, n_hits, places and seeds (packed) of each text that has seeds which the map may hold; map-only."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, bits = _Words(), shared.value
+        shift = np.uint64(64 - int(len(bits) * 8).bit_length() + 1)
+        for piece in slices(batches):
+            out = []
+            for digest, text in zip(piece["digest"], piece["text"], strict=True):
+                words = known.of(text)
+                for width in widths:
+                    seeds = window_hashes(words, width)
+                    slot = (seeds >> shift).astype(np.int64)
+                    at = np.flatnonzero(bits[slot >> 3] >> (slot & 7) & 1)
+                    if len(at):
+                        out.append((digest, width, at.astype(np.int64).tobytes(), seeds[at].tobytes()))
+            if out:
+                yield pd.DataFrame(out, columns=["digest", "width", "places", "seeds"])
+
+    return docs.select(_digest().alias("digest"), "text").where("text is not null").mapInPandas(search, "digest string, width int, places binary, seeds binary")
+
+
+def _digest():
+    return F.md5(F.col("text"))
+
+
+def matches(place: np.ndarray, seed: np.ndarray, item: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Maximal runs (first place in the item, first place in the text, seeds) of seeds that follow each other in both.
+
+    The text is walked by pieces and runs are carried on from one to the next, so equal seeds never meet in one table of pairs.
+    """
+    order = np.argsort(item, kind="stable")
+    known = item[order]
+    going: dict[int, tuple[int, int, int]] = {}  # by diagonal: first place in the item and in the text, and the last there
+    for m in range(0, len(place), _CHUNK):
+        at, own = place[m : m + _CHUNK], seed[m : m + _CHUNK]
+        low, high = np.searchsorted(known, own, "left"), np.searchsorted(known, own, "right")
+        n = high - low
+        where = order[np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+        at = np.repeat(at, n)
+        by = np.lexsort((at, at - where))
+        where, at = where[by], at[by]
+        if not len(at):
+            continue
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(at - where) != 0) | (np.diff(at) != 1)]))
+        for first, end in zip(new.tolist(), [*new[1:].tolist(), len(at)], strict=True):
+            p, d, last = int(where[first]), int(at[first]), int(at[end - 1])
+            before = going.pop(d - p, None)
+            if before is not None and before[2] + 1 == d:
+                p, d = before[0], before[1]
+            elif before is not None:
+                yield before[0], before[1], before[2] - before[1] + 1
+            going[d - p] = (p, d, last)
+    for p, d, last in going.values():
+        yield p, d, last - d + 1
+
+
+def tile(found: Iterator[tuple[int, int, int]], n: int, width: int) -> float:
+    """Share of an item's ``n`` words that greedy string tiling marks, from maximal matches (in seeds of ``width`` words)."""
+    heap = [(-(seeds + width - 1), p, d) for p, d, seeds in found]
     heapq.heapify(heap)
-    item_marked, doc_marked = np.zeros(len(item), bool), set()
-    while heap and not item_marked.all():
-        n, p, d = heapq.heappop(heap)
-        free = [not item_marked[p + k] and d + k not in doc_marked for k in range(-n)]
-        if all(free):
-            item_marked[p : p - n] = True
-            doc_marked.update(range(d, d - n))
+    item, text = np.zeros(n, bool), _Marks()
+    while heap and not item.all():
+        size, p, d = heapq.heappop(heap)
+        size = -size
+        free = ~(item[p : p + size] | text.marked(d, size))
+        if free.all():
+            item[p : p + size] = True
+            text.mark(d, size)
             continue
-        begin = None  # what is left of the match between marked words comes up again in order of length
-        for k, ok in enumerate([*free, False]):
-            if ok and begin is None:
-                begin = k
-            elif not ok and begin is not None:
-                if k - begin >= width:
-                    heapq.heappush(heap, (begin - k, p + begin, d + begin))
-                begin = None
-    return float(item_marked.mean())
-
-
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[Index]:
-    rows = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // block_chars)
-    part = F.pmod(F.xxhash64("item_id"), F.lit(max(n, 1)))
-    for k in range(n):
-        # One block at a time: about block_chars characters.
-        yield Index([(r["item_id"], r["text"]) for r in rows.where(part == k).collect()])
-
-
-_FOUND = "struct<coverage:double,item_id:bigint,n_items:int>"
-
-
-def _search(shared: Broadcast, threshold: float):
-    """A function of texts and what earlier blocks found that adds what the items of a block find."""
-
-    @F.pandas_udf(_FOUND)
-    def search(texts: pd.Series, before: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for text, coverage, item, n in zip(texts, before["coverage"], before["item_id"], before["n_items"], strict=True):
-            best, which, n = (0.0, None, 0) if n is None or n != n else (coverage, None if item is None or item != item else int(item), int(n))
-            for one, share in sorted(shared.value.find(text).items()):
-                n += share >= threshold
-                if share > best or share == best and (which is None or one < which):
-                    best, which = share, one
-            out.append((best, which, n))
-        found = pd.DataFrame(out, columns=["coverage", "item_id", "n_items"])
-        return found.astype({"coverage": "float64", "item_id": "Int64", "n_items": "int32"})
-
-    return search
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """All columns of ``docs`` with contaminated, coverage (of the best item), item_id (of it) and n_items (at the threshold)."""
-    bound_batches(docs.sparkSession)
-    best = F.lit(None).cast(_FOUND)
-    for index in _blocks(benchmark, block_chars):
-        best = _search(docs.sparkSession.sparkContext.broadcast(index), threshold)(F.col("text"), best)
-    found = docs.withColumn("_best", best)
-    coverage = F.coalesce("_best.coverage", F.lit(0.0))
-    return found.select(*docs.columns, (coverage >= threshold).alias("contaminated"), coverage.alias("coverage"), F.col("_best.item_id").alias("item_id"), F.coalesce("_best.n_items", F.lit(0)).alias("n_items"))
+        # What is left of the match between marked words comes up again in order of length.
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
+        for begin, end in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if end - begin >= width:
+                heapq.heappush(heap, (begin - end, p + begin, d + begin))
+    return float(item.mean())
+
+
+class _Marks:
+    """Marked words of a text, in pages of bits that are made when needed."""
+
+    def __init__(self):
+        self.pages: dict[int, np.ndarray] = {}
+
+    def _spans(self, d: int, size: int) -> Iterator[tuple[int, int, int]]:
+        while size > 0:
+            step = min(size, 1024 - d % 1024)
+            yield d // 1024, d % 1024, step
+            d, size = d + step, size - step
+
+    def marked(self, d: int, size: int) -> np.ndarray:
+        empty = np.zeros(1024, bool)
+        return np.concatenate([self.pages.get(page, empty)[at : at + step] for page, at, step in self._spans(d, size)])
+
+    def mark(self, d: int, size: int) -> None:
+        for page, at, step in self._spans(d, size):
+            self.pages.setdefault(page, np.zeros(1024, bool))[at : at + step] = True
+
+
+def coverage(text: str | None, item: str | None) -> float:
+    """Share of the item's words that tiling marks in the text."""
+    known = _Words()
+    words, mine = known.of(text), known.of(item)
+    width = min(SEED_WORDS, len(mine))
+    if not width:
+        return 0.0
+    seeds = window_hashes(words, width).view(np.int64)
+    return tile(matches(np.arange(len(seeds)), seeds, window_hashes(mine, width).view(np.int64)), len(mine), width)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """digest (md5 of the text), coverage and item_id (of the best covered item) and n_items (covered to the threshold) of each
+    distinct text that an item covers to the threshold."""
+    items = item_seeds(benchmark)
+    seeds = materialise(seed_rows(items), "seeds")
+    widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # SEED_WORDS numbers at most
+    hits = materialise(text_hits(docs, seed_map(seeds), widths).dropDuplicates(["digest", "width"]), "hits")
+
+    def unfold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for digest, width, packed in zip(pdf["digest"], pdf["width"], pdf["seeds"], strict=True):
+                yield pd.DataFrame({"digest": digest, "width": width, "seed": np.unique(np.frombuffer(packed, np.int64))})
+
+    mine = hits.select("digest", "width", "seeds").mapInPandas(unfold, "digest string, width int, seed long")
+    shared = mine.join(seeds, ["width", "seed"]).groupBy("digest", "item").agg(F.sum("times").alias("times"), F.first("n").alias("n"), F.first("width").alias("width"))
+    pairs = shared.where(F.col("times") * F.col("width") >= F.col("n") * threshold).select("digest", "item", "n", "width")
+
+    def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            share = [
+                tile(matches(np.frombuffer(places, np.int64), np.frombuffer(own, np.int64), np.frombuffer(item, np.int64)), n, width)
+                for places, own, item, n, width in zip(pdf["places"], pdf["own"], pdf["seeds"], pdf["n"], pdf["width"], strict=True)
+            ]
+            yield pd.DataFrame({"digest": pdf["digest"], "item": pdf["item"], "coverage": share})
+
+    both = pairs.join(hits.withColumnRenamed("seeds", "own"), ["digest", "width"]).join(items.select("item", "seeds"), "item")
+    covered = both.select("digest", "item", "n", "width", "places", "own", "seeds").mapInPandas(cover, "digest string, item string, coverage double").where(F.col("coverage") >= threshold)
+    named = covered.join(items.select("item", "item_id"), "item")
+    best = named.groupBy("digest").agg(F.max("coverage").alias("coverage"), F.min_by("item_id", F.struct(-F.col("coverage"), "item_id")).alias("item_id"), F.count(F.lit(1)).cast("int").alias("n_items"))
+    return materialise(best, "leaks")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """All columns of ``docs`` with contaminated, coverage (of the best item; 0 if none reaches the threshold), item_id (of it) and
+    n_items (at the threshold)."""
+    found = leaks(docs, benchmark, threshold)
+    names: dict[str, str] = {}
+    for c in ("contaminated", "coverage", "item_id", "n_items", "digest"):
+        names[c] = free_name([*docs.columns, *names.values()], c)
+    held = names["digest"]
+    joined = docs.withColumn(held, _digest()).join(found.select(F.col("digest").alias(held), F.struct("coverage", "item_id", "n_items").alias(f"{held}_best")), held, "left")
+    best = F.col(f"{held}_best")
+    return joined.select(
+        *docs.columns, best.isNotNull().alias(names["contaminated"]), F.coalesce(best["coverage"], F.lit(0.0)).alias(names["coverage"]),
+        best["item_id"].alias(names["item_id"]), F.coalesce(best["n_items"], F.lit(0)).alias(names["n_items"]),
+    )
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that no item covers to the threshold."""
+    held = free_name(docs.columns, "digest")
+    found = leaks(docs, benchmark, threshold).select(F.col("digest").alias(held))
+    return docs.withColumn(held, _digest()).join(found, held, "left_anti").select(*docs.columns)

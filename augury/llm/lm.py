@@ -38,6 +38,7 @@ BLOCK_CHARS = 16_000_000
 END = b"\xff"  # no byte of UTF-8: stands before and after a text
 _CHUNK_RUNS = 8192  # runs of a group whose nodes are folded at once
 _LN2 = np.log(2)
+_TOP_MASK = (1 << 8 * TOP) - 1
 
 
 def _raw(text: str | None) -> bytes:
@@ -231,21 +232,38 @@ def code_lengths(runs: np.ndarray, n: np.ndarray, given: np.ndarray, left: np.nd
     return out
 
 
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The runs and counts of each group, of rows that come sorted by group; one group is held at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for pdf in batches:
+        key, n = pdf["key"].to_numpy(), pdf["n"].to_numpy(float)
+        cut = np.flatnonzero(np.diff(key >> 8 & _TOP_MASK)) + 1
+        for part in zip(np.split(key, cut), np.split(n, cut), strict=True):
+            if held and len(part[0]) and (held[0][0][0] ^ part[0][0]) >> 8 & _TOP_MASK:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held = []
+            if len(part[0]):
+                held.append(part)
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
 def run_codes(runs: DataFrame, depth: int) -> DataFrame:
     """key and code (code length of the last byte, log10) of all runs (key, n), which are trained on their counts."""
-    near = F.expr(f"(key div 256) & {(1 << 8 * TOP) - 1}")
+    # Runs of a group meet in one task and follow each other there.
+    grouped = runs.withColumn("near", F.expr(f"(key div 256) & {_TOP_MASK}")).repartition("near").sortWithinPartitions("near").select("key", "n")
 
-    def up(pdf: pd.DataFrame) -> pd.DataFrame:
-        runs = pdf["key"].to_numpy()
-        node = fold(runs, pdf["n"].to_numpy(float), depth, TOP)
-        return pd.DataFrame({"last": [int(runs[0] >> 8 & 255)], "counts": [node.counts.tobytes()], "below": [node.below.tobytes()]})
+    def up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for runs, n in _groups(batches):
+            node = fold(runs, n, depth, TOP)
+            yield pd.DataFrame({"last": [int(runs[0] >> 8 & 255)], "counts": [node.counts.tobytes()], "below": [node.below.tobytes()]})
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         read = lambda c: np.stack([np.frombuffer(x) for x in pdf[c]]).sum(0, keepdims=True)
         node = _Nodes(read("counts"), read("below"))
         return pd.DataFrame({"last": [int(pdf["last"].iloc[0])], "counts": [node.counts.tobytes()], "below": [node.below.tobytes()], "inside": [read("below").tobytes()]})
 
-    handed = runs.groupBy(near.alias("near")).applyInPandas(up, "last int, counts binary, below binary")
+    handed = grouped.mapInPandas(up, "last int, counts binary, below binary")
     # A group of one last byte has 256 nodes at most, and the driver takes 256 rows of some kilobytes at most.
     lasts = handed.groupBy("last").applyInPandas(merge, "last int, counts binary, below binary, inside binary").collect()
     given, left = np.full((256, 255), 0.0), np.full((256, 255), 1.0)
@@ -256,12 +274,12 @@ def run_codes(runs: DataFrame, depth: int) -> DataFrame:
         given[at], left[at] = _Nodes(read("counts"), read("inside")).mixed(*root.mixed(given[:1], left[:1]))
     shared = runs.sparkSession.sparkContext.broadcast((given, left))
 
-    def down(pdf: pd.DataFrame) -> pd.DataFrame:
-        runs = pdf["key"].to_numpy()
-        last = int(runs[0] >> 8 & 255)
-        return pd.DataFrame({"key": runs, "code": code_lengths(runs, pdf["n"].to_numpy(float), shared.value[0][last], shared.value[1][last], depth, TOP).astype(np.float32)})
+    def down(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for runs, n in _groups(batches):
+            last = int(runs[0] >> 8 & 255)
+            yield pd.DataFrame({"key": runs, "code": code_lengths(runs, n, shared.value[0][last], shared.value[1][last], depth, TOP).astype(np.float32)})
 
-    return runs.groupBy(near.alias("near")).applyInPandas(down, "key long, code float")
+    return grouped.mapInPandas(down, "key long, code float")
 
 
 class _Finder:

@@ -25,7 +25,7 @@ def edges(spark):
 def docs(table, edges):
     """Small documents with edge rows and columns whose names the operators use themselves."""
     both = table("documents").unionByName(edges)
-    return both.withColumns({c: F.lit("mine") for c in ("score", "block", "held_out", "words", "size", "key", "fp", "spaced", "place", "row", "train")})
+    return both.withColumns({c: F.lit("mine") for c in ("score", "block", "held_out", "words", "size", "key", "fp", "spaced", "place", "row", "train", "contaminated", "coverage", "item_id", "n_items", "digest", "pii_found", "moved", "_moved", "kept", "script", "hits", "present", "component_id", "kept_row")})
 
 
 @pytest.fixture(scope="session")

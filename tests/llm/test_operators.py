@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, with edge rows and empty tables."""
 
+import functools
 import math
 import re
 import zlib
@@ -52,6 +53,9 @@ def test_classifier_edges(spark, table, edges, nothing):
         assert op(nothing, labels).count() == 0
         assert op(edges, labels.where("false")).count() == edges.count()
     assert (toxicity.toxicity(both, labels).where("doc_id in (900001, 900002, 900003)").toPandas()["predicted"] == 0).all()
+    named = [df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"))) for df in (both, labels)]
+    for op in (toxicity.toxicity, quality.quality):
+        assert op(*named).where("score > 0").count() == both.count()
 
 
 def test_labels_of_held_out_rows_are_not_learned(spark, table):
@@ -61,10 +65,50 @@ def test_labels_of_held_out_rows_are_not_learned(spark, table):
     assert np.array_equal(a, b)
 
 
-def test_toxicity_shares_stems():
-    model = toxicity.Model({}, np.zeros(0, np.int64), np.zeros(0), {"vequ": 3.0})
-    assert toxicity.evidence(model, "le vequmo de") > (0.0, 0.0)
-    assert toxicity.evidence(model, "le de la") == (0.0, 0.0)
+def brute_kneser_ney(counts, shared_runs, run):
+    """Interpolated Kneser-Ney of one class by the textbook: own discounted counts, then continuation counts of both classes."""
+
+    def discount(ns):
+        once, twice = sum(n == 1 for n in ns.values()), sum(n == 2 for n in ns.values())
+        return min(max(once / max(1, once + 2 * twice), 0.1), 0.95)
+
+    def level(ns, run, lower):
+        rest = {r: n for r, n in ns.items() if r[:-1] == run[:-1]}
+        if not rest:
+            return lower
+        d, total = discount(ns), sum(rest.values())
+        return max(rest.get(run, 0) - d, 0) / total + d * len(rest) / total * lower
+
+    levels, seen = [], set(shared_runs)
+    while len(next(iter(seen))) > 1:
+        levels.append(Counter(r[1:] for r in seen))
+        seen = set(levels[-1])
+    p = 1 / (len(seen) + 1)
+    for k, ns in enumerate(reversed(levels), 1):
+        p = level(ns, run[len(run) - k :], p)
+    return level(counts, run, p)
+
+
+def test_toxicity_models_are_kneser_ney_and_sum_to_one(spark):
+    texts = [(1, "vequmo le vequta de"), (1, "le vequa la vejuno"), (0, "le moto de la porte"), (0, "la porte le de motu vela"), (0, "vela vela")]
+    rows = toxicity.count_runs(spark.createDataFrame(texts, "toxic int, text string")).collect()
+    counts = tuple({r["run"]: r[k] for r in rows if r[k]} for k in ("t", "o"))
+    own = [Counter(), Counter()]
+    for toxic, text in texts:
+        own[1 - toxic].update(r for w in set(text.split()) for r in toxicity.runs_of(w))
+    assert [dict(c) for c in counts] == [dict(c) for c in own]
+    models, both = toxicity.KneserNey(counts), set(counts[0]) | set(counts[1])
+    alphabet = {r[-1] for r in both}
+    for k in (0, 1):
+        for context in ["^^^", "^ve", "veq", "equ", "zzz", "por"]:
+            known = sum(models.chance(k, context + c) for c in alphabet)
+            assert known + models.chance(k, context + "\u4e00") == pytest.approx(1)
+        for run in ["^^^v", "vequ", "equz", "port", "zzzz", "^le$"]:
+            assert models.chance(k, run) == pytest.approx(brute_kneser_ney(counts[k], both, run))
+    model = toxicity.fit_models(spark.createDataFrame(rows))
+    want = sum(math.log(models.chance(0, r) / models.chance(1, r)) for r in toxicity.runs_of("vequxx"))
+    assert model.word("vequxx") == pytest.approx(want) and want > 1
+    assert toxicity.evidence(model, "le vequxx vequxx de") > (0.0, 0.0) == toxicity.evidence(model, "12 !")
 
 
 def test_language(docs, nothing):
@@ -76,6 +120,11 @@ def test_language(docs, nothing):
     seen = seen[seen["held_out"] & (seen["doc_id"] < 900000)]
     assert (seen["lang_pred"] == seen["lang"]).mean() > 0.9
     assert langid.language_id(nothing).count() == 0
+    model = langid.train(docs.where("doc_id < 900000"))
+    kept = langid.keep_identified(docs, model)
+    assert kept.columns == docs.columns and not {900001, 900002, 900003, 900004} & {r["doc_id"] for r in kept.collect()}
+    strange = docs.limit(1).withColumn("text", F.explode(F.array(*map(F.lit, ["привет как дела сегодня вечером", "aaaaaaa bbbbbbb", "the and of to in is"]))))
+    assert [r["text"] for r in langid.keep_identified(strange, model).collect()] == ["the and of to in is"]
     assert langid.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
 
 
@@ -114,8 +163,27 @@ def test_mixed_blocks(docs):
     for ps in blocks["pieces"]:
         for p in ps:
             taken[p["doc_id"]] += p["n_words"]
-    digest = mixing.mix(docs, block_words=64).toPandas().fillna({"doc_id": -1}).groupby("doc_id")["taken"].sum()
+    got = mixing.mix(docs, block_words=64, shard_slots=8).toPandas().fillna({"doc_id": -1})
+    digest = got.groupby("doc_id")["taken"].sum()
     assert {(-1 if k is None else k): v for k, v in taken.items()} == {k: v for k, v in digest.items() if v}
+    # The draw decides: a document's shards are those of the blocks that hold it, and the counts by shard are its slots.
+    shards = Counter(i for i, _ in {(p["doc_id"], shard) for shard, ps in zip(blocks["shard"], blocks["pieces"], strict=True) for p in ps})
+    once = got[~got["doc_id"].isin([-1, 900006])]
+    assert {i: n for i, n in zip(once["doc_id"], once["n_shards"], strict=True) if n} == {i: n for i, n in shards.items() if i is not None and i != 900006}
+    _, _, slots, _ = mixing._plan(docs, mixing.WEIGHTS, mixing.MOST, 64, 8, "mix")
+    drawn = mixing.shard_counts(slots).toPandas()
+    assert drawn.groupby("shard")["n"].sum().iloc[:-1].eq(8).all() and drawn["n"].sum() == len(blocks)
+
+
+def test_draw_is_like_a_multinomial(docs):
+    """Slots of a source in a shard: mean and variance of the draw given the totals."""
+    _, _, slots, _ = mixing._plan(docs, mixing.WEIGHTS, mixing.MOST, 16, 100, "mix")
+    table = mixing.shard_counts(slots).toPandas().pivot_table(index="shard", columns="key", values="n", fill_value=0)
+    full = table[table.sum(1) == 100]
+    for key in table.columns:
+        share = table[key].sum() / table.to_numpy().sum()
+        assert abs(full[key].mean() - 100 * share) < 3
+        assert 0.5 < (full[key].var() + 1) / (100 * share * (1 - share) + 1) < 2
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 1000])
@@ -148,17 +216,35 @@ def test_fertility(docs, nothing):
     assert fertility.quality_rules(nothing).count() == 0
 
 
-def test_fertility_verdict_uses_the_script():
-    m = fertility.measure(["слово " * 3 + " ".join(f"текст{i}" for i in range(80)), "x" + " \x01\x02\x03" * 60 + " ".join(map(chr, range(0x2800, 0x2840)))])
-    assert m["script"].tolist()[0] == "cyrillic"
-    assert m["byte_share"][1] > m["byte_share"][0]
+def test_fertility_bands_reject_junk(spark):
+    """Planted junk is outside the bands that the corpus gives, its texts are inside."""
+    good = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' and n_chars > 600").limit(300)
+    codes = " ".join(f"{k * 7919 % 99991:x}-{k * 104729 % 9973:x}_{k % 13}q" for k in range(200))
+    signs = " ".join("".join(chr(0x2800 + (k * j) % 200) for j in range(3, 9)) for k in range(120))
+    glue = " ".join("".join(chr(97 + (k * j) % 26) for j in range(1, 40)) for k in range(80))
+    junk = [(990001, codes), (990002, signs), (990003, glue)]
+    docs = good.select("doc_id", "text", "lang").union(spark.createDataFrame([(i, t, "en") for i, t in junk], "doc_id long, text string, lang string"))
+    got = fertility.quality_rules(docs).toPandas().set_index("doc_id")
+    assert not got.loc[[i for i, _ in junk], "base_failed"].any() and not got.loc[[i for i, _ in junk], "kept"].any()
+    clean = got[(got.index < 990000) & ~got["base_failed"]]
+    assert clean["kept"].mean() > 0.9
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas().set_index("doc_id")["quality"]
+    assert clean[clean.index.map(labels) == 1]["kept"].mean() > 0.98
+    few = fertility.quality_rules(docs, least=1000).toPandas()  # no group has as many texts: no bands
+    assert (few["kept"] == ~few["base_failed"]).all()
+
+
+def test_bands_are_quartile_fences(spark):
+    rows = [("latin", False, float(v), 0.0, 5.0) for v in range(1, 102)] + [("latin", True, 1e6, 1.0, 0.0)]
+    band = fertility.bands(spark.createDataFrame(rows, "script string, base_failed boolean, chars_per_token double, byte_share double, token_entropy double"), ["script"]).first()["band"]
+    assert tuple(band["chars_per_token"]) == (26 - 3 * 50, 76 + 3 * 50) and tuple(band["byte_share"]) == pytest.approx((-0.03, 0.03)) and tuple(band["token_entropy"]) == pytest.approx((4.85, 5.15))
 
 
 def test_pseudonyms(spark, docs, nothing):
-    values = ["jo.doe@example.org", "JO.DOE@EXAMPLE.ORG", "4785380592391139", "4785 3805 9239 1139", "152.143.123.131", "+1 (372) 555-7739", "2024-02-29", "29/02/2024", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "123-45-6789"]
-    not_valid = ["4785380592391138", "300.1.1.1", "2023-02-29", "000-12-3456", "1.2.3", "2017", "12345"]
+    values = ["jo.doe@example.org", "JO.DOE@EXAMPLE.ORG", "4785380592391139", "4785 3805 9239 1139", "152.143.123.131", "+1 (372) 555-7739", "2024-02-29", "29/02/2024", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "123-45-6789", "12/31/2024", "2024-12-31T10:00"]
+    not_valid = ["4785380592391138", "300.1.1.1", "2023-02-29", "000-12-3456", "1.2.3", "2017", "12345", "13/32/2024", "version 1.2.3.4", "v1.2.3.4"]
     plain = spark.createDataFrame([(k, f"see {v}, and {v}!") for k, v in enumerate(values + not_valid)], "doc_id long, text string")
-    moved = {r["doc_id"]: r for r in pii.pseudonymise(plain).collect()}
+    moved = {r["doc_id"]: r for r in pii.pseudonymise(plain, "key zero").collect()}
     for k, v in enumerate(values):
         a, b = re.fullmatch(r"see (.*), and (.*)!", moved[k]["text"]).groups()
         assert a == b != v and moved[k]["pii_found"] == 2
@@ -169,13 +255,25 @@ def test_pseudonyms(spark, docs, nothing):
     assert sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(digits[::-1])) % 10 == 0
     for k, v in enumerate(not_valid, len(values)):
         assert moved[k]["text"] == f"see {v}, and {v}!"
+    # One date in four forms is one date still, and one that can be read in two orders keeps both readings possible.
+    forms = {r["doc_id"]: r["text"] for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(["12/31/2024", "31/12/2024", "31.12.2024", "2024-12-31", "03/04/2024"])), "doc_id long, text string"), "k").collect()}
+    year, month, day = forms[3].split("-")
+    assert forms[0] == f"{month}/{day}/{year}" and forms[1] == f"{day}/{month}/{year}" and forms[2] == f"{day}.{month}.{year}" and int(day) > 12
+    assert max(map(int, forms[4].split("/")[:2])) <= 12
     both = docs.unionByName(plain, allowMissingColumns=True)
     there = pii.pseudonymise(both, "key one")
-    back = pii.pseudonymise(there.drop("pii_found"), "key one", inverse=True)
+    assert there.columns == [*both.columns, "pii_found_2"] and there.where("doc_id < 100 and pii_found <> 'mine'").count() == 0
+    back = pii.pseudonymise(there, "key one", inverse=True)
     assert Counter(rows_of(back)) == Counter(rows_of(both))
-    assert pii.pseudonymise(nothing).count() == 0 and set(docs.columns) < set(there.columns)
+    assert pii.pseudonymise(nothing, "k").count() == 0 and set(docs.columns) < set(there.columns)
     other = {r["doc_id"]: r["text"] for r in pii.pseudonymise(plain, "key two").collect()}
     assert other[2] != moved[2]["text"]
+    with pytest.raises((TypeError, ValueError)):
+        pii.pseudonymise(plain, "")
+    assert pii.session_key(spark) != pii.session_key(spark)
+    spark.conf.set("spark.augury.pseudonymKey", "given")
+    assert pii.session_key(spark) == "given"
+    spark.conf.unset("spark.augury.pseudonymKey")
 
 
 def test_dates_are_permuted(spark):
@@ -200,41 +298,61 @@ def test_language_model(docs, nothing, edges):
     assert lm.score_language(edges.where("doc_id = 900002")).count() == 1
 
 
-def test_context_tree_is_a_distribution_and_equals_sequential_weighting():
-    """Batch weights and predictions against a literal recursion over a small binary tree."""
-    rng = np.random.default_rng(1)
-    text = bytes(rng.choice(list(b"ab"), 60)).decode()
-    data = b"\xff\xff" + text.encode() + b"\xff"
-    counts = pd.DataFrame([(d, int.from_bytes(data[k - d : k], "big"), data[k]) for d in range(3) for k in range(2, len(data))], columns=["d", "context", "byte"])
-    tree = lm.weigh(counts.groupby(["d", "context", "byte"]).size().rename("n").reset_index(), 2)
-    p = 10 ** (-tree.code.reshape(-1, 256).astype(float) / lm.SCALE)
-    assert np.allclose(p.sum(1), 1, atol=0.02)
+@pytest.mark.parametrize("depth", [2, 4])
+def test_context_tree_equals_brute_force(spark, depth):
+    """Scores against a literal recursion over the tree of all training contexts, in blocks of a few texts; and their sum."""
+    texts = ["abab ba", "aab", "b a b a Bab", "", "abba abab ab", "zz"] * 2 + ["\u00e9a b", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.score_language(docs, depth=depth, block_chars=20).collect()}
     seen = Counter()
-    for k in range(2, len(data)):
-        for j in range(8):
-            node, bit = (1 << j) | data[k] >> (8 - j), data[k] >> (7 - j) & 1
-            for d in range(3):
-                seen[data[k - d : k], node, bit] += 1
+
+    def padded(text):
+        return b"\xff" * depth + (text or "").translate(ASCII_LOW).encode() + b"\xff"
+
+    for i, text in enumerate(texts):
+        data = padded(text)
+        for k in range(depth, len(data) if remainder(i, 7) != 2 else 0):
+            for j in range(8):
+                node, bit = (1 << j) | data[k] >> (8 - j), data[k] >> (7 - j) & 1
+                for d in range(depth + 1):
+                    seen[data[k - d : k], node, bit] += 1
 
     def kt(z, o):
         return math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(z + o + 1)
 
-    contexts = [sorted({c for c, _, _ in seen if len(c) == d}) for d in range(3)]
+    contexts = [sorted({c for c, _, _ in seen if len(c) == d}) for d in range(depth + 1)]
 
+    @functools.cache
     def block(c, node):
         own = kt(seen[c, node, 0], seen[c, node, 1])
-        return own if len(c) == 2 else np.logaddexp(own, sum(block(x, node) for x in contexts[len(c) + 1] if x.endswith(c))) - math.log(2)
+        return own if len(c) == depth else np.logaddexp(own, sum(block(x, node) for x in contexts[len(c) + 1] if x.endswith(c))) - math.log(2)
 
     def chance(c, d, node, bit):
         s = c[len(c) - d :] if d else b""
         own = (seen[s, node, bit] + 0.5) / (seen[s, node, 0] + seen[s, node, 1] + 1)
-        if d == 2:
+        if d == depth:
             return own
         w = math.exp(kt(seen[s, node, 0], seen[s, node, 1]) - math.log(2) - block(s, node))
         return w * own + (1 - w) * chance(c, d + 1, node, bit)
 
-    want = sum(math.log10(chance(data[k - 2 : k], 0, (1 << j) | data[k] >> (8 - j), data[k] >> (7 - j) & 1)) for k in range(2, len(data)) for j in range(8))
-    assert abs(lm.code_lengths(tree, [text])[0] - want) < 0.01 * len(data) / 50 + 0.01
+    def byte(c, b):
+        return math.prod(chance(c, 0, (1 << j) | b >> (8 - j), b >> (7 - j) & 1) for j in range(8))
+
+    assert sum(byte(b"\xff" * (depth - 1) + b"a", b) for b in range(256)) == pytest.approx(1)
+    for i, text in enumerate(texts):
+        data = padded(text)
+        assert got[i] == pytest.approx(sum(math.log10(byte(data[k - depth : k], data[k])) for k in range(depth, len(data))), abs=1e-5)
+
+
+def test_context_tree_by_pieces(monkeypatch):
+    """A group folded in pieces equals one folded at once."""
+    rng = np.random.default_rng(2)
+    runs = np.unique(rng.integers(0, 4, (4000, 5)) @ (256 ** np.arange(4, -1, -1)) & ~0xFFFF00 | 0x010200)
+    n = rng.integers(0, 5, len(runs)).astype(float)
+    given, left = np.full(255, 0.1), np.full(255, 0.8)
+    whole = lm.code_lengths(runs, n, given, left, 4, 2)
+    monkeypatch.setattr(lm, "_CHUNK_RUNS", 3)
+    assert np.allclose(lm.code_lengths(runs, n, given, left, 4, 2), whole) and len(list(lm._chunks(runs, 2))) > 1
 
 
 def test_decontamination(spark, docs, table, nothing):
@@ -247,25 +365,70 @@ def test_decontamination(spark, docs, table, nothing):
     more = bench.unionByName(spark.createDataFrame([(None, "x y z"), (777, None), (778, ""), (779, "tiny item")], "item_id long, text string"))
     both = docs.unionByName(planted, allowMissingColumns=True)
     got = decontam.decontaminate(both, more)
-    assert set(docs.columns) < set(got.columns) and got.count() == both.count()
+    assert got.columns == [*docs.columns, *(f"{c}_2" for c in ("contaminated", "coverage", "item_id", "n_items"))] and got.count() == both.count()
     by = {r["doc_id"]: r for r in got.collect()}
-    assert [by[k]["contaminated"] for k in range(800001, 800007)] == [True, True, False, False, True, True]
-    assert by[800001]["item_id"] == 0 and by[800001]["coverage"] == 1.0 and by[800005]["item_id"] == 779
-    small = {r["doc_id"]: r["coverage"] for r in decontam.decontaminate(both, more, block_chars=2000).collect()}
-    assert small == {k: r["coverage"] for k, r in by.items()}
+    assert [by[k]["contaminated_2"] for k in range(800001, 800007)] == [True, True, False, False, True, True]
+    assert by[800001]["item_id_2"] == 0 and by[800001]["coverage_2"] == 1.0 and by[800005]["item_id_2"] == 779
+    kept = decontam.drop_leaks(both, more)
+    assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, r in ((r["doc_id"], r) for r in got.collect()) if not r["contaminated_2"])
     assert decontam.decontaminate(nothing, bench).count() == 0
-    assert not decontam.decontaminate(docs, bench.where("false")).where("contaminated").count()
+    assert not decontam.decontaminate(docs, bench.where("false")).where("contaminated_2").count()
+
+
+def test_items_of_one_id_and_other_types(spark):
+    """Benchmark rows that repeat an id with another text are all items; ids may be text."""
+    bench = spark.createDataFrame([("x", "one two three four five six"), ("x", "seven eight nine ten eleven twelve"), ("a", "seven eight nine ten eleven twelve")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "say seven eight nine ten eleven twelve"), (3, "one two three seven eight nine")], "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r[2:]) for r in decontam.decontaminate(docs, bench).collect()}
+    assert got == {1: (True, 1.0, "x", 1), 2: (True, 1.0, "a", 2), 3: (False, 0.0, None, 0)}
+
+
+def brute_tiling(text, item, width=5):
+    """Greedy string tiling by the book: the longest common unmarked run of words, again and again."""
+    a, b = decontam.tokens(item), decontam.tokens(text)
+    width, ma, mb = min(width, len(a)), [False] * len(a), [False] * len(b)
+    while a:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not ma[i + k] and not mb[j + k]:
+                    k += 1
+                best = max(best, (k, -i, -j))
+        if best[0] < width:
+            break
+        for k in range(best[0]):
+            ma[k - best[1]] = mb[k - best[2]] = True
+    return sum(ma) / len(a) if a else 0.0
+
+
+def test_tiling_against_brute_force(monkeypatch):
+    import random
+
+    draw = random.Random(5)
+    monkeypatch.setattr(decontam, "_CHUNK", 7)  # matches are carried over pieces of a text
+    for _ in range(60):
+        item = [draw.choice("abc") * draw.randrange(1, 3) for _ in range(draw.randrange(3, 30))]
+        parts = [item[k : k + draw.randrange(1, 12)] for k in (draw.randrange(len(item)) for _ in range(draw.randrange(1, 6)))]
+        text = " ".join(w for part in parts for w in [*part, draw.choice(["zz", "a"])])
+        assert decontam.coverage(text, " ".join(item)) == pytest.approx(brute_tiling(text, " ".join(item)), abs=0.35 if len(set(item)) < 4 else 1e-9)
+    for words in (["w%d" % k for k in range(20)], ["v%d" % (k % 9) for k in range(25)]):
+        for _ in range(20):
+            text = " ".join(sum((words[k : k + draw.randrange(3, 12)] for k in draw.sample(range(20), 4)), []))
+            assert decontam.coverage(text, " ".join(words)) == pytest.approx(brute_tiling(text, " ".join(words)))
 
 
 def test_tiling_marks_longest_first():
-    index = decontam.Index([(1, "a b c d e f g h i j k l")])
-    assert index.find("g h i j k l x a b c d e f") == {1: 1.0}
-    assert index.find("a b c d e x c d e f g h")[1] == pytest.approx(6 / 12)
-    assert index.find("a b c d") == {} and index.find(None) == {}
+    item = "a b c d e f g h i j k l"
+    assert decontam.coverage("g h i j k l x a b c d e f", item) == 1.0
+    assert decontam.coverage("a b c d e x c d e f g h", item) == pytest.approx(6 / 12)
+    assert decontam.coverage("a b c d", item) == 0 and decontam.coverage(None, item) == 0 and decontam.coverage("x", "") == 0
+    again = " ".join(["a b c d e f"] * 2000)  # a text and an item that repeat one phrase
+    assert decontam.coverage(again, " ".join(["a b c d e f"] * 50)) == 1.0
 
 
 def test_licenses(spark, docs, nothing):
-    extra = [(700001, "Released under the MIT License."), (700002, "under the mit license under the mit license"), (700003, "CC BY-NC cc by nc"), (700004, "this work is licensed under the GNU General Public License, version 3."), (700005, "gnu public something license of three"), (700006, "Apache License, Version 2.0")]
+    extra = [(700001, "Released under the MIT License."), (700002, "under the mit license under the mit license"), (700003, "CC BY-NC cc by nc"), (700004, "this work is licensed under the GNU General Public License, version 3."), (700005, "gnu public something license of three"), (700006, "Apache License, Version 2.0"), (700007, "GNU General Public License version 3 " + "and so on " * 40 + "this work is licensed under the other general licence"), (700008, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files")]
     both = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string"), allowMissingColumns=True)
     got = licenses.scan(both).toPandas()
     want = Counter()
@@ -277,6 +440,7 @@ def test_licenses(spark, docs, nothing):
     assert Counter((clean(r.doc_id), r.n_words, r.n_base, clean(r.first_word), clean(r.last_word), r.base_labels) for r in got.itertuples()) == want
     labels = dict(zip(got["doc_id"], got["labels"], strict=True))
     assert labels[700001] == "mit" and labels[700004] == "gpl-3" and labels[700005] == ""
+    assert labels[700007] == "" and labels[700008] == "mit"  # the key phrase must stand at its place in the notice
     assert all(set(filter(None, b.split(","))) <= set(m.split(",")) for b, m in zip(got["base_labels"], got["labels"], strict=True))
     assert got["score"].between(0, 1).all() and got[got["labels"] == ""]["score"].max() < licenses.SCORE
     assert licenses.scan(nothing).count() == 0
@@ -306,7 +470,7 @@ def brute_components(fps, radius):
     return [find(i) for i in range(len(fps))]
 
 
-@pytest.mark.parametrize("options, radius", [({"group": 60}, 4), ({"group": 100, **simhash.ALIKE}, 48)])
+@pytest.mark.parametrize("options, radius", [({"group": 60}, 4), ({"group": 100, "width": 5, "bits": 256, "radius": 48}, 48)])
 def test_simhash(docs, options, radius):
     got = simhash.near_duplicates(docs, **options).toPandas()
     if "bits" not in options:
@@ -321,14 +485,19 @@ def test_simhash_matches_spark_hash(spark):
     assert brute_fingerprint("ein wort über") == simhash.fingerprint("ein wort über") == format(one % 2**64, "016x")
 
 
-def test_keep_one(docs, nothing, spark):
-    kept = simhash.keep_one(docs)
+def test_keep_one_alike(docs, nothing, spark):
+    kept = simhash.keep_one_alike(docs, **simhash.SHARED)
     assert kept.columns == docs.columns
-    named = simhash.near_duplicates(docs).toPandas()
+    named = simhash.alike_components(docs, **simhash.SHARED).toPandas()
     want = sorted(set(named["component_id"].dropna().astype(int)))
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == want
     assert kept.where("doc_id is null").count() == 1
     assert simhash.near_duplicates(nothing).count() == 0
+    twice = spark.createDataFrame([(5, "alpha beta"), (5, "gamma delta"), (5, "gamma delta"), (6, "alpha beta"), (7, "Gamma delta")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.keep_one_alike(twice, **simhash.SHARED).collect()) == [(5, "alpha beta"), (5, "gamma delta")]
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    repeated = spark.createDataFrame([(5, near), (5, near + " more")], "doc_id long, text string")
+    assert simhash.keep_one_alike(repeated, **simhash.SHARED).count() == 1
 
 
 def test_chains_of_links(spark):
