@@ -4,7 +4,8 @@ Public vocabularies measure every whole text: characters per token and the entro
 BPE vocabulary, and the share of single-byte pieces under a vocabulary with byte fallback.  A text outside the band of a measure
 is rejected.  Bands come from the corpus: ``FENCE`` times the spread between the quartiles beyond them, over all texts that pass
 the base rules, of the same script, language and size (both measures of tokens depend on the length of a text).  A group of
-fewer than ``LEAST`` texts takes the bands of its script and language, then of its script; a script of fewer has none.
+fewer than ``LEAST`` texts takes the bands of its script and language, then of its script, then of its language; a text for which
+all are smaller has none.
 
 Base rules on words, lines and repetition come first.  A word's tokens do not depend on its neighbours here (both vocabularies
 cut at white space first), so each distinct word of a slice of rows is tokenised once and looked up.  The vocabulary files are
@@ -170,9 +171,9 @@ def quality_rules(docs: DataFrame, folder: str = TOKENIZERS, fence: float = FENC
     """One row for each row of ``docs``: doc_id, base counts, base_failed, kept, script and the three measures."""
     rows = materialise(measures(docs, folder), "fertility").withColumns({"_lang": F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")), "_size": _size(F.col("n_tokens"))})
     found = rows
-    for k, by in enumerate((["script", "_lang", "_size"], ["script", "_lang"], ["script"])):
+    for k, by in enumerate((["script", "_lang", "_size"], ["script", "_lang"], ["script"], ["_lang"])):
         found = found.join(bands(rows, by, fence, least).withColumnRenamed("band", f"_band{k}"), by, "left")
-    band = F.coalesce("_band0", "_band1", "_band2")
+    band = F.coalesce("_band0", "_band1", "_band2", "_band3")
     inside = F.lit(True)
     for m in MEASURES:
         inside &= F.coalesce(F.col(m).between(band[m]["low"], band[m]["high"]), F.lit(True))

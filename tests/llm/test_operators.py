@@ -221,7 +221,7 @@ def test_fertility_bands_reject_junk(spark):
     good = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' and n_chars > 600").limit(300)
     codes = " ".join(f"{k * 7919 % 99991:x}-{k * 104729 % 9973:x}_{k % 13}q" for k in range(200))
     signs = " ".join("".join(chr(0x2800 + (k * j) % 200) for j in range(3, 9)) for k in range(120))
-    glue = " ".join("".join(chr(97 + (k * j) % 26) for j in range(1, 40)) for k in range(80))
+    glue = " ".join("".join(chr(97 + (k * k * j + j * j) % 26) for j in range(1, 40)) for k in range(80))
     junk = [(990001, codes), (990002, signs), (990003, glue)]
     docs = good.select("doc_id", "text", "lang").union(spark.createDataFrame([(i, t, "en") for i, t in junk], "doc_id long, text string, lang string"))
     got = fertility.quality_rules(docs).toPandas().set_index("doc_id")
