@@ -32,6 +32,7 @@ from augury.llm.common import free_name, materialise, slices
 SEED_WORDS = 5
 THRESHOLD = 0.8
 MAP_BITS = (16, 27)  # least and most binary digits of the bit map's size: 16 MB at most
+_SPARE = 4096  # places of the map for each seed, up to its most size
 _CHUNK = 4096  # places of a text whose matches are held at once
 
 # Upper case to lower case, ASCII punctuation and control characters to spaces.
@@ -95,9 +96,9 @@ def seed_rows(items: DataFrame) -> DataFrame:
 
 
 def seed_map(seeds: DataFrame) -> np.ndarray:
-    """Bit map of the seeds' hashes, of 8 to 16 bits a seed up to its most size."""
+    """Bit map of the seeds' hashes."""
     least, most = MAP_BITS
-    digits = min(most, max(least, int(np.ceil(np.log2(max(1, seeds.count()) * 8)))))
+    digits = min(most, max(least, int(np.ceil(np.log2(max(1, seeds.count()) * _SPARE)))))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros(1 << 15, bool)
@@ -232,8 +233,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
 
     def unfold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for digest, width, packed in zip(pdf["digest"], pdf["width"], pdf["seeds"], strict=True):
-                yield pd.DataFrame({"digest": digest, "width": width, "seed": np.unique(np.frombuffer(packed, np.int64))})
+            seeds = [np.unique(np.frombuffer(packed, np.int64)) for packed in pdf["seeds"]]
+            n = [len(x) for x in seeds]
+            if n:
+                yield pd.DataFrame({"digest": np.repeat(pdf["digest"].to_numpy(), n), "width": np.repeat(pdf["width"].to_numpy(), n), "seed": np.concatenate(seeds)})
 
     mine = hits.select("digest", "width", "seeds").mapInPandas(unfold, "digest string, width int, seed long")
     shared = mine.join(seeds, ["width", "seed"]).groupBy("digest", "item").agg(F.sum("times").alias("times"), F.first("n").alias("n"), F.first("width").alias("width"))
