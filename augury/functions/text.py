@@ -5,16 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Texts that are dates, and number tokens.
-DATES = r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* [0-9]{1,2},? [0-9]{4}"
-NUMBERS = r"[-+]?[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[-+]?[0-9]+(?:\.[0-9]+)?"
-
-# Rules in order, each an intent and the words that tell it (English and Arabic).
-INTENTS = [
-    ("forecast", r"forecast|next (?:day|week|month|quarter|year)|future|over time|time series|trend|توقع|المستقبل|القادم"),
-    ("explanation", r"\bwhy\b|explain|reason|because|driver|important|لماذا|اشرح|تفسير"),
-    ("prediction", r"predict|estimate|classif|what will|score|تنبؤ|تقدير|صنف"),
-]
+# Texts that are dates or times of a day, and number tokens.
+DATES = r"\b\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}(?::\d{2})?)?\b|\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b\d{4}/\d{1,2}/\d{1,2}\b"
+NUMBERS = r"-?\d{1,3}(?:,\d{3})+(?:\.\d+)?|-?\d+(?:\.\d+)?"
+
+# Intents in order, each with the patterns that tell it (English and Arabic).  The Arabic verb for "predict" alone
+# does not tell a forecast.
+INTENTS = {
+    "forecast": [
+        r"\bforecast\b", r"\btime series\b", r"\btrend\b", r"\bover time\b", r"\bnext (month|year|week|quarter|day|\d+)\b", r"\bfuture\b", r"\bprojection\b", r"\bcoming (months?|years?|weeks?)\b",
+        "فوركاست", "سلسلة زمنية", "مستقبلي", "المستقبل", "القادم", "القادمة", "الجاي", "الأشهر", "الاشهر", "اتجاه",
+    ],
+    "explanation": [
+        r"\bwhy\b", r"\bexplain\b", r"\bhow does\b", r"\breport\b", r"\bsummar", r"\bwhat (drives|affects|influences)\b", r"\bimportant features?\b", r"\binterpret\b", r"\banaly[sz]e\b", r"\bwhich (factors?|features?)\b",
+        "اشرح", "لماذا", "ليش", "وش يأثر", "تقرير", "تحليل", "تفسير", "أهم العوامل", "اهم العوامل", "ملخص",
+    ],
+    "prediction": [
+        r"\bpredict\b", r"\bestimate\b", r"\bhow much\b", r"\bclassif", r"\bwhat'?s? (is |will be )?the (price|value|cost)\b", r"\b(price|value|cost) of\b", r"\bwill (it|this|they|he|she)\b", r"\bscore\b",
+        "توقع", "تنبؤ", "كم سعر", "كم راح", "احسب", "قدر", "بريديكت", "تصنيف", "سعر",
+    ],
+}
 
 
 def extract_numbers(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -62,8 +72,9 @@ def validate_many(values: DataFrame, grounded: DataFrame, keys: list[str], toler
 def label_intent(text: Column) -> Column:
     """The first intent whose words a lower-case message has, else ``unknown``."""
     out, low = None, F.lower(F.coalesce(text, F.lit("")))
-    for name, words in INTENTS:
-        out = F.when(low.rlike(words), name) if out is None else out.when(low.rlike(words), name)
+    for name, patterns in INTENTS.items():
+        told = low.rlike("|".join(f"(?:{p})" for p in patterns))
+        out = F.when(told, name) if out is None else out.when(told, name)
     return out.otherwise("unknown")
 
 
@@ -82,22 +93,26 @@ def forecast_report(facts: DataFrame, forecast: DataFrame, keys: list[str], leve
 def report_markdown(report: DataFrame, keys: list[str]) -> DataFrame:
     """keys and markdown of a report, in a fixed layout."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("n/a"))
+    figure = lambda c, places: F.when(F.col(c).isNull(), "n/a").otherwise(F.format_string(f"%.{places}f", F.col(c).cast("double")))
     lines = F.concat_ws(
-        "\n", F.concat(F.lit("# Forecast "), F.when(F.col("gate.passed"), "PASSED").otherwise("REJECTED")), F.concat(F.lit("- next value: "), text("summary.next_value")), F.concat(F.lit("- horizon: "), text("summary.horizon")),
-        F.concat(F.lit("- improvement over naive: "), text("reliability.improvement_pct"), F.lit(" %")), F.concat(F.lit("- confidence: "), text("reliability.confidence_label")), F.concat(F.lit("- coverage: "), text("coverage")),
+        "\n", F.concat(F.lit("# Forecast "), F.when(F.col("gate.passed"), "PASSED").otherwise("REJECTED")), F.concat(F.lit("- next value: "), figure("summary.next_value", 2)), F.concat(F.lit("- horizon: "), text("summary.horizon")),
+        F.concat(F.lit("- improvement over naive: "), figure("reliability.improvement_pct", 2), F.lit(" %")), F.concat(F.lit("- confidence: "), text("reliability.confidence_label")), F.concat(F.lit("- coverage: "), figure("coverage", 4)),
         F.concat(F.lit("- risks: "), F.array_join("risks", "; ")),
     )
     return report.select(*keys, lines.alias("markdown"))
 
 
 def grounded_numbers(facts: DataFrame, forecast: DataFrame, folds: DataFrame, metrics: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, value (4 places): every number that a text about a result may use."""
+    """keys, value (4 places): every number that a text about a result may use.
+
+    ``facts`` may have the naive forecast's rmse and mape (naive_rmse, naive_mape) and the parts of the confidence.
+    """
 
     def long(df: DataFrame, *values: Column) -> DataFrame:
         return df.select(*keys, F.explode(F.array(*[v.cast("double") for v in values])).alias("value"))
 
     parts = [
-        long(facts, F.col("h"), F.col("n_observed"), F.col("coverage"), F.round(F.col("coverage") * 100, 2), F.round(F.col("coverage") * 100, 0), F.col("confidence"), F.col("improvement_pct"), F.col("naive_mae"), F.lit(80), F.lit(0.8)),
+        long(facts, F.col("h"), F.col("n_observed"), F.col("coverage"), F.round(F.col("coverage") * 100, 2), F.round(F.col("coverage") * 100, 0), F.col("confidence"), F.col("improvement_pct"), F.col("naive_mae"), *[F.col(c) for c in ("naive_rmse", "naive_mape", "confidence_gain", "confidence_coverage", "confidence_history") if c in facts.columns], F.lit(80), F.lit(0.8)),
         long(forecast, F.col("yhat"), F.col("lower"), F.col("upper")), long(folds, F.col("mae")), long(metrics, F.col("mae"), F.col("rmse"), F.col("mape")),
     ]
     out = parts[0]

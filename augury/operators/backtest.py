@@ -21,7 +21,7 @@ LEVEL = 0.8
 def _on(left: DataFrame, right: DataFrame, keys: list[str], more: tuple[str, ...] = (), how: str = "inner") -> DataFrame:
     """Join on the keys, which are empty for a single series."""
     names = [*keys, *more]
-    return left.join(right, names, how) if names else left.crossJoin(right)  # both sides have one row or are one series
+    return left.join(right, names, how) if names else left.join(right, F.lit(True), how)  # both sides have one row or are one series
 
 
 def sizes(series: DataFrame, keys: list[str], horizon: Column | int | None = None) -> DataFrame:
@@ -77,10 +77,12 @@ def register_forecaster(name: str, fn: Forecaster) -> None:
 
 
 def forecaster(name: str) -> Forecaster:
-    if name not in _registered:
+    """The registered function; ``auto`` picks among small models, ``auto:D`` with the season of a frequency."""
+    if name not in _registered and name.partition(":")[0] == "auto":
         from augury.functions import forecasters
 
-        _registered.setdefault("auto", forecasters.auto)
+        period = forecasters.SEASONS.get(name.partition(":")[2], 7)
+        return lambda y, h: forecasters.auto(y, h, period)
     return _registered[name]
 
 
@@ -146,10 +148,11 @@ def residuals_by_step(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def compare_to_naive(model: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, model_mae, naive_mae, beats_naive and improvement_pct (round 2; null if the naive error is 0)."""
-    both = _on(base.select(*keys, F.col("mae").alias("naive_mae")), model.select(*keys, F.col("mae").alias("model_mae")), keys, how="left") if keys else base.select(F.col("mae").alias("naive_mae")).crossJoin(model.select(F.col("mae").alias("model_mae")))
+    """keys, model_mae, naive_mae (and naive_rmse, naive_mape), beats_naive and improvement_pct (round 2; null if the naive error is 0)."""
+    theirs = base.select(*keys, F.col("mae").alias("naive_mae"), *[F.col(c).alias(f"naive_{c}") for c in ("rmse", "mape") if c in base.columns])
+    both = _on(theirs, model.select(*keys, F.col("mae").alias("model_mae")), keys, how="left")
     gain = F.when(F.col("naive_mae") != 0, F.round((F.col("naive_mae") - F.col("model_mae")) / F.col("naive_mae") * 100, 2))
-    return both.select(*keys, "model_mae", "naive_mae", F.coalesce(F.col("model_mae") < F.col("naive_mae"), F.lit(False)).alias("beats_naive"), gain.alias("improvement_pct"))
+    return both.select(*keys, "model_mae", *[c for c in theirs.columns if c not in keys], F.coalesce(F.col("model_mae") < F.col("naive_mae"), F.lit(False)).alias("beats_naive"), gain.alias("improvement_pct"))
 
 
 def interval_offsets(residuals: DataFrame, keys: list[str], horizons: DataFrame, level: float = LEVEL) -> DataFrame:
@@ -184,9 +187,10 @@ def forecast_gate(facts: DataFrame, level: float = LEVEL, slack: float = 0.15) -
 
 
 def forecast_confidence(facts: DataFrame, level: float = LEVEL) -> DataFrame:
-    """Add confidence (round 3) and confidence_label to rows with improvement_pct, coverage and n_observed."""
+    """Add confidence (round 3), its three parts and confidence_label to rows with improvement_pct, coverage and n_observed."""
     clip = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
     gain = clip(F.coalesce(F.col("improvement_pct") / 50, F.lit(0.0)))
     near = F.coalesce(F.greatest(F.lit(0.0), 1 - F.abs(F.col("coverage") - level) / level), F.lit(0.5))
     score = F.round(0.5 * gain + 0.3 * near + 0.2 * clip(F.col("n_observed") / 100), 3)
-    return facts.withColumn("confidence", score).withColumn("confidence_label", F.when(F.col("confidence") >= 0.7, "High").when(F.col("confidence") >= 0.4, "Medium").otherwise("Low"))
+    parts = {"confidence_gain": F.round(gain, 3), "confidence_coverage": F.round(near, 3), "confidence_history": F.round(clip(F.col("n_observed") / 100), 3)}
+    return facts.withColumns(parts).withColumn("confidence", score).withColumn("confidence_label", F.when(F.col("confidence") >= 0.7, "High").when(F.col("confidence") >= 0.4, "Medium").otherwise("Low"))

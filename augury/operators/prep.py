@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HIGH_CARDINALITY, ONE_HOT = 200, 15
+MOST_CLASSES = 1000  # of a target; more are refused
+EXACT_CLASS = 100_000  # rows of a class up to which a stratified choice is exact
 
 
 def _unit(row_key: list[str], seed: int) -> Column:
@@ -21,15 +23,33 @@ def _unit(row_key: list[str], seed: int) -> Column:
 
 def split(df: DataFrame, row_key: list[str], test_size: float = 0.2, seed: int = 42, stratify: str | None = None) -> DataFrame:
     """Add ``is_train``.  Plain: a threshold on the md5 of the key, without a shuffle.  Stratified: the first rows of each class
-    in md5 order are tested, if the rarest class has two rows or more."""
+    in md5 order are tested, if the rarest class has two rows or more; a class of more than EXACT_CLASS rows is split by the
+    threshold, which meets its share closely and sorts nothing."""
     code = _unit(row_key, seed)
     if stratify is not None:
-        rarest = df.groupBy(stratify).count().agg(F.min("count")).first()[0] or 0
+        place, n, large, rarest = class_places(df, stratify, code)
         if rarest >= 2:
-            own = Window.partitionBy(stratify)
-            place, n = F.row_number().over(own.orderBy(code)), F.count(F.lit(1)).over(own)
-            return df.withColumn("is_train", place > F.ceil(n * F.lit(test_size)))
-    return df.withColumn("is_train", F.substring(code, 1, 8) >= format(int(test_size * 16**8), "08x"))
+            exact = place > F.ceil(n * F.lit(test_size))
+            return df.withColumn("_code", code).withColumn("is_train", F.when(large, _above(F.col("_code"), test_size)).otherwise(exact)).drop("_code")
+    return df.withColumn("is_train", _above(code, test_size))
+
+
+def _above(code: Column, share: float) -> Column:
+    return F.substring(code, 1, 8) >= format(int(share * 16**8), "08x")
+
+
+def class_places(df: DataFrame, label: str, code: Column) -> tuple[Column, Column, Column, int]:
+    """Place of a row in its class in the order of ``code`` and the class's rows, for classes of EXACT_CLASS rows or fewer; whether
+    the class is larger; and the rows of the rarest class.
+
+    Rows of larger classes, of which there are few, are spread over many windows, whose places mean nothing.
+    """
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    rarest = sizes.agg(F.min("n")).first()[0] or 0
+    most = [r[0] for r in sizes.where((F.col("n") > EXACT_CLASS) & F.col(label).isNotNull()).collect()]
+    large = F.coalesce(F.col(label).isin(most), F.lit(False)) if most else F.lit(False)
+    own = Window.partitionBy(label, F.when(large, F.substring(code, 9, 4)))
+    return F.row_number().over(own.orderBy(code)), F.count(F.lit(1)).over(own), large, rarest
 
 
 def trim_outliers(df: DataFrame, target: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -63,7 +83,7 @@ def fit_target_encoding(df: DataFrame, columns: list[str], target: str) -> DataF
 def apply_target_encoding(df: DataFrame, columns: list[str], fit: DataFrame) -> DataFrame:
     """Means in place of categories; unseen and missing ones get the mean of all.  The map has under 200 rows a column."""
     for c in columns:
-        own = F.broadcast(fit.where((F.col("column") == c) & F.col("category").isNotNull()).select(F.col("category").alias("_category"), F.col("mean").alias("_mean")))
+        own = fit.where((F.col("column") == c) & F.col("category").isNotNull()).select(F.col("category").alias("_category"), F.col("mean").alias("_mean"))
         whole = F.broadcast(fit.where((F.col("column") == c) & F.col("category").isNull()).select(F.col("mean").alias("_whole")))
         df = df.join(own, F.col(c).cast("string") == F.col("_category"), "left").crossJoin(whole).withColumn(c, F.coalesce("_mean", "_whole")).drop("_category", "_mean", "_whole")  # ``whole`` is one row
     return df
@@ -93,7 +113,8 @@ def apply_one_hot(df: DataFrame, column: str, values: list[str]) -> DataFrame:
 
 
 def fit_label_encoding(df: DataFrame, column: str) -> DataFrame:
-    """(category, code): places in sorted order, by counting smaller values in ranges; there are few values."""
+    """(category, code): places in sorted order.  One window holds the distinct values of the column, which are few: columns of
+    HIGH_CARDINALITY values or more are encoded or dropped before."""
     values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("category")).distinct()
     return values.withColumn("code", (F.row_number().over(Window.orderBy("category")) - 1).cast("int"))
 
@@ -179,7 +200,10 @@ def fit_preparation(df: DataFrame, roles: dict[str, str], cardinality: dict[str,
     if task == "regression":
         rows = log_target(trim_outliers(rows, target), target)
     else:
-        fit.classes = vocabulary(rows, target, HIGH_CARDINALITY) or []
+        classes = vocabulary(rows, target, MOST_CLASSES)
+        if classes is None:
+            raise ValueError(f"{target} has more than {MOST_CLASSES} classes")
+        fit.classes = classes
         rows = rows.withColumn(target, _mapped(F.col(target).cast("string"), {v: float(i) for i, v in enumerate(fit.classes)}, F.lit(-1.0)))
     rows = rows.persist()  # several passes fit on these rows, and the result is made from them; what memory lacks goes to disk
     columns = [c for c in rows.columns if c not in {target, "is_train", *row_key}]
@@ -217,6 +241,11 @@ def fit_preparation(df: DataFrame, roles: dict[str, str], cardinality: dict[str,
     return transform_new(rows, fit, [*row_key, "is_train", target]), fit
 
 
+def drop_high_cardinality(df: DataFrame, roles: dict[str, str], cardinality: dict[str, int]) -> DataFrame:
+    """Without the id-like and text columns of HIGH_CARDINALITY values or more."""
+    return df.drop(*[c for c in df.columns if roles.get(c) in ("id_like", "text") and cardinality[c] >= HIGH_CARDINALITY])
+
+
 def preparation_audit(before: DataFrame, after: DataFrame, fit: Fit) -> DataFrame:
     """One row: rows and columns before and after, training rows dropped, tested rows, dropped and filled columns."""
     counts = lambda df, name: df.agg(F.count(F.lit(1)).alias(f"rows_{name}"), F.count_if("is_train").alias(f"train_{name}"), F.count_if(~F.col("is_train")).alias(f"test_{name}"))

@@ -14,11 +14,16 @@ from pyspark.sql import types as T
 
 ID_RATIO, ID_LEAST, CATEGORIES = 0.98, 20, 30
 
-# Texts that read as a number (optional sign and currency, digits with commas, up to six letters or . % / after),
-# the stricter form with units only, and the first number in a text.
-NUMBER_LIKE = r"^\s*[-+]?\s*[$€£¥₹﷼]?\s*[0-9][0-9,]*(\.[0-9]+)?\s*[A-Za-z.%/]{0,6}\s*$"
-UNITS_ONLY = r"^\s*[-+]?\s*[$€£¥₹﷼]?\s*[0-9][0-9,]*(\.[0-9]+)?\s*(%|km|mi|mi\.|kg|lb|lbs|m|cm|mm|ft|in|hp|cc|mpg|kmpl|usd|eur|k|K|M)?\s*$"
-FIRST_NUMBER = r"[-+]?[0-9][0-9,]*(?:\.[0-9]+)?"
+# Texts that read as a number (signs before or after a currency, digits with commas, up to six letters or . % /
+# after), the stricter form with units of measure only, and the first number in a text.
+NUMBER_LIKE = r"^\s*[+-]?\s*[$€£¥₹﷼]?\s*[+-]?\d[\d,]*(?:\.\d+)?\s*[a-zA-Z.%/]{0,6}\s*$"
+UNITS_ONLY = r"(?i)^\s*[+-]?\s*[$€£¥₹﷼]?\s*[+-]?\d[\d,]*(?:\.\d+)?\s*(?:%|mi\.?|miles|km|kg|g|lbs?|ft|sqft|sqm|m2|m|hrs?|usd|sar|eur|gbp)?\s*$"
+FIRST_NUMBER = r"[+-]?\d[\d,]*(?:\.\d+)?"
+
+
+def named(column: str) -> Column:
+    """The column of that very name, whatever signs it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def _kind(t: T.DataType) -> str:
@@ -38,7 +43,7 @@ def _numeric(df: DataFrame) -> list[str]:
 def unpivoted(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, value) with values as text."""
     names = columns or df.columns
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in names])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), named(c).cast("string").alias("value")) for c in names])
     return df.select(F.explode(pairs).alias("p")).select("p.column", "p.value")
 
 
@@ -72,7 +77,7 @@ def numeric_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     names = columns or _numeric(df)
     aggs, parts = [], {}
     for k, c in enumerate(names):
-        x = F.col(c).cast("double")
+        x = named(c).cast("double")
         aggs += [F.count(x).alias(f"n{k}"), F.avg(x).alias(f"a{k}"), F.stddev_samp(x).alias(f"d{k}"), F.min(x).alias(f"l{k}"), F.max(x).alias(f"h{k}"), F.skewness(x).alias(f"s{k}")]
         n = F.col(f"n{k}").cast("double")
         skew = F.when(n > 2, F.col(f"s{k}") * F.sqrt(n * (n - 1)) / (n - 2))
@@ -98,19 +103,19 @@ def sample_values(df: DataFrame, columns: list[str] | None = None, n: int = 3) -
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: n_duplicates, the rows that repeat an earlier one (nulls equal)."""
-    return df.groupBy(*df.columns).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n_duplicates"))
+    return df.groupBy(*map(named, df.columns)).agg(F.count(F.lit(1)).alias("count")).agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n_duplicates"))
 
 
 def overall_missing_pct(df: DataFrame) -> DataFrame:
     """One row: mean over columns of the share of missing values, in percent."""
-    shares = [F.avg(F.col(c).isNull().cast("double")) for c in df.columns]
+    shares = [F.avg(named(c).isNull().cast("double")) for c in df.columns]
     return df.agg((100 * reduce(lambda a, b: a + b, shares) / len(shares)).alias("missing_pct"))
 
 
 def target_correlations(df: DataFrame, target: str, k: int = 8) -> DataFrame:
     """column, corr (3 places) and rank: Pearson with the target over rows that have both, largest in size first."""
     names = [c for c in _numeric(df) if c != target]
-    row = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(f"r{i}") for i, c in enumerate(names)])
+    row = df.agg(*[F.corr(named(c).cast("double"), named(target).cast("double")).alias(f"r{i}") for i, c in enumerate(names)])
     long = _long(row, {c: {"raw": F.col(f"r{i}")} for i, c in enumerate(names)}).where("raw is not null and not isnan(raw)")
     order = Window.orderBy(F.desc(F.abs("raw")), "column")  # a row for each column
     return long.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("column", F.round("raw", 3).alias("corr"), "rank")
@@ -124,7 +129,7 @@ def infer_target(df: DataFrame) -> str:
 def infer_task_type(df: DataFrame, target: str) -> DataFrame:
     """One row: task; text and few-valued targets (15 at most, under 5 % of rows) are classes."""
     text = _kind(df.schema[target].dataType) in ("string", "boolean")
-    facts = df.groupBy(target).count().agg(F.sum("count").alias("rows"), F.count(target).alias("values"))
+    facts = df.groupBy(named(target).alias("t")).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.count("t").alias("values"))
     few = (F.col("values") <= 15) & (F.col("values") / F.col("rows") < 0.05)
     return facts.select(F.when(F.lit(text) | few, "classification").otherwise("regression").alias("task"))
 
@@ -149,9 +154,9 @@ def coerce_numeric_like(df: DataFrame, min_ratio: float = 0.9, pattern: str = NU
     names = _texts(df)
     if not names:
         return df
-    share = df.agg(*[F.avg(F.col(c).rlike(pattern).cast("double")).alias(f"s{i}") for i, c in enumerate(names)]).first()
+    share = df.agg(*[F.avg(named(c).rlike(pattern).cast("double")).alias(f"s{i}") for i, c in enumerate(names)]).first()
     chosen = [c for i, c in enumerate(names) if (share[f"s{i}"] or 0) >= min_ratio]
-    return df.withColumns({c: parse_number(F.col(c)) for c in chosen}) if chosen else df
+    return df.select(*[(parse_number(named(c)) if c in chosen else named(c)).alias(c) for c in df.columns]) if chosen else df
 
 
 def coercion_audit(df: DataFrame, min_ratio: float = 0.9) -> DataFrame:

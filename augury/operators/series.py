@@ -97,7 +97,8 @@ def regularize(series: DataFrame, keys: list[str], freq: str | None, align: str
     """keys, pos, ds, y on the grid from the first to the last stamp of each series; unobserved periods have null ``y``.
 
     ``align="exact"`` keeps observations that lie on the grid; ``"bucket"`` takes the mean of all in a period.  Without
-    ``freq`` the stamps are kept as they are.  Series of more than ``max_periods`` periods are refused by an error.
+    ``freq`` the stamps are kept as they are.  Series of more than ``max_periods`` periods have no grid: ``runaway_series`` names
+    them.
     """
     if freq is None:
         return series.select(*keys, (F.row_number().over(_over(keys).orderBy("ds")) - 1).cast("long").alias("pos"), "ds", "y")
@@ -105,23 +106,42 @@ def regularize(series: DataFrame, keys: list[str], freq: str | None, align: str
     if align == "bucket":
         unit = {"H": "hour", "D": "day", "W": "week", "M": "month", "Q": "quarter", "Y": "year"}[freq]
         series = series.groupBy(*keys, F.date_trunc(unit, "ds").alias("ds")).agg(F.avg("y").alias("y"))
-    ends = series.groupBy(*keys).agg(F.min("ds").alias("lo"), F.max("ds").alias("hi"))
-    span = (F.unix_seconds(F.col("hi").cast("timestamp")) - F.unix_seconds(F.col("lo").cast("timestamp"))) / 3600 / {"H": 1, "D": 24, "W": 168, "M": 672, "Q": 2160, "Y": 8760}[freq]
-    checked = F.when(span <= max_periods, F.col("lo")).otherwise(F.raise_error(F.lit("a series has too many periods for its frequency")).cast("timestamp"))
-    grid = ends.select(*keys, F.posexplode(F.sequence(checked, F.col("hi").cast("timestamp"), step)).alias("pos", "ds"))
+    ends = _spans(series, keys, freq).where(F.col("periods") <= max_periods)
+    grid = ends.select(*keys, F.posexplode(F.sequence(F.col("lo").cast("timestamp"), F.col("hi").cast("timestamp"), step)).alias("pos", "ds"))
     return grid.join(series.withColumn("ds", F.col("ds").cast("timestamp")), [*keys, "ds"], "left").select(*keys, F.col("pos").cast("long").alias("pos"), "ds", "y")
 
 
+def _spans(series: DataFrame, keys: list[str], freq: str) -> DataFrame:
+    """keys, lo, hi and periods (about as many as lie between the first and the last stamp) of each series."""
+    ends = series.groupBy(*keys).agg(F.min("ds").alias("lo"), F.max("ds").alias("hi"))
+    hours = (F.unix_seconds(F.col("hi").cast("timestamp")) - F.unix_seconds(F.col("lo").cast("timestamp"))) / 3600
+    return ends.withColumn("periods", hours / {"H": 1, "D": 24, "W": 168, "M": 672, "Q": 2160, "Y": 8760}[freq]).where("lo is not null")
+
+
+def runaway_series(series: DataFrame, keys: list[str], freq: str, max_periods: int = MAX_PERIODS) -> DataFrame:
+    """keys of the series that have too many periods for their frequency."""
+    return _spans(series, keys, freq).where(F.col("periods") > max_periods).select(*keys)
+
+
+def stamps_of(df: DataFrame, time_col: str, min_rate: float = 0.95) -> Column | None:
+    """The column as an axis: dates and integers as they are, text in the format of DATE_FORMATS that reads most of it; None if
+    none reads ``min_rate`` of it, or the column is of another type."""
+    kind = df.schema[time_col].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType, T.IntegralType)):
+        return F.col(time_col)
+    if not isinstance(kind, T.StringType):
+        return None
+    seen = df.agg(F.count(time_col), *[F.count(F.try_to_timestamp(time_col, F.lit(form))) for form in DATE_FORMATS]).first()
+    best = max(range(len(DATE_FORMATS)), key=lambda j: (seen[j + 1], -j))
+    return F.try_to_timestamp(time_col, F.lit(DATE_FORMATS[best])) if seen[0] and seen[best + 1] / seen[0] >= min_rate else None
+
+
 def integer_series(df: DataFrame, keys: list[str], axis: str, y: str) -> DataFrame:
     """keys, pos, ds, y in the order of an integer axis; rows without ``y`` go and there is no grid."""
     rows = df.where(F.col(axis).isNotNull() & F.col(y).isNotNull())
     return rows.select(*keys, (F.row_number().over(_over(keys).orderBy(axis)) - 1).cast("long").alias("pos"), F.col(axis).alias("ds"), F.col(y).cast("double").alias("y"))
 
 
-def default_horizon(n_observed: Column) -> Column:
-    return F.greatest(F.lit(1), F.floor(n_observed * F.lit(0.1))).cast("int")
-
-
 def trim_edges(series: DataFrame, keys: list[str]) -> DataFrame:
     """The periods between the first and the last observed one, numbered anew; ``trimmed`` is how many went."""
     own = _over(keys)

@@ -61,10 +61,10 @@ def text_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts whose numbers are text, with a few that are not numbers."""
     p = table(spark, sf_dir, "part")
     cents = F.format_string("%.2f", F.col("p_retailprice"))
-    return p.select("p_partkey", F.concat(F.lit("$"), cents).alias("price"), F.concat(F.col("p_size").cast("string"), F.lit(" mi.")).alias("distance"), F.when(F.col("p_partkey") % 20 == 0, "SFoyer").otherwise(F.concat(F.col("p_size").cast("string"), F.lit("Story"))).alias("style"), "p_brand", F.when(F.col("p_partkey") % 3 != 0, F.col("p_size").cast("string")).otherwise(F.col("p_type")).alias("mixed"))
+    return p.select("p_partkey", F.concat(F.lit("$"), cents).alias("price"), F.concat(F.col("p_size").cast("string"), F.lit(" mi.")).alias("distance"), F.when(F.col("p_partkey") % 20 == 0, "SFoyer").otherwise(F.concat(F.col("p_size").cast("string"), F.lit("Story"))).alias("style"), F.concat(F.lit("$-1,2"), F.lpad((F.col("p_size") % 100).cast("string"), 2, "0")).alias("signed"), F.concat(F.col("p_size").cast("string"), F.lit(" hrs")).alias("hours"), "p_brand", F.when(F.col("p_partkey") % 3 != 0, F.col("p_size").cast("string")).otherwise(F.col("p_type")).alias("mixed"))
 
 
-TEXTS = "texts AS (SELECT p_partkey, '$' || printf('%.2f', p_retailprice) AS price, p_size || ' mi.' AS distance, CASE WHEN p_partkey % 20 = 0 THEN 'SFoyer' ELSE p_size || 'Story' END AS style, p_brand, CASE WHEN p_partkey % 3 <> 0 THEN CAST(p_size AS VARCHAR) ELSE p_type END AS mixed FROM part)"
+TEXTS = "texts AS (SELECT p_partkey, '$' || printf('%.2f', p_retailprice) AS price, p_size || ' mi.' AS distance, CASE WHEN p_partkey % 20 = 0 THEN 'SFoyer' ELSE p_size || 'Story' END AS style, '$-1,2' || lpad(CAST(p_size % 100 AS VARCHAR), 2, '0') AS signed, p_size || ' hrs' AS hours, p_brand, CASE WHEN p_partkey % 3 <> 0 THEN CAST(p_size AS VARCHAR) ELSE p_type END AS mixed FROM part)"
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,38 +2,83 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from augury.functions.forecasters import SEASONS
 from augury.operators import backtest as B
 from augury.operators import series as S
 
 
 def run_forecast(
     df: DataFrame, target: str, strategy: str, keys: list[str] | None = None, time_col: str | None = None, horizon: int | None = None, seasonal_period: int | None = None,
-    frequency: str | None = None, level: float = 0.8, model: str = "auto", allow_compact: bool = False,
+    frequency: str | None = None, level: float = 0.8, model: str = "auto", allow_compact: bool = False, max_periods: int = S.MAX_PERIODS,
 ) -> dict[str, DataFrame]:
     """Table to regular series, gaps, backtest against the naive baseline, forecast with bands, gate and confidence.
 
-    Returns tables by series: history, audit, folds, metrics, facts (one row a series: gate, confidence, warnings) and
-    forecast (with the facts of its series).  ``model`` is ``naive``, ``seasonal_naive`` or a registered forecaster.  Series
-    with missing values after filling are refused by learned models unless ``allow_compact`` drops those periods.
+    Returns tables by series: status (every series of ``df``: ok, no backtest or error, and why), history, audit, folds, metrics,
+    facts (one row a series that is not an error: gate, confidence, warnings) and forecast (with the facts of its series).  A
+    series too short for a backtest has its forecast without bands, and does not pass the gate.  Each series has its own
+    frequency unless one is given.  ``model`` is ``naive``, ``seasonal_naive`` or a registered forecaster.  Series with missing
+    values after filling are refused by learned models unless ``allow_compact`` drops those periods.  A ``time_col`` that is no
+    axis gives way to the best candidate, which the warnings say.
     """
     keys = keys or []
-    if time_col is None or time_col not in df.columns:
+    asked, stamp = time_col, None
+    if time_col in df.columns:
+        stamp = S.stamps_of(df, time_col)
+    if stamp is None:
         found = S.detect_time_columns(df, target).orderBy("rank").first()
         if found is None:
             raise ValueError("no column can be a time axis")
         time_col = found["name"]
+        stamp = S.stamps_of(df, time_col)
+    note = f"{asked} is no time axis; {time_col} is used" if asked not in (None, time_col) else None
+    df = df.withColumn(time_col, stamp)
     status = S.validate_series(df, target, time_col, keys)
-    good = status.where("status = 'ok'").select(*keys)
-    rows = df.join(good, keys, "left_semi") if keys else df
-    integer = dict(df.dtypes)[time_col] in ("int", "bigint", "smallint", "tinyint")
-    if integer:
-        freq, series = None, S.integer_series(rows, keys, time_col, target)
+    rows = B._on(df, status.where("status = 'ok'").select(*keys), keys, how="left_semi") if keys else df.where(F.lit(status.where("status = 'ok'").count() > 0))
+    options = (target, strategy, keys, time_col, horizon, seasonal_period, level, model, allow_compact)
+    if isinstance(df.schema[time_col].dataType, T.IntegralType):
+        series = S.integer_series(rows, keys, time_col, target)
+        parts = [(_forecast(series, None, *options), None)]
     else:
-        freq = frequency or S.frequency(rows, time_col, keys).groupBy("freq").count().orderBy(F.desc("count"), "freq").first()["freq"]
-        series = S.regularize(S.collapse_duplicates(rows, keys, time_col, target), keys, freq)
+        points = S.collapse_duplicates(rows, keys, time_col, target)
+        freqs = S.frequency(rows, time_col, keys).select(*keys, (F.lit(frequency) if frequency else F.coalesce("freq", F.lit("D"))).alias("_freq"))
+        # As many passes as there are frequencies, of which there are six.
+        codes = [frequency] if frequency else sorted(r[0] for r in freqs.select("_freq").distinct().collect()) or ["D"]
+        parts = []
+        for code in codes:
+            own = points if frequency else B._on(points, freqs.where(F.col("_freq") == code).drop("_freq"), keys, how="left_semi") if keys else points
+            parts.append((_forecast(S.regularize(own, keys, code, max_periods=max_periods), code, *options), S.runaway_series(own, keys, code, max_periods)))
+    out = {name: reduce(DataFrame.unionByName, [p[0][name] for p in parts]) for name in parts[0][0]}
+    if note:
+        out["facts"] = out["facts"].withColumn("warnings", F.array_append("warnings", F.lit(note)))
+    runaway = [p[1] for p in parts if p[1] is not None]
+    out["status"] = _final_status(status, out["facts"], reduce(DataFrame.union, runaway) if runaway else None, keys)
+    return out
+
+
+def _final_status(status: DataFrame, facts: DataFrame, runaway: DataFrame | None, keys: list[str]) -> DataFrame:
+    """The status of each series once forecasts were tried: too long a grid is an error, too short a history no backtest."""
+    seen = B._on(status, facts.select(*keys, (F.col("n_folds") == 0).alias("_short"), "n", "h"), keys, how="left")
+    long = F.lit(False)
+    if runaway is not None:
+        seen = B._on(seen, runaway.distinct().withColumn("_long", F.lit(True)), keys, how="left")
+        long = F.coalesce("_long", F.lit(False))
+    need = F.greatest(F.col("h"), F.floor(F.col("n") / 2)) + F.col("h")
+    short = F.concat(F.lit("too short for a backtest: more than "), need.cast("string"), F.lit(" periods are needed"))
+    ok = F.col("status") == "ok"
+    return seen.select(
+        *keys, "n_observed", F.when(ok & long, "error").when(ok & F.col("_short"), "no backtest").otherwise(F.col("status")).alias("status"),
+        F.when(ok & long, "too many periods for its frequency").when(ok & F.col("_short"), short).otherwise(F.col("error")).alias("error"),
+    )
+
+
+def _forecast(series: DataFrame, freq: str | None, target: str, strategy: str, keys: list[str], time_col: str, horizon: int | None, seasonal_period: int | None, level: float, model: str, allow_compact: bool) -> dict[str, DataFrame]:
+    """The tables of ``run_forecast`` for series of one frequency."""
     trimmed = S.trim_edges(series, keys)
     filled = S.fill_gaps(trimmed, keys, strategy)
     audit = S.gap_audit(trimmed, filled, keys, strategy)
@@ -44,31 +89,34 @@ def run_forecast(
     origins = B.backtest_origins(size, keys)
     base = B.backtest_baseline(history, keys, origins)
     if model in ("naive", "seasonal_naive"):
-        period = seasonal_period or 7 if model == "seasonal_naive" else None
+        period = seasonal_period or SEASONS.get(freq, 7) if model == "seasonal_naive" else None
         scored = B.backtest_baseline(history, keys, origins, period)
         h = F.greatest(F.lit(1), F.col("h"))
         at = F.col("n") - 1 if period is None else F.when(F.col("n") < period, F.col("n") - 1).otherwise(F.col("n") - period + (F.col("step") - 1) % period)
         steps = size.select(*keys, "n", F.explode(F.sequence(F.lit(1), h)).alias("step")).withColumn("pos", at)
         point = steps.join(history.select(*keys, "pos", F.col("y").alias("yhat")), [*keys, "pos"]).select(*keys, "step", "yhat")
     else:
-        scored = B.backtest_model(history, keys, origins, model).where("yhat is not null and not isnan(yhat)")
-        point = B.model_forecast(history, keys, size, model)
+        name = f"auto:{freq}" if model == "auto" else model
+        scored = B.backtest_model(history, keys, origins, name).where("yhat is not null and not isnan(yhat)")
+        point = B.model_forecast(history, keys, size, name)
         # A model that fails on a series leaves its naive forecast.
         last = history.groupBy(*keys).agg(F.max_by("y", "pos").alias("_last"))
         point = B._on(point, last, keys).withColumn("yhat", F.when(F.isnan("yhat") | F.col("yhat").isNull(), F.col("_last")).otherwise(F.col("yhat"))).drop("_last")
     residuals = B.residuals_by_step(scored, keys)
     metrics, naive = B.backtest_metrics(scored, keys), B.backtest_metrics(base, keys)
-    facts = B._on(B.compare_to_naive(metrics, naive, keys), size, keys)
-    facts = B._on(facts, B.interval_coverage(residuals, keys, level), keys, how="left") if keys else facts.crossJoin(B.interval_coverage(residuals, keys, level))  # one row each
+    folds = base.groupBy(*keys).agg(F.count_distinct("fold").alias("n_folds"))
+    facts = B._on(size.where("n > 0"), B.compare_to_naive(metrics, naive, keys), keys, how="left").withColumn("beats_naive", F.coalesce("beats_naive", F.lit(False)))
+    facts = B._on(facts, folds, keys, how="left").withColumn("n_folds", F.coalesce("n_folds", F.lit(0)))
+    facts = B._on(facts, B.interval_coverage(residuals, keys, level), keys, how="left")
     facts = B.forecast_confidence(B.forecast_gate(facts, level), level)
-    facts = B._on(facts, audit.select(*keys, "n_filled", "longest_gap", "trimmed", F.col("warning").alias("gap_warning")), keys)
+    facts = B._on(facts, audit.select(*keys, "n_filled", "longest_gap", "trimmed", F.col("warning").alias("gap_warning")), keys, how="left")
     wide = F.when(F.col("h") > F.col("n_observed") / 3, "the horizon is over a third of the history")
-    facts = facts.withColumn("warnings", F.array_compact(F.concat("warnings", F.array("gap_warning", wide)))).drop("gap_warning")
+    facts = facts.withColumn("warnings", F.array_compact(F.concat("warnings", F.array("gap_warning", wide)))).drop("gap_warning").withColumn("freq", F.lit(freq).cast("string"))
     stamps = S.future_index(filled, keys, F.lit(horizon), freq) if horizon else _stamps(filled, keys, size, freq)
     bands = B.prediction_intervals(point, residuals, keys, size, level)
     forecast = B._on(bands, stamps, keys, ("step",))
     forecast = B._on(forecast, facts.select(*keys, "passed", "beats_naive", "improvement_pct", "confidence", "confidence_label"), keys)
-    return {"status": status, "history": filled, "audit": audit, "folds": B.backtest_metrics(scored, [*keys, "fold"]), "metrics": metrics, "facts": facts, "forecast": forecast, "residuals": residuals}
+    return {"history": filled, "audit": audit, "folds": B.backtest_metrics(scored, [*keys, "fold"]), "metrics": metrics, "facts": facts, "forecast": forecast, "residuals": residuals}
 
 
 def _stamps(series: DataFrame, keys: list[str], size: DataFrame, freq: str | None) -> DataFrame:
@@ -84,6 +132,9 @@ def run_tabular(df: DataFrame, row_key: list[str], target: str | None = None, se
     from augury.operators import profile as P
     from augury.operators import train as T
 
+    plain = {c: c.replace(".", "_") for c in df.columns if "." in c}  # dots would be read as fields from here on
+    df = df.toDF(*[plain.get(c, c) for c in df.columns])
+    row_key, target = [plain.get(k, k) for k in row_key], plain.get(target, target)
     keyed = df.withColumns({k: df[k].cast("string") for k in row_key})
     table = P.coerce_numeric_like(keyed.drop(*row_key), pattern=pattern or P.NUMBER_LIKE) if not row_key else P.coerce_numeric_like(keyed, pattern=pattern or P.NUMBER_LIKE).withColumns({k: F.col(k).cast("string") for k in row_key})
     table = table.persist()  # profile, task, split and warnings each pass over it; what memory lacks goes to disk
@@ -99,15 +150,15 @@ def run_tabular(df: DataFrame, row_key: list[str], target: str | None = None, se
     metrics = T.tabular_metrics(prepared, fit, got.model)
     facts = metrics.withColumnRenamed("r2" if task == "regression" else "accuracy", "score").withColumns({"task": F.lit(task), "family": F.lit(got.family), "attempts": F.lit(got.attempts), "cv_mean": F.lit(got.cv_mean), "cv_std": F.lit(got.cv_std)})
     whole = P.overall_missing_pct(inputs).crossJoin(P.duplicate_rows(table)).crossJoin(inputs.agg(F.count(F.lit(1)).alias("n_rows")))  # one row each
-    facts = V.tabular_confidence(V.tabular_gate(facts.crossJoin(whole)))  # one row each
+    facts = V.tabular_confidence(V.tabular_gate(facts.crossJoin(whole))).withColumns({"n_cols": F.lit(len(inputs.columns)), "target": F.lit(target), "n_folds": F.lit(len(got.cv_scores))})  # one row each
     return {"profile": profile, "fit": fit, "prepared": prepared, "trained": got, "metrics": metrics, "facts": facts}
 
 
 def explanation_report(facts: DataFrame, importance: DataFrame) -> DataFrame:
-    """One row of JSON: model, score, stability, top drivers, gate, confidence and what to do; all read, none recomputed."""
+    """One row of JSON: dataset, model, metrics, stability, top drivers, gate, confidence and what to do; all read, none recomputed."""
     drivers = importance.orderBy("rank").limit(5).agg(F.sort_array(F.collect_list(F.struct("rank", "feature", "importance"))).alias("drivers"))
     advice = F.when(F.col("passed"), "The model may be used; check its drivers from time to time.").otherwise("Do not use the model; more or better data is needed.")
-    return facts.crossJoin(drivers).select(F.to_json(F.struct("task", "family", "score", "cv_mean", "cv_std", "drivers", "passed", "reasons", "confidence", "confidence_label", advice.alias("recommendation"))).alias("report"))  # one row each
+    return facts.crossJoin(drivers).select(F.to_json(F.struct(*[c for c in ("n_rows", "n_cols", "target") if c in facts.columns], "task", "family", "score", *[c for c in ("mae", "f1_weighted") if c in facts.columns], "cv_mean", "cv_std", *[c for c in ("n_folds",) if c in facts.columns], "drivers", "passed", "reasons", "confidence", "confidence_label", advice.alias("recommendation"))).alias("report"))  # one row each
 
 
 def coercion_impact(df: DataFrame, row_key: list[str], target: str, **options) -> DataFrame:

@@ -87,6 +87,15 @@ def bands(spark, sf):
     return B.prediction_intervals(point, residuals(spark, sf), K, B.sizes(f, K, H))
 
 
+def statuses(spark, sf):
+    """The orders of each customer, in their order, as a series, and what became of it: forecast, no backtest or error."""
+    from augury.plans.jobs import run_forecast
+
+    out = run_forecast(X.table(spark, sf, "orders"), "o_totalprice", "ffill", keys=["o_custkey"], time_col="o_orderkey", horizon=2, model="naive")
+    got = out["forecast"].groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_steps"))
+    return out["status"].join(got, "o_custkey", "left").select("o_custkey", "status", F.coalesce("n_steps", F.lit(0)).alias("n_steps"))
+
+
 def run_forecast_naive(spark, sf):
     """Flagship: series by priority to forecast, bands, gate and confidence, with the seasonal baseline as model."""
     from augury.plans.jobs import run_forecast
@@ -128,6 +137,7 @@ def queries() -> dict:
         "forecast_gate": lambda s, d: _facts(s, d, "passed", "reasons", "warnings"),
         "forecast_confidence": lambda s, d: _facts(s, d, "confidence", "confidence_label"),
         "run_forecast_naive": run_forecast_naive,
+        "run_forecast_status": statuses,
     }
 
 
@@ -143,7 +153,7 @@ def oracle_sql() -> dict[str, str]:
         inner = "SELECT *, last_value(y IGNORE NULLS) OVER back AS y0, first_value(y IGNORE NULLS) OVER ahead AS y1, last_value(CASE WHEN y IS NOT NULL THEN pos END IGNORE NULLS) OVER back AS p0, first_value(CASE WHEN y IS NOT NULL THEN pos END IGNORE NULLS) OVER ahead AS p1 FROM trimmed WINDOW back AS (PARTITION BY o_orderpriority ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), ahead AS (PARTITION BY o_orderpriority ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
         filled[f"fill_gaps_{name}"] = w(X.TRIM, f"SELECT {key}, pos, round({expr}, 6) AS y, y IS NULL AND ({expr}) IS NOT NULL AS filled FROM ({inner})")
     return {
-        "detect_time_columns": "WITH o AS (SELECT *, CASE WHEN o_orderkey % 40 = 0 THEN 'n/a' ELSE strftime(o_orderdate, '%d/%m/%Y') END AS as_text FROM orders WHERE o_orderpriority = '1-URGENT'), r AS (SELECT avg(CASE WHEN try_strptime(as_text, '%d/%m/%Y') IS NOT NULL THEN 1.0 ELSE 0 END) AS rate, count(*) = count(DISTINCT o_orderkey) AS uniq FROM o) SELECT * FROM (SELECT 'o_orderdate' AS name, 'datetime' AS kind, 1.0::DOUBLE AS parse_rate, 1 AS rank UNION ALL SELECT 'iso', 'parsed', 1.0, 2 UNION ALL SELECT 'as_text', 'parsed', round(rate, 2), 3 FROM r WHERE rate >= 0.95 UNION ALL SELECT 'o_orderkey', 'ordered_int', 1.0, CASE WHEN rate >= 0.95 THEN 4 ELSE 3 END FROM r WHERE uniq)",
+        "detect_time_columns": "WITH o AS (SELECT *, CASE WHEN o_orderkey % 40 = 0 THEN 'n/a' ELSE strftime(o_orderdate, '%d/%m/%Y') END AS as_text FROM orders), r AS (SELECT avg(CASE WHEN try_strptime(as_text, '%d/%m/%Y') IS NOT NULL THEN 1.0 ELSE 0 END) AS rate, count(*) = count(DISTINCT o_orderkey) AS uniq FROM o) SELECT * FROM (SELECT 'o_orderdate' AS name, 'datetime' AS kind, 1.0::DOUBLE AS parse_rate, 1 AS rank UNION ALL SELECT 'iso', 'parsed', 1.0, 2 UNION ALL SELECT 'as_text', 'parsed', round(rate, 2), 3 FROM r WHERE rate >= 0.95 UNION ALL SELECT 'o_orderkey', 'ordered_int', 1.0, CASE WHEN rate >= 0.95 THEN 4 ELSE 3 END FROM r WHERE uniq)",
         "series_regularity": w(X.DAILY + ", points AS (SELECT DISTINCT o_orderpriority, day AS ds FROM daily), " + REGULARITY, f"SELECT {key}, count(*) AS n_stamps, round(CASE WHEN count(*) >= 3 THEN 1 - least(1.0::DOUBLE, stddev_pop(gap) / (avg(gap) + 1e-9)) ELSE 0 END, 4) AS regularity, CASE WHEN count(*) >= 3 THEN CASE WHEN quantile_cont(gap, 0.5) <= 43200 THEN 'H' WHEN quantile_cont(gap, 0.5) <= 129600 THEN 'D' WHEN quantile_cont(gap, 0.5) <= 691200 THEN 'W' WHEN quantile_cont(gap, 0.5) <= 3888000 THEN 'M' WHEN quantile_cont(gap, 0.5) <= 11664000 THEN 'Q' ELSE 'Y' END END AS freq FROM gaps GROUP BY 1"),
         "validate_series_input": "SELECT o_custkey, count(o_totalprice) AS n_observed, CASE WHEN count(o_totalprice) < 3 THEN 'error' ELSE 'ok' END AS status, CASE WHEN count(o_totalprice) < 3 THEN 'fewer than 3 observed points' END AS error FROM orders GROUP BY 1",
         "collapse_duplicates": f"SELECT {key}, strftime(o_orderdate, '%Y-%m-%d') AS ds, round(avg(o_totalprice), 4) AS y FROM orders GROUP BY 1, 2",
@@ -169,5 +179,6 @@ def oracle_sql() -> dict[str, str]:
         "interval_coverage": w(COVER, f"SELECT {key}, round(coverage, 4) AS coverage FROM cov"),
         "forecast_gate": w(GATED, f"SELECT {key}, passed, reasons, warnings FROM gated"),
         "forecast_confidence": w(GATED, f"SELECT {key}, confidence, {LABEL} FROM gated"),
+        "run_forecast_status": "SELECT o_custkey, CASE WHEN n < 3 THEN 'error' WHEN n - 2 <= greatest(2, n // 2) THEN 'no backtest' ELSE 'ok' END AS status, CASE WHEN n < 3 THEN 0 ELSE 2 END AS n_steps FROM (SELECT o_custkey, count(o_totalprice) AS n FROM orders GROUP BY 1)",
         "run_forecast_naive": w(GATED + OFFSETS[len(COVER) :] + POINT, f"SELECT pt.{key}, pt.step, strftime(pt.ds, '%Y-%m-%d') AS ds, round(yhat, 5) AS yhat, round(yhat + low, 5) AS lower, round(yhat + high, 5) AS upper, passed, improvement_pct, {LABEL} FROM pt JOIN off ON pt.{key} = off.{key} AND pt.step = off.step JOIN gated g ON g.{key} = pt.{key}"),
     }

@@ -122,6 +122,13 @@ def audit(spark, sf):
     return C.preparation_audit(s, rows, fit).select("rows_before", "rows_after", "train_before", "train_after", "test_before", "test_after", "train_dropped", "filled_columns")
 
 
+def dropped(spark, sf):
+    """Orders with a clerk's name each: the key and the name go, having a value for each row."""
+    o = X.table(spark, sf, "orders").withColumn("clerk", F.concat(F.lit("C"), F.col("o_orderkey").cast("string")))
+    profile = {r["column"]: r for r in P.profile_columns(o).collect()}  # a row for each column
+    return C.drop_high_cardinality(o, {c: r["role"] for c, r in profile.items()}, {c: r["cardinality"] for c, r in profile.items()})
+
+
 def stratified(spark, sf):
     o = X.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
     return C.split(o, ["o_orderkey"], stratify="o_orderstatus")
@@ -141,7 +148,7 @@ def queries() -> dict:
         "target_correlations": lambda s, d: P.target_correlations(numeric_lines(s, d), TRAIN),
         "infer_task_type": lambda s, d: P.infer_task_type(X.table(s, d, "lineitem"), "l_linenumber").withColumn("column", F.lit("l_linenumber")).union(P.infer_task_type(prof(s, d), "price").withColumn("column", F.lit("price"))).union(P.infer_task_type(prof(s, d), "tag").withColumn("column", F.lit("tag"))),
         "profile_warnings": lambda s, d: P.profile_warnings(duplicated(s, d)).select(F.concat_ws("; ", "warnings").alias("warnings")),
-        "coerce_numeric_like": lambda s, d: P.coerce_numeric_like(texts(s, d)).select("p_partkey", "price", "distance", "style", "p_brand", "mixed"),
+        "coerce_numeric_like": lambda s, d: P.coerce_numeric_like(texts(s, d)).select("p_partkey", "price", "distance", "style", "signed", "hours", "p_brand", "mixed"),
         "coercion_audit": lambda s, d: P.coercion_audit(texts(s, d)),
         "split_by_hash": lambda s, d: split_lines(s, d).select("row_key", "is_train"),
         "split_stratified": stratified,
@@ -161,7 +168,8 @@ def queries() -> dict:
         "tabular_gate": lambda s, d: V.tabular_gate(fact_rows(s, d)).select("o_orderpriority", "passed", F.concat_ws("; ", "reasons").alias("reasons")),
         "tabular_confidence": lambda s, d: V.tabular_confidence(fact_rows(s, d)).select("o_orderpriority", "confidence", "confidence_label"),
         "fold_importance": lambda s, d: raw_importance(s, d).select("raw", _r("importance", 6)),
-        "select_required": lambda s, d: V.select_required(raw_importance(s, d)).select("raw", "rank", "share", "required"),
+        "select_required": lambda s, d: V.select_required(raw_importance(s, d)).select("raw", "rank", "share", "required", "covered"),
+        "drop_high_cardinality": dropped,
         "field_defaults": lambda s, d: V.field_defaults(prof(s, d), ["price", "o_orderstatus", "o_orderpriority"]),
     }
 
@@ -177,9 +185,11 @@ def oracle_sql() -> dict[str, str]:
     corrs = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", corr({e}, l_extendedprice) AS raw FROM lineitem" for c, e in num.items() if c != TRAIN)
     vc = lambda cs: " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS n FROM prof WHERE {c} IS NOT NULL GROUP BY 2" for c in cs)
     dup = "dup AS (SELECT * REPLACE (CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END AS o_orderstatus) FROM (SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 10 = 0)), d AS (SELECT sum(c - 1) AS n FROM (SELECT count(*) AS c FROM dup GROUP BY o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority))"
-    number = lambda c: f"TRY_CAST(replace(regexp_extract({c}, '{P.FIRST_NUMBER}', 0), ',', '') AS DOUBLE)"
-    like, units = P.NUMBER_LIKE, P.UNITS_ONLY
-    tcols = ["price", "distance", "style", "p_brand", "mixed"]
+    # Written out again, so that the library's patterns are held against others.
+    number = lambda c: f"TRY_CAST(replace(regexp_extract({c}, '[+-]?[0-9][0-9,]*([.][0-9]+)?', 0), ',', '') AS DOUBLE)"
+    like = r"^\s*[+-]?\s*[$€£¥₹﷼]?\s*[+-]?[0-9][0-9,]*([.][0-9]+)?\s*[a-zA-Z.%/]{0,6}\s*$"
+    units = r"^\s*[+-]?\s*[$€£¥₹﷼]?\s*[+-]?[0-9][0-9,]*([.][0-9]+)?\s*(%|mi|mi[.]|miles|km|kg|g|lb|lbs|ft|sqft|sqm|m2|m|hr|hrs|usd|sar|eur|gbp)?\s*$"
+    tcols = ["price", "distance", "style", "signed", "hours", "p_brand", "mixed"]
     tv = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value, count(*) AS n FROM texts WHERE {c} IS NOT NULL GROUP BY 2" for c in tcols)
     return {
         "read_table": "SELECT event_type, count(*) AS n, round(avg(value), 4) AS value FROM events GROUP BY 1",
@@ -193,7 +203,7 @@ def oracle_sql() -> dict[str, str]:
         "target_correlations": f"SELECT \"column\", round(raw, 3) AS corr, rank FROM (SELECT *, row_number() OVER (ORDER BY abs(raw) DESC, \"column\") AS rank FROM ({corrs}) WHERE raw IS NOT NULL) WHERE rank <= 8",
         "infer_task_type": w(X.PROFILED, "SELECT 'l_linenumber' AS \"column\", CASE WHEN count(DISTINCT l_linenumber) <= 15 AND count(DISTINCT l_linenumber) / count(*) < 0.05 THEN 'classification' ELSE 'regression' END AS task FROM lineitem UNION ALL SELECT 'price', CASE WHEN count(DISTINCT price) <= 15 AND count(DISTINCT price) / count(*) < 0.05 THEN 'classification' ELSE 'regression' END FROM prof UNION ALL SELECT 'tag', 'classification'"),
         "profile_warnings": w(dup, "SELECT concat_ws('; ', CASE WHEN (SELECT count(*) FROM dup) < 50 THEN 'fewer than 50 rows' END, CASE WHEN (SELECT 100 * avg(CASE WHEN o_orderstatus IS NULL THEN 1 ELSE 0 END) / 6 FROM dup) > 30 THEN 'over 30 % of values are missing' END, CASE WHEN n > 0 THEN n || ' repeated rows' END) AS warnings FROM d"),
-        "coerce_numeric_like": w(X.TEXTS, "SELECT p_partkey, " + ", ".join(f"{number(c)} AS {c}" if c in ("price", "distance", "style") else c for c in tcols) + " FROM texts"),
+        "coerce_numeric_like": w(X.TEXTS, "SELECT p_partkey, " + ", ".join(f"{number(c)} AS {c}" if c in ("price", "distance", "style", "hours") else "CAST(-1200 - CAST(right(signed, 2) AS INT) AS DOUBLE) AS signed" if c == "signed" else c for c in tcols) + " FROM texts"),
         "coercion_audit": w(X.TEXTS + f", v AS ({tv}), f AS (SELECT \"column\", sum(CASE WHEN regexp_matches(value, '{like}') THEN n ELSE 0 END)::DOUBLE / sum(n)::DOUBLE AS ratio, sum(CASE WHEN regexp_matches(value, '{units}') THEN n ELSE 0 END)::DOUBLE / sum(n)::DOUBLE AS ratio_units, count(*) AS n_unique, array_to_string(list_sort(list(value))[1:3], ' | ') AS samples, coalesce(array_to_string(list_sort(list(value) FILTER ({number('value')} IS NULL))[1:4], ' | '), '') AS destroyed FROM v GROUP BY 1)", "SELECT \"column\", round(ratio, 4) AS ratio, round(ratio_units, 4) AS ratio_units, ratio >= 0.9 AS coerced, ratio_units >= 0.9 AS coerced_units, n_unique, samples, destroyed, CASE WHEN ratio >= 0.9 AND ratio_units >= 0.9 THEN 'genuine' WHEN ratio >= 0.9 THEN 'false positive' ELSE 'proposal only' END AS verdict FROM f WHERE ratio >= 0.9 OR ratio_units >= 0.9"),
         "split_by_hash": w(X.LINES, "SELECT row_key, is_train FROM parts"),
         "split_stratified": "SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('42|' || o_orderkey)) > ceil(count(*) OVER (PARTITION BY o_orderstatus) * 0.2::DOUBLE) AS is_train FROM orders",
@@ -213,6 +223,7 @@ def oracle_sql() -> dict[str, str]:
         "tabular_gate": w(FACTS + ", r AS (SELECT o_orderpriority, CASE WHEN task = 'regression' AND score < 0.35 THEN 'R2 is too low' WHEN task = 'classification' AND score < 0.55 THEN 'accuracy is too low' END AS a, CASE WHEN cv_mean <> 0 AND cv_std / abs(cv_mean) > 0.5 THEN 'cross-validation varies too much' END AS b FROM facts)", "SELECT o_orderpriority, a IS NULL AND b IS NULL AS passed, concat_ws('; ', a, b) AS reasons FROM r"),
         "tabular_confidence": w(FACTS + ", s AS (SELECT *, 0.5 * least(greatest(score, 0), 1) + 0.3 * (1 - least(1, cv_std / (abs(cv_mean) + 1e-6))) + 0.2 * (least(n_rows / 500, 1) + least(greatest(1 - missing_pct / 100, 0), 1) + least(greatest(1 - n_duplicates / n_rows, 0), 1)) / 3 AS c FROM facts)", "SELECT o_orderpriority, round(c, 4) AS confidence, CASE WHEN c >= 0.75 THEN 'High' WHEN c >= 0.5 THEN 'Medium' ELSE 'Low' END AS confidence_label FROM s"),
         "fold_importance": w(CORRS, "SELECT raw, round(importance, 6) AS importance FROM byraw"),
-        "select_required": w(CORRS, "SELECT raw, rank, round(importance / total, 4) AS share, rank <= 8 AND (before / total < 0.85 OR rank <= 3) AS required FROM (SELECT raw, importance, row_number() OVER o AS rank, sum(importance) OVER () AS total, coalesce(sum(importance) OVER (ORDER BY importance DESC, raw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM byraw WINDOW o AS (ORDER BY importance DESC, raw))"),
+        "select_required": w(CORRS, "SELECT *, round(sum(CASE WHEN required THEN importance END) OVER () / sum(importance) OVER (), 4) AS covered FROM (SELECT raw, importance, rank, round(importance / total, 4) AS share, rank <= 8 AND (before / total < 0.85 OR rank <= 3) AS required FROM (SELECT raw, importance, row_number() OVER o AS rank, sum(importance) OVER () AS total, coalesce(sum(importance) OVER (ORDER BY importance DESC, raw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM byraw WINDOW o AS (ORDER BY importance DESC, raw)))".replace("SELECT *, round(sum", "SELECT raw, rank, share, required, round(sum")),
+        "drop_high_cardinality": "SELECT o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders",
         "field_defaults": w(X.PROFILED, "SELECT 'o_orderstatus' AS \"column\", (SELECT o_orderstatus FROM prof GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS \"default\", (SELECT string_agg(DISTINCT o_orderstatus, '|' ORDER BY o_orderstatus) FROM prof) AS options UNION ALL SELECT 'o_orderpriority', (SELECT o_orderpriority FROM prof GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), (SELECT string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) FROM prof) UNION ALL SELECT 'price', CAST(round(median(price), 4) AS VARCHAR), '' FROM prof"),
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from dataclasses import asdict, is_dataclass
+from dataclasses import fields, is_dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +24,12 @@ def normalise(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder (spark.checkpoint.dir); in a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/augury-shared"
+    """A new path in the cluster's shared folder (spark.checkpoint.dir); in a temporary one where that is unset and all runs in
+    one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or f"{tempfile.gettempdir()}/augury-shared"
     return f"{base.rstrip('/')}/augury-{name}-{uuid.uuid4().hex}"
 
 
@@ -52,7 +56,7 @@ def write_results(tables: dict[str, DataFrame], path: str, keys: list[str] | Non
 
 def save_fit(fit, spark: SparkSession, path: str) -> None:
     """Fitted state (a dataclass of plain values) as one JSON row, and its model, if it has one, beside it."""
-    state = asdict(fit) if is_dataclass(fit) else dict(fit)
+    state = {f.name: getattr(fit, f.name) for f in fields(fit)} if is_dataclass(fit) else dict(fit)
     model = state.pop("model", None)
     spark.createDataFrame([(json.dumps(state),)], "state string").write.mode("overwrite").text(f"{path}/state")
     if model is not None:
@@ -60,8 +64,13 @@ def save_fit(fit, spark: SparkSession, path: str) -> None:
 
 
 def load_fit(kind, spark: SparkSession, path: str):
-    """The state that ``save_fit`` wrote, as an object of ``kind``."""
-    return kind(**json.loads(spark.read.text(f"{path}/state").first()[0]))
+    """The state that ``save_fit`` wrote, as an object of ``kind``; with its model, if ``kind`` has one."""
+    state = json.loads(spark.read.text(f"{path}/state").first()[0])
+    if "model" in {f.name for f in fields(kind)}:
+        from pyspark.ml import PipelineModel
+
+        state["model"] = PipelineModel.load(f"{path}/model")
+    return kind(**state)
 
 
 LOG_SCHEMA = "stage string, action string, reason string, data string, status string, ts timestamp"

@@ -57,8 +57,8 @@ def test_refuses_a_bad_target_and_a_runaway_grid(spark):
     with pytest.raises(ValueError):
         S.validate_series(df.withColumn("y", F.lit("x")), "y", "ds", [])
     assert S.validate_series(df, "y", "ds", []).first()["status"] == "error"
-    with pytest.raises(Exception, match="too many periods"):
-        S.regularize(df, [], "H", max_periods=5).count()
+    assert S.regularize(df, [], "H", max_periods=5).count() == 0
+    assert S.runaway_series(df, [], "H", max_periods=5).count() == 1 and S.runaway_series(df, [], "D", max_periods=5).count() == 0
 
 
 def test_origins(spark):
@@ -167,6 +167,9 @@ def test_training_scoring_and_streaming(spark, tmp_path):
     fit, model = out["fit"], out["trained"].model
     rows = X.priced_lines(spark, DATA)
     scored = T.score(rows, fit, model, ["row_key"])
+    A.save_fit(out["trained"], spark, str(tmp_path / "trained"))
+    again = A.load_fit(T.Trained, spark, str(tmp_path / "trained"))
+    assert again.family == out["trained"].family and T.score(rows, fit, again.model, ["row_key"]).exceptAll(scored).count() == 0
     assert scored.count() == rows.count() and scored.where("prediction is null").count() == 0
     rows.write.parquet(str(tmp_path / "in"))
     lines = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
@@ -212,7 +215,7 @@ def test_number_checks(spark):
     assert found == ["46"]
 
 
-@pytest.mark.parametrize("text, intent", [("Forecast the next month", "forecast"), ("why did it fall", "explanation"), ("predict the price", "prediction"), ("hello", "unknown"), ("توقع المبيعات", "forecast"), ("لماذا", "explanation"), (None, "unknown")])
+@pytest.mark.parametrize("text, intent", [("Forecast the next month", "forecast"), ("why did it fall", "explanation"), ("predict the price", "prediction"), ("hello", "unknown"), ("توقع المبيعات", "prediction"), ("توقع المبيعات القادمة", "forecast"), ("لماذا", "explanation"), ("a trendy house, predict it", "prediction"), (None, "unknown")])
 def test_intents(spark, text, intent):
     assert spark.createDataFrame([(text,)], "t string").select(G.label_intent(F.col("t"))).first()[0] == intent
 
@@ -223,6 +226,62 @@ def test_select_required(spark):
     assert V.select_required(rows.withColumn("importance", F.lit(0.0))).where("required").count() == 4
 
 
+def test_required_by_correlation(spark):
+    rows = spark.createDataFrame([("a", 0.0, 2), ("b", 0.0, 1), ("c", 0.0, 3), ("d", 0.0, 4)], "raw string, importance double, position int")
+    corr = spark.createDataFrame([("a", -0.8), ("b", 0.8), ("c", 0.4)], "column string, corr double")
+    got = V.select_required(rows, correlations=corr).orderBy("rank").collect()
+    assert [r["raw"] for r in got] == ["b", "a", "c", "d"] and [r["required"] for r in got] == [True, True, True, False]
+    assert got[0]["covered"] == 1.0
+    assert V.select_required(rows.withColumn("importance", F.lit(0.0)), correlations=corr.where("false")).where("required").count() == 4
+
+
+def test_every_series_ends_somewhere(spark):
+    """Daily, monthly, short, tiny and runaway series: a forecast with its own frequency, or a status that says why not."""
+    day = lambda k: dt.datetime(2021, 1, 1) + dt.timedelta(days=k)
+    rows = [("daily", day(k), float(k % 7)) for k in range(60)] + [("monthly", dt.datetime(2015 + k // 12, k % 12 + 1, 1), float(k)) for k in range(40)]
+    rows += [("short", day(k), float(k)) for k in range(20)] + [("tiny", day(k), 1.0) for k in range(2)] + [("runaway", day(k if k < 8 else 20_000), 1.0) for k in range(9)]
+    df = spark.createDataFrame(rows, "k string, ds timestamp, y double")
+    out = jobs.run_forecast(df, "y", "ffill", keys=["k"], time_col="ds", horizon=14, model="naive", max_periods=5000)
+    status = {r["k"]: (r["status"], r["error"]) for r in out["status"].collect()}
+    assert {k: s for k, (s, _) in status.items()} == {"daily": "ok", "monthly": "ok", "short": "no backtest", "tiny": "error", "runaway": "error"}
+    assert "needed" in status["short"][1] and "too many" in status["runaway"][1]
+    facts = {r["k"]: r for r in out["facts"].collect()}
+    assert facts["monthly"]["freq"] == "M" and facts["daily"]["freq"] == "D" and facts["monthly"]["n"] == 40 and not facts["short"]["passed"]
+    steps = {r["k"]: r["count"] for r in out["forecast"].groupBy("k").count().collect()}
+    assert steps == {"daily": 14, "monthly": 14, "short": 14}
+    bare = out["forecast"].where("k = 'short'").collect()
+    assert all(r["lower"] == r["yhat"] == r["upper"] == 19.0 for r in bare)
+    nothing = jobs.run_forecast(df.where("k = 'tiny'"), "y", "ffill", keys=["k"], time_col="ds", horizon=2, model="naive")
+    assert nothing["forecast"].count() == 0 and nothing["status"].first()["status"] == "error"
+    text = df.where("k = 'daily'").withColumn("ds", F.date_format("ds", "dd/MM/yyyy")).withColumn("note", F.lit("x"))
+    moved = jobs.run_forecast(text, "y", "ffill", keys=["k"], time_col="note", horizon=3, model="naive")
+    assert moved["forecast"].count() == 3 and moved["facts"].first()["warnings"] == ["note is no time axis; ds is used"]
+
+
+def test_many_classes_and_dotted_names(spark):
+    rows = spark.range(3000).select("id", (F.col("id") % 250).alias("x.y"), F.concat(F.lit("c"), (F.col("id") % 250).cast("string")).alias("label"))
+    split = C.split(rows.withColumnRenamed("x.y", "x"), ["id"], stratify="label")
+    prepared, fit = C.fit_preparation(split, {"x": "numeric"}, {}, "label", "classification", ["id"])
+    assert len(fit.classes) == 250 and prepared.where("label < 0").count() == 0 and prepared.select("label").distinct().count() == 250
+    with pytest.raises(ValueError, match="classes"):
+        C.fit_preparation(split.withColumn("label", F.col("id").cast("string")), {"x": "numeric"}, {}, "label", "classification", ["id"])
+    assert P.duplicate_rows(rows).first()[0] == 0 and P.numeric_stats(rows, ["x.y"]).first()["max"] == 249
+    assert {r["column"] for r in P.profile_columns(rows).collect()} == {"id", "x.y", "label"} and P.profile_warnings(rows).count() == 1
+
+
+def test_large_classes_split_by_hash(spark, monkeypatch):
+    monkeypatch.setattr(C, "EXACT_CLASS", 500)
+    rows = spark.range(2100).select("id", F.when(F.col("id") < 2000, "big").otherwise("small").alias("c"))
+    got = {r["c"]: r["n"] for r in C.split(rows, ["id"], stratify="c").where("not is_train").groupBy("c").agg(F.count("*").alias("n")).collect()}
+    assert got["small"] == 20 and 320 < got["big"] < 480
+
+
+def test_holt_winters_follows_trend_and_season():
+    y = np.array([10 + 0.5 * k + [0, 3, -2, 5][k % 4] for k in range(40)])
+    want = np.array([10 + 0.5 * k + [0, 3, -2, 5][k % 4] for k in range(40, 46)])
+    assert np.abs(forecasters.holt(y, 6, 4) - want).max() < 1.5 and len(forecasters.holt(np.array([1.0]), 3)) == 3
+
+
 def test_quality_audit(spark):
     out = jobs.quality_audit(X.text_numbers(spark, DATA))
     assert {r["column"]: r["dtype"] for r in out["profile"].collect()}["price"] == "float"
