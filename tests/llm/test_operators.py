@@ -2,6 +2,7 @@
 
 import functools
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -221,7 +222,8 @@ def test_fertility_bands_reject_junk(spark):
     good = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' and n_chars > 600").limit(300)
     codes = " ".join(f"{k * 7919 % 99991:x}-{k * 104729 % 9973:x}_{k % 13}q" for k in range(200))
     signs = " ".join("".join(chr(0x2800 + (k * j) % 200) for j in range(3, 9)) for k in range(120))
-    glue = " ".join("".join(chr(97 + (k * k * j + j * j) % 26) for j in range(1, 40)) for k in range(80))
+    draw = random.Random(1)
+    glue = " ".join("".join(draw.choices("qxzjkvwy", k=40)) for _ in range(80))
     junk = [(990001, codes), (990002, signs), (990003, glue)]
     docs = good.select("doc_id", "text", "lang").union(spark.createDataFrame([(i, t, "en") for i, t in junk], "doc_id long, text string, lang string"))
     got = fertility.quality_rules(docs).toPandas().set_index("doc_id")
@@ -403,8 +405,6 @@ def brute_tiling(text, item, width=5):
 
 
 def test_tiling_against_brute_force(monkeypatch):
-    import random
-
     draw = random.Random(5)
     monkeypatch.setattr(decontam, "_CHUNK", 7)  # matches are carried over pieces of a text
     for _ in range(60):
@@ -428,7 +428,7 @@ def test_tiling_marks_longest_first():
 
 
 def test_licenses(spark, docs, nothing):
-    extra = [(700001, "Released under the MIT License."), (700002, "under the mit license under the mit license"), (700003, "CC BY-NC cc by nc"), (700004, "this work is licensed under the GNU General Public License, version 3."), (700005, "gnu public something license of three"), (700006, "Apache License, Version 2.0"), (700007, "GNU General Public License version 3 " + "and so on " * 40 + "this work is licensed under the other general licence"), (700008, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files")]
+    extra = [(700001, "Released under the MIT License."), (700002, "under the mit license under the mit license"), (700003, "CC BY-NC cc by nc"), (700004, "this work is licensed under the GNU General Public License, version 3."), (700005, "gnu public something license of three"), (700006, "Apache License, Version 2.0"), (700007, "Permission is hereby granted, free of charge. " + "and so on " * 40 + "to any person obtaining a copy of this software and associated documentation files (the software), to deal in the software without restriction"), (700008, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files")]
     both = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string"), allowMissingColumns=True)
     got = licenses.scan(both).toPandas()
     want = Counter()
