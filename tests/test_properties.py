@@ -255,7 +255,7 @@ def test_every_series_ends_somewhere(spark):
     assert nothing["forecast"].count() == 0 and nothing["status"].first()["status"] == "error"
     text = df.where("k = 'daily'").withColumn("ds", F.date_format("ds", "dd/MM/yyyy")).withColumn("note", F.lit("x"))
     moved = jobs.run_forecast(text, "y", "ffill", keys=["k"], time_col="note", horizon=3, model="naive")
-    assert moved["forecast"].count() == 3 and moved["facts"].first()["warnings"] == ["note is no time axis; ds is used"]
+    assert moved["forecast"].count() == 3 and "note is no time axis; ds is used" in moved["facts"].first()["warnings"]
 
 
 def test_many_classes_and_dotted_names(spark):
