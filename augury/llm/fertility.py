@@ -37,6 +37,7 @@ BPE, FALLBACK = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 MEASURES = {"chars_per_token": (0.02, 3), "byte_share": (0.01, 4), "token_entropy": (0.05, 3)}
 FENCE = 3.0
 LEAST = 100  # texts that give a group bands of its own
+_SALTS = 256  # parts of a group's rows that may be joined to its bands in different tasks
 SCRIPTS = ["latin", "greek", "cyrillic", "arabic", "indic", "cjk", "other"]
 _SYMBOLS = b"#*$%&|<>"
 _symbol = np.zeros(256, bool)
@@ -169,10 +170,15 @@ def bands(measured: DataFrame, by: list[str], fence: float = FENCE, least: int =
 
 def quality_rules(docs: DataFrame, folder: str = TOKENIZERS, fence: float = FENCE, least: int = LEAST) -> DataFrame:
     """One row for each row of ``docs``: doc_id, base counts, base_failed, kept, script and the three measures."""
+    group = ["script", "_lang", "_size"]
     rows = materialise(measures(docs, folder), "fertility").withColumns({"_lang": F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")), "_size": _size(F.col("n_tokens"))})
-    found = rows
-    for k, by in enumerate((["script", "_lang", "_size"], ["script", "_lang"], ["script"], ["_lang"])):
-        found = found.join(bands(rows, by, fence, least).withColumnRenamed("band", f"_band{k}"), by, "left")
+    groups = rows.select(*group).distinct()
+    for k, by in enumerate((group, ["script", "_lang"], ["script"], ["_lang"])):
+        groups = groups.join(bands(rows, by, fence, least).withColumnRenamed("band", f"_band{k}"), by, "left")
+    # The few groups are repeated for each salt, so that the rows of a large one are joined in many tasks.
+    salted = materialise(groups, "bands").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars", "chars_per_token"), F.lit(_SALTS)).cast("int"))
+    found = rows.join(salted, [*group, "_salt"])
     band = F.coalesce("_band0", "_band1", "_band2", "_band3")
     inside = F.lit(True)
     for m in MEASURES:
