@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from augury.operators.profile import value_counts
+from augury.operators.ranks import exact_quantiles, modes
+
 HIGH_CARDINALITY, ONE_HOT = 200, 15
 MOST_CLASSES = 1000  # of a target; more are refused
 EXACT_CLASS = 100_000  # rows of a class up to which a stratified choice is exact
@@ -54,9 +57,9 @@ def class_places(df: DataFrame, label: str, code: Column) -> tuple[Column, Colum
 
 def trim_outliers(df: DataFrame, target: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Training rows strictly between two quantiles of the training target; tested rows all stay."""
-    ends = df.where("is_train").agg(F.percentile(F.col(target).cast("double"), F.array(F.lit(low), F.lit(high))).alias("_q"))
-    inside = F.coalesce((F.col(target) > F.col("_q")[0]) & (F.col(target) < F.col("_q")[1]), F.lit(False))
-    return df.crossJoin(F.broadcast(ends)).where(~F.col("is_train") | inside).drop("_q")  # ``ends`` is one row
+    low_end, high_end = exact_quantiles(df.where("is_train"), {target: F.col(target)}, [low, high])[target]
+    inside = F.coalesce((F.col(target) > F.lit(low_end).cast("double")) & (F.col(target) < F.lit(high_end).cast("double")), F.lit(False))
+    return df.where(~F.col("is_train") | inside)
 
 
 def log_target(df: DataFrame, target: str) -> DataFrame:
@@ -90,12 +93,16 @@ def apply_target_encoding(df: DataFrame, columns: list[str], fit: DataFrame) ->
 
 
 def fit_imputer(df: DataFrame, columns: list[str]) -> dict[str, float | str]:
-    """Fill value of each column with missing values: training median, or mode (smallest on ties); one pass."""
+    """Fill value of each column with missing values: training median, or mode (smallest on ties)."""
     kinds = {f.name: isinstance(f.dataType, T.NumericType) for f in df.schema.fields}
-    train = F.col("is_train")
-    aggs = [x for i, c in enumerate(columns) for x in (F.count_if(F.col(c).isNull()).alias(f"m{i}"), (F.median(F.when(train, F.col(c).cast("double"))) if kinds[c] else F.mode(F.when(train, F.col(c).cast("string")), True)).alias(f"v{i}"))]
-    row = df.agg(*aggs).first()
-    return {c: row[f"v{i}"] if row[f"v{i}"] is not None else (0.0 if kinds[c] else "unknown") for i, c in enumerate(columns) if row[f"m{i}"]}
+    missing = df.agg(F.count(F.lit(1)), *[F.count_if(F.col(c).isNull()) for c in columns]).first()
+    needed = [c for i, c in enumerate(columns) if missing[i + 1]]
+    train = df.where("is_train")
+    found = {c: v[0] for c, v in exact_quantiles(train, {c: F.col(c) for c in needed if kinds[c]}, [0.5]).items()}
+    texts = [c for c in needed if not kinds[c]]
+    if texts:
+        found |= {r["column"]: r["mode"] for r in modes(value_counts(train, texts)).collect()}
+    return {c: found[c] if found.get(c) is not None else (0.0 if kinds[c] else "unknown") for c in needed}
 
 
 def apply_imputer(df: DataFrame, fills: dict[str, float | str]) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from augury.operators.ranks import numbered
+
 # Interval of each frequency code, and the longest median gap in days that still reads as it.
 INTERVALS = {"H": "INTERVAL 1 HOUR", "D": "INTERVAL 1 DAY", "W": "INTERVAL 7 DAY", "M": "INTERVAL 1 MONTH", "Q": "INTERVAL 3 MONTH", "Y": "INTERVAL 1 YEAR"}
 GAP_DAYS = {"H": 0.5, "D": 1.5, "W": 8.0, "M": 45.0, "Q": 135.0}
@@ -139,6 +141,8 @@ def stamps_of(df: DataFrame, time_col: str, min_rate: float = 0.95) -> Column |
 def integer_series(df: DataFrame, keys: list[str], axis: str, y: str) -> DataFrame:
     """keys, pos, ds, y in the order of an integer axis; rows without ``y`` go and there is no grid."""
     rows = df.where(F.col(axis).isNotNull() & F.col(y).isNotNull())
+    if not keys and isinstance(rows.schema[axis].dataType, T.NumericType):
+        return numbered(rows.select(F.col(axis).alias("ds"), F.col(y).cast("double").alias("y")), "ds").select("pos", "ds", "y")
     return rows.select(*keys, (F.row_number().over(_over(keys).orderBy(axis)) - 1).cast("long").alias("pos"), F.col(axis).alias("ds"), F.col(y).cast("double").alias("y"))
 
 

@@ -14,6 +14,7 @@ from augury.operators import backtest as B
 from augury.operators import evaluate as V
 from augury.operators import prep as C
 from augury.operators import profile as P
+from augury.operators import ranks as R
 from augury.operators import series as S
 from augury.operators import train as T
 from augury.plans import fixtures as X
@@ -296,3 +297,36 @@ def test_coercion_impact_and_attempts(spark):
     out = jobs.run_tabular(noise, ["row_key"], "l_extendedprice", most_attempts=2, families=["linear"])
     facts = out["facts"].first()
     assert facts["attempts"] == 2 and not facts["passed"] and facts["reasons"][0] == "R2 is too low"
+
+
+@pytest.mark.parametrize("values", [[], [None, float("nan")], [4.0], [1.0, 2.0, 2.0, 2.0, 9.0, None, -3.5], [float(k * k % 977) for k in range(3000)]])
+def test_exact_quantiles_are_those_of_the_whole_column(spark, values):
+    shares = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+    known = [v for v in values if v is not None and not math.isnan(v)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").repartition(7)
+    found = R.exact_quantiles(rows, {"a": F.col("v"), "b": -F.col("v")}, shares)
+    assert found["a"] == (pytest.approx(np.quantile(known, shares)) if known else [None] * 6)
+    assert found["b"] == (pytest.approx(np.quantile([-v for v in known], shares)) if known else [None] * 6)
+
+
+def test_quantiles_hold_when_the_sketch_is_far_off(spark, monkeypatch):
+    monkeypatch.setattr(R, "ACCURACY", 10)
+    values = [float(k % 1013) ** 2 for k in range(5000)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    assert R.exact_quantiles(rows, {"v": F.col("v")}, [0.01, 0.5, 0.77])["v"] == pytest.approx(np.quantile(values, [0.01, 0.5, 0.77]))
+
+
+def test_rows_are_numbered_in_order_over_many_buckets(spark):
+    rows = spark.range(2000).select((F.col("id") * 7919 % 2003 - 1000).alias("x"), F.col("id").alias("pos_2"))
+    got = [(r["pos"], r["x"]) for r in R.numbered(rows, "x", buckets=50).orderBy("pos").collect()]
+    assert [p for p, _ in got] == list(range(2000)) and [x for _, x in got] == sorted(r["x"] for r in rows.collect())
+    ties = spark.createDataFrame([(1,), (1,), (0,), (1,)], "x int")
+    assert sorted(r["pos"] for r in R.numbered(ties, "x").collect()) == [0, 1, 2, 3]
+    assert R.numbered(ties.where("x > 5"), "x").count() == 0
+
+
+def test_modes_and_fills_of_whole_columns(spark):
+    rows = spark.createDataFrame([(1.0, "b", True), (None, "a", True), (3.0, "b", True), (8.0, "a", True), (99.0, None, False)], "n double, t string, is_train boolean")
+    assert C.fit_imputer(rows, ["n", "t"]) == {"n": 3.0, "t": "a"}
+    empty = rows.where("n is null and t is null")
+    assert C.fit_imputer(empty, ["n", "t"]) == {} and C.fit_imputer(rows.where("t is null"), ["n", "t"]) == {"t": "unknown"}
