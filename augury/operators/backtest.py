@@ -158,9 +158,19 @@ def compare_to_naive(model: DataFrame, base: DataFrame, keys: list[str]) -> Data
 def interval_offsets(residuals: DataFrame, keys: list[str], horizons: DataFrame, level: float = LEVEL) -> DataFrame:
     """keys, step, low, high: quantiles of the residuals of steps up to each step."""
     tail = (1 - level) / 2
-    spread = _on(residuals, horizons.select(*keys, "h"), keys).where("step <= h").withColumn("step", F.explode(F.sequence(F.col("step"), F.col("h"))))
-    found = spread.groupBy(*keys, "step").agg(F.percentile("residual", F.array(F.lit(tail), F.lit(1 - tail))).alias("_q"))
-    return found.select(*keys, "step", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
+    # A series has at most its folds times h residuals; they are sorted once and each step picks its own, so only these rows move.
+    known = residuals.where("residual is not null").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("residual", "step"))).alias("_all"))
+    steps = _on(known, horizons.select(*keys, "h"), keys).where("h >= 1").withColumn("step", F.explode(F.sequence(F.lit(1), F.col("h").cast("int"))))
+    seen = F.transform(F.filter("_all", lambda r: r["step"] <= F.col("step")), lambda r: r["residual"])
+    spread = steps.select(*keys, "step", seen.alias("_seen")).where(F.size("_seen") > 0)
+
+    def quantile(share: float) -> Column:
+        at = F.lit(share) * (F.size("_seen") - 1)
+        low, high = F.floor(at), F.ceil(at)
+        first, second = F.get("_seen", low.cast("int")), F.get("_seen", high.cast("int"))
+        return F.when(low == high, first).otherwise((high - at) * first + (at - low) * second)
+
+    return spread.select(*keys, "step", quantile(tail).alias("low"), quantile(1 - tail).alias("high"))
 
 
 def prediction_intervals(point: DataFrame, residuals: DataFrame, keys: list[str], horizons: DataFrame, level: float = LEVEL) -> DataFrame:

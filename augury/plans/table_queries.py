@@ -107,9 +107,39 @@ def prepared(spark, sf):
     return s, C.fit_preparation(s, roles, {}, TRAIN, "regression", ["row_key"])
 
 
-def replayed(spark, sf):
+def reloaded(spark, sf):
+    """The replay with a fit that was saved and loaded again."""
+    return replayed(spark, sf, again=True)
+
+
+def published(spark, sf):
+    """Orders written by priority and read back."""
+    path = A.shared_folder(spark, "published")
+    o = X.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    A.write_results({"orders": o}, path, keys=["o_orderpriority"])
+    return A.read_table(spark, f"{path}/orders", "parquet").select(*o.columns)
+
+
+def plain_names(spark, sf):
+    """Customers under names with signs, white space, digits in front and twins, once these are mended."""
+    c = X.table(spark, sf, "customer").toDF("cust key", "name", "[cust]key:", "1st balance", "{}")
+    return c.withColumnsRenamed(C.sanitize_names(c.columns, ["name"]))
+
+
+def guessed_target(spark, sf):
+    """What correlates with the target that the schema of the order lines suggests."""
+    line = X.table(spark, sf, "lineitem")
+    target = P.infer_target(line)
+    return P.target_correlations(line, target).select(F.lit(target).alias("target"), "column", "corr", "rank")
+
+
+def replayed(spark, sf, again=False):
     """The fit of the order lines replayed on rows that lack a column and have new categories."""
     s, (_, fit) = prepared(spark, sf)
+    if again:
+        path = A.shared_folder(spark, "fit")
+        A.save_fit(fit, spark, path)
+        fit = A.load_fit(C.Fit, spark, path)
     new = s.where("not is_train").drop("p_size").withColumn("p_type", F.when(F.col("l_discount") > 0.05, "NEW").otherwise(F.col("p_type")))
     out = C.transform_new(new, fit, ["row_key"])
     types = sorted(c for c in fit.features if c.startswith("p_type_"))
@@ -161,6 +191,10 @@ def queries() -> dict:
         "one_hot": one_hot,
         "label_encoding": labelled,
         "transform_new": replayed,
+        "load_fit": reloaded,
+        "write_results": published,
+        "sanitize_names": plain_names,
+        "infer_target": guessed_target,
         "preparation_audit": audit,
         "regression_metrics": lambda s, d: V.regression_metrics(predicted(s, d), "y", "yhat"),
         "classification_metrics": lambda s, d: V.classification_metrics(guessed(s, d), "o_orderstatus", "guess"),
@@ -215,7 +249,10 @@ def oracle_sql() -> dict[str, str]:
         "impute": w(X.LINES + ", f AS (SELECT median(l_quantity) FILTER (is_train) AS q FROM parts), m AS (SELECT p_type AS t FROM parts WHERE is_train AND p_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, p_type LIMIT 1)", "SELECT coalesce(p_type, t) AS p_type, count(*) AS n, round(sum(coalesce(l_quantity, q)), 4) AS quantity FROM parts, f, m GROUP BY 1"),
         "one_hot": "SELECT o_orderkey, " + ", ".join(f"CAST(o_orderstatus = '{v}' AS INT) AS \"o_orderstatus_{v}\"" for v in ("F", "O", "P")) + " FROM orders",
         "label_encoding": "SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INT) AS p_brand FROM part",
-        "transform_new": w(X.LINES + ", q AS (SELECT quantile_cont(l_extendedprice, 0.01) AS lo, quantile_cont(l_extendedprice, 0.99) AS hi FROM parts WHERE is_train), f AS (SELECT median(l_quantity) AS q FROM parts, q WHERE is_train AND l_extendedprice > lo AND l_extendedprice < hi)", "SELECT row_key, round(coalesce(l_quantity, f.q), 4) AS l_quantity, CASE WHEN l_discount > 0.05::DOUBLE THEN 0.0 ELSE 1.0 END AS known_types, 0.0 AS p_size, CAST(isodow(l_shipdate) - 1 AS DOUBLE) AS dow FROM parts, f WHERE NOT is_train"),
+        **dict.fromkeys(("transform_new", "load_fit"), w(X.LINES + ", q AS (SELECT quantile_cont(l_extendedprice, 0.01) AS lo, quantile_cont(l_extendedprice, 0.99) AS hi FROM parts WHERE is_train), f AS (SELECT median(l_quantity) AS q FROM parts, q WHERE is_train AND l_extendedprice > lo AND l_extendedprice < hi)", "SELECT row_key, round(coalesce(l_quantity, f.q), 4) AS l_quantity, CASE WHEN l_discount > 0.05::DOUBLE THEN 0.0 ELSE 1.0 END AS known_types, 0.0 AS p_size, CAST(isodow(l_shipdate) - 1 AS DOUBLE) AS dow FROM parts, f WHERE NOT is_train")),
+        "write_results": "SELECT o_orderkey, o_orderpriority, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders",
+        "sanitize_names": "SELECT c_custkey AS cust_key, c_name AS name, c_nationkey AS cust_key_2, c_acctbal AS f_1st_balance, c_mktsegment AS feature FROM customer",
+        "infer_target": "WITH c AS (SELECT corr(l_orderkey, l_tax) AS l_orderkey, corr(l_partkey, l_tax) AS l_partkey, corr(l_suppkey, l_tax) AS l_suppkey, corr(l_linenumber, l_tax) AS l_linenumber, corr(l_quantity, l_tax) AS l_quantity, corr(l_extendedprice, l_tax) AS l_extendedprice, corr(l_discount, l_tax) AS l_discount FROM lineitem) SELECT 'l_tax' AS target, \"column\", round(raw, 3) AS corr, row_number() OVER (ORDER BY abs(raw) DESC, \"column\") AS rank FROM (UNPIVOT c ON COLUMNS(*) INTO NAME \"column\" VALUE raw)",
         "preparation_audit": w(X.LINES + ", q AS (SELECT quantile_cont(l_extendedprice, 0.01) AS lo, quantile_cont(l_extendedprice, 0.99) AS hi FROM parts WHERE is_train), a AS (SELECT count(*) AS rows_before, count(*) FILTER (is_train) AS train_before, count(*) FILTER (NOT is_train) AS test_before, count(*) FILTER (NOT is_train OR (l_extendedprice > lo AND l_extendedprice < hi)) AS rows_after, count(*) FILTER (is_train AND l_extendedprice > lo AND l_extendedprice < hi) AS train_after FROM parts, q)", "SELECT rows_before, rows_after, train_before, train_after, test_before, test_before AS test_after, train_before - train_after AS train_dropped, 'l_quantity, p_type' AS filled_columns FROM a"),
         "regression_metrics": "SELECT count(*) AS n, round(1 - sum((l_extendedprice - l_quantity * 1500) ** 2) / (var_pop(l_extendedprice) * count(*)), 4) AS r2, round(avg(abs(l_extendedprice - l_quantity * 1500)), 4) AS mae FROM lineitem",
         "classification_metrics": "WITH g AS (SELECT o_orderstatus AS l, CASE WHEN o_orderdate < TIMESTAMP '1995-06-01' THEN 'F' WHEN o_totalprice > 400000 THEN 'P' ELSE 'O' END AS p FROM orders), s AS (SELECT l AS c, count(*) AS support, count(*) FILTER (l = p) AS hit FROM g GROUP BY 1), h AS (SELECT p AS c, count(*) AS guessed FROM g GROUP BY 1) SELECT sum(support) AS n, round(sum(hit)::DOUBLE / sum(support)::DOUBLE, 4) AS accuracy, round(sum(2.0::DOUBLE * hit / (support + coalesce(guessed, 0)) * support) / sum(support)::DOUBLE, 4) AS f1_weighted FROM s LEFT JOIN h ON s.c = h.c",

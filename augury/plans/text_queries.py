@@ -69,7 +69,22 @@ def dated(spark, sf):
 
 def grounded(spark, sf):
     out = forecast_tables(spark, sf)
-    return G.grounded_numbers(out["facts"], out["forecast"], out["folds"], out["metrics"], K).groupBy(*K).agg(F.count(F.lit(1)).alias("n"))
+    return G.grounded_numbers(out["facts"], out["forecast"], out["folds"], out["metrics"], K)
+
+
+def _last_week(past, h):
+    """The mean of the last seven values, a forecaster of one's own."""
+    return [float(past[-7:].mean())] * h
+
+
+def own_forecaster(spark, sf):
+    """A registered forecaster's backtest scores and its forecast for each series."""
+    B.register_forecaster("last_week", _last_week)
+    f = X.filled(spark, sf)
+    size = B.sizes(f, K, SQ.H)
+    scores = B.backtest_metrics(B.backtest_model(f, K, B.backtest_origins(size, K), "last_week"), K)
+    ahead = B.model_forecast(f, K, size, "last_week")
+    return ahead.join(scores, K).select(*K, "step", F.round("yhat", 4).alias("yhat"), F.round("mae", 2).alias("mae"), F.round("rmse", 2).alias("rmse"), "n_folds", "n_scored")
 
 
 def run_forecast_auto(spark, sf):
@@ -142,6 +157,7 @@ def queries() -> dict:
         "forecast_report": report,
         "report_markdown": markdown,
         "grounded_numbers": grounded,
+        "register_forecaster": own_forecaster,
         "run_forecast_auto": run_forecast_auto,
         "backtest_auto": backtest_auto,
         "train_regression": train_regression,
@@ -172,7 +188,16 @@ def oracle_sql() -> dict[str, str]:
     facts = SQ.GATED + SQ.POINT
     risks = "CASE WHEN concat_ws('; ', warnings, CASE WHEN longest > 0 AND longest >= greatest(3, floor(n_periods * 0.1)) THEN 'long gap' END, CASE WHEN abs(coverage - 0.8) > 0.15 THEN 'coverage is off its level' END) = '' THEN 'none' ELSE concat_ws('; ', nullif(warnings, ''), CASE WHEN longest > 0 AND longest >= greatest(3, floor(n_periods * 0.1)) THEN 'long gap' END, CASE WHEN abs(coverage - 0.8) > 0.15 THEN 'coverage is off its level' END) END"
     runs = ", per AS (SELECT o_orderpriority, count(*) AS n_periods FROM trimmed GROUP BY 1), runs AS (SELECT o_orderpriority, max(length) AS longest FROM (SELECT o_orderpriority, count(*) AS length FROM (SELECT *, pos - row_number() OVER (PARTITION BY o_orderpriority ORDER BY pos) AS island FROM trimmed WHERE y IS NULL) GROUP BY o_orderpriority, island) GROUP BY 1)"
+    result = f"[{SQ.H}::DOUBLE, n_observed::DOUBLE, coverage, round(coverage * 100, 2), round(coverage * 100, 0), confidence, improvement_pct, naive_mae, naive_rmse, naive_mape, round(least(greatest(coalesce(improvement_pct / 50, 0), 0), 1), 3), round(coalesce(greatest(0, 1 - abs(coverage - 0.8) / 0.8), 0.5), 3), round(least(n_observed / 100, 1), 3), 80.0, 0.8]"
+    allowed = (
+        SQ.GATED + SQ.OFFSETS[len(SQ.COVER) :] + SQ.POINT + f", nm AS (SELECT {key}, rmse AS naive_rmse, mape AS naive_mape FROM (SELECT {key}, {SQ.METRICS} FROM base GROUP BY 1)), mm AS (SELECT {key}, {SQ.METRICS} FROM season GROUP BY 1), fm AS (SELECT {key}, avg(abs(y - yhat)) AS mae FROM season GROUP BY {key}, fold), nums AS ("
+        f"SELECT g.{key}, unnest({result}) AS value FROM gated g JOIN nm ON g.{key} = nm.{key} UNION ALL SELECT {key}, unnest([mae, rmse, mape]) FROM mm UNION ALL SELECT {key}, mae FROM fm "
+        f"UNION ALL SELECT pt.{key}, unnest([yhat, yhat + low, yhat + high]) FROM pt JOIN off ON pt.{key} = off.{key} AND pt.step = off.step)"
+    )
+    week = SQ.ORIGINS + f", own AS (SELECT o.{key}, fold, a.pos, a.y, (SELECT avg(y) FROM filled b WHERE b.{key} = o.{key} AND b.pos BETWEEN o.origin - 7 AND o.origin - 1) AS yhat FROM (SELECT *, unnest(generate_series(1, h)) AS step FROM origins) o JOIN filled a ON a.{key} = o.{key} AND a.pos = origin + step - 1), om AS (SELECT {key}, {SQ.METRICS} FROM own GROUP BY 1), tails AS (SELECT {key}, max(pos) AS last FROM filled GROUP BY 1), wk AS (SELECT f.{key}, avg(y) AS yhat FROM filled f JOIN tails e ON f.{key} = e.{key} AND f.pos > e.last - 7 GROUP BY 1)"
     return {
+        "grounded_numbers": w(allowed, f"SELECT DISTINCT {key}, round(value, 4) AS value FROM nums WHERE value IS NOT NULL"),
+        "register_forecaster": w(week, f"SELECT wk.{key}, unnest(generate_series(1, {SQ.H})) AS step, round(wk.yhat, 4) AS yhat, round(mae, 2) AS mae, round(rmse, 2) AS rmse, n_folds, n_scored FROM wk JOIN om ON wk.{key} = om.{key}"),
         "extract_numbers": w(tokens, "SELECT doc_id, place, token, value FROM num"),
         "skipped_dates": f"SELECT event_id, array_to_string(regexp_extract_all(strftime(ts, '%Y-%m-%d') || ' and ' || strftime(ts, '%d/%m/%Y') || ' ' || user_id, '{dates}'), ',') AS dates FROM events",
         "validate_numbers": w(tokens + ", " + ok + ", s AS (SELECT doc_id, count(*) AS n, count(*) FILTER (NOT ok) AS bad FROM ok GROUP BY 1)", "SELECT doc_id, coalesce(n, 0) AS n_numbers, coalesce(bad, 0) AS n_ungrounded, CASE WHEN coalesce(bad, 0) = 0 THEN 'VERIFIED' ELSE 'UNVERIFIED' END AS verdict FROM documents LEFT JOIN s USING (doc_id)"),
