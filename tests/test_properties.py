@@ -330,3 +330,17 @@ def test_modes_and_fills_of_whole_columns(spark):
     assert C.fit_imputer(rows, ["n", "t"]) == {"n": 3.0, "t": "a"}
     empty = rows.where("n is null and t is null")
     assert C.fit_imputer(empty, ["n", "t"]) == {} and C.fit_imputer(rows.where("t is null"), ["n", "t"]) == {"t": "unknown"}
+
+
+def test_band_offsets_are_quantiles_of_the_steps_so_far(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a", f, s, float(v)) for f in range(3) for s, v in zip(range(1, 7), rng.normal(size=6), strict=True)] + [("b", 1, 3, 2.0), ("b", 1, 4, None), ("c", 1, 1, None)]
+    residuals = spark.createDataFrame(rows, "k string, fold int, step int, residual double")
+    sizes = spark.createDataFrame([("a", 6), ("b", 4), ("c", 2), ("d", 2)], "k string, h int")
+    got = {(r["k"], r["step"]): (r["low"], r["high"]) for r in B.interval_offsets(residuals, ["k"], sizes, 0.8).collect()}
+    want = {("a", h): tuple(np.quantile([v for k, _, s, v in rows if k == "a" and s <= h], [0.1, 0.9])) for h in range(1, 7)} | {("b", 3): (2.0, 2.0), ("b", 4): (2.0, 2.0)}
+    assert set(got) == set(want)
+    assert all(np.allclose(got[k], want[k]) for k in want)
+    alone = B.interval_offsets(residuals.where("k = 'a'").drop("k"), [], spark.createDataFrame([(6,)], "h int")).collect()
+    assert {r["step"]: (r["low"], r["high"]) for r in alone} == {h: got["a", h] for h in range(1, 7)}
+    assert B.interval_offsets(residuals.where("false").drop("k"), [], spark.createDataFrame([(6,)], "h int")).count() == 0
