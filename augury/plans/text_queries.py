@@ -195,7 +195,10 @@ def oracle_sql() -> dict[str, str]:
         f"UNION ALL SELECT pt.{key}, unnest([yhat, yhat + low, yhat + high]) FROM pt JOIN off ON pt.{key} = off.{key} AND pt.step = off.step)"
     )
     week = SQ.ORIGINS + f", own AS (SELECT o.{key}, fold, a.pos, a.y, (SELECT avg(y) FROM filled b WHERE b.{key} = o.{key} AND b.pos BETWEEN o.origin - 7 AND o.origin - 1) AS yhat FROM (SELECT *, unnest(generate_series(1, h)) AS step FROM origins) o JOIN filled a ON a.{key} = o.{key} AND a.pos = origin + step - 1), om AS (SELECT {key}, {SQ.METRICS} FROM own GROUP BY 1), tails AS (SELECT {key}, max(pos) AS last FROM filled GROUP BY 1), wk AS (SELECT f.{key}, avg(y) AS yhat FROM filled f JOIN tails e ON f.{key} = e.{key} AND f.pos > e.last - 7 GROUP BY 1)"
+    role = lambda c: f"CASE WHEN count(DISTINCT {c}) / count(*) >= 0.98 AND count(DISTINCT {c}) > 20 THEN 'id_like' WHEN count(DISTINCT {c}) <= 30 THEN 'categorical' ELSE 'text' END"
+    numbers_as_text = "(VALUES ('price', 'genuine'), ('distance', 'genuine'), ('style', 'false positive'), ('signed', 'genuine'), ('hours', 'genuine')) AS t(name, verdict)"
     return {
+        "quality_audit": w(X.TEXTS, f"SELECT name AS \"column\", 'float' AS dtype, 'numeric' AS role, verdict FROM {numbers_as_text} UNION ALL SELECT 'p_brand', 'string', {role('p_brand')}, NULL FROM texts UNION ALL SELECT 'mixed', 'string', {role('mixed')}, NULL FROM texts UNION ALL SELECT 'p_partkey', 'integer', CASE WHEN count(DISTINCT p_partkey) / count(*) >= 0.98 AND count(DISTINCT p_partkey) > 20 THEN 'id_like' ELSE 'numeric' END, NULL FROM texts"),
         "grounded_numbers": w(allowed, f"SELECT DISTINCT {key}, round(value, 4) AS value FROM nums WHERE value IS NOT NULL"),
         "register_forecaster": w(week, f"SELECT wk.{key}, unnest(generate_series(1, {SQ.H})) AS step, round(wk.yhat, 4) AS yhat, round(mae, 2) AS mae, round(rmse, 2) AS rmse, n_folds, n_scored FROM wk JOIN om ON wk.{key} = om.{key}"),
         "extract_numbers": w(tokens, "SELECT doc_id, place, token, value FROM num"),
