@@ -302,6 +302,16 @@ def alike_components(docs: DataFrame, width: int, alike: float, bits: int, radiu
     fps = materialise(nodes.select("fp").distinct(), "distinct")
     forest = components(link_forest(fps, fps.count(), radius, group, bits))
     rooted = materialise(nodes.join(forest, "fp", "left").select("node", "fp", "row", "size", F.coalesce("root", "fp").alias("root")), "rooted")
+    return confirmed(docs, made, nodes, rooted, width, alike, radius, part).select("doc_id", "row", "component_id", "kept_row")
+
+
+def confirmed(docs: DataFrame, made: DataFrame, nodes: DataFrame, rooted: DataFrame, width: int, alike: float, radius: int, part: tuple[int, int] = PART) -> DataFrame:
+    """The rows of ``made`` (with node and row) with component_id and kept_row, of links that hold on full sets.
+
+    ``nodes`` has node, first (doc_id and row) and ``rooted`` node, fp, row, size and root, the candidates' component: its texts
+    are compared with each other, in parts of bounded size.
+    """
+    row = row_hash().alias("row")
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / part[0]), F.ceil(F.sum("size") / part[1]))
     several = rooted.groupBy("root").agg(parts.cast("int").alias("parts"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     candidates = materialise(rooted.join(several, "root").select("row", "root", "node", "fp", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int").alias("g"), "parts"), "candidates")
@@ -321,7 +331,7 @@ def alike_components(docs: DataFrame, width: int, alike: float, bits: int, radiu
     named = materialise(nodes.join(joined, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "verified")
     least = materialise(named.groupBy("root").agg(F.min("first").alias("first")), "least")
     of = named.drop("first").join(least, "root").select("node", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("kept_row"))
-    return made.join(of, "node").select("doc_id", "row", "component_id", "kept_row")
+    return made.join(of, "node")
 
 
 def keep_one_alike(docs: DataFrame, **options) -> DataFrame:
