@@ -4,14 +4,15 @@ A text is the set of its word shingles.  ``VALUES`` minimum hashes of the set ma
 some at a time in several orders, are the trees: the texts that share the first values of an order are neighbours by longest
 common prefix, a region.  Regions of ``REGION`` texts or fewer are compared whole, by the bits in which sketches (the lowest bit
 of each minimum) differ.  A larger region is looked at by its first text alone, and its texts go on to the next round, where
-prefixes are longer and orders more, unless all are joined already; what is too large in the last round is compared in parts.
+prefixes are longer and orders more, unless all are joined to one already; what is too large in the last round is compared in
+parts.
 Depth thus follows the density of a region, no candidate is dropped, and a crowd of copies is never unfolded into pairs.
 
 Candidates only name components of texts to compare: within these a link holds if the Jaccard similarity of the full sets reaches
 ``ALIKE``.
 
-The chance that a pair at exactly 0.8 meets in no order is 1e-9 in the first round, 5e-8 in the second and about 1e-5 in the
-third; that its sketches lie beyond ``RADIUS`` is 1e-9 (computed, not measured).
+The chance that a pair at exactly 0.8 meets in no order is 4e-9 in the first round, 3e-8 in the second and about 1e-5 in the
+third; that its sketches lie beyond ``RADIUS`` is 4e-9 (computed, not measured).
 
 Defined results: a text of fewer words than a shingle is one shingle; texts without words have no shingle, are linked with nothing
 and stand for themselves; repeated rows and texts of equal sets share a component; null ids are never a component's name (a
@@ -34,9 +35,9 @@ from augury.llm.common import materialise, slices
 
 SHINGLE_WORDS = 4
 ALIKE = 0.8
-VALUES, POOL = 256, 128  # minimum hashes of a set, and those of them that orders use
+VALUES, POOL = 256, 72  # minimum hashes of a set, and those of them that orders use
 RADIUS = 60  # bits of 256 in which the sketches of candidates differ at most: 26 on average at a similarity of 0.8
-ROUNDS = ((2, 20), (4, 32), (8, 96))  # values of a prefix, and orders
+ROUNDS = ((1, 12), (3, 24), (6, 64))  # values of a prefix, and orders
 REGION = 256  # texts of a region that are compared whole
 PART = 16_384  # texts of a region that one side of a task compares in the last round
 _CHUNK = 2048  # shingles hashed at once
@@ -154,29 +155,33 @@ def _in_parts(large: DataFrame, radius: int, part: int) -> DataFrame:
     return rows.groupBy("key", "p", "q").applyInPandas(compare, "u long, v long")
 
 
-def candidates(nodes: DataFrame, radius: int = RADIUS, rounds: tuple = ROUNDS, region: int = REGION, part: int = PART) -> DataFrame | None:
-    """id and root of the nodes (id, sig, sketch) that are joined to others by near neighbours in some order; None if none are."""
-    edges, joined, active = None, None, nodes.withColumn("comp", F.col("id"))
+def candidates(nodes: DataFrame, radius: int = RADIUS, rounds: tuple = ROUNDS, region: int = REGION, part: int = PART) -> DataFrame:
+    """id and root of the nodes (id, sig, sketch) that are joined to others by near neighbours in some order.
+
+    ``comp`` is a first text that a node is known to be joined to; a crowded region of one comp alone is done.
+    """
+    found, active = [], nodes.withColumn("comp", F.col("id"))
     for k, (depth, n) in enumerate(rounds):
-        rows = _prefixes(active, depth, n)
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("n > 1 and lo <> hi").select("key", "n")
-        sizes = materialise(sizes, f"regions-{k}")
-        shared = rows.join(sizes, "key")
-        small = shared.where(F.col("n") <= region).drop("n").repartition("key").sortWithinPartitions("key").mapInPandas(lambda b: neighbours(b, radius), "u long, v long")
-        found = small
-        crowded = sizes.where(F.col("n") > region).count()
-        if crowded:
-            large = materialise(shared.where(F.col("n") > region), f"large-{k}")
-            found = small.unionByName(_in_parts(large, radius, part) if k == len(rounds) - 1 else _from_first(large, radius))
-        found = found if edges is None else edges.unionByName(found)
-        edges = materialise(found.distinct(), f"edges-{k}")
-        joined = simhash.components(edges).withColumnRenamed("fp", "id")
-        if not crowded or k == len(rounds) - 1:
+        rows, last = _prefixes(active, depth, n), k == len(rounds) - 1
+        spread = [F.min("comp").alias("lo"), F.max("comp").alias("hi")] if k else [F.lit(0).alias("lo"), F.lit(1).alias("hi")]
+        crowded = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *spread).where(F.col("n") > region).select("key", "n", (F.col("lo") < F.col("hi")).alias("open")), f"crowded-{k}")
+        sparse = rows.join(crowded.select("key"), "key", "left_anti")
+        edges = sparse.repartition("key").sortWithinPartitions("key").mapInPandas(lambda b: neighbours(b, radius), "u long, v long")
+        if crowded.where("open").isEmpty():
+            found.append(edges)
+            break
+        large = materialise(rows.join(crowded.where("open").drop("open"), "key"), f"large-{k}")
+        if last:
+            found += [edges, _in_parts(large, radius, part)]
             break
-        joined = materialise(joined, f"joined-{k}")
-        stay = large.select("id").distinct()
-        active = nodes.join(stay, "id", "left_semi").join(joined, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
-    return joined
+        first = materialise(_from_first(large, radius), f"first-{k}")
+        found += [edges, first]
+        joined = first.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("first"))
+        active = nodes.join(large.select("id").distinct(), "id", "left_semi").join(joined, "id", "left").withColumn("comp", F.least("id", "first")).drop("first")
+    edges = found[0]
+    for more in found[1:]:
+        edges = edges.unionByName(more)
+    return simhash.components(edges).withColumnRenamed("fp", "id")
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, alike: float = ALIKE, radius: int = RADIUS, rounds: tuple = ROUNDS, region: int = REGION, part: int = PART) -> DataFrame:

@@ -39,6 +39,7 @@ from augury.llm.mixing import word_count
 BLOCK = 20  # conversations that share the opening of the first of them
 MOST_SHARED = 4  # h is below this
 SHARD = 1024  # base of the ranks: paths in a shard at most
+SALTS = 32
 QUEUE_ROWS = 1_000_000  # messages that a queue holds in memory
 SPAN = 65_536  # ids of conversations in one row at most
 NODE = ["depth", "a", "b"]
@@ -91,7 +92,9 @@ def nodes_of(rows: DataFrame, shard: int) -> DataFrame:
     for r in range(1, int(62 / math.log2(shard)) + 1):
         power = F.when(F.col("n") >= shard**r, r).otherwise(power)
     large = rows.groupBy(*NODE).agg(n.alias("n")).where(F.col("n") >= shard).select(*NODE, power.alias("rank"))
-    ranked = rows.join(large, NODE, "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
+    # The paths of a large node are salted and its row repeated for each salt.
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    ranked = rows.withColumn("salt", F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)).cast("int")).join(large, [*NODE, "salt"], "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
     top = Window.partitionBy("conv_id", "rank").orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
     named = ranked.withColumns({"ta": F.first("a").over(top), "tb": F.first("b").over(top)})
     return named.groupBy(*NODE).agg(*[F.min(c).alias(c) for c in ("pa", "pb", "words", "conv_id", "rank", "ta", "tb")], n.alias("n_convs"))
