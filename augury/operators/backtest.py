@@ -14,16 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from augury.operators.scan import on_keys as _on
+
 FOLDS = 5
 LEVEL = 0.8
 
 
-def _on(left: DataFrame, right: DataFrame, keys: list[str], more: tuple[str, ...] = (), how: str = "inner") -> DataFrame:
-    """Join on the keys, which are empty for a single series."""
-    names = [*keys, *more]
-    return left.join(right, names, how) if names else left.join(right, F.lit(True), how)  # both sides have one row or are one series
-
-
 def sizes(series: DataFrame, keys: list[str], horizon: Column | int | None = None) -> DataFrame:
     """keys, n and h (a tenth of the observed periods, at least 1, or as given)."""
     h = F.greatest(F.lit(1), F.floor(F.col("n_observed") * 0.1)) if horizon is None else horizon if isinstance(horizon, Column) else F.lit(horizon)
@@ -86,53 +82,89 @@ def forecaster(name: str) -> Forecaster:
     return _registered[name]
 
 
-def _run(fn: Forecaster, history: np.ndarray, h: int) -> np.ndarray:
-    """``h`` values of a forecaster; a short answer goes on with its last value, a failure gives NaN."""
+def _run(fn: Forecaster, history: np.ndarray, h: int) -> tuple[np.ndarray, str | None]:
+    """``h`` values of a forecaster and no note; a short answer goes on with its last value, a failure gives NaN and its message."""
     try:
         out = np.asarray(fn(history, h), float)[:h]
-    except Exception:
-        return np.full(h, np.nan)
-    return np.concatenate([out, np.full(h - len(out), out[-1] if len(out) else np.nan)])
+    except Exception as e:  # whatever a caller's model raises is told, and stops no other series
+        return np.full(h, np.nan), f"{type(e).__name__}: {e}"
+    return np.concatenate([out, np.full(h - len(out), out[-1] if len(out) else np.nan)]), None
 
 
-def _key_schema(df: DataFrame, keys: list[str]) -> list[T.StructField]:
-    return [df.schema[k] for k in keys]
+def _schema(series: DataFrame, keys: list[str], rest: str) -> T.StructType:
+    return T.StructType([*[T.StructField(k, series.schema[k].dataType) for k in keys], *T.StructType.fromDDL(rest)])
 
 
-def backtest_model(series: DataFrame, keys: list[str], origins: DataFrame, name: str = "auto") -> DataFrame:
-    """As ``backtest_baseline`` for a registered forecaster: each series goes once to one task, which slices its prefixes."""
-    fn = forecaster(name)
-    listed = origins.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("fold", "origin", "h"))).alias("_folds"))  # few folds
-    schema = T.StructType([*_key_schema(series, keys), T.StructField("fold", T.IntegerType()), T.StructField("step", T.IntegerType()), T.StructField("pos", T.LongType()), T.StructField("y", T.DoubleType()), T.StructField("yhat", T.DoubleType())])
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]):
+    """Both tables grouped by the keys, which have names of their own on the right, as both may come from one table."""
+    if not keys:
+        return left.groupBy(F.lit(0).alias("_one")).cogroup(right.groupBy(F.lit(0).alias("_one")))
+    theirs = {k: f"_of_{k}" for k in keys}
+    return left.groupBy(*keys).cogroup(right.withColumnsRenamed(theirs).groupBy(*theirs.values()))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        y, parts = pdf["y"].to_numpy(float), []
-        for f in pdf["_folds"].iloc[0]:
-            h, origin = int(f["h"]), int(f["origin"])
-            part = pd.DataFrame({"fold": f["fold"], "step": np.arange(1, h + 1), "pos": np.arange(origin, origin + h), "y": y[origin : origin + h], "yhat": _run(fn, y[:origin], h)})
-            for k in keys:
-                part[k] = pdf[k].iloc[0]
-            parts.append(part)
-        return pd.concat(parts)[[f.name for f in schema]] if parts else pd.DataFrame(columns=[f.name for f in schema])
 
-    joined = _on(series.select(*keys, "pos", "y"), listed, keys)
-    return joined.groupBy(*keys).applyInPandas(run, schema)
+def _fold(fn: Forecaster, y: np.ndarray, fold: int, origin: int, h: int) -> pd.DataFrame:
+    yhat, note = _run(fn, y[:origin], h)
+    return pd.DataFrame({"fold": fold, "step": np.arange(1, h + 1), "pos": np.arange(origin, origin + h), "y": y[origin : origin + h], "yhat": yhat, "note": note})
 
 
-def model_forecast(series: DataFrame, keys: list[str], horizons: DataFrame, name: str = "auto") -> DataFrame:
-    """keys, step, yhat of a registered forecaster fitted on the whole of each series; ``horizons`` has keys and h."""
+def backtest_model(series: DataFrame, keys: list[str], origins: DataFrame, name: str = "auto", by_fold: bool | None = None) -> DataFrame:
+    """As ``backtest_baseline`` for a registered forecaster, with note (the message of a fold that failed).
+
+    Each series goes once to one task, which slices its prefixes, and its folds go there beside it.  ``by_fold``, the way of a
+    single series, gives every fold a task of its own, to which the series goes up to the end of the fold.
+    """
     fn = forecaster(name)
-    schema = T.StructType([*_key_schema(series, keys), T.StructField("step", T.IntegerType()), T.StructField("yhat", T.DoubleType())])
+    schema = _schema(series, keys, "fold int, step int, pos long, y double, yhat double, note string")
+    columns, rows = schema.names, series.select(*keys, "pos", "y")
+
+    def shaped(parts: list[pd.DataFrame], of: tuple) -> pd.DataFrame:
+        out = pd.concat(parts) if parts else pd.DataFrame(columns=columns)
+        return out.assign(**{k: pd.Series([v] * len(out), out.index, object) for k, v in zip(keys, of, strict=False)})[columns]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = int(pdf["h"].iloc[0])
-        out = pd.DataFrame({"step": np.arange(1, h + 1), "yhat": _run(fn, pdf.sort_values("pos")["y"].to_numpy(float), h)})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[f.name for f in schema]]
+    if by_fold if by_fold is not None else not keys:
 
-    return _on(series.select(*keys, "pos", "y"), horizons.select(*keys, "h"), keys).groupBy(*keys).applyInPandas(run, schema)
+        def one(of: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            first = pdf.iloc[0]
+            return shaped([_fold(fn, pdf.sort_values("pos")["y"].to_numpy(float), int(first["fold"]), int(first["origin"]), int(first["h"]))], of)
+
+        parts = _on(rows, origins, keys).where(F.col("pos") < F.col("origin") + F.col("h"))
+        # Folds are ranges, so that no two of a single series meet by chance.
+        return (parts if keys else parts.repartitionByRange(FOLDS, "fold")).groupBy(*keys, "fold").applyInPandas(one, schema)
+
+    def run(of: tuple, pdf: pd.DataFrame, folds: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return shaped([], of)
+        y = pdf.sort_values("pos")["y"].to_numpy(float)
+        return shaped([_fold(fn, y, int(f), int(o), int(h)) for f, o, h in zip(folds["fold"], folds["origin"], folds["h"], strict=True)], of)
+
+    return _beside(rows, origins.select(*keys, "fold", "origin", "h"), keys).applyInPandas(run, schema)
+
+
+def model_forecast(series: DataFrame, keys: list[str], horizons: DataFrame, name: str = "auto") -> DataFrame:
+    """keys, step, yhat and note (of a failure) of a registered forecaster fitted on the whole of each series; ``horizons`` has
+    keys and h."""
+    fn = forecaster(name)
+    schema = _schema(series, keys, "step int, yhat double, note string")
+
+    def run(of: tuple, pdf: pd.DataFrame, horizon: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(horizon):
+            return pd.DataFrame(columns=schema.names)
+        h = int(horizon["h"].iloc[0])
+        yhat, note = _run(fn, pdf.sort_values("pos")["y"].to_numpy(float), h)
+        out = pd.DataFrame({"step": np.arange(1, h + 1), "yhat": yhat, "note": note})
+        return out.assign(**{k: pd.Series([v] * h, dtype=object) for k, v in zip(keys, of, strict=False)})[schema.names]
+
+    return _beside(series.select(*keys, "pos", "y"), horizons.select(*keys, "h"), keys).applyInPandas(run, schema)
+
+
+def failure_notes(scored: DataFrame, point: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, notes: what the model said where it failed, by fold, then on the whole history; series without a failure have no row."""
+    folds = scored.where("note is not null").select(*keys, "fold", "note").distinct()
+    last = point.where("note is not null").select(*keys, F.lit(None).cast("int").alias("fold"), "note").distinct()
+    where = F.when(F.col("x.fold").isNull(), F.lit("the forecast failed: ")).otherwise(F.concat(F.lit("fold "), F.col("x.fold").cast("string"), F.lit(" failed: ")))
+    listed = folds.unionByName(last).select(*keys, F.struct("fold", "note").alias("x")).select(*keys, F.struct(F.coalesce(F.col("x.fold"), F.lit(1 << 30)), F.concat(where, F.col("x.note")).alias("text")).alias("n"))
+    return listed.groupBy(*keys).agg(F.sort_array(F.collect_list("n"))["text"].alias("notes"))  # a series has few folds
 
 
 def backtest_metrics(scored: DataFrame, by: list[str]) -> DataFrame:

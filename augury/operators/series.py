@@ -1,7 +1,8 @@
 """Regular time series from tables: time axis, grid, gaps and horizons, for many series at once.
 
 A series table has the key columns, ``pos`` (0-based place on the grid), ``ds`` (stamp) and ``y`` (nullable).  ``keys=[]`` is a
-single series.  Windows are over the keys, so one shuffle on them serves all steps.
+single series.  Windows are over the keys, so one shuffle on them serves all steps; a single series, and any other if ``part`` is
+given, is cut into parts of so many rows, which tasks share.  A null key is a key like any other.
 """
 
 from __future__ import annotations
@@ -10,7 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from augury.operators.ranks import numbered
+from augury.operators.profile import named
+from augury.operators.ranks import exact_quantiles, numbered
+from augury.operators.scan import PART, on_keys, ordered_numbers, row_before, seen_around
+from augury.sources.tables import written
+
 
 # Interval of each frequency code, and the longest median gap in days that still reads as it.
 INTERVALS = {"H": "INTERVAL 1 HOUR", "D": "INTERVAL 1 DAY", "W": "INTERVAL 7 DAY", "M": "INTERVAL 1 MONTH", "Q": "INTERVAL 3 MONTH", "Y": "INTERVAL 1 YEAR"}
@@ -33,22 +38,26 @@ def detect_time_columns(df: DataFrame, target: str | None = None, min_rate: floa
     fields = [f for f in df.schema.fields if f.name != target]
     checks: list[Column] = [F.count(F.lit(1)).alias("_n")]
     for k, f in enumerate(fields):
-        checks.append(F.count(f.name).alias(f"_c{k}"))
+        checks.append(F.count(named(f.name)).alias(f"_c{k}"))
         if isinstance(f.dataType, T.StringType):
-            checks += [F.count(F.try_to_timestamp(f.name, F.lit(form))).alias(f"_p{k}_{j}") for j, form in enumerate(DATE_FORMATS)]
-        elif isinstance(f.dataType, T.IntegralType):
-            checks.append(F.count_distinct(f.name).alias(f"_d{k}"))
+            checks += [F.count(F.try_to_timestamp(named(f.name), F.lit(form))).alias(f"_p{k}_{j}") for j, form in enumerate(DATE_FORMATS)]
     seen = df.agg(*checks).first()
+    # Distinct values of integers without nulls, from (column, value) rows, so that nothing is multiplied by the columns.
+    whole = {k: named(f.name).cast("long") for k, f in enumerate(fields) if isinstance(f.dataType, T.IntegralType) and seen[f"_c{k}"] == seen["_n"] >= 3}
+    distinct: dict[int, int] = {}
+    if whole:
+        pairs = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), x.alias("v")) for k, x in whole.items()])).alias("p")).select("p.*")
+        distinct = {r["k"]: r["n"] for r in pairs.distinct().groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
     found = []
     for k, f in enumerate(fields):
         n = seen[f"_c{k}"]
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)) and n:
-            found.append((f.name, "datetime", 1.0, k, F.col(f.name).cast("timestamp")))
+            found.append((f.name, "datetime", 1.0, k, named(f.name).cast("timestamp")))
         elif isinstance(f.dataType, T.StringType) and n:
             rate, j = max((seen[f"_p{k}_{j}"] / n, -j) for j in range(len(DATE_FORMATS)))
             if rate >= min_rate:
-                found.append((f.name, "parsed", rate, k, F.try_to_timestamp(f.name, F.lit(DATE_FORMATS[-j]))))
-        elif isinstance(f.dataType, T.IntegralType) and n >= 3 and n == seen[f"_d{k}"] == seen["_n"]:
+                found.append((f.name, "parsed", rate, k, F.try_to_timestamp(named(f.name), F.lit(DATE_FORMATS[-j]))))
+        elif isinstance(f.dataType, T.IntegralType) and n == distinct.get(k):
             found.append((f.name, "ordered_int", 1.0, k, None))
     out = []
     for name, kind, rate, place, stamp in found:
@@ -60,16 +69,24 @@ def detect_time_columns(df: DataFrame, target: str | None = None, min_rate: floa
     return df.sparkSession.createDataFrame(rows, "name string, kind string, parse_rate double, regularity double, freq string, rank int")
 
 
-def frequency(df: DataFrame, time_col: str, keys: list[str]) -> DataFrame:
+def frequency(df: DataFrame, time_col: str, keys: list[str], part: int | None = None) -> DataFrame:
     """Of each series: n_stamps (distinct), regularity (1 less the relative spread of gaps, 0 under 3 stamps) and freq.
 
     Perfectly even months, quarters or years are told by month differences, all else by the median gap.
     """
-    stamps = df.where(F.col(time_col).isNotNull()).select(*keys, F.col(time_col).cast("timestamp").alias("t")).distinct()
-    order = _over(keys).orderBy("t")
-    before = F.lag("t").over(order)
-    gaps = stamps.select(*keys, (F.unix_micros("t") - F.unix_micros(before)).alias("gap"), ((F.year("t") - F.year(before)) * 12 + F.month("t") - F.month(before)).alias("months"), (F.dayofmonth("t") == F.dayofmonth(before)).alias("same_day"))
-    facts = gaps.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_stamps"), F.stddev_pop(F.col("gap") / 1e6).alias("sd"), F.avg(F.col("gap") / 1e6).alias("mean"), F.percentile(F.col("gap") / 1e6, F.lit(0.5)).alias("mid"), F.min("months").alias("lo"), F.max("months").alias("hi"), F.coalesce(F.every("same_day"), F.lit(False)).alias("same"))
+    stamps = df.where(named(time_col).isNotNull()).select(*keys, named(time_col).cast("timestamp").alias("t")).distinct()
+    if keys:
+        stamps = stamps.withColumn("before", F.lag("t").over(_over(keys).orderBy("t")))
+    else:
+        stamps = row_before(ordered_numbers(stamps, [F.col("t")]), "t", "before", part or PART)
+    months = (F.year("t") - F.year("before")) * 12 + F.month("t") - F.month("before")
+    gaps = stamps.select(*keys, ((F.unix_micros("t") - F.unix_micros("before")) / 1e6).alias("gap"), months.alias("months"), (F.dayofmonth("t") == F.dayofmonth("before")).alias("same_day"))
+    sums = [F.count(F.lit(1)).alias("n_stamps"), F.stddev_pop("gap").alias("sd"), F.avg("gap").alias("mean"), F.min("months").alias("lo"), F.max("months").alias("hi"), F.coalesce(F.every("same_day"), F.lit(False)).alias("same")]
+    if keys:
+        facts = gaps.groupBy(*keys).agg(*sums, F.percentile("gap", F.lit(0.5)).alias("mid"))
+    else:
+        gaps = written(gaps, "gaps")
+        facts = gaps.agg(*sums).withColumn("mid", F.lit(exact_quantiles(gaps, {"gap": F.col("gap")}, [0.5])["gap"][0]).cast("double"))
     enough = F.col("n_stamps") >= 3
     regularity = F.when(enough, 1 - F.least(F.lit(1.0), F.col("sd") / (F.col("mean") + 1e-9))).otherwise(0.0)
     ladder = F.lit(None).cast("string")
@@ -102,6 +119,8 @@ def regularize(series: DataFrame, keys: list[str], freq: str | None, align: str
     ``freq`` the stamps are kept as they are.  Series of more than ``max_periods`` periods have no grid: ``runaway_series`` names
     them.
     """
+    if freq is None and not keys:
+        return ordered_numbers(series.select("ds", "y"), [F.col("ds")]).select("pos", "ds", "y")
     if freq is None:
         return series.select(*keys, (F.row_number().over(_over(keys).orderBy("ds")) - 1).cast("long").alias("pos"), "ds", "y")
     step = F.expr(INTERVALS[freq])
@@ -110,7 +129,7 @@ def regularize(series: DataFrame, keys: list[str], freq: str | None, align: str
         series = series.groupBy(*keys, F.date_trunc(unit, "ds").alias("ds")).agg(F.avg("y").alias("y"))
     ends = _spans(series, keys, freq).where(F.col("periods") <= max_periods)
     grid = ends.select(*keys, F.posexplode(F.sequence(F.col("lo").cast("timestamp"), F.col("hi").cast("timestamp"), step)).alias("pos", "ds"))
-    return grid.join(series.withColumn("ds", F.col("ds").cast("timestamp")), [*keys, "ds"], "left").select(*keys, F.col("pos").cast("long").alias("pos"), "ds", "y")
+    return on_keys(grid, series.withColumn("ds", F.col("ds").cast("timestamp")), keys, ("ds",), "left").select(*keys, F.col("pos").cast("long").alias("pos"), "ds", "y")
 
 
 def _spans(series: DataFrame, keys: list[str], freq: str) -> DataFrame:
@@ -128,14 +147,14 @@ def runaway_series(series: DataFrame, keys: list[str], freq: str, max_periods: i
 def stamps_of(df: DataFrame, time_col: str, min_rate: float = 0.95) -> Column | None:
     """The column as an axis: dates and integers as they are, text in the format of DATE_FORMATS that reads most of it; None if
     none reads ``min_rate`` of it, or the column is of another type."""
-    kind = df.schema[time_col].dataType
+    kind, own = df.schema[time_col].dataType, named(time_col)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType, T.IntegralType)):
-        return F.col(time_col)
+        return own
     if not isinstance(kind, T.StringType):
         return None
-    seen = df.agg(F.count(time_col), *[F.count(F.try_to_timestamp(time_col, F.lit(form))) for form in DATE_FORMATS]).first()
+    seen = df.agg(F.count(own), *[F.count(F.try_to_timestamp(own, F.lit(form))) for form in DATE_FORMATS]).first()
     best = max(range(len(DATE_FORMATS)), key=lambda j: (seen[j + 1], -j))
-    return F.try_to_timestamp(time_col, F.lit(DATE_FORMATS[best])) if seen[0] and seen[best + 1] / seen[0] >= min_rate else None
+    return F.try_to_timestamp(own, F.lit(DATE_FORMATS[best])) if seen[0] and seen[best + 1] / seen[0] >= min_rate else None
 
 
 def integer_series(df: DataFrame, keys: list[str], axis: str, y: str) -> DataFrame:
@@ -146,44 +165,56 @@ def integer_series(df: DataFrame, keys: list[str], axis: str, y: str) -> DataFra
     return rows.select(*keys, (F.row_number().over(_over(keys).orderBy(axis)) - 1).cast("long").alias("pos"), F.col(axis).alias("ds"), F.col(y).cast("double").alias("y"))
 
 
-def trim_edges(series: DataFrame, keys: list[str]) -> DataFrame:
+def _part(keys: list[str], part: int | None) -> int | None:
+    return part or (None if keys else PART)
+
+
+def trim_edges(series: DataFrame, keys: list[str], part: int | None = None) -> DataFrame:
     """The periods between the first and the last observed one, numbered anew; ``trimmed`` is how many went."""
-    own = _over(keys)
     seen = F.when(F.col("y").isNotNull(), F.col("pos"))
-    marked = series.select("*", F.min(seen).over(own).alias("_lo"), F.max(seen).over(own).alias("_hi"), F.count(F.lit(1)).over(own).alias("_n"))
+    ends = {"_lo": F.min(seen), "_hi": F.max(seen), "_n": F.count(F.lit(1))}
+    if _part(keys, part):
+        marked = on_keys(series, series.groupBy(*keys).agg(*[x.alias(c) for c, x in ends.items()]), keys)
+    else:
+        marked = series.withColumns({c: x.over(_over(keys)) for c, x in ends.items()})
     return marked.where(F.col("pos").between(F.col("_lo"), F.col("_hi"))).select(*keys, (F.col("pos") - F.col("_lo")).alias("pos"), "ds", "y", (F.col("_n") - (F.col("_hi") - F.col("_lo") + 1)).alias("trimmed"))
 
 
-def gap_runs(series: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, start, end, length of each run of unobserved periods."""
-    missing = series.where("y is null")
-    island = F.col("pos") - F.row_number().over(_over(keys).orderBy("pos"))
-    return missing.select(*keys, "pos", island.alias("_island")).groupBy(*keys, "_island").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.count(F.lit(1)).alias("length")).drop("_island")
+def gap_runs(series: DataFrame, keys: list[str], part: int | None = None) -> DataFrame:
+    """keys, start, end, length of each run of unobserved periods: those with the same last observed one before them."""
+    if _part(keys, part):
+        rows = seen_around(series.select(*keys, "pos", "y"), keys, _part(keys, part)).where("y is null").select(*keys, "pos", F.coalesce("p0", F.lit(-1)).alias("_island"))
+    else:
+        rows = series.where("y is null").select(*keys, "pos", (F.col("pos") - F.row_number().over(_over(keys).orderBy("pos"))).alias("_island"))
+    return rows.groupBy(*keys, "_island").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.count(F.lit(1)).alias("length")).drop("_island")
 
 
-def fill_gaps(series: DataFrame, keys: list[str], strategy: str) -> DataFrame:
+def fill_gaps(series: DataFrame, keys: list[str], strategy: str, part: int | None = None) -> DataFrame:
     """``y`` filled by a strategy that the caller must name; ``filled`` marks what it gave."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; one of {', '.join(STRATEGIES)}")
-    order = _over(keys).orderBy("pos")
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    y, seen = F.col("y"), F.when(F.col("y").isNotNull(), F.col("pos"))
-    if strategy == "ffill":
-        new = F.last("y", ignorenulls=True).over(back)
-    elif strategy == "linear":
-        y0, y1, p0, p1 = F.last("y", True).over(back), F.first("y", True).over(ahead), F.last(seen, True).over(back), F.first(seen, True).over(ahead)
-        new = y0 + (y1 - y0) * (F.col("pos") - p0) / (p1 - p0)
+    y, seen, part = F.col("y"), F.when(F.col("y").isNotNull(), F.col("pos")), _part(keys, part)
+    if strategy in ("none", "zero"):
+        rows = series
+    elif part:
+        rows = seen_around(series.select(*keys, "pos", "ds", "y"), keys, part)
     else:
-        new = {"none": y, "zero": F.lit(0.0), "mean": F.avg("y").over(_over(keys))}[strategy]
-    return series.select(*keys, "pos", "ds", F.coalesce(y, new).alias("y"), (y.isNull() & new.isNotNull()).alias("filled"))
+        order = _over(keys).orderBy("pos")
+        back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+        needed = {"ffill": ["y0"], "linear": ["y0", "y1", "p0", "p1"], "mean": ["mean"]}[strategy]
+        around = {"y0": F.last("y", True).over(back), "y1": F.first("y", True).over(ahead), "p0": F.last(seen, True).over(back), "p1": F.first(seen, True).over(ahead), "mean": F.avg("y").over(_over(keys))}
+        rows = series.withColumns({c: around[c] for c in needed})
+    line = F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("pos") - F.col("p0")) / (F.col("p1") - F.col("p0"))
+    new = {"none": y, "zero": F.lit(0.0), "ffill": F.col("y0"), "mean": F.col("mean"), "linear": line}[strategy]
+    return rows.select(*keys, "pos", "ds", F.coalesce(y, new).alias("y"), (y.isNull() & new.isNotNull()).alias("filled"))
 
 
-def gap_audit(trimmed: DataFrame, filled: DataFrame, keys: list[str], strategy: str) -> DataFrame:
+def gap_audit(trimmed: DataFrame, filled: DataFrame, keys: list[str], strategy: str, part: int | None = None) -> DataFrame:
     """Of each series: n_periods, n_observed, n_filled, n_missing, gaps, longest_gap, trimmed, strategy and warning."""
     both = trimmed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_periods"), F.count("y").alias("n_observed"), F.max("trimmed").alias("trimmed"))
-    runs = gap_runs(trimmed, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("gaps"), F.max("length").alias("longest_gap"))
+    runs = gap_runs(trimmed, keys, part).groupBy(*keys).agg(F.count(F.lit(1)).alias("gaps"), F.max("length").alias("longest_gap"))
     after = filled.groupBy(*keys).agg(F.count_if("filled").alias("n_filled"), F.count_if(F.col("y").isNull()).alias("n_missing"))
-    out = both.join(runs, keys, "left").join(after, keys) if keys else both.crossJoin(runs).crossJoin(after)  # one row each without keys
+    out = on_keys(on_keys(both, runs, keys, how="left"), after, keys)
     gaps, longest = F.coalesce("gaps", F.lit(0)), F.coalesce("longest_gap", F.lit(0))
     long_gap = longest >= F.greatest(F.lit(3), F.floor(F.col("n_periods") * 0.1))
     return out.select(*keys, "n_periods", "n_observed", "n_filled", "n_missing", gaps.alias("gaps"), longest.alias("longest_gap"), "trimmed", F.when(gaps == 0, "none").otherwise(strategy).alias("strategy"), F.when(long_gap & (longest > 0), "long gap").when(F.col("n_missing") > 0, "values still missing").alias("warning"))

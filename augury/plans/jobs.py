@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from augury.functions.forecasters import SEASONS
 from augury.operators import backtest as B
 from augury.operators import series as S
+from augury.sources.tables import event, written
 
 
 def run_forecast(
@@ -20,8 +21,8 @@ def run_forecast(
     """Table to regular series, gaps, backtest against the naive baseline, forecast with bands, gate and confidence.
 
     Returns tables by series: status (every series of ``df``: ok, no backtest or error, and why), history, audit, folds, metrics,
-    facts (one row a series that is not an error: gate, confidence, warnings) and forecast (with the facts of its series).  A
-    series too short for a backtest has its forecast without bands, and does not pass the gate.  Each series has its own
+    facts (one row a series that is not an error: gate, confidence, warnings), forecast (with the facts of its series) and log (what
+    each stage did).  A null key is a series of its own.  What a failing model said is in the warnings of its series.  A series too short for a backtest has its forecast without bands, and does not pass the gate.  Each series has its own
     frequency unless one is given.  ``model`` is ``naive``, ``seasonal_naive`` or a registered forecaster.  Series with missing
     values after filling are refused by learned models unless ``allow_compact`` drops those periods.  A ``time_col`` that is no
     axis gives way to the best candidate, which the warnings say.
@@ -37,9 +38,11 @@ def run_forecast(
         time_col = found["name"]
         stamp = S.stamps_of(df, time_col)
     note = f"{asked} is no time axis; {time_col} is used" if asked not in (None, time_col) else None
+    chosen, time_col = time_col, time_col.replace(".", "_")
     df = df.withColumn(time_col, stamp)
     status = S.validate_series(df, target, time_col, keys)
-    rows = B._on(df, status.where("status = 'ok'").select(*keys), keys, how="left_semi") if keys else df.where(F.lit(status.where("status = 'ok'").count() > 0))
+    good = status.where("status = 'ok'")
+    rows = B._on(df, good.select(*keys), keys, how="left_semi") if keys else df.where(F.lit(good.count() > 0))
     options = (target, strategy, keys, time_col, horizon, seasonal_period, level, model, allow_compact)
     if isinstance(df.schema[time_col].dataType, T.IntegralType):
         series = S.integer_series(rows, keys, time_col, target)
@@ -58,9 +61,28 @@ def run_forecast(
         out["facts"] = out["facts"].withColumn("warnings", F.array_append("warnings", F.lit(note)))
     runaway = [p[1] for p in parts if p[1] is not None]
     out["status"] = _final_status(status, out["facts"], reduce(DataFrame.union, runaway) if runaway else None, keys)
+    out["log"] = _forecast_log(out, chosen, note, strategy, model)
     return out
 
 
+def _forecast_log(out: dict[str, DataFrame], time_col: str, note: str | None, strategy: str, model: str) -> DataFrame:
+    """One event for each stage of the job, with its counts."""
+    n, count = F.count(F.lit(1)), F.count_if
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    bad, rejected = F.col("errors") > 0, F.col("rejected") > 0
+    status = out["status"].agg(n.alias("series"), count(F.col("status") == "error").alias("errors"), count(F.col("status") == "no backtest").alias("short"))
+    gaps = out["audit"].agg(zero(F.sum("n_filled")).alias("filled"), zero(F.sum("n_missing")).alias("missing"), zero(F.sum("trimmed")).alias("trimmed"))
+    facts = out["facts"].agg(zero(F.sum("n_folds")).alias("folds"), count("passed").alias("passed"), count(~F.col("passed")).alias("rejected"))
+    c = lambda *names: {x: F.col(x) for x in names}
+    return reduce(DataFrame.unionByName, [
+        event(status.sparkSession.range(1), "axis", "chosen", {"column": F.lit(time_col)}, note, "warn" if note else "ok"),
+        event(status, "series", "validated", c("series", "errors", "short"), F.when(bad, F.lit("some series cannot be forecast")), F.when(bad, "warn").otherwise("ok")),
+        event(gaps, "gaps", strategy, c("filled", "missing", "trimmed")),
+        event(facts, "backtest", model, c("folds")),
+        event(facts, "gate", "judged", c("passed", "rejected"), F.when(rejected, F.lit("some forecasts are rejected")), F.when(rejected, "warn").otherwise("ok")),
+    ])
+
+
 def _final_status(status: DataFrame, facts: DataFrame, runaway: DataFrame | None, keys: list[str]) -> DataFrame:
     """The status of each series once forecasts were tried: too long a grid is an error, too short a history no backtest."""
     seen = B._on(status, facts.select(*keys, (F.col("n_folds") == 0).alias("_short"), "n", "h"), keys, how="left")
@@ -81,27 +103,30 @@ def _forecast(series: DataFrame, freq: str | None, target: str, strategy: str, k
     """The tables of ``run_forecast`` for series of one frequency."""
     trimmed = S.trim_edges(series, keys)
     filled = S.fill_gaps(trimmed, keys, strategy)
+    filled = written(filled, "filled")  # backtests, forecasts, stamps and the audit read it
     audit = S.gap_audit(trimmed, filled, keys, strategy)
     history = filled
     if allow_compact:
         history = S.integer_series(filled, keys, "pos", "y").withColumn("filled", F.lit(False))
     size = B.sizes(history, keys, horizon)
     origins = B.backtest_origins(size, keys)
-    base = B.backtest_baseline(history, keys, origins)
+    base, notes = B.backtest_baseline(history, keys, origins), None
     if model in ("naive", "seasonal_naive"):
         period = seasonal_period or SEASONS.get(freq, 7) if model == "seasonal_naive" else None
         scored = B.backtest_baseline(history, keys, origins, period)
         h = F.greatest(F.lit(1), F.col("h"))
         at = F.col("n") - 1 if period is None else F.when(F.col("n") < period, F.col("n") - 1).otherwise(F.col("n") - period + (F.col("step") - 1) % period)
         steps = size.select(*keys, "n", F.explode(F.sequence(F.lit(1), h)).alias("step")).withColumn("pos", at)
-        point = steps.join(history.select(*keys, "pos", F.col("y").alias("yhat")), [*keys, "pos"]).select(*keys, "step", "yhat")
+        point = B._on(steps, history.select(*keys, "pos", F.col("y").alias("yhat")), keys, ("pos",)).select(*keys, "step", "yhat")
     else:
         name = f"auto:{freq}" if model == "auto" else model
-        scored = B.backtest_model(history, keys, origins, name).where("yhat is not null and not isnan(yhat)")
-        point = B.model_forecast(history, keys, size, name)
+        tried = written(B.backtest_model(history, keys, origins, name), "backtest")
+        scored = tried.where("yhat is not null and not isnan(yhat)").drop("note")
+        point = written(B.model_forecast(history, keys, size, name), "forecast")
+        notes = B.failure_notes(tried, point, keys)
         # A model that fails on a series leaves its naive forecast.
         last = history.groupBy(*keys).agg(F.max_by("y", "pos").alias("_last"))
-        point = B._on(point, last, keys).withColumn("yhat", F.when(F.isnan("yhat") | F.col("yhat").isNull(), F.col("_last")).otherwise(F.col("yhat"))).drop("_last")
+        point = B._on(point, last, keys).withColumn("yhat", F.when(F.isnan("yhat") | F.col("yhat").isNull(), F.col("_last")).otherwise(F.col("yhat"))).drop("_last", "note")
     residuals = B.residuals_by_step(scored, keys)
     metrics, naive = B.backtest_metrics(scored, keys), B.backtest_metrics(base, keys)
     folds = base.groupBy(*keys).agg(F.count_distinct("fold").alias("n_folds"))
@@ -112,6 +137,8 @@ def _forecast(series: DataFrame, freq: str | None, target: str, strategy: str, k
     facts = B._on(facts, audit.select(*keys, "n_filled", "longest_gap", "trimmed", F.col("warning").alias("gap_warning")), keys, how="left")
     wide = F.when(F.col("h") > F.col("n_observed") / 3, "the horizon is over a third of the history")
     facts = facts.withColumn("warnings", F.array_compact(F.concat("warnings", F.array("gap_warning", wide)))).drop("gap_warning").withColumn("freq", F.lit(freq).cast("string"))
+    if notes is not None:
+        facts = B._on(facts, notes, keys, how="left").withColumn("warnings", F.concat("warnings", F.coalesce("notes", F.array().cast("array<string>")))).drop("notes")
     stamps = S.future_index(filled, keys, F.lit(horizon), freq) if horizon else _stamps(filled, keys, size, freq)
     bands = B.prediction_intervals(point, residuals, keys, size, level)
     forecast = B._on(bands, stamps, keys, ("step",))

@@ -88,12 +88,14 @@ def bands(spark, sf):
 
 
 def statuses(spark, sf):
-    """The orders of each customer, in their order, as a series, and what became of it: forecast, no backtest or error."""
+    """The orders of each customer, in their order, as a series, and what became of it: forecast, no backtest or error.  Orders of
+    every seventh customer have no key and are one series."""
     from augury.plans.jobs import run_forecast
 
-    out = run_forecast(X.table(spark, sf, "orders"), "o_totalprice", "ffill", keys=["o_custkey"], time_col="o_orderkey", horizon=2, model="naive")
+    orders = X.table(spark, sf, "orders").withColumn("o_custkey", F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey")))
+    out = run_forecast(orders, "o_totalprice", "ffill", keys=["o_custkey"], time_col="o_orderkey", horizon=2, model="naive")
     got = out["forecast"].groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_steps"))
-    return out["status"].join(got, "o_custkey", "left").select("o_custkey", "status", F.coalesce("n_steps", F.lit(0)).alias("n_steps"))
+    return B._on(out["status"], got, ["o_custkey"], how="left").select("o_custkey", "status", F.coalesce("n_steps", F.lit(0)).alias("n_steps"))
 
 
 def run_forecast_naive(spark, sf):
@@ -104,6 +106,45 @@ def run_forecast_naive(spark, sf):
     return out["forecast"].select(*K, "step", _day(), *[_r(c, 5) for c in ("yhat", "lower", "upper")], "passed", F.round("improvement_pct", 2).alias("improvement_pct"), "confidence_label")
 
 
+def whole(spark, sf):
+    """Revenue a day of all orders, a single series without keys; every eleventh day of the year is unobserved."""
+    days = X.table(spark, sf, "orders").groupBy(F.col("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("revenue"))
+    return days.withColumn("revenue", F.when(F.dayofyear("day") % 11 != 0, F.round("revenue", 2)))
+
+
+def whole_trimmed(spark, sf):
+    return S.trim_edges(S.regularize(S.collapse_duplicates(whole(spark, sf), [], "day", "revenue"), [], "D"), [], PART)
+
+
+def whole_filled(spark, sf, strategy="ffill"):
+    return S.fill_gaps(whole_trimmed(spark, sf), [], strategy, PART)
+
+
+def whole_backtest(spark, sf):
+    """Five folds of a single series, each in a task of its own, with the mean of the last week; a history of an even number of
+    days is refused, and what was said is kept."""
+
+    def last_week(past, h):
+        if len(past) % 2 == 0:
+            raise ValueError(f"{len(past)} days")
+        return [float(past[-7:].mean())] * h
+
+    B.register_forecaster("odd_week", last_week)
+    f = whole_filled(spark, sf)
+    got = B.backtest_model(f, [], B.backtest_origins(B.sizes(f, [], H), []), "odd_week")
+    return got.groupBy("fold").agg(F.count("yhat").alias("n_scored"), F.round(F.avg(F.abs(F.col("y") - F.col("yhat"))), 2).alias("mae"), F.max("note").alias("note"))
+
+
+def forecast_log(spark, sf):
+    """What the stages of the flagship job did."""
+    from augury.plans.jobs import run_forecast
+
+    out = run_forecast(X.daily_revenue(spark, sf), "revenue", "ffill", keys=K, time_col="day", horizon=H, seasonal_period=7, frequency="D", model="seasonal_naive")
+    return out["log"].drop("ts")
+
+
+PART = 97  # rows of a part in the queries of a single series, so that it has many
+
 REGULARITY = "gaps AS (SELECT o_orderpriority, epoch(ds) - epoch(lag(ds) OVER (PARTITION BY o_orderpriority ORDER BY ds)) AS gap FROM points)"
 
 
@@ -138,6 +179,13 @@ def queries() -> dict:
         "forecast_confidence": lambda s, d: _facts(s, d, "confidence", "confidence_label"),
         "run_forecast_naive": run_forecast_naive,
         "run_forecast_status": statuses,
+        "run_forecast_log": forecast_log,
+        "single_series_regularity": lambda s, d: S.frequency(whole(s, d), "day", [], PART).select("n_stamps", _r("regularity"), "freq"),
+        "single_series_stamps": lambda s, d: S.regularize(S.collapse_duplicates(whole(s, d), [], "day", "revenue"), [], None).select("pos", _day(), _r("y")),
+        "single_series_gap_runs": lambda s, d: S.gap_runs(whole_trimmed(s, d), [], PART),
+        **{f"single_series_{x}": (lambda s, d, x=x: whole_filled(s, d, x).select("pos", _day(), _r("y", 5), "filled")) for x in ("ffill", "linear", "mean")},
+        "single_series_audit": lambda s, d: S.gap_audit(whole_trimmed(s, d), whole_filled(s, d), [], "ffill", PART),
+        "single_series_backtest": whole_backtest,
     }
 
 
@@ -152,6 +200,31 @@ def oracle_sql() -> dict[str, str]:
     for name, expr in fill.items():
         inner = "SELECT *, last_value(y IGNORE NULLS) OVER back AS y0, first_value(y IGNORE NULLS) OVER ahead AS y1, last_value(CASE WHEN y IS NOT NULL THEN pos END IGNORE NULLS) OVER back AS p0, first_value(CASE WHEN y IS NOT NULL THEN pos END IGNORE NULLS) OVER ahead AS p1 FROM trimmed WINDOW back AS (PARTITION BY o_orderpriority ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), ahead AS (PARTITION BY o_orderpriority ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
         filled[f"fill_gaps_{name}"] = w(X.TRIM, f"SELECT {key}, pos, round({expr}, 6) AS y, y IS NULL AND ({expr}) IS NOT NULL AS filled FROM ({inner})")
+    one = "daily AS (SELECT o_orderdate AS ds, CASE WHEN dayofyear(o_orderdate) % 11 <> 0 THEN round(sum(o_totalprice), 2) END AS y FROM orders GROUP BY 1)"
+    one_trim = (
+        one + ", grid AS (SELECT unnest(generate_series(min(ds), max(ds), INTERVAL 1 DAY)) AS ds FROM daily), placed AS (SELECT g.ds, y FROM grid g LEFT JOIN daily d ON d.ds = g.ds)"
+        ", ends AS (SELECT min(ds) FILTER (y IS NOT NULL) AS lo, max(ds) FILTER (y IS NOT NULL) AS hi, count(*) AS n FROM placed)"
+        ", trimmed AS (SELECT row_number() OVER (ORDER BY ds) - 1 AS pos, ds, y, n - (date_diff('day', lo, hi) + 1) AS trimmed FROM placed, ends WHERE ds BETWEEN lo AND hi)"
+        ", around AS (SELECT *, last_value(y IGNORE NULLS) OVER back AS y0, first_value(y IGNORE NULLS) OVER ahead AS y1, last_value(CASE WHEN y IS NOT NULL THEN pos END IGNORE NULLS) OVER back AS p0, first_value(CASE WHEN y IS NOT NULL THEN pos END IGNORE NULLS) OVER ahead AS p1"
+        " FROM trimmed WINDOW back AS (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), ahead AS (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
+        ", runs AS (SELECT min(pos) AS start, max(pos) AS \"end\", count(*) AS length FROM (SELECT pos, pos - row_number() OVER (ORDER BY pos) AS island FROM trimmed WHERE y IS NULL) GROUP BY island)"
+    )
+    folds = f", size AS (SELECT count(*) AS n FROM around), spans AS (SELECT greatest({H}, n // 2) AS least, n - {H} AS last FROM size), origins AS (SELECT origin, row_number() OVER (ORDER BY origin) AS fold FROM (SELECT DISTINCT CAST(round_even(least + i * (last - least) / 4.0, 0) AS BIGINT) AS origin FROM spans, (SELECT unnest([0, 1, 2, 3, 4]) AS i)))"
+    value = {"ffill": "coalesce(y, y0)", "linear": "coalesce(y, y0 + (y1 - y0) * (pos - p0) / (p1 - p0))", "mean": "coalesce(y, avg(y) OVER ())"}
+    count = lambda what: f"sum(CAST({what} AS INT))"
+    single = {
+        "single_series_regularity": w(one + ", gaps AS (SELECT epoch(ds) - epoch(lag(ds) OVER (ORDER BY ds)) AS gap FROM daily)", "SELECT count(*) AS n_stamps, round(1 - least(1.0::DOUBLE, stddev_pop(gap) / (avg(gap) + 1e-9)), 4) AS regularity, CASE WHEN quantile_cont(gap, 0.5) <= 43200 THEN 'H' WHEN quantile_cont(gap, 0.5) <= 129600 THEN 'D' ELSE 'W' END AS freq FROM gaps"),
+        "single_series_stamps": w(one, f"SELECT row_number() OVER (ORDER BY ds) - 1 AS pos, {SQL_DAY}, round(y, 4) AS y FROM daily"),
+        "single_series_gap_runs": w(one_trim, "SELECT * FROM runs"),
+        **{f"single_series_{x}": w(one_trim, f"SELECT pos, {SQL_DAY}, round({v}, 5) AS y, y IS NULL AS filled FROM around") for x, v in value.items()},
+        "single_series_audit": w(one_trim, "SELECT count(*) AS n_periods, count(y) AS n_observed, count(*) - count(y) AS n_filled, 0 AS n_missing, (SELECT count(*) FROM runs) AS gaps, (SELECT max(length) FROM runs) AS longest_gap, max(trimmed) AS trimmed, 'ffill' AS strategy, CASE WHEN (SELECT max(length) FROM runs) >= greatest(3, floor(count(*) * 0.1)) THEN 'long gap' END AS warning FROM trimmed"),
+        "single_series_backtest": w(one_trim + folds, f"SELECT fold, CASE WHEN origin % 2 = 1 THEN {H} ELSE 0 END AS n_scored, CASE WHEN origin % 2 = 1 THEN round((SELECT avg(abs(coalesce(a.y, a.y0) - (SELECT avg(coalesce(b.y, b.y0)) FROM around b WHERE b.pos BETWEEN o.origin - 7 AND o.origin - 1))) FROM around a WHERE a.pos BETWEEN o.origin AND o.origin + {H - 1}), 2) END AS mae, CASE WHEN origin % 2 = 0 THEN 'ValueError: ' || origin || ' days' END AS note FROM origins o"),
+        "run_forecast_log": w(GATED, f"""SELECT 'axis' AS stage, 'chosen' AS action, NULL AS reason, '{{"column":"day"}}' AS data, 'ok' AS status
+            UNION ALL SELECT 'series', 'validated', NULL, '{{"series":' || count(*) || ',"errors":0,"short":0}}', 'ok' FROM obs
+            UNION ALL SELECT 'gaps', 'ffill', NULL, '{{"filled":' || {count('y IS NULL')} || ',"missing":0,"trimmed":' || (SELECT sum(t) FROM (SELECT max(trimmed) AS t FROM trimmed GROUP BY {key})) || '}}', 'ok' FROM trimmed
+            UNION ALL SELECT 'backtest', 'seasonal_naive', NULL, '{{"folds":' || count(*) || '}}', 'ok' FROM origins
+            UNION ALL SELECT 'gate', 'judged', CASE WHEN {count('NOT passed')} > 0 THEN 'some forecasts are rejected' END, '{{"passed":' || {count('passed')} || ',"rejected":' || {count('NOT passed')} || '}}', CASE WHEN {count('NOT passed')} > 0 THEN 'warn' ELSE 'ok' END FROM gated"""),
+    }
     return {
         "detect_time_columns": "WITH o AS (SELECT *, CASE WHEN o_orderkey % 40 = 0 THEN 'n/a' ELSE strftime(o_orderdate, '%d/%m/%Y') END AS as_text FROM orders), r AS (SELECT avg(CASE WHEN try_strptime(as_text, '%d/%m/%Y') IS NOT NULL THEN 1.0 ELSE 0 END) AS rate, count(*) = count(DISTINCT o_orderkey) AS uniq FROM o) SELECT * FROM (SELECT 'o_orderdate' AS name, 'datetime' AS kind, 1.0::DOUBLE AS parse_rate, 1 AS rank UNION ALL SELECT 'iso', 'parsed', 1.0, 2 UNION ALL SELECT 'as_text', 'parsed', round(rate, 2), 3 FROM r WHERE rate >= 0.95 UNION ALL SELECT 'o_orderkey', 'ordered_int', 1.0, CASE WHEN rate >= 0.95 THEN 4 ELSE 3 END FROM r WHERE uniq)",
         "series_regularity": w(X.DAILY + ", points AS (SELECT DISTINCT o_orderpriority, day AS ds FROM daily), " + REGULARITY, f"SELECT {key}, count(*) AS n_stamps, round(CASE WHEN count(*) >= 3 THEN 1 - least(1.0::DOUBLE, stddev_pop(gap) / (avg(gap) + 1e-9)) ELSE 0 END, 4) AS regularity, CASE WHEN count(*) >= 3 THEN CASE WHEN quantile_cont(gap, 0.5) <= 43200 THEN 'H' WHEN quantile_cont(gap, 0.5) <= 129600 THEN 'D' WHEN quantile_cont(gap, 0.5) <= 691200 THEN 'W' WHEN quantile_cont(gap, 0.5) <= 3888000 THEN 'M' WHEN quantile_cont(gap, 0.5) <= 11664000 THEN 'Q' ELSE 'Y' END END AS freq FROM gaps GROUP BY 1"),
@@ -179,6 +252,7 @@ def oracle_sql() -> dict[str, str]:
         "interval_coverage": w(COVER, f"SELECT {key}, round(coverage, 4) AS coverage FROM cov"),
         "forecast_gate": w(GATED, f"SELECT {key}, passed, reasons, warnings FROM gated"),
         "forecast_confidence": w(GATED, f"SELECT {key}, confidence, {LABEL} FROM gated"),
-        "run_forecast_status": "SELECT o_custkey, CASE WHEN n < 3 THEN 'error' WHEN n - 2 <= greatest(2, n // 2) THEN 'no backtest' ELSE 'ok' END AS status, CASE WHEN n < 3 THEN 0 ELSE 2 END AS n_steps FROM (SELECT o_custkey, count(o_totalprice) AS n FROM orders GROUP BY 1)",
+        "run_forecast_status": "SELECT o_custkey, CASE WHEN n < 3 THEN 'error' WHEN n - 2 <= greatest(2, n // 2) THEN 'no backtest' ELSE 'ok' END AS status, CASE WHEN n < 3 THEN 0 ELSE 2 END AS n_steps FROM (SELECT CASE WHEN o_custkey % 7 <> 0 THEN o_custkey END AS o_custkey, count(o_totalprice) AS n FROM orders GROUP BY 1)",
+        **single,
         "run_forecast_naive": w(GATED + OFFSETS[len(COVER) :] + POINT, f"SELECT pt.{key}, pt.step, strftime(pt.ds, '%Y-%m-%d') AS ds, round(yhat, 5) AS yhat, round(yhat + low, 5) AS lower, round(yhat + high, 5) AS upper, passed, improvement_pct, {LABEL} FROM pt JOIN off ON pt.{key} = off.{key} AND pt.step = off.step JOIN gated g ON g.{key} = pt.{key}"),
     }

@@ -33,6 +33,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/augury-{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: what uses it does not run it again, nor does a lost executor."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, path: str, format: str = "csv", schema: T.StructType | str | None = None) -> DataFrame:
     """A CSV with header (types inferred unless ``schema`` is given, which saves a pass), or any format Spark reads by name."""
     reader = spark.read.format(format)
@@ -76,6 +83,22 @@ def load_fit(kind, spark: SparkSession, path: str):
 LOG_SCHEMA = "stage string, action string, reason string, data string, status string, ts timestamp"
 
 
+def event(rows: DataFrame, stage: str, action: str | Column, data: dict[str, Column], reason: str | Column | None = None, status: str | Column = "ok") -> DataFrame:
+    """Rows of a job's log, one for each row of ``rows``: ``data`` as JSON text, at the time of the query that reads it."""
+    col = lambda x: x if isinstance(x, Column) else F.lit(x)
+    found = F.to_json(F.struct(*[c.alias(k) for k, c in data.items()])) if data else F.lit("{}")
+    return rows.select(col(stage).alias("stage"), col(action).alias("action"), col(reason).cast("string").alias("reason"), found.alias("data"), col(status).alias("status"), F.current_timestamp().alias("ts"))
+
+
+def append_log(log: DataFrame, path: str) -> None:
+    """Append events as JSON lines; a log is only ever added to, and each call adds files of its own."""
+    log.write.mode("append").option("ignoreNullFields", False).json(path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LOG_SCHEMA).json(path)
+
+
 def run_log(spark: SparkSession, events: list[tuple]) -> DataFrame:
     """Events (stage, action, reason, data, status, ts) as an append-only table; ``data`` is JSON text."""
     return spark.createDataFrame(events, LOG_SCHEMA)
