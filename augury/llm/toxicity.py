@@ -1,14 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models, one of toxic and one of ordinary text, spell words: each predicts a character from the ``ORDER`` - 1 before it in
-the word.  Its own counts are those of its class, less an absolute discount; the discounted mass goes to lower orders, which
-are continuation counts (in how many different contexts a run of characters occurs) that both classes share.  A rare
-expression thus has the shared probability in both models and says nothing, while one that begins like many toxic words does.
-A word counts once in a text: one that repeats itself is one observation.
+Two models, one of toxic and one of ordinary text, give each word a probability.  A model's own counts are those of its class
+(the texts that have the word), less absolute discounts for words counted once, twice or more often; the discounted mass goes to
+continuation counts (after how many different words a word occurs), which both classes share, and these leave some to any other
+word.  A rare expression thus has the shared probability in both models and says little, and a new one nothing but the ratio of
+what the classes leave to the backoff.  A word counts once in a text: one that repeats itself is one observation.
 
 The evidence of a text is the difference of its log-likelihoods under the two models, normalised by length: the mean a word over
-the whole text, and the highest mean over ``WINDOW`` words, which decides, as a few words make a long text toxic.  A logistic
-curve fitted on labelled texts that gave no counts turns it into a score.
+the whole text, and over its ``BEST`` most telling different words, as a few words make a long text toxic.  A logistic curve over
+both, fitted on the evidence of labelled texts under models that have no counts of theirs, turns them into a score.
 
 Defined results: a null, empty or letterless text has evidence 0 and the score that the curve has there; very long texts are
 scored whole; repeated rows get equal scores; without both labels in the training rows every score is 0.  Labels of one doc_id
@@ -17,9 +17,10 @@ that disagree count as toxic; null labels and null ids are not learned from.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
@@ -30,136 +31,99 @@ from pyspark.sql import functions as F
 
 from augury.llm.common import ids_and_texts, letter_runs, materialise, remainder, sample_per_class, slices
 
-ORDER = 4  # characters in a run: the one predicted and those before it
-WINDOW = 6  # words over which the log-likelihoods are normalised
+BEST = 2  # most telling words of a text
 DOCS_PER_CLASS = 2500  # bound on the labelled rows that are learned from, in each class
-START, END = "^", "$"  # stand before and after a word, which has letters alone
+PARTS = 8  # of the sample
+START = "^"  # stands before the first word of a text
 
 
-def runs_of(word: str, order: int = ORDER) -> list[str]:
-    """The runs of ``order`` characters of a word, its start and end included."""
-    padded = START * (order - 1) + word + END
-    return [padded[i : i + order] for i in range(len(padded) - order + 1)]
+def discounts(counts: Iterable[int]) -> tuple[float, float, float]:
+    """Absolute discounts of words counted once, twice and more often, from how many there are of each."""
+    n1, n2, n3, n4 = (float(x) for x in np.bincount(np.minimum([*counts, 0], 5), minlength=6)[1:5])
+    share = n1 / max(1.0, n1 + 2 * n2)
+    found = 1 - 2 * share * n2 / max(1.0, n1), 2 - 3 * share * n3 / max(1.0, n2), 3 - 4 * share * n4 / max(1.0, n3)
+    return tuple(min(max(x, 0.1), k - 0.05) for k, x in enumerate(found, 1))
 
 
 class _Level:
-    """Counts of runs with an absolute discount; ``total`` and ``kinds`` are those of each context."""
+    """Counts of words with absolute discounts; ``left`` is the share that they leave to the backoff."""
 
     def __init__(self, counts: dict[str, int]):
-        self.counts, self.total, self.kinds = counts, Counter(), Counter()
-        for run, n in counts.items():
-            self.total[run[:-1]] += n
-            self.kinds[run[:-1]] += 1
-        once, twice = (sum(n == k for n in counts.values()) for k in (1, 2))
-        self.discount = min(max(once / max(1, once + 2 * twice), 0.1), 0.95)
+        self.counts, self.total, self.less = counts, sum(counts.values()), discounts(counts.values())
+        self.left = sum(self.less[min(n, 3) - 1] for n in counts.values()) / self.total
 
-    def left(self, context: str) -> float:
-        """Share of a context's mass that its discounts leave to the backoff; all of it if the context is new."""
-        return self.discount * self.kinds[context] / self.total[context] if context in self.total else 1.0
-
-    def chance(self, run: str, backoff: float) -> float:
-        own = max(self.counts.get(run, 0) - self.discount, 0.0) / self.total[run[:-1]] if run[:-1] in self.total else 0.0
-        return own + self.left(run[:-1]) * backoff
+    def chance(self, word: str, backoff: float) -> float:
+        n = self.counts.get(word, 0)
+        return (n - self.less[min(n, 3) - 1] if n else 0.0) / self.total + self.left * backoff
 
 
 class KneserNey:
-    """Both classes' models: ``chance(k, run)`` is the probability of a run's last character after the others, in class ``k``."""
-
-    def __init__(self, counts: tuple[dict[str, int], dict[str, int]], order: int = ORDER):
-        self.classes = [_Level(c) for c in counts]
-        self.shared: list[_Level] = []
-        seen = set(counts[0]) | set(counts[1])
-        for _ in range(order - 1):
-            below = Counter(run[1:] for run in seen)  # continuation counts: distinct characters before the rest of a run
-            self.shared.append(_Level(below))
-            seen = set(below)
-        self.alphabet = len(seen) + 1  # all characters seen, and one place for any other
-        self._known: dict[str, float] = {}
-
-    def backoff(self, run: str) -> float:
-        """Shared probability of a run's last character after those before it, of a run shorter than ``order``."""
-        if not run:
-            return 1 / self.alphabet
-        if run not in self._known:
-            self._known[run] = self.shared[len(self.shared) - len(run)].chance(run, self.backoff(run[1:]))
-        return self._known[run]
-
-    def chance(self, k: int, run: str) -> float:
-        return self.classes[k].chance(run, self.backoff(run[1:]))
+    """Both classes' models: ``chance(k, word)`` is the probability of a word in class ``k``."""
+
+    def __init__(self, counts: tuple[dict[str, int], dict[str, int]], contexts: dict[str, int]):
+        self.classes, self.shared = [_Level(c) for c in counts], _Level(contexts)
+        self.words = len(contexts) + 1  # all words seen, and one place for any other
+
+    def chance(self, k: int, word: str) -> float:
+        return self.classes[k].chance(word, self.shared.chance(word, 1 / self.words))
 
 
 @dataclass
 class Model:
-    """log P(toxic) - log P(ordinary) of each seen run, of any other character after each seen context, and the curve."""
+    """log P(toxic) - log P(ordinary) of each seen word and of any other, and the curve over both kinds of evidence."""
 
-    run: dict[str, float]
-    other: dict[str, float]
-    slope: float = 1.0
+    ratio: dict[str, float]
+    other: float
+    slopes: tuple[float, float] = (1.0, 0.0)
     base: float = -1.0
-    order: int = ORDER
 
-    def word(self, word: str) -> float:
-        total = 0.0
-        for r in runs_of(word, self.order):
-            x = self.run.get(r)
-            # An unseen run has the shared probability in both classes, times what each class leaves to it.
-            total += self.other.get(r[:-1], 0.0) if x is None else x
-        return total
+    def score(self, found: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(found @ np.array(self.slopes) + self.base, -30, 30)))
 
 
-def count_runs(labelled: DataFrame, order: int = ORDER) -> DataFrame:
-    """Counts by class of the runs of characters in words, of (toxic, text) rows: columns run, t, o."""
+def count_words(labelled: DataFrame) -> DataFrame:
+    """word, t and o (texts of each class that have it) and contexts (different words before it) of (toxic, text) rows."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for piece in slices(batches):
             words: dict[bool, Counter] = {True: Counter(), False: Counter()}
+            pairs: set[tuple[str, str]] = set()
             for toxic, text in zip(piece["toxic"], piece["text"], strict=True):
-                words[bool(toxic)].update(set(letter_runs(text)))
-            seen: dict[str, list[int]] = {}
-            for toxic, found in words.items():
-                for word, n in found.items():
-                    for r in runs_of(word, order):
-                        seen.setdefault(r, [0, 0])[0 if toxic else 1] += n
-            if seen:
-                t, o = zip(*seen.values(), strict=True)
-                yield pd.DataFrame({"run": list(seen), "t": t, "o": o})
+                found = letter_runs(text)
+                words[bool(toxic)].update(set(found))
+                pairs.update(zip(found, [START, *found], strict=False))
+            rows = [(w, None, words[True][w], words[False][w]) for w in {*words[True], *words[False]}] + [(w, before, 0, 0) for w, before in pairs]
+            yield pd.DataFrame(rows, columns=["word", "before", "t", "o"])
 
-    return labelled.mapInPandas(count, "run string, t long, o long").groupBy("run").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    each = labelled.mapInPandas(count, "word string, before string, t long, o long").groupBy("word", "before").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    return each.groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.count("before").alias("contexts"))
 
 
-def fit_models(counts: DataFrame, order: int = ORDER) -> Model | None:
+def fit_models(counts: DataFrame) -> Model | None:
     """Both models from the counts of a bounded sample; None if a class has no word."""
     rows = counts.collect()
-    both = tuple({r["run"]: r[k] for r in rows if r[k]} for k in ("t", "o"))
+    both = tuple({r["word"]: r[k] for r in rows if r[k]} for k in ("t", "o"))
     if not (both[0] and both[1]):
         return None
-    models = KneserNey(both, order)
-    ratio = lambda a, b: math.log(a / b)
-    contexts = {r["run"][:-1] for r in rows}
+    models = KneserNey(both, {r["word"]: r["contexts"] for r in rows})
     toxic, plain = models.classes
-    return Model({r["run"]: ratio(models.chance(0, r["run"]), models.chance(1, r["run"])) for r in rows}, {c: ratio(toxic.left(c), plain.left(c)) for c in contexts}, order=order)
-
+    return Model({r["word"]: math.log(models.chance(0, r["word"]) / models.chance(1, r["word"])) for r in rows}, math.log(toxic.left / plain.left))
 
-def evidence(model: Model, text: str | None, known: dict[str, float] | None = None) -> tuple[float, float]:
-    """The highest mean log-likelihood ratio a word over windows of the text, and that of the whole text.
 
-    ``known`` keeps the ratios of words from one text to the next.
-    """
+def evidence(model: Model, text: str | None) -> tuple[float, float]:
+    """The mean log-likelihood ratio a word over the most telling words of the text, and over the whole text."""
     words = [w for w, _ in groupby(letter_runs(text))]  # a word said again at once is said once
     if not words:
         return 0.0, 0.0
-    known = {} if known is None else known
-    for w in words:
-        if w not in known:
-            known[w] = model.word(w)
-    run = np.concatenate([[0.0], np.cumsum(np.fromiter(map(known.__getitem__, words), float, len(words)))])
-    width = min(WINDOW, len(words))
-    return float((run[width:] - run[:-width]).max() / width), float(run[-1] / len(words))
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
-    """Slope and base of a ridge logistic curve by Newton's method, classes weighed so that ``share`` of the rows are of class 1."""
-    design, beta, ridge = np.column_stack([x, np.ones(len(x))]), np.zeros(2), np.diag([1e-3, 1e-3])
+    ratio = {w: model.ratio.get(w, model.other) for w in set(words)}
+    best = heapq.nlargest(BEST, ratio.values())
+    return sum(best) / len(best), math.fsum(map(ratio.__getitem__, words)) / len(words)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, share: float) -> tuple[tuple[float, float], float]:
+    """Slopes and base of a ridge logistic curve by Newton's method, classes weighed so that ``share`` of the rows are of class 1."""
+    middle, spread = x.mean(0), x.std(0) + 1e-9
+    design, beta, ridge = np.column_stack([(x - middle) / spread, np.ones(len(x))]), np.zeros(3), 1e-2 * np.eye(3)
     weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum())) * len(y)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
@@ -167,44 +131,48 @@ def _logistic(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]
         beta -= step
         if np.abs(step).max() < 1e-8:
             break
-    return float(beta[0]), float(beta[1])
+    slopes = beta[:2] / spread
+    return tuple(slopes.tolist()), float(beta[2] - slopes @ middle)
 
 
 def _measured(texts: pd.Series, model: Model) -> np.ndarray:
-    known: dict[str, float] = {}
-    return np.array([evidence(model, t, known) for t in texts], float).reshape(-1, 2)
+    return np.array([evidence(model, t) for t in texts], float).reshape(-1, 2)
 
 
 def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLASS) -> Model | None:
     """Models and curve from about ``docs_per_class`` labelled texts of each class; None if a class is missing.
 
-    Three quarters of the sampled texts give counts, the rest the curve.
+    The curve is fitted on the evidence that each sampled text has under models of the other parts of the sample, of which there
+    are ``PARTS``; the counts that are used are those of the whole sample.
     """
     marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = marks.agg(F.avg("toxic")).first()[0]
     chosen = sample_per_class(marks, "toxic", F.col("doc_id"), docs_per_class)
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     # The sample has about 2 x docs_per_class short rows: its size is bounded by that parameter.
-    rows = texts.join(F.broadcast(chosen), "doc_id").withColumn("_part", F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(4)))
-    rows = materialise(rows.select("_part", "toxic", "text"), "toxic-sample")
-    model = fit_models(count_runs(rows.where("_part > 0").select("toxic", "text")))
+    rows = texts.join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(PARTS)))
+    rows = materialise(rows.select("part", "toxic", "text"), "toxic-sample")
+    model = fit_models(count_words(rows.select("toxic", "text")))
     if model is None:
         return None
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    others = [fit_models(count_words(rows.where(F.col("part") != k).select("toxic", "text"))) for k in range(PARTS)]
+    shared = docs.sparkSession.sparkContext.broadcast(others)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for piece in slices(batches):
-            yield pd.DataFrame({"toxic": piece["toxic"], "x": _measured(piece["text"], shared.value)[:, 0]})
+            models = [shared.value[k] or model for k in piece["part"]]
+            found = np.array([evidence(m, t) for m, t in zip(models, piece["text"], strict=True)], float).reshape(-1, 2)
+            yield pd.DataFrame({"toxic": piece["toxic"], "best": found[:, 0], "mean": found[:, 1]})
 
-    held = rows.where("_part = 0").select("toxic", "text").mapInPandas(measure, "toxic int, x double").toPandas()
+    held = rows.mapInPandas(measure, "toxic int, best double, mean double").toPandas()
     y = held["toxic"].to_numpy(float)
     if 0 < y.sum() < len(y):
-        model.slope, model.base = _logistic(held["x"].to_numpy(float), y, float(share))
+        model.slopes, model.base = _logistic(held[["best", "mean"]].to_numpy(float), y, float(share))
     return model
 
 
 def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, evidence (best window), mean_evidence (whole text), score and predicted of every row; map-only."""
+    """doc_id, evidence (most telling words), mean_evidence (whole text), score and predicted of every row; map-only."""
     rows = docs.select("doc_id", "text")
     if model is None:
         return rows.select("doc_id", F.lit(0.0).alias("evidence"), F.lit(0.0).alias("mean_evidence"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
@@ -214,7 +182,7 @@ def score_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
         model = shared.value
         for piece in slices(batches):
             found = _measured(piece["text"], model)
-            value = 1 / (1 + np.exp(-np.clip(model.slope * found[:, 0] + model.base, -30, 30)))
+            value = model.score(found)
             yield pd.DataFrame({"doc_id": piece["doc_id"], "evidence": found[:, 0], "mean_evidence": found[:, 1], "score": value, "predicted": (value >= 0.5).astype("int32")})
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -66,50 +66,45 @@ def test_labels_of_held_out_rows_are_not_learned(spark, table):
     assert np.array_equal(a, b)
 
 
-def brute_kneser_ney(counts, shared_runs, run):
-    """Interpolated Kneser-Ney of one class by the textbook: own discounted counts, then continuation counts of both classes."""
-
-    def discount(ns):
-        once, twice = sum(n == 1 for n in ns.values()), sum(n == 2 for n in ns.values())
-        return min(max(once / max(1, once + 2 * twice), 0.1), 0.95)
-
-    def level(ns, run, lower):
-        rest = {r: n for r, n in ns.items() if r[:-1] == run[:-1]}
-        if not rest:
-            return lower
-        d, total = discount(ns), sum(rest.values())
-        return max(rest.get(run, 0) - d, 0) / total + d * len(rest) / total * lower
-
-    levels, seen = [], set(shared_runs)
-    while len(next(iter(seen))) > 1:
-        levels.append(Counter(r[1:] for r in seen))
-        seen = set(levels[-1])
-    p = 1 / (len(seen) + 1)
-    for k, ns in enumerate(reversed(levels), 1):
-        p = level(ns, run[len(run) - k :], p)
-    return level(counts, run, p)
+def brute_kneser_ney(counts, contexts, word):
+    """Interpolated Kneser-Ney by the textbook: own discounted counts, then continuation counts of both classes, then any word."""
+
+    def level(ns, lower):
+        n = [sum(v == k for v in ns.values()) for k in range(5)]
+        y = n[1] / max(1, n[1] + 2 * n[2])
+        d = [0] + [min(max(k - (k + 1) * y * n[k + 1] / max(1, n[k]), 0.1), k - 0.05) for k in (1, 2, 3)]
+        total = sum(ns.values())
+        return max(ns.get(word, 0) - d[min(3, ns.get(word, 0))], 0) / total + sum(d[min(3, v)] for v in ns.values()) / total * lower
+
+    return level(counts, level({w: len(x) for w, x in contexts.items()}, 1 / (len(contexts) + 1)))
 
 
 def test_toxicity_models_are_kneser_ney_and_sum_to_one(spark):
-    texts = [(1, "vequmo le vequta de"), (1, "le vequa la vejuno"), (0, "le moto de la porte"), (0, "la porte le de motu vela"), (0, "vela vela")]
-    rows = toxicity.count_runs(spark.createDataFrame(texts, "toxic int, text string")).collect()
-    counts = tuple({r["run"]: r[k] for r in rows if r[k]} for k in ("t", "o"))
-    own = [Counter(), Counter()]
+    texts = [(1, "vequmo le vequta de vequmo"), (1, "le vequa la vejuno vequmo"), (0, "le moto de la porte"), (0, "la porte le de motu vela"), (0, "vela vela")]
+    rows = toxicity.count_words(spark.createDataFrame(texts, "toxic int, text string")).collect()
+    own, contexts = [Counter(), Counter()], {}
     for toxic, text in texts:
-        own[1 - toxic].update(r for w in set(text.split()) for r in toxicity.runs_of(w))
-    assert [dict(c) for c in counts] == [dict(c) for c in own]
-    models, both = toxicity.KneserNey(counts), set(counts[0]) | set(counts[1])
-    alphabet = {r[-1] for r in both}
+        own[1 - toxic].update(set(text.split()))
+        for before, word in zip(["^", *text.split()], text.split(), strict=False):
+            contexts.setdefault(word, set()).add(before)
+    assert {r["word"]: (r["t"], r["o"], r["contexts"]) for r in rows} == {w: (own[0][w], own[1][w], len(x)) for w, x in contexts.items()}
+    models = toxicity.KneserNey((dict(own[0]), dict(own[1])), {w: len(x) for w, x in contexts.items()})
     for k in (0, 1):
-        for context in ["^^^", "^ve", "veq", "equ", "zzz", "por"]:
-            known = sum(models.chance(k, context + c) for c in alphabet)
-            assert known + models.chance(k, context + "\u4e00") == pytest.approx(1)
-        for run in ["^^^v", "vequ", "equz", "port", "zzzz", "^le$"]:
-            assert models.chance(k, run) == pytest.approx(brute_kneser_ney(counts[k], both, run))
+        assert sum(models.chance(k, w) for w in [*contexts, "unseen"]) == pytest.approx(1)
+        for word in [*contexts, "unseen"]:
+            assert models.chance(k, word) == pytest.approx(brute_kneser_ney(own[k], contexts, word))
     model = toxicity.fit_models(spark.createDataFrame(rows))
-    want = sum(math.log(models.chance(0, r) / models.chance(1, r)) for r in toxicity.runs_of("vequxx"))
-    assert model.word("vequxx") == pytest.approx(want) and want > 1
-    assert toxicity.evidence(model, "le vequxx vequxx de") > (0.0, 0.0) == toxicity.evidence(model, "12 !")
+    assert model.ratio["vequmo"] == pytest.approx(math.log(models.chance(0, "vequmo") / models.chance(1, "vequmo"))) and model.ratio["vequmo"] > 1
+    assert toxicity.evidence(model, "le vequmo de") > (0.0, 0.0) == toxicity.evidence(model, "12 !")
+
+
+def test_toxic_texts_are_found_and_ordinary_ones_left(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    marks = labels.select("doc_id", "toxic").where("toxic in (0, 1)")
+    seen = toxicity.toxicity(docs.join(marks, "doc_id", "left_semi"), labels).where("held_out").join(marks, "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("p"))
+    share = {r["toxic"]: r["p"] for r in seen.collect()}
+    assert share[1] >= 0.85 and share[0] <= 0.02
 
 
 def test_language(docs, nothing):
