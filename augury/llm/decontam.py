@@ -7,6 +7,10 @@ that do not overlap marked words are marked one after the other, and the share o
 coverage.  Passages whose sentences were reordered keep their coverage.  A document is contaminated by an item covered to
 ``threshold`` or more.
 
+Seeds that more than ``HOT_ITEMS`` items share, such as those of a common opening, would pair every text that has one with every
+such item.  To reach the threshold an item needs a least number of seeds, so as many of its seeds as fall short of that, the most
+common first, can be left out of the join: a text that reaches the threshold has others of the item (the pigeonhole rule).
+
 Nothing that grows with the benchmark is broadcast: the bit map has a fixed most size, beyond which it only lets more hashes
 through to the join, which decides.  Texts that are equal are one text until the end.
 
@@ -24,13 +28,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from augury.llm.common import free_name, materialise, slices
 
 SEED_WORDS = 5
 THRESHOLD = 0.8
+HOT_ITEMS = 16  # items that share a seed, beyond which it is left out where it can be
 MAP_BITS = (16, 27)  # least and most binary digits of the bit map's size: 16 MB at most
 _SPARE = 4096  # places of the map for each seed, up to its most size
 _CHUNK = 4096  # places of a text whose matches are held at once
@@ -95,6 +100,21 @@ def seed_rows(items: DataFrame) -> DataFrame:
     return items.select("item", "n", "width", "seeds").mapInPandas(unfold, "item string, n int, width int, seed long, times long")
 
 
+def telling_seeds(seeds: DataFrame, threshold: float) -> DataFrame:
+    """``seeds`` without those that need not be joined, with spared (places of the item that have one of these).
+
+    ``need`` is the least number of seeds in a text with which an item can reach the threshold: a seed covers its own words at
+    most.  An item's seeds are as many as its words, so its window is small.
+    """
+    shared = seeds.groupBy("width", "seed").agg(F.count(F.lit(1)).alias("items")).where(F.col("items") > HOT_ITEMS)
+    need = F.ceil(F.col("n") * threshold / F.col("width") - 1e-9)
+    upto = Window.partitionBy("item").orderBy(F.desc_nulls_last("items"), "seed").rowsBetween(Window.unboundedPreceding, 0)
+    marked = seeds.join(shared, ["width", "seed"], "left").withColumn("upto", F.sum("times").over(upto))
+    left_out = F.col("items").isNotNull() & (F.col("upto") < need)
+    marked = marked.withColumn("out", left_out).withColumn("spared", F.coalesce(F.sum(F.when(left_out, F.col("times"))).over(Window.partitionBy("item")), F.lit(0)))
+    return marked.where("not out").drop("items", "upto", "out")
+
+
 def seed_map(seeds: DataFrame) -> np.ndarray:
     """Bit map of the seeds' hashes."""
     least, most = MAP_BITS
@@ -227,9 +247,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     """digest (md5 of the text), coverage and item_id (of the best covered item) and n_items (covered to the threshold) of each
     distinct text that an item covers to the threshold."""
     items = item_seeds(benchmark)
-    seeds = materialise(seed_rows(items), "seeds")
+    every = materialise(seed_rows(items), "seeds")
+    telling = materialise(telling_seeds(every, threshold), "telling")
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # SEED_WORDS numbers at most
-    hits = materialise(text_hits(docs, seed_map(seeds), widths).dropDuplicates(["digest", "width"]), "hits")
+    hits = materialise(text_hits(docs, seed_map(every), widths).dropDuplicates(["digest", "width"]), "hits")
 
     def unfold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -239,8 +260,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
                 yield pd.DataFrame({"digest": np.repeat(pdf["digest"].to_numpy(), n), "width": np.repeat(pdf["width"].to_numpy(), n), "seed": np.concatenate(seeds)})
 
     mine = hits.select("digest", "width", "seeds").mapInPandas(unfold, "digest string, width int, seed long")
-    shared = mine.join(seeds, ["width", "seed"]).groupBy("digest", "item").agg(F.sum("times").alias("times"), F.first("n").alias("n"), F.first("width").alias("width"))
-    pairs = shared.where(F.col("times") * F.col("width") >= F.col("n") * threshold).select("digest", "item", "n", "width")
+    shared = mine.join(telling, ["width", "seed"]).groupBy("digest", "item").agg((F.sum("times") + F.first("spared")).alias("times"), F.first("n").alias("n"), F.first("width").alias("width"))
+    pairs = shared.where(F.col("times") * F.col("width") >= F.col("n") * threshold - 1e-9).select("digest", "item", "n", "width")
 
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -12,7 +12,9 @@ Dates are yyyy-mm-dd, dd.mm.yyyy, and dd/mm/yyyy or mm/dd/yyyy: with slashes, a
 months the day is read first.  Whether the day is over 12 stays as it is, so a pseudonym is read in the order of its date.  Four
 numbers after a word such as "version" are no address.
 
-The key is the caller's: whoever knows it can undo the pseudonyms, and there is no default.
+The key is the caller's: whoever knows it can undo the pseudonyms, and there is no default.  It is written, padded for keyed
+hashes (HMAC with SHA-512), as a one-row file to the shared folder and joined from there, so that plans, logs and the UI show the
+file's path and never the key; who may read that folder can undo the pseudonyms too.
 
 Defined results: null texts stay null, empty ones empty; values that do not validate (a card number with a wrong check digit,
 an octet above 255, 31 February) stay; dates outside 1800-01-01 to 2199-09-26 stay; very long texts are searched whole;
@@ -21,12 +23,14 @@ repeated rows get equal results; a column of the caller's keeps its name and val
 
 from __future__ import annotations
 
+import hashlib
 import secrets
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augury.llm.common import free_name
+from augury.llm.common import free_name, shared_dir
 
 ROUNDS = 8
 _WALKS = 64  # steps of a walk through dates; all leave the same half of a month with a chance below 1e-13
@@ -72,11 +76,33 @@ def _shift(text: Column, stream: Column, alphabet: str, sign: int) -> Column:
     return F.when(F.length(text) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), move), "")).otherwise(F.lit(""))
 
 
+Key = tuple[Column, Column]  # the key with the inner and with the outer pad
+
+
+def pads(key: str) -> tuple[bytes, bytes]:
+    """A key padded for HMAC with SHA-512, whose blocks have 128 bytes."""
+    raw = key.encode()
+    raw = (hashlib.sha512(raw).digest() if len(raw) > 128 else raw).ljust(128, b"\0")
+    return bytes(x ^ 0x36 for x in raw), bytes(x ^ 0x5C for x in raw)
+
+
+def keyed_hash(key: Key, *parts: Column) -> Column:
+    """HMAC of the parts, with a bar between them, in hex."""
+    inner, outer = key
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.concat_ws("|", *parts).cast("binary")), 512))), 512)
+
+
+def _key_row(spark: SparkSession, key: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/augury-key-{uuid.uuid4().hex}"
+    spark.createDataFrame([tuple(map(bytearray, pads(key)))], "inner binary, outer binary").write.parquet(path)
+    return spark.read.schema("inner binary, outer binary").parquet(path).agg(F.struct(F.max("inner").alias("inner"), F.max("outer").alias("outer")).alias("key"))  # one row
+
+
 def _rounds(inverse: bool) -> Column:
     return F.sequence(F.lit(ROUNDS), F.lit(1), F.lit(-1)) if inverse else F.sequence(F.lit(1), F.lit(ROUNDS))
 
 
-def permute_text(value: Column, key: str, tweak: str, alphabet: str = "class", inverse: bool = False) -> Column:
+def permute_text(value: Column, key: Key, tweak: str, alphabet: str = "class", inverse: bool = False) -> Column:
     """Feistel network over a string's halves; digits stay digits and letters letters of their case, the rest stays.
 
     The stream of a round depends on the other half in lower case, so a value in capitals gets its pseudonym in capitals.
@@ -86,19 +112,19 @@ def permute_text(value: Column, key: str, tweak: str, alphabet: str = "class", i
     sign = -1 if inverse else 1
 
     def one(s: Column, i: Column) -> Column:
-        stream = lambda other: F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), F.length(s["l"]).cast("string"), F.length(s["r"]).cast("string"), i.cast("string"), F.lower(other)), 512)
+        stream = lambda other: keyed_hash(key, F.lit(tweak), F.length(s["l"]).cast("string"), F.length(s["r"]).cast("string"), i.cast("string"), F.lower(other))
         return F.when(i % 2 == 1, F.struct(_shift(s["l"], stream(s["r"]), alphabet, sign).alias("l"), s["r"].alias("r"))).otherwise(F.struct(s["l"].alias("l"), _shift(s["r"], stream(s["l"]), alphabet, sign).alias("r")))
 
     return F.aggregate(_rounds(inverse), start, one, lambda s: F.concat(s["l"], s["r"]))
 
 
-def permute_number(value: Column, a: int, b: int, key: str, tweak: str, inverse: bool = False) -> Column:
+def permute_number(value: Column, a: int, b: int, key: Key, tweak: str, inverse: bool = False) -> Column:
     """Feistel network over 0 .. a * b - 1."""
     start = F.struct((value / b).cast("long").alias("l"), (value % b).cast("long").alias("r"))
     sign = -1 if inverse else 1
 
     def one(s: Column, i: Column) -> Column:
-        stream = lambda other: F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), i.cast("string"), other.cast("string")), 256), 1, 12), 16, 10).cast("long") * sign
+        stream = lambda other: F.conv(F.substring(keyed_hash(key, F.lit(tweak), i.cast("string"), other.cast("string")), 1, 12), 16, 10).cast("long") * sign
         return F.when(i % 2 == 1, F.struct(F.pmod(s["l"] + stream(s["r"]), F.lit(a)).alias("l"), s["r"].alias("r"))).otherwise(F.struct(s["l"].alias("l"), F.pmod(s["r"] + stream(s["l"]), F.lit(b)).alias("r")))
 
     return F.aggregate(_rounds(inverse), start, one, lambda s: s["l"] * b + s["r"])
@@ -122,14 +148,14 @@ def _like(digits: Column, shape: Column) -> Column:
     return F.when(F.length(digits) == F.length(shape), digits).otherwise(spread)
 
 
-def _card(m: Column, key: str, inverse: bool) -> Column:
+def _card(m: Column, key: Key, inverse: bool) -> Column:
     d = _digits(m)
     body = permute_text(F.substring(d, F.lit(1), F.length(d) - 1), key, "card", inverse=inverse)
     whole = _let(body, lambda x: F.concat(x, F.pmod(10 - _luhn_sum(x, 0) % 10, F.lit(10)).cast("string")))
     return F.when(_luhn_sum(d, 1) % 10 == 0, _like(whole, m))
 
 
-def _ip(m: Column, key: str, inverse: bool) -> Column:
+def _ip(m: Column, key: Key, inverse: bool) -> Column:
     octets = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
     value = F.aggregate(octets, F.expr("0L"), lambda total, x: total * 256 + x)
     moved = permute_number(value, 65536, 65536, key, "ip", inverse)
@@ -138,7 +164,7 @@ def _ip(m: Column, key: str, inverse: bool) -> Column:
     return F.when(F.forall(octets, lambda x: x <= 255) & ~m.rlike(r"(^|\.)0[0-9]"), text)
 
 
-def _date(m: Column, key: str, inverse: bool) -> Column:
+def _date(m: Column, key: Key, inverse: bool) -> Column:
     first_day = F.lit(FIRST_DAY).cast("date")
     whole = lambda v: F.date_add(first_day, v.cast("int"))
     late = lambda v: F.dayofmonth(whole(v)) > 12
@@ -159,24 +185,24 @@ def _date(m: Column, key: str, inverse: bool) -> Column:
     return F.when(m.rlike("^[0-9]{4}-"), move("yyyy-MM-dd")).when(american, move("MM/dd/yyyy")).when(m.rlike("^[0-9]{2}/"), move("dd/MM/yyyy")).otherwise(move("dd.MM.yyyy"))
 
 
-def _phone(m: Column, key: str, inverse: bool) -> Column:
+def _phone(m: Column, key: Key, inverse: bool) -> Column:
     d = _digits(m)
     kept = F.greatest(F.length(d) - 10, F.lit(0))  # the country code and what stands before the last ten digits stay
     moved = F.concat(F.substring(d, F.lit(1), kept), permute_text(F.substring(d, kept + 1, F.lit(10)), key, "phone", inverse=inverse))
     return F.when(F.length(d).between(8, 15), _let(moved, lambda x: _like(x, m)))
 
 
-def _email(m: Column, key: str, inverse: bool) -> Column:
+def _email(m: Column, key: Key, inverse: bool) -> Column:
     local = F.substring_index(m, "@", 1)
     return F.concat(permute_text(local, key, "email", inverse=inverse), F.substring(m, F.length(local) + 1, F.length(m)))
 
 
-def _secret(m: Column, key: str, inverse: bool) -> Column:
+def _secret(m: Column, key: Key, inverse: bool) -> Column:
     moved = permute_text(F.lower(m), key, "secret", "hex", inverse)
     return F.when(m.rlike("[A-F]"), F.upper(moved)).otherwise(moved)
 
 
-def _ssn(m: Column, key: str, inverse: bool) -> Column:
+def _ssn(m: Column, key: Key, inverse: bool) -> Column:
     valid = lambda d: ~d.rlike("^(000|666|9)|^[0-9]{3}00|0000$")
     move = lambda d: permute_text(d, key, "ssn", inverse=inverse)
     # Cycle walking: a step that leaves the valid numbers (about one in nine) is followed by another.
@@ -184,7 +210,7 @@ def _ssn(m: Column, key: str, inverse: bool) -> Column:
     return F.when(valid(_digits(m)), _let(moved, lambda x: _like(x, m)))
 
 
-def pseudonym(m: Column, key: str, inverse: bool = False) -> Column:
+def pseudonym(m: Column, key: Key, inverse: bool = False) -> Column:
     """The pseudonym of one found value; null if the value does not validate."""
     whole = lambda kind: m.rlike(f"^(?:{KINDS[kind]})$")
     return (
@@ -205,17 +231,21 @@ def pseudonymise(docs: DataFrame, key: str, inverse: bool = False) -> DataFrame:
         raise ValueError("pseudonyms need a key")
     count = free_name(docs.columns, "pii_found")
     held = free_name([*docs.columns, count], "moved")
+    given = free_name([*docs.columns, count, held], "key")
+    docs = docs.crossJoin(F.broadcast(_key_row(docs.sparkSession, key).withColumnRenamed("key", given)))  # one row
+    padded = F.col(f"{given}.inner"), F.col(f"{given}.outer")
     found = F.regexp_extract_all(F.col("text"), F.lit(f"({_ANY})"), F.lit(1))
-    moved = F.transform(found, lambda m: pseudonym(m, key, inverse))
+    moved = F.transform(found, lambda m: pseudonym(m, padded, inverse))
     swapped = F.zip_with(found, F.col(held), lambda old, new: F.coalesce(new, old))
     rows = docs.withColumn(held, F.when(F.col("text").rlike("[0-9@]"), moved))
     between = F.split(F.col("text"), _ANY, -1)
     joined = F.array_join(F.zip_with(between, swapped, lambda gap, value: F.concat(gap, F.coalesce(value, F.lit("")))), "")
     n = F.coalesce(F.size(F.filter(held, lambda x: x.isNotNull())), F.lit(0))
     hit = F.coalesce(F.exists(held, lambda x: x.isNotNull()), F.lit(False))
-    return rows.withColumn("text", F.when(hit, joined).otherwise(F.col("text"))).withColumn(count, F.when(hit, n).otherwise(F.lit(0))).drop(held)
+    return rows.withColumn("text", F.when(hit, joined).otherwise(F.col("text"))).withColumn(count, F.when(hit, n).otherwise(F.lit(0))).drop(held, given)
 
 
 def session_key(spark: SparkSession) -> str:
-    """The key that the session names in ``spark.augury.pseudonymKey``; a secret of this run alone where it names none."""
-    return spark.conf.get("spark.augury.pseudonymKey", None) or secrets.token_hex(32)
+    """The key that the session names in ``spark.augury.pseudonymSecret`` (settings of such a name are redacted in the UI and in
+    logs); a secret of this run alone where it names none."""
+    return spark.conf.get("spark.augury.pseudonymSecret", None) or secrets.token_hex(32)
