@@ -3,16 +3,16 @@
 A text is the set of its word shingles.  ``VALUES`` minimum hashes of the set make its signature; the first ``POOL`` of them, taken
 some at a time in several orders, are the trees: the texts that share the first values of an order are neighbours by longest
 common prefix, a region.  Regions of ``REGION`` texts or fewer are compared whole, by the bits in which sketches (the lowest bit
-of each minimum) differ.  A larger region is looked at by its first text alone, and its texts go on to the next round, where
-prefixes are longer and orders more, unless all are joined to one already; what is too large in the last round is compared in
-parts.
+of each minimum) differ.  A larger region is looked at by its first text alone, and those of its texts that have too few
+sparse orders to have met their partners there go on to the next round, where prefixes are longer and orders more, unless all are
+joined to one already; what is too large in the last round is compared in parts.
 Depth thus follows the density of a region, no candidate is dropped, and a crowd of copies is never unfolded into pairs.
 
 Candidates only name components of texts to compare: within these a link holds if the Jaccard similarity of the full sets reaches
 ``ALIKE``.
 
-The chance that a pair at exactly 0.8 meets in no order is 4e-9 in the first round, 3e-8 in the second and about 1e-5 in the
-third; that its sketches lie beyond ``RADIUS`` is 4e-9 (computed, not measured).
+The chance that a pair at exactly 0.8 meets in no order is 4e-9 where no order is crowded and at most ``MISS`` a round where some
+are, and about 1e-5 in the last round; that its sketches lie beyond ``RADIUS`` is 4e-9 (computed, not measured).
 
 Defined results: a text of fewer words than a shingle is one shingle; texts without words have no shingle, are linked with nothing
 and stand for themselves; repeated rows and texts of equal sets share a component; null ids are never a component's name (a
@@ -21,6 +21,7 @@ component of null ids alone is null, and its rows are kept); very long texts are
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 
@@ -38,6 +39,7 @@ ALIKE = 0.8
 VALUES, POOL = 256, 72  # minimum hashes of a set, and those of them that orders use
 RADIUS = 60  # bits of 256 in which the sketches of candidates differ at most: 26 on average at a similarity of 0.8
 ROUNDS = ((1, 12), (3, 24), (6, 64))  # values of a prefix, and orders
+MISS = 2e-5  # chance at which a pair at a similarity of ALIKE may meet in none of a text's sparse orders
 REGION = 256  # texts of a region that are compared whole
 PART = 16_384  # texts of a region that one side of a task compares in the last round
 _CHUNK = 2048  # shingles hashed at once
@@ -177,7 +179,10 @@ def candidates(nodes: DataFrame, radius: int = RADIUS, rounds: tuple = ROUNDS, r
         first = materialise(_from_first(large, radius), f"first-{k}")
         found += [edges, first]
         joined = first.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("first"))
-        active = nodes.join(large.select("id").distinct(), "id", "left_semi").join(joined, "id", "left").withColumn("comp", F.least("id", "first")).drop("first")
+        # A text with enough sparse orders has met all its partners in them.
+        enough = math.ceil(math.log(MISS) / math.log(1 - ALIKE**depth))
+        again = large.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > n - enough).select("id")
+        active = nodes.join(again, "id", "left_semi").join(joined, "id", "left").withColumn("comp", F.least("id", "first")).drop("first")
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)
