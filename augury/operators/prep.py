@@ -14,10 +14,10 @@ from pyspark.sql import types as T
 
 from augury.operators.profile import value_counts
 from augury.operators.ranks import exact_quantiles, modes
+from augury.operators.scan import on_keys, ordered_numbers
 
 HIGH_CARDINALITY, ONE_HOT = 200, 15
-MOST_CLASSES = 1000  # of a target; more are refused
-EXACT_CLASS = 100_000  # rows of a class up to which a stratified choice is exact
+PREFIX = 4  # hex digits of a row's code that name its bucket within a class
 
 
 def _unit(row_key: list[str], seed: int) -> Column:
@@ -26,33 +26,26 @@ def _unit(row_key: list[str], seed: int) -> Column:
 
 def split(df: DataFrame, row_key: list[str], test_size: float = 0.2, seed: int = 42, stratify: str | None = None) -> DataFrame:
     """Add ``is_train``.  Plain: a threshold on the md5 of the key, without a shuffle.  Stratified: the first rows of each class
-    in md5 order are tested, if the rarest class has two rows or more; a class of more than EXACT_CLASS rows is split by the
-    threshold, which meets its share closely and sorts nothing."""
+    (null is one) in md5 order are tested, rounded up, if the rarest class has two rows or more."""
     code = _unit(row_key, seed)
-    if stratify is not None:
-        place, n, large, rarest = class_places(df, stratify, code)
-        if rarest >= 2:
-            exact = place > F.ceil(n * F.lit(test_size))
-            return df.withColumn("_code", code).withColumn("is_train", F.when(large, _above(F.col("_code"), test_size)).otherwise(exact)).drop("_code")
-    return df.withColumn("is_train", _above(code, test_size))
+    if stratify is not None and (df.groupBy(stratify).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0] or 0) >= 2:
+        placed = class_places(df, stratify, code)
+        return placed.withColumn("is_train", F.col("_place") > F.ceil(F.col("_n") * F.lit(test_size))).drop("_place", "_n")
+    return df.withColumn("is_train", F.substring(code, 1, 8) >= format(int(test_size * 16**8), "08x"))
 
 
-def _above(code: Column, share: float) -> Column:
-    return F.substring(code, 1, 8) >= format(int(share * 16**8), "08x")
+def class_places(df: DataFrame, label: str, code: Column, prefix: int = PREFIX) -> DataFrame:
+    """``df`` with _place (from 1, in the order of ``code``, hex text) of a row in its class and _n, the class's rows.
 
-
-def class_places(df: DataFrame, label: str, code: Column) -> tuple[Column, Column, Column, int]:
-    """Place of a row in its class in the order of ``code`` and the class's rows, for classes of EXACT_CLASS rows or fewer; whether
-    the class is larger; and the rows of the rarest class.
-
-    Rows of larger classes, of which there are few, are spread over many windows, whose places mean nothing.
+    A class is cut into 16 ** ``prefix`` buckets by the first digits of the code; rows are numbered within a bucket, and the
+    sizes of the class's buckets before it are added, so a class of any size, the null one too, is dealt over many tasks.
     """
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    rarest = sizes.agg(F.min("n")).first()[0] or 0
-    most = [r[0] for r in sizes.where((F.col("n") > EXACT_CLASS) & F.col(label).isNotNull()).collect()]
-    large = F.coalesce(F.col(label).isin(most), F.lit(False)) if most else F.lit(False)
-    own = Window.partitionBy(label, F.when(large, F.substring(code, 9, 4)))
-    return F.row_number().over(own.orderBy(code)), F.count(F.lit(1)).over(own), large, rarest
+    rows = df.withColumn("_code", code).withColumn("_bucket", F.substring("_code", 1, prefix))
+    sizes = rows.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    own = Window.partitionBy(label)  # a row for each bucket
+    starts = sizes.select(label, "_bucket", (F.sum("_size").over(own.orderBy("_bucket")) - F.col("_size")).alias("_start"), F.sum("_size").over(own).alias("_n"))
+    place = F.row_number().over(Window.partitionBy(label, "_bucket").orderBy("_code"))
+    return on_keys(rows.withColumn("_place", place), starts, [label], ("_bucket",)).withColumn("_place", F.col("_place") + F.col("_start")).drop("_code", "_bucket", "_start")
 
 
 def trim_outliers(df: DataFrame, target: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -120,10 +113,9 @@ def apply_one_hot(df: DataFrame, column: str, values: list[str]) -> DataFrame:
 
 
 def fit_label_encoding(df: DataFrame, column: str) -> DataFrame:
-    """(category, code): places in sorted order.  One window holds the distinct values of the column, which are few: columns of
-    HIGH_CARDINALITY values or more are encoded or dropped before."""
+    """(category, code): places in sorted order of the distinct values, however many; they are numbered by ranges."""
     values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("category")).distinct()
-    return values.withColumn("code", (F.row_number().over(Window.orderBy("category")) - 1).cast("int"))
+    return ordered_numbers(values, [F.col("category")], "code").select("category", F.col("code").cast("int").alias("code"))
 
 
 def apply_label_encoding(df: DataFrame, column: str, fit: DataFrame) -> DataFrame:
@@ -207,11 +199,9 @@ def fit_preparation(df: DataFrame, roles: dict[str, str], cardinality: dict[str,
     if task == "regression":
         rows = log_target(trim_outliers(rows, target), target)
     else:
-        classes = vocabulary(rows, target, MOST_CLASSES)
-        if classes is None:
-            raise ValueError(f"{target} has more than {MOST_CLASSES} classes")
-        fit.classes = classes
-        rows = rows.withColumn(target, _mapped(F.col(target).cast("string"), {v: float(i) for i, v in enumerate(fit.classes)}, F.lit(-1.0)))
+        codes = fit_label_encoding(rows, target)
+        fit.classes = [r["category"] for r in codes.orderBy("code").collect()]  # a model holds its classes anyway
+        rows = apply_label_encoding(rows, target, codes).withColumn(target, F.col(target).cast("double"))
     rows = rows.persist()  # several passes fit on these rows, and the result is made from them; what memory lacks goes to disk
     columns = [c for c in rows.columns if c not in {target, "is_train", *row_key}]
     fit.dates = [c for c in columns if roles.get(c) == "datetime"]
@@ -240,7 +230,10 @@ def fit_preparation(df: DataFrame, roles: dict[str, str], cardinality: dict[str,
                 fit.one_hot[c] = values
                 final |= {f"{c}_{v}": c for v in values}
                 continue
-            fit.labels[c] = vocabulary(filled, c, HIGH_CARDINALITY) or []
+            known = vocabulary(filled, c, HIGH_CARDINALITY)
+            if known is None:
+                raise ValueError(f"{c} has more than {HIGH_CARDINALITY} values and no role under which it is encoded or dropped")
+            fit.labels[c] = known
         final[c] = raw[c]
     fit.names = sanitize_names(list(final), [target])
     fit.features = [fit.names[c] for c in final]

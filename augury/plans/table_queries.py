@@ -96,6 +96,12 @@ def one_hot(spark, sf):
     return C.apply_one_hot(o.select("o_orderkey", "o_orderstatus"), "o_orderstatus", values)
 
 
+def many_labels(spark, sf):
+    """Orders with their customer, a text of very many values, as a code."""
+    o = X.table(spark, sf, "orders").where("o_custkey is not null").select("o_orderkey", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("customer"))
+    return C.apply_label_encoding(o, "customer", C.fit_label_encoding(o, "customer"))
+
+
 def labelled(spark, sf):
     p = X.table(spark, sf, "part").select("p_partkey", "p_brand")
     return C.apply_label_encoding(p, "p_brand", C.fit_label_encoding(p, "p_brand"))
@@ -190,6 +196,7 @@ def queries() -> dict:
         "impute": imputed,
         "one_hot": one_hot,
         "label_encoding": labelled,
+        "label_encoding_many": many_labels,
         "transform_new": replayed,
         "load_fit": reloaded,
         "write_results": published,
@@ -248,6 +255,7 @@ def oracle_sql() -> dict[str, str]:
         "apply_target_encoding": w(ENCODED, "SELECT row_key, round(b.mean, 6) AS p_brand, round(coalesce(t.mean, (SELECT mean FROM means WHERE \"column\" = 'p_type' AND category IS NULL)), 6) AS p_type FROM kept LEFT JOIN means b ON b.\"column\" = 'p_brand' AND b.category = p_brand LEFT JOIN means t ON t.\"column\" = 'p_type' AND t.category = p_type"),
         "impute": w(X.LINES + ", f AS (SELECT median(l_quantity) FILTER (is_train) AS q FROM parts), m AS (SELECT p_type AS t FROM parts WHERE is_train AND p_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, p_type LIMIT 1)", "SELECT coalesce(p_type, t) AS p_type, count(*) AS n, round(sum(coalesce(l_quantity, q)), 4) AS quantity FROM parts, f, m GROUP BY 1"),
         "one_hot": "SELECT o_orderkey, " + ", ".join(f"CAST(o_orderstatus = '{v}' AS INT) AS \"o_orderstatus_{v}\"" for v in ("F", "O", "P")) + " FROM orders",
+        "label_encoding_many": "SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY 'c' || o_custkey) - 1 AS INT) AS customer FROM orders WHERE o_custkey IS NOT NULL",
         "label_encoding": "SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INT) AS p_brand FROM part",
         **dict.fromkeys(("transform_new", "load_fit"), w(X.LINES + ", q AS (SELECT quantile_cont(l_extendedprice, 0.01) AS lo, quantile_cont(l_extendedprice, 0.99) AS hi FROM parts WHERE is_train), f AS (SELECT median(l_quantity) AS q FROM parts, q WHERE is_train AND l_extendedprice > lo AND l_extendedprice < hi)", "SELECT row_key, round(coalesce(l_quantity, f.q), 4) AS l_quantity, CASE WHEN l_discount > 0.05::DOUBLE THEN 0.0 ELSE 1.0 END AS known_types, 0.0 AS p_size, CAST(isodow(l_shipdate) - 1 AS DOUBLE) AS dow FROM parts, f WHERE NOT is_train")),
         "write_results": "SELECT o_orderkey, o_orderpriority, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders",

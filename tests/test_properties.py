@@ -2,6 +2,8 @@
 
 import datetime as dt
 import math
+from itertools import combinations
+from math import factorial
 
 import numpy as np
 import pandas as pd
@@ -191,6 +193,21 @@ def test_classification(spark):
     assert {r["prediction"] for r in T.score(rows, out["fit"], out["trained"].model, ["doc_id"]).collect()} <= {"good", "bad"}
 
 
+def exhaustive_shap(leaves: list, x: np.ndarray, n: int) -> np.ndarray:
+    """Shapley values by all subsets, to check ``tree_shap``."""
+
+    def game(subset: frozenset) -> float:
+        return sum(value * np.prod([(float(low < x[f] <= high) if f in subset else share) for f, low, high, share in path]) for value, path in leaves)
+
+    phi = np.zeros(n)
+    for i in range(n):
+        others = [j for j in range(n) if j != i]
+        for size in range(n):
+            for s in combinations(others, size):
+                phi[i] += factorial(size) * factorial(n - size - 1) / factorial(n) * (game(frozenset(s) | {i}) - game(frozenset(s)))
+    return phi
+
+
 def test_tree_shap_is_exact_and_additive(spark, tmp_path):
     prepared, fit = C.fit_preparation(C.split(X.lines(spark, DATA), ["row_key"]), {"l_quantity": "numeric", "l_discount": "numeric", "p_brand": "text", "p_type": "text", "p_size": "numeric", "l_shipdate": "datetime"}, {"p_brand": 25, "p_type": 6}, "l_extendedprice", "regression", ["row_key"])
     rows = T.assembled(prepared.where("is_train"), fit.features, fit.target)
@@ -202,7 +219,7 @@ def test_tree_shap_is_exact_and_additive(spark, tmp_path):
         phi = sum(w * T.tree_shap(leaves, x) for w, leaves in trees)
         base = sum(w * T.expected_value(leaves) for w, leaves in trees)
         assert np.allclose(phi.sum(1) + base, [r["prediction"] for r in sample])
-        assert np.allclose(T.tree_shap(trees[0][1], x)[0], T.exhaustive_shap(trees[0][1], x[0], x.shape[1]))
+        assert np.allclose(T.tree_shap(trees[0][1], x)[0], exhaustive_shap(trees[0][1], x[0], x.shape[1]))
 
 
 def test_number_checks(spark):
@@ -264,17 +281,37 @@ def test_many_classes_and_dotted_names(spark):
     split = C.split(rows.withColumnRenamed("x.y", "x"), ["id"], stratify="label")
     prepared, fit = C.fit_preparation(split, {"x": "numeric"}, {}, "label", "classification", ["id"])
     assert len(fit.classes) == 250 and prepared.where("label < 0").count() == 0 and prepared.select("label").distinct().count() == 250
-    with pytest.raises(ValueError, match="classes"):
-        C.fit_preparation(split.withColumn("label", F.col("id").cast("string")), {"x": "numeric"}, {}, "label", "classification", ["id"])
+    texts = split.withColumn("t", F.concat(F.lit("t"), F.col("id")))
+    with pytest.raises(ValueError, match="more than 200 values"):
+        C.fit_preparation(texts, {"x": "numeric"}, {}, "label", "classification", ["id"])
     assert P.duplicate_rows(rows).first()[0] == 0 and P.numeric_stats(rows, ["x.y"]).first()["max"] == 249
     assert {r["column"] for r in P.profile_columns(rows).collect()} == {"id", "x.y", "label"} and P.profile_warnings(rows).count() == 1
 
 
-def test_large_classes_split_by_hash(spark, monkeypatch):
-    monkeypatch.setattr(C, "EXACT_CLASS", 500)
-    rows = spark.range(2100).select("id", F.when(F.col("id") < 2000, "big").otherwise("small").alias("c"))
+def test_classes_of_any_size_are_split_exactly(spark):
+    label = F.when(F.col("id") < 2000, "big").when(F.col("id") < 2100, "small")
+    rows = spark.range(3100).select("id", label.alias("c"))
     got = {r["c"]: r["n"] for r in C.split(rows, ["id"], stratify="c").where("not is_train").groupBy("c").agg(F.count("*").alias("n")).collect()}
-    assert got["small"] == 20 and 320 < got["big"] < 480
+    assert got == {"big": 400, "small": 20, None: 200}
+    code = F.md5(F.col("id").cast("string"))
+    for prefix in (0, 1, 4):
+        placed = C.class_places(rows, "c", code, prefix).withColumn("code", code).toPandas()
+        for _, own in placed.groupby("c", dropna=False):
+            assert own.sort_values("code")["_place"].tolist() == list(range(1, len(own) + 1)) and set(own["_n"]) == {len(own)}
+
+
+def test_thousands_of_classes_train_and_score(spark):
+    rows = spark.range(10_000).select("id", (F.col("id") % 5000).cast("double").alias("x"), F.concat(F.lit("c"), F.lpad((F.col("id") % 5000).cast("string"), 4, "0")).alias("label"))
+    prepared, fit = C.fit_preparation(C.split(rows, ["id"], stratify="label"), {"x": "numeric"}, {}, "label", "classification", ["id"])
+    assert len(fit.classes) == 5000 and prepared.select("label").distinct().count() == 5000
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    held = T.assembled(prepared.where("is_train"), fit.features, fit.target, ["id"], len(fit.classes))
+    model = PipelineModel([VectorAssembler(inputCols=fit.features, outputCol="features"), DecisionTreeClassifier(labelCol="label", maxDepth=3).fit(held)])
+    scored = T.score(rows, fit, model, ["id"])
+    assert scored.count() == 10_000 and scored.where("prediction is null or prediction not rlike '^c[0-9]{4}$'").count() == 0
 
 
 def test_holt_winters_follows_trend_and_season():
