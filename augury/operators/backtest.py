@@ -6,6 +6,8 @@ prefixes itself, so no prefix is copied through a shuffle.
 
 from __future__ import annotations
 
+import math
+from bisect import insort
 from collections.abc import Callable
 
 import numpy as np
@@ -187,22 +189,37 @@ def compare_to_naive(model: DataFrame, base: DataFrame, keys: list[str]) -> Data
     return both.select(*keys, "model_mae", *[c for c in theirs.columns if c not in keys], F.coalesce(F.col("model_mae") < F.col("naive_mae"), F.lit(False)).alias("beats_naive"), gain.alias("improvement_pct"))
 
 
+def _between(ordered: list[float], share: float) -> float:
+    """The quantile of sorted values, between neighbours by distance."""
+    at = share * (len(ordered) - 1)
+    low, high = math.floor(at), math.ceil(at)
+    return ordered[low] if low == high else (high - at) * ordered[low] + (at - low) * ordered[high]
+
+
 def interval_offsets(residuals: DataFrame, keys: list[str], horizons: DataFrame, level: float = LEVEL) -> DataFrame:
-    """keys, step, low, high: quantiles of the residuals of steps up to each step."""
+    """keys, step, low, high: quantiles of the residuals of steps up to each step; steps before the first residual have none.
+
+    A series has at most its folds times h residuals.  They are put in order one step after another, so time grows with the
+    horizon and not with its square.
+    """
     tail = (1 - level) / 2
-    # A series has at most its folds times h residuals; they are sorted once and each step picks its own, so only these rows move.
-    known = residuals.where("residual is not null").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("residual", "step"))).alias("_all"))
-    steps = _on(known, horizons.select(*keys, "h"), keys).where("h >= 1").withColumn("step", F.explode(F.sequence(F.lit(1), F.col("h").cast("int"))))
-    seen = F.transform(F.filter("_all", lambda r: r["step"] <= F.col("step")), lambda r: r["residual"])
-    spread = steps.select(*keys, "step", seen.alias("_seen")).where(F.size("_seen") > 0)
-
-    def quantile(share: float) -> Column:
-        at = F.lit(share) * (F.size("_seen") - 1)
-        low, high = F.floor(at), F.ceil(at)
-        first, second = F.get("_seen", low.cast("int")), F.get("_seen", high.cast("int"))
-        return F.when(low == high, first).otherwise((high - at) * first + (at - low) * second)
-
-    return spread.select(*keys, "step", quantile(tail).alias("low"), quantile(1 - tail).alias("high"))
+    schema = _schema(residuals, keys, "step int, low double, high double")
+
+    def run(of: tuple, known: pd.DataFrame, horizon: pd.DataFrame) -> pd.DataFrame:
+        if not len(known) or not len(horizon) or pd.isna(horizon["h"].iloc[0]):
+            return pd.DataFrame(columns=schema.names)
+        steps = {int(k): v.tolist() for k, v in known.groupby("step")["residual"]}
+        ordered, out = [], []
+        for step in range(min(1, *steps), int(horizon["h"].iloc[0]) + 1):
+            for v in steps.get(step, ()):
+                insort(ordered, v, key=lambda x: (x != x, x))  # NaN last, as in Spark
+            if ordered and step >= 1:
+                out.append((step, _between(ordered, tail), _between(ordered, 1 - tail)))
+        found = pd.DataFrame(out, columns=["step", "low", "high"])
+        return found.assign(**{k: pd.Series([v] * len(found), dtype=object) for k, v in zip(keys, of, strict=False)})[schema.names]
+
+    known = residuals.where("residual is not null").select(*keys, F.col("step").cast("int").alias("step"), F.col("residual").cast("double").alias("residual"))
+    return _beside(known, horizons.select(*keys, "h"), keys).applyInPandas(run, schema)
 
 
 def prediction_intervals(point: DataFrame, residuals: DataFrame, keys: list[str], horizons: DataFrame, level: float = LEVEL) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from augury.functions import forecasters as models
 from augury.operators import backtest as B
 from augury.operators import scan
 from augury.operators import series as S
@@ -105,3 +107,57 @@ def test_dotted_time_columns(spark):
     assert [(r["name"], r["kind"]) for r in found] == [("a.day", "datetime"), ("a.text", "parsed"), ("a.n", "ordered_int")]
     out = jobs.run_forecast(df, "y", "ffill", time_col="a.day", horizon=2, model="naive")
     assert [r["yhat"] for r in out["forecast"].collect()] == [19.0, 19.0]
+
+
+def looped_holt(y, h, period):
+    """Level, slope and seasons point by point; the first of factors whose error differs by rounding alone."""
+    period = period if len(y) >= 2 * period else 1
+    start = y[:period].mean()
+    slope = (y[period : 2 * period].mean() - start) / period if period > 1 else y[min(1, len(y) - 1)] - y[0]
+    found = []
+    for alpha in (0.2, 0.5, 0.8):
+        for beta in (0.05, 0.2):
+            level, trend, loss, seasons = start, slope, 0.0, [v - start for v in y[:period]] if period > 1 else [0.0]
+            for t in range(period, len(y)):
+                error = y[t] - (level + trend + seasons[t % period])
+                loss += error**2
+                level, trend = level + trend + alpha * error, trend + alpha * beta * error
+                seasons[t % period] += 0.3 * (1 - alpha) * error if period > 1 else 0.0
+            found.append((loss, [level + i * trend + seasons[(len(y) - 1 + i) % period] for i in range(1, h + 1)]))
+    least = min(loss for loss, _ in found) * (1 + 1e-9) + 1e-20 * float(y @ y)
+    return next(answer for loss, answer in found if loss <= least)
+
+
+def looped_smoothing(y, h):
+    found = []
+    for alpha in (0.1, 0.2, 0.35, 0.5, 0.75, 0.9):
+        level, loss = y[0], 0.0
+        for v in y[1:]:
+            loss += (v - level) ** 2
+            level += alpha * (v - level)
+        found.append((loss, level))
+    least = min(loss for loss, _ in found) * (1 + 1e-9) + 1e-20 * float(y @ y)
+    return [next(level for loss, level in found if loss <= least)] * h
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 14, 63, 64, 65, 66, 129, 500])
+def test_smoothing_by_blocks_is_smoothing_by_points(n):
+    rng = np.random.default_rng(n)
+    for y in (rng.normal(size=n).cumsum() + 5 * np.sin(np.arange(n)), np.full(n, 7.0), np.zeros(n), 1e6 + np.arange(n, dtype=float)):
+        assert np.allclose(models.smoothing(y, 5), looped_smoothing(y, 5), rtol=1e-9, atol=1e-9)
+        for period in (1, 4, 7, 24, 52):
+            assert np.allclose(models.holt(y, 60, period), looped_holt(y, 60, period), rtol=1e-9, atol=1e-7)
+
+
+def test_long_horizons_take_each_residual_once(spark):
+    h, rng = 2000, np.random.default_rng(5)
+    value = rng.normal(size=(3, h))
+    rows = spark.createDataFrame([(f, s + 1, float(value[f, s])) for f in range(3) for s in range(h)], "fold int, step int, residual double")
+    got = {r["step"]: (r["low"], r["high"]) for r in B.interval_offsets(rows, [], spark.createDataFrame([(h,)], "h int"), 0.8).collect()}
+    assert sorted(got) == list(range(1, h + 1))
+    for step in (1, 2, 17, 500, 1999, 2000):
+        assert np.allclose(got[step], np.quantile(value[:, :step], [0.1, 0.9]))
+    nan = spark.createDataFrame([(1, 1, 1.0), (2, 1, float("nan")), (3, 1, 0.0), (1, 3, 2.0)], "fold int, step int, residual double")
+    some = {r["step"]: r["low"] for r in B.interval_offsets(nan, [], spark.createDataFrame([(3,)], "h int"), 1.0).collect()}
+    assert some == {1: 0.0, 2: 0.0, 3: 0.0}
+    assert B.interval_offsets(nan, [], spark.createDataFrame([(None,)], "h int")).count() == 0
