@@ -182,7 +182,8 @@ def candidates(nodes: DataFrame, radius: int = RADIUS, rounds: tuple = ROUNDS, r
         # A text with enough sparse orders has met all its partners in them.
         enough = math.ceil(math.log(MISS) / math.log(1 - ALIKE**depth))
         again = large.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > n - enough).select("id")
-        active = nodes.join(again, "id", "left_semi").join(joined, "id", "left").withColumn("comp", F.least("id", "first")).drop("first")
+        # What goes on is written once: the next round reads it twice, and the one after takes its own texts from it.
+        active = materialise(active.drop("comp").join(again, "id", "left_semi").join(joined, "id", "left").withColumn("comp", F.least("id", "first")).drop("first"), f"active-{k}")
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)
