@@ -153,7 +153,8 @@ def _stamps(series: DataFrame, keys: list[str], size: DataFrame, freq: str | Non
 
 
 def run_tabular(df: DataFrame, row_key: list[str], target: str | None = None, seed: int = 42, most_attempts: int = 3, families: list[str] | None = None, pattern: str | None = None) -> dict:
-    """Coerce, profile, split, prepare, train until the gate passes, evaluate and explain; returns tables and the model."""
+    """Coerce, profile, split, prepare, train until the gate passes, evaluate and explain; returns tables, among them log (what
+    each stage did), and the model."""
     from augury.operators import evaluate as V
     from augury.operators import prep as C
     from augury.operators import profile as P
@@ -166,6 +167,7 @@ def run_tabular(df: DataFrame, row_key: list[str], target: str | None = None, se
     table = P.coerce_numeric_like(keyed.drop(*row_key), pattern=pattern or P.NUMBER_LIKE) if not row_key else P.coerce_numeric_like(keyed, pattern=pattern or P.NUMBER_LIKE).withColumns({k: F.col(k).cast("string") for k in row_key})
     table = table.persist()  # profile, task, split and warnings each pass over it; what memory lacks goes to disk
     inputs = table.drop(*row_key)
+    asked = target is not None
     target = target or P.infer_target(inputs)
     counts = P.value_counts(inputs)
     profile = {r["column"]: r for r in P.profile_columns(inputs, counts).collect()}  # a row for each column
@@ -178,7 +180,28 @@ def run_tabular(df: DataFrame, row_key: list[str], target: str | None = None, se
     facts = metrics.withColumnRenamed("r2" if task == "regression" else "accuracy", "score").withColumns({"task": F.lit(task), "family": F.lit(got.family), "attempts": F.lit(got.attempts), "cv_mean": F.lit(got.cv_mean), "cv_std": F.lit(got.cv_std)})
     whole = P.overall_missing_pct(inputs).crossJoin(P.duplicate_rows(table)).crossJoin(inputs.agg(F.count(F.lit(1)).alias("n_rows")))  # one row each
     facts = V.tabular_confidence(V.tabular_gate(facts.crossJoin(whole))).withColumns({"n_cols": F.lit(len(inputs.columns)), "target": F.lit(target), "n_folds": F.lit(len(got.cv_scores))})  # one row each
-    return {"profile": profile, "fit": fit, "prepared": prepared, "trained": got, "metrics": metrics, "facts": facts}
+    was = dict(keyed.dtypes)
+    coerced = [c for c, kind in inputs.dtypes if was[c] == "string" and kind != "string"]
+    log = _tabular_log(rows, prepared, facts, len(fit.features), coerced, asked)
+    return {"profile": profile, "fit": fit, "prepared": prepared, "trained": got, "metrics": metrics, "facts": facts, "log": log}
+
+
+def _tabular_log(rows: DataFrame, prepared: DataFrame, facts: DataFrame, n_features: int, coerced: list[str], asked: bool) -> DataFrame:
+    """One event for each stage of the job, with its counts."""
+    train, held = F.count_if("is_train"), F.count_if(~F.col("is_train"))
+    split = rows.agg(train.alias("train"), held.alias("held_out"))
+    kept = prepared.agg(train.alias("train"), held.alias("held_out"))
+    why = F.when(~F.col("passed"), F.array_join("reasons", "; "))
+    c = lambda *names: {x: F.col(x) for x in names}
+    return reduce(DataFrame.unionByName, [
+        event(facts, "input", "read", c("n_rows", "n_cols")),
+        event(facts, "coercion", "text to numbers", {"columns": F.array(*[F.lit(x) for x in coerced]).cast("array<string>")}),
+        event(facts, "target", "given" if asked else "inferred", c("target", "task")),
+        event(split, "split", "by hash of the key", c("train", "held_out")),
+        event(kept, "preparation", "fitted on training rows", c("train", "held_out")),
+        event(facts, "training", F.col("family"), {"features": F.lit(n_features)} | c("attempts", "n_folds", "cv_mean", "cv_std")),
+        event(facts, "gate", "judged", c("score", "passed", "confidence"), why, F.when(F.col("passed"), "ok").otherwise("warn")),
+    ])
 
 
 def explanation_report(facts: DataFrame, importance: DataFrame) -> DataFrame:

@@ -112,6 +112,11 @@ def train_regression(spark, sf):
     return trained(spark, sf)["facts"].select("task", "family", "score", "mae", "cv_mean", "cv_std", "passed", "confidence_label")
 
 
+def tabular_log(spark, sf):
+    """What the stages of the training job did, but for those whose figures only a model gives."""
+    return trained(spark, sf)["log"].where("stage not in ('training', 'gate')").drop("ts")
+
+
 def score_new(spark, sf):
     out = trained(spark, sf)
     return T.score(X.priced_lines(spark, sf), out["fit"], out["trained"].model, ["row_key"])
@@ -143,7 +148,7 @@ def classification(spark, sf):
 def impact(spark, sf):
     """Part sizes from prices that are text, under both number patterns."""
     p = X.text_numbers(spark, sf).join(X.table(spark, sf, "part").select("p_partkey", "p_retailprice"), "p_partkey").select("p_partkey", "price", "hours", "p_brand", "p_retailprice")
-    return jobs.coercion_impact(p, ["p_partkey"], "p_retailprice", families=["linear", "tree"])
+    return jobs.coercion_impact(p, ["p_partkey"], "p_retailprice")
 
 
 def queries() -> dict:
@@ -161,6 +166,7 @@ def queries() -> dict:
         "run_forecast_auto": run_forecast_auto,
         "backtest_auto": backtest_auto,
         "train_regression": train_regression,
+        "run_tabular_log": tabular_log,
         "score_new_rows": score_new,
         "shap_importance": shap,
         "explanation_report": explanation,
@@ -197,7 +203,23 @@ def oracle_sql() -> dict[str, str]:
     week = SQ.ORIGINS + f", own AS (SELECT o.{key}, fold, a.pos, a.y, (SELECT avg(y) FROM filled b WHERE b.{key} = o.{key} AND b.pos BETWEEN o.origin - 7 AND o.origin - 1) AS yhat FROM (SELECT *, unnest(generate_series(1, h)) AS step FROM origins) o JOIN filled a ON a.{key} = o.{key} AND a.pos = origin + step - 1), om AS (SELECT {key}, {SQ.METRICS} FROM own GROUP BY 1), tails AS (SELECT {key}, max(pos) AS last FROM filled GROUP BY 1), wk AS (SELECT f.{key}, avg(y) AS yhat FROM filled f JOIN tails e ON f.{key} = e.{key} AND f.pos > e.last - 7 GROUP BY 1)"
     role = lambda c: f"CASE WHEN count(DISTINCT {c}) / count(*) >= 0.98 AND count(DISTINCT {c}) > 20 THEN 'id_like' WHEN count(DISTINCT {c}) <= 30 THEN 'categorical' ELSE 'text' END"
     numbers_as_text = "(VALUES ('price', 'genuine'), ('distance', 'genuine'), ('style', 'false positive'), ('signed', 'genuine'), ('hours', 'genuine')) AS t(name, verdict)"
+    price = "coalesce(l_quantity, 25.0) * (900 + 10 * p_size) * (1 - l_discount)"
+    priced = X.LINES + (
+        f", priced AS (SELECT is_train, {price} AS price FROM parts), q AS (SELECT quantile_cont(price, 0.01) AS lo, quantile_cont(price, 0.99) AS hi FROM priced WHERE is_train)"
+        ", c AS (SELECT count(*) AS n, count(*) FILTER (is_train) AS train, count(*) FILTER (NOT is_train) AS held, count(*) FILTER (is_train AND price BETWEEN lo AND hi) AS kept FROM priced, q)"
+    )
+    logged = " UNION ALL ".join(
+        f"SELECT '{stage}' AS stage, '{action}' AS action, CAST(NULL AS VARCHAR) AS reason, {data} AS data, 'ok' AS status FROM c"
+        for stage, action, data in (
+            ("input", "read", """'{"n_rows":' || n || ',"n_cols":7}'"""),
+            ("coercion", "text to numbers", """'{"columns":[]}'"""),
+            ("target", "given", """'{"target":"l_extendedprice","task":"regression"}'"""),
+            ("split", "by hash of the key", """'{"train":' || train || ',"held_out":' || held || '}'"""),
+            ("preparation", "fitted on training rows", """'{"train":' || kept || ',"held_out":' || held || '}'"""),
+        )
+    )
     return {
+        "run_tabular_log": w(priced, logged),
         "quality_audit": w(X.TEXTS, f"SELECT name AS \"column\", 'float' AS dtype, 'numeric' AS role, verdict FROM {numbers_as_text} UNION ALL SELECT 'p_brand', 'string', {role('p_brand')}, NULL FROM texts UNION ALL SELECT 'mixed', 'string', {role('mixed')}, NULL FROM texts UNION ALL SELECT 'p_partkey', 'integer', CASE WHEN count(DISTINCT p_partkey) / count(*) >= 0.98 AND count(DISTINCT p_partkey) > 20 THEN 'id_like' ELSE 'numeric' END, NULL FROM texts"),
         "grounded_numbers": w(allowed, f"SELECT DISTINCT {key}, round(value, 4) AS value FROM nums WHERE value IS NOT NULL"),
         "register_forecaster": w(week, f"SELECT wk.{key}, unnest(generate_series(1, {SQ.H})) AS step, round(wk.yhat, 4) AS yhat, round(mae, 2) AS mae, round(rmse, 2) AS rmse, n_folds, n_scored FROM wk JOIN om ON wk.{key} = om.{key}"),

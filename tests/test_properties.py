@@ -1,6 +1,7 @@
 """Properties and golden cases: no leakage, whole series, exact explanations, round trips."""
 
 import datetime as dt
+import json
 import math
 from itertools import combinations
 from math import factorial
@@ -167,6 +168,10 @@ def test_training_scoring_and_streaming(spark, tmp_path):
     out = jobs.run_tabular(X.priced_lines(spark, DATA), ["row_key"], "l_extendedprice", most_attempts=1, families=["linear", "boosted"])
     facts = out["facts"].first()
     assert facts["task"] == "regression" and facts["score"] > 0.8 and facts["passed"] and facts["cv_mean"] > 0.8
+    A.append_log(out["log"], str(tmp_path / "log"))
+    log = {r["stage"]: r for r in A.read_log(spark, str(tmp_path / "log")).collect()}
+    assert list(log["training"])[1] == facts["family"] and json.loads(log["training"]["data"])["features"] == len(out["fit"].features)
+    assert log["gate"]["status"] == "ok" and log["gate"]["reason"] is None and json.loads(log["gate"]["data"])["confidence"] == facts["confidence"]
     fit, model = out["fit"], out["trained"].model
     rows = X.priced_lines(spark, DATA)
     scored = T.score(rows, fit, model, ["row_key"])
@@ -334,6 +339,7 @@ def test_coercion_impact_and_attempts(spark):
     out = jobs.run_tabular(noise, ["row_key"], "l_extendedprice", most_attempts=2, families=["linear"])
     facts = out["facts"].first()
     assert facts["attempts"] == 2 and not facts["passed"] and facts["reasons"][0] == "R2 is too low"
+    assert {(r["status"], r["reason"]) for r in out["log"].where("stage = 'gate'").collect()} == {("warn", "; ".join(facts["reasons"]))}
 
 
 @pytest.mark.parametrize("values", [[], [None, float("nan")], [4.0], [1.0, 2.0, 2.0, 2.0, 9.0, None, -3.5], [float(k * k % 977) for k in range(3000)]])
