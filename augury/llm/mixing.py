@@ -79,11 +79,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return ranked.withColumn("target", F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level"))).select("key", "source_size", "weight", "target")
 
 
+def _numbered_copies(rows: DataFrame, chunk: int = _CHUNK_SLOTS) -> DataFrame:
+    """``rows`` with a place of its own for each repeat of a row: equal rows are counted, then unfolded in chunks by number."""
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
+    chunks = counted.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / chunk)))).repartition("place", "chunk")
+    copy = F.explode(F.sequence(F.col("chunk") * chunk, F.least("copies", (F.col("chunk") + 1) * chunk) - 1))
+    place = F.when(F.col("copy") > 0, F.xxhash64("place", "copy")).otherwise(F.col("place"))
+    return chunks.withColumn("copy", copy).withColumn("place", place).select(*rows.columns)
+
+
 def stream_offsets(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """doc_id, key (the source, sortable with null last), size and offset (words of its source before it) of every row."""
     own = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("text"))
     rows = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("~")).alias("key"), word_count(F.col("text")).alias("size"), own.alias("place"))
-    rows = materialise(rows, "sizes")
+    rows = materialise(_numbered_copies(rows), "sizes")
     buckets = max(1, -(-rows.count() // _BUCKET_ROWS))
     rows = rows.withColumn("bucket", F.pmod("place", F.lit(buckets)))
     before = lambda total, order, *by: F.coalesce(F.sum(total).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

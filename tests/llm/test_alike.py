@@ -82,3 +82,28 @@ def test_links_between_parts():
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.keep_one_alike(docs, **simhash.SHARED).count() == 0
+
+
+def edited(draw, words, share):
+    """A copy with ``share`` of its words, one at least, replaced, dropped or doubled."""
+    out = list(words)
+    for place in sorted(draw.sample(range(len(out)), max(1, round(share * len(out)))), reverse=True):
+        out[place : place + 1] = draw.choice([["edit"], [], [out[place]] * 2])
+    return out
+
+
+def test_recall_of_word_edits(spark):
+    """Copies with 1, 2 and 5 % of their words edited: what lies at 0.8 or more is found, nothing else."""
+    draw, texts, share_of = random.Random(11), {}, {}
+    for share in (0.01, 0.02, 0.05):
+        for _ in range(100):
+            words = [f"w{draw.randrange(10**6)}" for _ in range(draw.randrange(100, 400))]
+            texts[len(texts)] = " ".join(words)
+            share_of[len(texts)] = share
+            texts[len(texts)] = " ".join(edited(draw, words, share))
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one_alike(docs, **simhash.SHARED).collect()}
+    assert kept == brute_kept(texts)
+    recall = {s: sum(i not in kept for i, x in share_of.items() if x == s) / 100 for s in (0.01, 0.02, 0.05)}
+    print(recall)
+    assert recall[0.01] == 1 and recall[0.02] >= 0.5

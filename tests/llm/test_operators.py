@@ -125,6 +125,18 @@ def test_language(docs, nothing):
     assert langid.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_copies_have_places_of_their_own(spark):
+    docs = spark.range(20_000).selectExpr("7L AS doc_id", "'src' AS source", "'the same row over and over' AS text").unionByName(spark.sql("SELECT 8L AS doc_id, 'src' AS source, 'another' AS text"))
+    got = mixing.stream_offsets(docs).toPandas().sort_values("offset")
+    assert len(got) == 20_001 and (got["offset"].to_numpy() == got["size"].cumsum().to_numpy() - got["size"].to_numpy()).all()
+    sizes = docs.selectExpr("doc_id", "source AS key", "6L AS size", "xxhash64(doc_id) AS place")
+    placed = mixing._numbered_copies(sizes, chunk=64).toPandas()
+    assert placed.groupby("doc_id").size().to_dict() == {7: 20_000, 8: 1} and placed["place"].nunique() == 20_001
+    assert (placed["place"] % 40).value_counts().max() < 2 * 20_000 / 40  # buckets share the copies
+    once = sizes.distinct()
+    assert sorted(map(tuple, mixing._numbered_copies(once).collect())) == sorted(map(tuple, once.collect()))
+
+
 def test_mixing(docs, nothing):
     got = mixing.mix(docs, block_words=64).toPandas()
     again = mixing.mix(docs.repartition(3), block_words=64).toPandas()

@@ -43,3 +43,29 @@ def test_run_is_registered(spark):
 
     assert "pipeline" in __spark_entry__.queries()
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def written(spark, docs, folder):
+    """A folder of input tables with ``docs`` for documents."""
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_run_on_no_documents(spark, table, tmp_path):
+    got = corpus_pipeline.run(spark, written(spark, table("documents").where("false"), tmp_path))
+    assert got.columns == corpus_pipeline.run(spark, "/root/testdata/sf0.001").columns and got.count() == 0
+
+
+def test_run_on_edge_rows(spark, table, edges, tmp_path):
+    """The whole chain on nulls, a very long text, a row without id and a row that stands there 500 times."""
+    from pyspark.sql import functions as F
+
+    plain = table("documents")
+    copy = edges.where("doc_id = 900006").limit(1).crossJoin(spark.range(500)).select(plain.columns)
+    got = corpus_pipeline.run(spark, written(spark, plain.unionByName(edges).unionByName(copy), tmp_path))
+    taken = {r["doc_id"]: r for r in got.collect()}
+    assert len(taken) == got.count() and not {900001, 900002, 900003, 900004} & set(taken)
+    # The copies are one document, and the long text is there with all its words.
+    assert taken[900005]["size"] == 60_000 and all(0 < r["taken"] <= 3 * r["size"] for r in taken.values())
+    assert got.where(F.col("doc_id") == 900006).count() <= 1
