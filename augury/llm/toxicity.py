@@ -17,7 +17,6 @@ that disagree count as toxic; null labels and null ids are not learned from.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -26,6 +25,7 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,34 +46,59 @@ def discounts(counts: Iterable[int]) -> tuple[float, float, float]:
 
 
 class _Level:
-    """Counts of words with absolute discounts; ``left`` is the share that they leave to the backoff."""
+    """Absolute discounts of counts; ``left`` is the share that they leave to the backoff."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.counts, self.total, self.less = counts, sum(counts.values()), discounts(counts.values())
-        self.left = sum(self.less[min(n, 3) - 1] for n in counts.values()) / self.total
+    def __init__(self, counts: np.ndarray):
+        self.total, self.less = int(counts.sum()), np.array([0.0, *discounts(counts[counts > 0])])
+        self.left = float(self.less[np.minimum(counts, 3)].sum()) / self.total
 
-    def chance(self, word: str, backoff: float) -> float:
-        n = self.counts.get(word, 0)
-        return (n - self.less[min(n, 3) - 1] if n else 0.0) / self.total + self.left * backoff
+    def chance(self, n: np.ndarray, backoff: np.ndarray) -> np.ndarray:
+        return (n - self.less[np.minimum(n, 3)]) / self.total + self.left * backoff
+
+
+class Levels:
+    """The counts of both classes and the contexts that they share, a place for each word."""
+
+    def __init__(self, counts: tuple[np.ndarray, np.ndarray], contexts: np.ndarray):
+        self.classes, self.shared = [_Level(c) for c in counts], _Level(contexts)
+        self.words = len(contexts) + 1  # all words seen, and one place for any other
+
+    def chance(self, k: int, n: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        return self.classes[k].chance(n, self.shared.chance(contexts, 1 / self.words))
 
 
 class KneserNey:
     """Both classes' models: ``chance(k, word)`` is the probability of a word in class ``k``."""
 
     def __init__(self, counts: tuple[dict[str, int], dict[str, int]], contexts: dict[str, int]):
-        self.classes, self.shared = [_Level(c) for c in counts], _Level(contexts)
-        self.words = len(contexts) + 1  # all words seen, and one place for any other
+        self.counts, self.contexts = counts, contexts
+        self.levels = Levels(tuple(np.array([*c.values()], np.int64) for c in counts), np.array([*contexts.values()], np.int64))
 
     def chance(self, k: int, word: str) -> float:
-        return self.classes[k].chance(word, self.shared.chance(word, 1 / self.words))
+        return float(self.levels.chance(k, np.array(self.counts[k].get(word, 0)), np.array(self.contexts.get(word, 0))))
+
+
+class Ratios:
+    """log P(toxic) - log P(ordinary) by word: 16 bytes for each seen word, which its XXH64 names, and ``other`` for any other."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, other: float):
+        order = np.argsort(keys)
+        self.keys, self.values, self.other = keys[order], values[order], other
+
+    def of(self, words: list[str]) -> np.ndarray:
+        keys = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in words], np.uint64).view(np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], self.other)
+
+    def __getitem__(self, word: str) -> float:
+        return float(self.of([word])[0])
 
 
 @dataclass
 class Model:
-    """log P(toxic) - log P(ordinary) of each seen word and of any other, and the curve over both kinds of evidence."""
+    """Ratios of words, and the curve over both kinds of evidence."""
 
-    ratio: dict[str, float]
-    other: float
+    ratio: Ratios
     slopes: tuple[float, float] = (1.0, 0.0)
     base: float = -1.0
 
@@ -101,13 +126,13 @@ def count_words(labelled: DataFrame) -> DataFrame:
 
 def fit_models(counts: DataFrame) -> Model | None:
     """Both models from the counts of a bounded sample; None if a class has no word."""
-    rows = counts.collect()
-    both = tuple({r["word"]: r[k] for r in rows if r[k]} for k in ("t", "o"))
-    if not (both[0] and both[1]):
+    table = counts.select(F.xxhash64("word").alias("key"), "t", "o", "contexts").toArrow()
+    key, t, o, contexts = (table[c].to_numpy() for c in ("key", "t", "o", "contexts"))
+    if not (t.any() and o.any()):
         return None
-    models = KneserNey(both, {r["word"]: r["contexts"] for r in rows})
-    toxic, plain = models.classes
-    return Model({r["word"]: math.log(models.chance(0, r["word"]) / models.chance(1, r["word"])) for r in rows}, math.log(toxic.left / plain.left))
+    levels = Levels((t, o), contexts)
+    toxic, plain = levels.classes
+    return Model(Ratios(key, np.log(levels.chance(0, t, contexts) / levels.chance(1, o, contexts)), math.log(toxic.left / plain.left)))
 
 
 def evidence(model: Model, text: str | None) -> tuple[float, float]:
@@ -115,9 +140,9 @@ def evidence(model: Model, text: str | None) -> tuple[float, float]:
     words = [w for w, _ in groupby(letter_runs(text))]  # a word said again at once is said once
     if not words:
         return 0.0, 0.0
-    ratio = {w: model.ratio.get(w, model.other) for w in set(words)}
-    best = heapq.nlargest(BEST, ratio.values())
-    return sum(best) / len(best), math.fsum(map(ratio.__getitem__, words)) / len(words)
+    times = Counter(words)
+    ratio = model.ratio.of([*times])
+    return float(np.sort(ratio)[-BEST:].mean()), float(ratio @ np.array([*times.values()], float)) / len(words)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, share: float) -> tuple[tuple[float, float], float]:

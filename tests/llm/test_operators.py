@@ -95,7 +95,11 @@ def test_toxicity_models_are_kneser_ney_and_sum_to_one(spark):
         for word in [*contexts, "unseen"]:
             assert models.chance(k, word) == pytest.approx(brute_kneser_ney(own[k], contexts, word))
     model = toxicity.fit_models(spark.createDataFrame(rows))
-    assert model.ratio["vequmo"] == pytest.approx(math.log(models.chance(0, "vequmo") / models.chance(1, "vequmo"))) and model.ratio["vequmo"] > 1
+    assert model.ratio["vequmo"] == pytest.approx(math.log(models.chance(0, "vequmo") / models.chance(1, "vequmo")))
+    # A word of many toxic texts is evidence; one of two texts, nearly all of whose count is discounted, is not.
+    many = spark.createDataFrame([(k % 2, f"{'vequmo' if k % 2 else 'moto'} le wort{'abcdefghijkl'[k // 2]}") for k in range(24)], "toxic int, text string")
+    model = toxicity.fit_models(toxicity.count_words(many))
+    assert model.ratio["vequmo"] > 1 > -1 > model.ratio["moto"] and model.ratio["unseen"] == model.ratio.other
     assert toxicity.evidence(model, "le vequmo de") > (0.0, 0.0) == toxicity.evidence(model, "12 !")
 
 
