@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,7 @@ from augury.operators.scan import on_keys as _on
 
 FOLDS = 5
 LEVEL = 0.8
+OUT_AT_ONCE = 10_000  # rows that a task gathers before it hands them on
 
 
 def sizes(series: DataFrame, keys: list[str], horizon: Column | int | None = None) -> DataFrame:
@@ -200,26 +202,47 @@ def interval_offsets(residuals: DataFrame, keys: list[str], horizons: DataFrame,
     """keys, step, low, high: quantiles of the residuals of steps up to each step; steps before the first residual have none.
 
     A series has at most its folds times h residuals.  They are put in order one step after another, so time grows with the
-    horizon and not with its square.
+    horizon and not with its square.  Tasks read the series one after another, in the order of their keys, as a call for each of
+    very many short series would take longer than their work.
     """
     tail = (1 - level) / 2
     schema = _schema(residuals, keys, "step int, low double, high double")
 
-    def run(of: tuple, known: pd.DataFrame, horizon: pd.DataFrame) -> pd.DataFrame:
-        if not len(known) or not len(horizon) or pd.isna(horizon["h"].iloc[0]):
-            return pd.DataFrame(columns=schema.names)
-        steps = {int(k): v.tolist() for k, v in known.groupby("step")["residual"]}
-        ordered, out = [], []
-        for step in range(min(1, *steps), int(horizon["h"].iloc[0]) + 1):
-            for v in steps.get(step, ()):
-                insort(ordered, v, key=lambda x: (x != x, x))  # NaN last, as in Spark
-            if ordered and step >= 1:
-                out.append((step, _between(ordered, tail), _between(ordered, 1 - tail)))
-        found = pd.DataFrame(out, columns=["step", "low", "high"])
-        return found.assign(**{k: pd.Series([v] * len(found), dtype=object) for k, v in zip(keys, of, strict=False)})[schema.names]
+    def run(batches):
+        of, horizon, ordered, step, out = None, 0, [], 1, []
+
+        def upto(end: int) -> None:
+            """Rows of the open series for the steps before ``end``."""
+            nonlocal step
+            for k in range(step, min(end, horizon + 1)):
+                if ordered and k >= 1:
+                    out.append((*of[0], k, _between(ordered, tail), _between(ordered, 1 - tail)))
+            step = max(step, end)
+
+        kinds = None
+        for batch in batches:
+            *names, steps, values, horizons = [c.to_pylist() for c in batch.columns]
+            kinds = [*[c.type for c in batch.columns[: len(keys)]], pa.int32(), pa.float64(), pa.float64()]
+            for place, (s, v, h) in enumerate(zip(steps, values, horizons, strict=True)):
+                key = tuple(c[place] for c in names)
+                same = tuple("NaN" if x != x else (x,) for x in key)  # NaN is a key like any other
+                if of is None or of[1] != same:
+                    upto(horizon + 1)
+                    of, horizon, ordered, step = (key, same), h, [], min(1, s)
+                upto(s)
+                if s <= horizon:
+                    insort(ordered, v, key=lambda x: (x != x, x))  # NaN last, as in Spark
+            if len(out) >= OUT_AT_ONCE:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=schema.names)
+                out = []
+        upto(horizon + 1)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=schema.names)
 
     known = residuals.where("residual is not null").select(*keys, F.col("step").cast("int").alias("step"), F.col("residual").cast("double").alias("residual"))
-    return _beside(known, horizons.select(*keys, "h"), keys).applyInPandas(run, schema)
+    known = _on(known, horizons.where("h is not null").select(*keys, F.col("h").cast("int").alias("_h")), keys)
+    dealt = known.repartition(*keys) if keys else known.repartition(1)
+    return dealt.sortWithinPartitions(*keys, "step").mapInArrow(run, schema)
 
 
 def prediction_intervals(point: DataFrame, residuals: DataFrame, keys: list[str], horizons: DataFrame, level: float = LEVEL) -> DataFrame:

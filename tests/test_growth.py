@@ -47,3 +47,17 @@ def test_quantiles_read_their_table_once(spark):
 
     rows = spark.range(1000).mapInArrow(count, "id long")
     assert R.exact_quantiles(rows, {"id": F.col("id")}, [0.5])["id"] == [499.5] and seen.value == 1000
+
+
+def test_bands_of_many_short_series_are_read_one_after_another(spark):
+    keys = ["k", "x"]
+    rows = [(k, float("nan") if k == 3 else 1.0, step, float(r)) for k in [None, *range(40)] for step in (1, 3) for r in np.random.default_rng(k or 99).normal(size=4).round(3)]
+    known = spark.createDataFrame(rows, "k long, x double, step int, residual double")
+    sizes = known.select(*keys).distinct().withColumn("h", F.when(F.col("k") % 2 == 0, 2).otherwise(4))
+    found = B.interval_offsets(known, keys, sizes)
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+    got = {(r["k"], r["step"]): (r["low"], r["high"]) for r in found.collect()}
+    assert len(got) == sum(2 if k is not None and k % 2 == 0 else 4 for k in [None, *range(40)])
+    for (k, step), (low, high) in got.items():
+        own = [r for kk, _, s, r in rows if kk == k and s <= step]
+        assert np.allclose([low, high], np.quantile(own, [0.1, 0.9]))
