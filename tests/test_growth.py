@@ -49,6 +49,10 @@ def test_quantiles_read_their_table_once(spark):
     assert R.exact_quantiles(rows, {"id": F.col("id")}, [0.5])["id"] == [499.5] and seen.value == 1000
 
 
+def test_means_of_encodings_are_kept(spark):
+    assert any("augury-means" in f for f in table_queries.encoded(spark, DATA)[1].inputFiles())
+
+
 def test_bands_of_many_short_series_are_read_one_after_another(spark):
     keys = ["k", "x"]
     rows = [(k, float("nan") if k == 3 else 1.0, step, float(r)) for k in [None, *range(40)] for step in (1, 3) for r in np.random.default_rng(k or 99).normal(size=4).round(3)]
