@@ -53,6 +53,17 @@ def test_means_of_encodings_are_kept(spark):
     assert any("augury-means" in f for f in table_queries.encoded(spark, DATA)[1].inputFiles())
 
 
+def test_patterns_that_change_the_same_columns_share_a_run(spark, monkeypatch):
+    runs, run = [], jobs.run_tabular
+    monkeypatch.setattr(jobs, "run_tabular", lambda *a, **k: runs.append(k["pattern"]) or run(*a, **k))
+    parts = X.text_numbers(spark, DATA).join(X.table(spark, DATA, "part").select("p_partkey", "p_retailprice"), "p_partkey")
+    options = {"most_attempts": 1, "families": ["tree"]}
+    got = jobs.coercion_impact(parts.select("p_partkey", "price", "hours", "p_retailprice"), ["p_partkey"], "p_retailprice", **options).drop("pattern").collect()
+    assert len(got) == 2 and got[0] == got[1] and len(runs) == 1
+    jobs.coercion_impact(parts.select("p_partkey", "price", "style", "p_retailprice"), ["p_partkey"], "p_retailprice", **options)
+    assert len(runs) == 3
+
+
 def test_bands_of_many_short_series_are_read_one_after_another(spark):
     keys = ["k", "x"]
     rows = [(k, float("nan") if k == 3 else 1.0, step, float(r)) for k in [None, *range(40)] for step in (1, 3) for r in np.random.default_rng(k or 99).normal(size=4).round(3)]
