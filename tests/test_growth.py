@@ -1,6 +1,7 @@
 """Work that must not grow faster than its tables: equal rows, hopeless families, tasks, kept results and short series."""
 
 import numpy as np
+import pytest
 from conftest import DATA
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.sql import functions as F
@@ -76,3 +77,34 @@ def test_bands_of_many_short_series_are_read_one_after_another(spark):
     for (k, step), (low, high) in got.items():
         own = [r for kk, _, s, r in rows if kk == k and s <= step]
         assert np.allclose([low, high], np.quantile(own, [0.1, 0.9]))
+
+
+def test_classes_are_cut_into_ranges_without_moving_their_rows(spark):
+    rows = spark.range(5000).select("id", F.when(F.col("id") < 4000, "big").when(F.col("id") < 4903, "small").when(F.col("id") < 4905, "two").alias("c"))
+    code, ends = F.md5(F.col("id").cast("string")), lambda n: [F.ceil(n * k / 5) for k in range(1, 5)]
+    placed = C.class_places(rows, "c", code).withColumn("want", sum(((F.col("_place") > e).cast("int") for e in ends(F.col("_n"))), F.lit(0))).select("id", "want")
+    for prefix in (0, 1, 3):
+        ranged = C.class_ranges(rows, "c", code, ends, "got", prefix)
+        assert ranged.join(placed, "id").where("got = want").count() == 5000
+        assert "hashpartitioning" not in ranged._jdf.queryExecution().toString() and "Window" not in ranged._jdf.queryExecution().toString()
+    split = C.split(rows, ["id"], stratify="c")._jdf.queryExecution().toString()
+    assert "hashpartitioning" not in split and "Window" not in split
+    # Ends between equal codes: rows of one key are still dealt evenly.
+    one = C.class_ranges(rows.withColumn("id", F.lit(1)), "c", F.md5(F.col("id").cast("string")), ends, "got")
+    sizes = {(r["c"], r["got"]): r["count"] for r in one.groupBy("c", "got").count().collect()}
+    assert all(sizes["big", k] == 800 for k in range(5)) and all(sizes[None, k] == 19 for k in range(5)) and {sizes["small", k] for k in range(5)} == {180, 181}
+
+
+def test_keys_that_read_as_numbers_stay_apart(spark, monkeypatch):
+    class Enough(Exception):
+        pass
+
+    def stop(df, *a, **k):
+        raise Enough(df)
+
+    monkeypatch.setattr(C, "split", stop)
+    rows = spark.range(400).select(F.concat((9007199254740992 + F.col("id")).cast("string"), F.lit(" a")).alias("key"), F.concat(F.col("id").cast("string"), F.lit(" km")).alias("x"), (F.col("id") % 2).cast("string").alias("kind"))
+    with pytest.raises(Enough) as got:
+        jobs.run_tabular(rows, ["key"], "kind")
+    kept = got.value.args[0]
+    assert dict(kept.dtypes)["key"] == "string" and dict(kept.dtypes)["x"] == "double" and kept.select("key").distinct().count() == 400
