@@ -10,6 +10,7 @@ from augury.operators import profile as P
 from augury.operators import train as T
 from augury.plans import fixtures as X
 from augury.plans import jobs
+from augury.sources import tables as A
 
 
 def test_training_leaves_memory_to_its_fits(spark):
@@ -44,3 +45,16 @@ def test_counts_of_columns_apart_and_few_equal_rows(spark):
     assert Counter(map(tuple, P.value_counts(rows, apart=True).collect())) == Counter(map(tuple, P.value_counts(rows).collect()))
     assert P.duplicate_rows(rows, few=True).first()[0] == P.duplicate_rows(rows).first()[0] == 2
     assert P.duplicate_rows(rows.distinct(), few=True).first()[0] == 0 == P.duplicate_rows(rows.limit(0), few=True).first()[0]
+
+
+def test_events_of_one_row_work_it_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    one = spark.range(1).mapInArrow(count, "id long")
+    got = A.events(one, [("a", "x", {"n": F.col("id")}), ("b", F.lit("y"), {}, "why", "warn"), ("c", "z", {})]).drop("ts").collect()
+    assert [tuple(r) for r in got] == [("a", "x", None, '{"n":0}', "ok"), ("b", "y", "why", "{}", "warn"), ("c", "z", None, "{}", "ok")] and seen.value == 1
