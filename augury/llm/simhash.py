@@ -11,11 +11,13 @@ of null ids alone is null).  The comparison is exact and thus grows with the squ
 tiles lower the factor, not the power.
 
 Where texts must be alike in a share of their shingles (``alike_components``), fingerprints only name candidates: their texts
-are fetched and a link holds if the Jaccard similarity of the two sets of shingles reaches the share.
+are fetched and a link holds if the Jaccard similarity of the two sets of shingles reaches the share.  Sets that alike are nearly
+of one size, so the distinct fingerprints are dealt by size too, and only those of sizes that can be linked are compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,8 @@ SPREAD = (16_384, 8)  # fewer make groups of the first size, up to the second nu
 # Candidates for texts alike in 0.8: fingerprints of sets of shingles then differ in 39 of 256 bits on average, in 48 for the
 # shortest such texts (4 of 5 shingles); the radius is over 4.5 standard deviations beyond either.  Unrelated texts differ in 128.
 SHARED = {"width": 5, "alike": 0.8, "bits": 256, "radius": 76}
+SIZES = (2, 65_536)  # bands of sizes between the sizes of two sets that can just be alike; fingerprints of a group of one band at most
+PIECE = (1 << 17, 8192)  # pairs, and fingerprints of one side, that are compared at once: what is made for them stays in the cache
 PART = (4096, 2_000_000)  # texts and shingles of candidates that one side of a task verifies, about
 _SEED = 42
 
@@ -142,12 +146,29 @@ def _tiles(x: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    apart = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
-    if a.shape[1] > 1:
-        apart = apart.astype(np.uint16)
-        for k in range(1, a.shape[1]):
-            apart += np.bitwise_count(a[:, None, k] ^ b[None, :, k])
-    return np.nonzero(apart <= radius)
+    left, right = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    wide = max(1, min(PIECE[1], len(b)))
+    rows = max(1, min(PIECE[0] // wide, len(a)))
+    both, count, more = (np.empty((rows, wide), kind) for kind in (np.uint64, np.uint8, np.uint8))
+    found = []
+    for k in range(0, len(b), wide):
+        far = right[:, k : k + wide]
+        for m in range(0, len(a), rows):
+            near = left[:, m : m + rows]
+            at = np.s_[: near.shape[1], : far.shape[1]]
+            apart, held, own = both[at], count[at], more[at]
+            np.bitwise_count(np.bitwise_xor(near[0][:, None], far[0], out=apart), out=held)
+            for word in range(1, len(left)):
+                np.add(held, np.bitwise_count(np.bitwise_xor(near[word][:, None], far[word], out=apart), out=own), out=held)
+            hit = held <= radius
+            if hit.any():
+                i, j = np.nonzero(hit)
+                found.append((i + m, j + k))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    if len(left) > 3:  # sums from 256 on began again at 0
+        true = np.bitwise_count(a[i] ^ b[j]).sum(1, dtype=np.int64) <= radius
+        i, j = i[true], j[true]
+    return i, j
 
 
 def links(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
@@ -192,12 +213,28 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, block: int
     return child, forest.parent[child]
 
 
-def link_forest(distinct: DataFrame, n: int, radius: int = RADIUS, group: int | None = None, bits: int = 64) -> DataFrame:
-    """Edges (u, v) that connect what links join, of a table of ``n`` distinct fingerprints ``fp``."""
-    groups = max(1, -(-n // (group or GROUP)), min(SPREAD[1], -(-n // SPREAD[0])) if group is None else 1)
-    # One packed row a group: 2 MB for a full one of 64 bits.  It goes to as many tasks as there are groups.
-    packed = distinct.groupBy(F.pmod(F.xxhash64("fp", F.lit("group")), F.lit(groups)).cast("int").alias("g")).agg(F.unhex(F.array_join(F.collect_list("fp"), "")).alias("fps"))
-    pairs = packed.select("g", "fps", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("h")).select(F.least("g", "h").alias("p"), F.greatest("g", "h").alias("q"), "fps")
+def size_band(size: Column, alike: float) -> Column:
+    """A whole number that differs by ``SIZES[0]`` at most between sizes of sets with a Jaccard similarity of ``alike`` or more."""
+    return (F.floor(F.log(F.greatest(size, F.lit(1))) * (SIZES[0] / -math.log(alike)) + 1e-9) if 0 < alike < 1 else F.lit(0)).cast("int")
+
+
+def link_forest(distinct: DataFrame, radius: int = RADIUS, group: int | None = None, bits: int = 64, reach: int = 0) -> DataFrame:
+    """Edges (u, v) that connect what links join, of a table of distinct fingerprints ``fp``; if it has ``band``, of those whose
+    bands are at most ``reach`` apart."""
+    banded = "band" in distinct.columns
+    distinct = distinct if banded else distinct.withColumn("band", F.lit(0))
+    most, spans, start = group or (SIZES[1] if banded else GROUP), [], 0
+    for r in distinct.groupBy("band").agg(F.count(F.lit(1)).alias("n")).orderBy("band").collect():  # a row for each band, under 200
+        parts = max(1, -(-r["n"] // most), min(SPREAD[1], -(-r["n"] // SPREAD[0])) if group is None else 1)
+        spans.append((r["band"], start, parts))
+        start += parts
+    # Groups are numbered by band, so that those which a group meets follow each other.
+    meets = [(band, first, parts, min(x[1] for x in spans if x[0] >= band - reach), max(x[1] + x[2] - 1 for x in spans if x[0] <= band + reach)) for band, first, parts in spans]
+    of = F.broadcast(distinct.sparkSession.createDataFrame(meets, "band int, first int, parts int, low int, high int"))
+    # One packed row a group: 2 MB for a full one.  It goes to as many tasks as there are groups that it meets.
+    own = (F.col("first") + F.pmod(F.xxhash64("fp", F.lit("group")), F.col("parts"))).cast("int")
+    packed = distinct.join(of, "band").groupBy(own.alias("g"), "low", "high").agg(F.unhex(F.array_join(F.collect_list("fp"), "")).alias("fps"))
+    pairs = packed.select("g", "fps", F.explode(F.sequence("low", "high")).alias("h")).select(F.least("g", "h").alias("p"), F.greatest("g", "h").alias("q"), "fps")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = [_numbers(bytes(x), bits) for x in pdf["fps"]]
@@ -241,7 +278,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = R
     """doc_id, fingerprint (hex digits) and component_id (smallest doc_id that links reach) of every row."""
     made = materialise(fingerprints(docs, width, bits), "fingerprints")
     distinct = materialise(made.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    forest = components(link_forest(distinct.select("fp"), distinct.count(), radius, group, bits))
+    forest = components(link_forest(distinct.select("fp"), radius, group, bits))
     rooted = materialise(distinct.join(forest, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "rooted")
     least = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     named = materialise(rooted.join(least, "root").select("fp", "component_id"), "named")
@@ -299,8 +336,8 @@ def alike_components(docs: DataFrame, width: int, alike: float, bits: int, radiu
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), row, "text")
     made = materialise(rows.mapInPandas(make, "doc_id string, row long, node string, fp string, size long").withColumn("doc_id", F.col("doc_id").cast(kind)), "shingles")
     nodes = materialise(made.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("first"), F.min("row").alias("row"), F.min("size").alias("size")), "nodes")
-    fps = materialise(nodes.select("fp").distinct(), "distinct")
-    forest = components(link_forest(fps, fps.count(), radius, group, bits))
+    fps = materialise(nodes.select("fp", size_band(F.col("size"), alike).alias("band")).distinct(), "distinct")
+    forest = components(link_forest(fps, radius, group, bits, SIZES[0]))
     rooted = materialise(nodes.join(forest, "fp", "left").select("node", "fp", "row", "size", F.coalesce("root", "fp").alias("root")), "rooted")
     return confirmed(docs, made, nodes, rooted, width, alike, radius, part).select("doc_id", "row", "component_id", "kept_row")
 

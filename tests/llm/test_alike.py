@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from augury.llm import simhash
 from augury.llm.common import materialise
+from pyspark.sql import functions as F
 
 
 def brute_kept(texts, width=5, alike=0.8):
@@ -107,3 +108,29 @@ def test_recall_of_word_edits(spark):
     recall = {s: sum(i not in kept for i, x in share_of.items() if x == s) / 100 for s in (0.01, 0.02, 0.05)}
     print(recall)
     assert recall[0.01] == 1 and recall[0.02] >= 0.5
+
+
+@pytest.mark.parametrize("words, radius", [(1, 4), (4, 76), (4, 100)])
+def test_near_pairs_in_pieces_are_all_of_them(monkeypatch, words, radius):
+    draw = np.random.default_rng(words)
+    a, b = (draw.integers(0, 2**64, (n, words), dtype=np.uint64) for n in (70, 333))
+    b[:50] = a[:50] ^ np.uint64(5)
+    b[60] = ~a[60]  # all bits differ
+    want = set(zip(*np.nonzero(np.bitwise_count(a[:, None] ^ b[None]).sum(2, dtype=int) <= radius), strict=True))
+    for piece in (simhash.PIECE, (64, 16), (1000, 333)):
+        monkeypatch.setattr(simhash, "PIECE", piece)
+        got = list(zip(*simhash._near(a, b, radius), strict=True))
+        assert set(got) == want and len(got) == len(want) >= 50
+    assert len(simhash._near(a[:0], b, radius)[0]) == len(simhash._near(a, b[:0], radius)[0]) == 0
+
+
+def test_only_fingerprints_of_like_sizes_are_compared(spark):
+    # All sizes that can just be alike, 4 to 5, are within the reach of each other.
+    sizes = spark.range(1, 300_000).select(simhash.size_band(4 * F.col("id"), 0.8).alias("low"), simhash.size_band(5 * F.col("id"), 0.8).alias("high"))
+    assert sizes.where(F.col("high") - F.col("low") > simhash.SIZES[0]).count() == 0
+    fps = [(f"{k:064x}", band) for k, band in ((0, 0), (1, 2), (2, 5), (3, 9), (3, 5))]
+    for group in (None, 1):
+        got = simhash.link_forest(spark.createDataFrame(fps, "fp string, band int"), 76, group, 256, 2).collect()
+        assert {frozenset((int(r["u"], 16), int(r["v"], 16))) for r in got} - {frozenset({3})} == {frozenset({0, 1}), frozenset({2, 3})}
+        assert len(simhash.link_forest(spark.createDataFrame(fps, "fp string, band int").select("fp").distinct(), 76, group, 256).collect()) >= 3
+    assert simhash.link_forest(spark.createDataFrame([], "fp string, band int"), 76, None, 256, 2).count() == 0
